@@ -1,0 +1,8 @@
+"""Operators for building training data. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no installed copy: functions of this subpackage travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
