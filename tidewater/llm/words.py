@@ -63,7 +63,7 @@ class Words:
         return mix((self.total[stop] - self.total[start]) * down[start] + (stop - start).astype(U))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch in pieces of about `limit` bytes of text (one text at least), with the texts as UTF-8; null: empty."""
     for batch in batches:
         texts = batch.column(text).cast(pa.large_binary()).to_pylist()
