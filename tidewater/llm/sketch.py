@@ -109,14 +109,14 @@ def _compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatc
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the start of the next document.
 
-    The next document follows in descending doc_id, ties by text; after the last comes the first. One range
+    The next document follows in descending doc_id, ties by a hash of the text; after the last comes the first. One range
     shuffle puts neighbours side by side; only the two ends of each partition go through a second, small step.
     Null texts count as empty, a null id as the smallest; a single row is its own next document; an empty
     table gives no rows; other columns are ignored.
     """
     n_parts = n_parts or parts(docs.sparkSession)
-    order = [F.col("id").desc(), F.col("t").desc()]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    order = [F.col("id").desc(), F.col("tie")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(text_col).alias("tie"))
     rows = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
