@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed Parquet table, for what is large or read by column."""
     path = f"{shared_dir(df.sparkSession)}/tidewater-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
