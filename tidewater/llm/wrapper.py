@@ -325,11 +325,13 @@ def induce(rows: DataFrame) -> DataFrame:
     sizes = found.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     dealt = found.join(sizes, "host").withColumn("salt", F.pmod(F.col("h"), F.ceil(F.col("n") / GROUP).cast("long")))
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = wrap([json.loads(t) for t in pdf["tree"]])
-        return pd.DataFrame(out, columns=["path", "text", "same", "aligned"]).assign(host=key[0], pages=len(pdf))
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        # should two hosts share a group's hash, each is still wrapped by itself
+        parts = [pd.DataFrame(wrap([json.loads(t) for t in x["tree"]]), columns=["path", "text", "same", "aligned"]).assign(host=h, pages=len(x)) for h, x in pdf.groupby("host")]
+        return pd.concat(parts)
 
-    counts = dealt.select("host", "salt", "tree").groupBy("host", "salt").applyInPandas(group, "path long, text long, same long, aligned long, host string, pages long")
+    # one key, not two: rows dealt by host for the join above would pass as dealt by host and salt
+    counts = dealt.select("host", F.xxhash64("host", "salt").alias("group"), "tree").groupBy("group").applyInPandas(group, "path long, text long, same long, aligned long, host string, pages long")
     merged = counts.groupBy("host", "path", "text").agg(F.sum("same").alias("same"), F.sum("aligned").alias("aligned"), F.sum("pages").alias("pages"))
     kept = merged.join(sizes, "host").filter((F.col("same") >= LEAST_PAGES) & (F.col("same") >= LEAST_PART * F.col("aligned")) & (F.col("same") >= LEAST_PART * F.col("pages")) & (F.col("same") >= 0.2 * F.col("n")))
     return kept.select("host", "text").distinct()
