@@ -105,14 +105,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col:
     docs = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.filter("id is not null")
     edges = _edges(known, window, prefix)
+    # grouped tables are stored before they are joined: only then can a join's hot keys be split
     shared = edges.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("label").alias("l"), F.max("label").alias("h")).filter("low < high")
+    shared = stored(shared)
     hits = stored(edges.join(shared, "prefix").filter("l < h or low < id").select("key", "id", "label", "low", (F.col("l") < F.col("h")).alias("branches")))
     branching = hits.filter("branches")
-    first = branching.groupBy("label").agg(F.min("id").alias("first"))
+    first = stored(branching.groupBy("label").agg(F.min("id").alias("first")))
     cases = branching.join(first, "label")
     opened = cases.filter("first = id").groupBy("key").agg(F.collect_set("label").alias("open"))
     nodes = stored(_windows(known.join(opened, "key"), window, prefix))
-    deep = nodes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    deep = stored(nodes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"))
     late = nodes.join(deep, "node").filter("first < id").select("key", F.lit(None).cast("long").alias("label"), "at")
     gone = hits.filter("not branches").select("key", "label").union(cases.filter("first < id").select("key", "label"))
     return gone.withColumn("at", F.lit(None).cast("int")).union(late).groupBy("key").agg(F.collect_set("label").alias("gone"), F.collect_set("at").alias("at"))
