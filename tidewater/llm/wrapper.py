@@ -322,7 +322,7 @@ def induce(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(found, pa.string()), pa.array([_digest(x) for x in found], pa.int64())], names=["host", "tree", "h"])
 
     found = stored(rows.select("host", "html").mapInArrow(trees, "host string, tree string, h long").dropDuplicates(["host", "h"]))
-    sizes = found.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    sizes = stored(found.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES))  # stored, so that the join can split a hot host
     dealt = found.join(sizes, "host").withColumn("salt", F.pmod(F.col("h"), F.ceil(F.col("n") / GROUP).cast("long")))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
