@@ -52,15 +52,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates the large-star and small-star steps until nothing moves. Each step is a grouped
     minimum (combined before the shuffle) and a join (split by AQE where one node is hot), and each
-    round is checkpointed. Rows with a null end and loops are ignored; an empty input gives no rows.
+    round is checkpointed. Minima are checkpointed before they are joined, as only then AQE splits a hot node. Rows with a null end and loops are ignored; an empty input gives no rows.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct())
     before = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         e = cut(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[
             langs, scores, at, size = [], [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
-                if size >= 4_000_000 or i + 1 == len(texts):
+                if size >= 1_500_000 or i + 1 == len(texts):
                     l, s = m.predict([t or "" for t in texts[at : i + 1]], lookup)
                     langs += l
                     scores += s

@@ -127,7 +127,7 @@ def near_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("node")))
     points = _cells(classes.filter("node is not null"))
-    many = points.groupBy("triple", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    many = stored(points.groupBy("triple", "cell").agg(F.count("*").alias("n")).filter("n > 1"))
     tiles = F.ceil(F.col("n") / TILE).cast("long")
     mine = F.pmod(F.xxhash64("fp"), F.col("g"))
     other = F.when(F.col("g") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda i: i != F.col("mine"))).otherwise(F.array(F.lit(0).cast("long")))
