@@ -1,6 +1,355 @@
-"""All queries of the engine by name, and the SQL that checks them."""
+"""All queries of the engine by name, over the test tables, and the DuckDB SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import numbers, text
+from tidewater.operators import cards, indicators, ledger, outline, tables, tree
+
+from . import adapters as a
+
+
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return a.indicators(spark, d), a.places(spark, d)
+
+
+def _analyze(basis: str, place: int | None = None):
+    return lambda s, d: _rounded(indicators.analyze(*_both(s, d), basis, place))
+
+
+def _trend(s: SparkSession, d: str) -> DataFrame:
+    return indicators.trend(*_both(s, d), "province")
+
+
+def peer_groups(s: SparkSession, d: str) -> DataFrame:
+    return indicators.peers(a.places(s, d), "type")
+
+
+def box_stats(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(indicators.box_stats(a.indicators(s, d), "code", "year"))
+
+
+def chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    """Parts by brand in sheets of at most 12."""
+    parts = a.table(s, d, "part").select("p_brand", "p_partkey")
+    return indicators.chunks(parts, ["p_partkey"], 12, "p_brand")
+
+
+def nearest_example(s: SparkSession, d: str) -> DataFrame:
+    """Parts of size 1 to 3 as blanks, of 4 to 6 as examples, of equal brand and type."""
+    p = a.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_partkey").alias("ord"), "p_size")
+    return tree.nearest_example(p.filter("p_size <= 3"), p.filter("p_size between 4 and 6"), ["p_brand", "p_type"])
+
+
+def title_dedupe(s: SparkSession, d: str) -> DataFrame:
+    p = a.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return tree.distinct_titles(p, ["c_nationkey"], "c_mktsegment", ["c_custkey"]).select("c_custkey", "title")
+
+
+def col_percent(s: SparkSession, d: str) -> DataFrame:
+    """Nations' customers as widths of a region's columns."""
+    c = a.table(s, d, "customer").groupBy("c_nationkey").count().join(F.broadcast(a.table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return tree.column_shares(c.select("n_regionkey", "n_nationkey", F.col("count").alias("width")), ["n_regionkey"], "width", "n_nationkey").select("n_regionkey", "n_nationkey", "pct")
+
+
+def outline_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines of documents by kind."""
+    return outline.lines(a.table(s, d, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min("ln").alias("first"))
+
+
+def table_islands(s: SparkSession, d: str) -> DataFrame:
+    return outline.islands(a.manuscripts(s, d), "conv_id", "ln", F.col("kind") == "item").drop("island")
+
+
+def level_jump(s: SparkSession, d: str) -> DataFrame:
+    m = a.manuscripts(s, d).filter("kind = 'item'")
+    return outline.level_jumps(m, "conv_id", "ln").select("conv_id", "ln", "level", "before")
+
+
+def count_under(s: SparkSession, d: str) -> DataFrame:
+    return outline.count_under(a.manuscripts(s, d), "conv_id").withColumn("n", F.col("n").cast("int"))
+
+
+LIMITS = (("the", "max", 2), ("and", "min", 2), ("zzz", "max", 1))
+
+
+def check_limits(s: SparkSession, d: str) -> DataFrame:
+    limits = s.createDataFrame(list(LIMITS), "scope string, op string, n int")
+    return outline.check_limits(a.manuscripts(s, d), limits, "conv_id").withColumn("best", F.col("best").cast("int"))
+
+
+def find_limits(s: SparkSession, d: str) -> DataFrame:
+    t = a.table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("Within ")).otherwise(F.lit("at least  ")), F.col("o_orderkey") % 9, F.lit(" Items; at most 3 rows")).alias("t"))
+    return outline.find_limits(t, "o_orderkey", "t")
+
+
+def _cards(s: SparkSession, d: str) -> DataFrame:
+    n = a.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").alias("ord"), F.format_string("%02d", F.col("n_regionkey")).alias("chapter"), (F.col("n_nationkey") - 7).cast("long").alias("mirrors"), F.length("n_name").alias("size"))
+    return n.alias("t").join(n.alias("c"), F.col("c.ord") <= F.col("t.ord")).select(F.col("t.id").alias("target"), F.col("c.id").alias("id"), F.col("c.ord").alias("ord"), cards.score().alias("score"), F.col("c.size").alias("size"))
+
+
+def card_score(s: SparkSession, d: str) -> DataFrame:
+    return _cards(s, d).select("target", "id", "score")
+
+
+def card_pick(s: SparkSession, d: str) -> DataFrame:
+    return cards.pick(_cards(s, d), "target", 60, 5)
+
+
+def number_tokens(s: SparkSession, d: str) -> DataFrame:
+    return a.table(s, d, "documents").select("doc_id", F.array_join(text.number_tokens(F.coalesce("text", F.lit(""))), " ").alias("numbers"))
+
+
+def clip_text(s: SparkSession, d: str) -> DataFrame:
+    return a.table(s, d, "documents").select("doc_id", text.clip(F.coalesce("text", F.lit("")), 60).alias("clipped"))
+
+
+def html_text(s: SparkSession, d: str) -> DataFrame:
+    """Text of pages by patterns alone: scripts, styles and comments out, tags to spaces, white space squashed."""
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->", " ")
+    return a.table(s, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("text"))
+
+
+def csv_sniff(s: SparkSession, d: str) -> DataFrame:
+    sep = F.when(F.col("p_size") % 3 == 0, ";").when(F.col("p_size") % 3 == 1, "\t").otherwise(",")
+    p = a.table(s, d, "part").select("p_partkey", F.concat("p_name", sep, "p_brand", sep, "p_type", F.lit("\n"), "p_brand", sep, F.col("p_size").cast("string"), sep, "p_name").alias("t"))
+    return p.select("p_partkey", tables.sniff(F.col("t")).alias("delimiter"))
+
+
+def cap_cells(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as tables of an order: quantity rows of linenumber columns, with room for 100 cells."""
+    t = a.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("rows"), F.col("l_linenumber").alias("width"))
+    t = t.groupBy("l_orderkey", "l_linenumber").agg(F.max("rows").alias("rows"), F.max("width").alias("width"))
+    return tables.cap_cells(t, "l_orderkey", "l_linenumber", 100).select("l_orderkey", "l_linenumber", F.col("kept").cast("int").alias("kept"))
+
+
+def zone_day(s: SparkSession, d: str) -> DataFrame:
+    e = a.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.select("event_id", ledger.zone_day(F.col("ts")).alias("day"), F.unix_timestamp(ledger.next_reset(F.col("ts"))).alias("reset"))
+
+
+def usage_ledger(s: SparkSession, d: str) -> DataFrame:
+    return ledger.usage(a.table(s, d, "events"), "user_id", "ts", F.col("event_type") == "error")
+
+
+def usable_models(s: SparkSession, d: str) -> DataFrame:
+    """Users by day without an error on that day."""
+    used = usage_ledger(s, d)
+    return ledger.usable(used.select("day", "model", "n"), used)
+
+
+def _models(s: SparkSession, d: str) -> DataFrame:
+    p = a.table(s, d, "part")
+    kind = F.element_at(F.array(F.lit("flash"), F.lit("flash-lite"), F.lit("pro")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return p.select("p_partkey", F.concat(F.lit("m-"), (F.col("p_size") % 5).cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("-"), kind).alias("name"), "p_brand")
+
+
+def model_order(s: SparkSession, d: str) -> DataFrame:
+    """The first model of each brand."""
+    return _models(s, d).groupBy("p_brand").agg(F.min(ledger.model_order(F.col("name"))).alias("m")).select("p_brand", F.col("m.name").alias("name"))
+
+
+def fmt_ref(s: SparkSession, d: str) -> DataFrame:
+    v = a.indicators(s, d).select("code", "year", "place", "value")
+    return v.select("code", "year", "place", numbers.reference(F.col("value")).alias("reference"), numbers.amount(F.col("value"), "u").alias("amount"))
+
+
+QUERIES = {
+    "indicator_long": lambda s, d: _rounded(a.indicators(s, d)),
+    "latest_year": lambda s, d: indicators.latest_years(*_both(s, d), "province"),
+    "peer_groups": peer_groups,
+    "box_stats": box_stats,
+    "analyze_one": _analyze("province", 7),
+    "analyze_all_provinces": _analyze("province"),
+    "analyze_all_types": _analyze("type"),
+    "analyze_all_nation": _analyze("nation"),
+    "band_split": lambda s, d: indicators.bands(indicators.analyze(*_both(s, d), "province")).select("place", "code", "band"),
+    "top_bottom": lambda s, d: indicators.top_bottom(indicators.analyze(*_both(s, d), "nation"), 2),
+    "trend_series": lambda s, d: _rounded(_trend(s, d)),
+    "trend_noteworthy": lambda s, d: _rounded(indicators.noteworthy(_trend(s, d))),
+    "trend_pick": lambda s, d: _rounded(indicators.pick(indicators.noteworthy(_trend(s, d)), 2)),
+    "trend_direction": lambda s, d: _rounded(indicators.direction(_trend(s, d))),
+    "chunk_rows": chunk_rows,
+    "tree_trail": lambda s, d: tree.trails(a.nodes(s, d)).select("id", "depth", "trail"),
+    "tree_preorder": lambda s, d: tree.preorder(a.nodes(s, d)),
+    "nearest_example": nearest_example,
+    "title_dedupe": title_dedupe,
+    "col_percent": col_percent,
+    "outline_lines": outline_lines,
+    "table_islands": table_islands,
+    "level_jump": level_jump,
+    "count_under": count_under,
+    "check_limits": check_limits,
+    "find_limits": find_limits,
+    "card_score": card_score,
+    "card_pick": card_pick,
+    "number_tokens": number_tokens,
+    "clip_text": clip_text,
+    "html_text": html_text,
+    "csv_sniff": csv_sniff,
+    "cap_cells": cap_cells,
+    "zone_day": zone_day,
+    "usage_ledger": usage_ledger,
+    "usable_models": usable_models,
+    "model_order": model_order,
+    "fmt_ref": fmt_ref,
+}
+
+_VALUES = """
+    sold AS (SELECT o_orderkey, o_custkey, c_nationkey AS place, year(o_orderdate)::INT AS year, o_totalprice::DECIMAL(18,2) AS price
+             FROM orders JOIN customer ON o_custkey = c_custkey),
+    byorder AS (SELECT place, year, count(*) AS n, sum(price)::DOUBLE AS revenue, count(DISTINCT o_custkey) AS buyers FROM sold GROUP BY ALL),
+    share AS (SELECT place, year, count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS share FROM sold JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    wide AS (SELECT * FROM byorder LEFT JOIN share USING (place, year)),
+    vals AS (SELECT 'A1' AS code, year, place, n::DOUBLE AS value FROM wide UNION ALL SELECT 'A2', year, place, revenue FROM wide
+             UNION ALL SELECT 'A3', year, place, revenue / n FROM wide UNION ALL SELECT 'B1', year, place, buyers::DOUBLE FROM wide
+             UNION ALL SELECT 'B2', year, place, share FROM wide),
+    places AS (SELECT n_nationkey AS place, r_name AS province, CASE WHEN n_nationkey <> 3 THEN n_nationkey % 7 END AS type
+               FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _known(basis: str) -> str:
+    g = {"province": "province", "type": "type::VARCHAR", "nation": "'all'"}[basis]
+    return f"""{_VALUES},
+    known AS (SELECT v.*, p.type, {g} AS g FROM vals v JOIN places p USING (place) WHERE {g} IS NOT NULL),
+    latest AS (SELECT code, g, coalesce(max(year) FILTER (WHERE value IS NOT NULL), max(year)) AS year FROM known GROUP BY ALL)"""
+
+
+_STATS = "count(value) AS n, avg(value) AS avg, min(value) AS min, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, max(value) AS max"
+
+
+def _analysis(basis: str) -> str:
+    return f"""{_known(basis)},
+    cur AS (SELECT * FROM known JOIN latest USING (code, g, year)),
+    grp AS (SELECT code, g, year, {_STATS} FROM cur GROUP BY ALL),
+    al AS (SELECT v.*, p.type FROM vals v JOIN places p USING (place) WHERE (code, year) IN (SELECT (code, year) FROM latest)),
+    nat AS (SELECT code, year, avg(value) AS nation_avg, count(value) AS nation_n FROM al GROUP BY ALL),
+    typ AS (SELECT code, year, type, avg(value) AS peer_avg, count(value) AS peer_n FROM al WHERE type IS NOT NULL GROUP BY ALL),
+    ana AS (SELECT cur.place, cur.code, cur.year, cur.value AS mine,
+              CASE WHEN cur.value IS NOT NULL THEN 1 + (SELECT count(*) FROM cur x WHERE x.code = cur.code AND x.g = cur.g AND x.value > cur.value) END AS rank,
+              n, avg, min, q1, q3, max, peer_avg, peer_n, nation_avg, nation_n
+            FROM cur JOIN grp USING (code, g, year) JOIN nat USING (code, year) LEFT JOIN typ ON typ.code = cur.code AND typ.year = cur.year AND typ.type = cur.type)"""
+
+
+_ROUNDED = "place, code, year, round(mine, 4) AS mine, rank::INT AS rank, n, round(avg, 4) AS avg, round(min, 4) AS min, round(q1, 4) AS q1, round(q3, 4) AS q3, round(max, 4) AS max, round(peer_avg, 4) AS peer_avg, peer_n, round(nation_avg, 4) AS nation_avg, nation_n"
+
+_TREND = f"""{_known("province")},
+    grp AS (SELECT code, year, g, {_STATS} FROM known GROUP BY ALL),
+    nat AS (SELECT code, year, avg(value) AS nation_avg FROM vals GROUP BY ALL),
+    tr AS (SELECT place, code, year, value AS mine, avg, n, CASE WHEN n >= 4 THEN q1 END AS q1, CASE WHEN n >= 4 THEN q3 END AS q3, nation_avg
+           FROM known JOIN grp USING (code, year, g) JOIN nat USING (code, year)),
+    sc AS (SELECT place, code, year, CASE WHEN mine < q1 THEN (q1 - mine) / w WHEN mine > q3 THEN (mine - q3) / w ELSE 0 END AS s
+           FROM (SELECT *, coalesce(nullif(abs(q3 - q1), 0), nullif(abs(q3), 0), 1) AS w FROM tr WHERE mine IS NOT NULL AND q1 IS NOT NULL AND q3 IS NOT NULL)),
+    note AS (SELECT t.place, t.code, count(mine) AS years, coalesce((SELECT arg_max(s, year) FROM sc WHERE sc.place = t.place AND sc.code = t.code), -1) AS score
+             FROM tr t GROUP BY ALL HAVING count(mine) >= 2)"""
+
+_NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, r_name AS title, r_regionkey AS ord FROM region
+      UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey FROM nation
+      UNION ALL SELECT 's' || min(c_custkey), 'n' || c_nationkey, c_mktsegment, min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment),
+    t AS (SELECT id, 0 AS depth, title AS trail, lpad(ord::VARCHAR, 6, '0') AS path FROM nodes WHERE parent IS NULL
+      UNION ALL SELECT n.id, t.depth + 1, t.trail || ' › ' || n.title, t.path || '/' || lpad(n.ord::VARCHAR, 6, '0') FROM nodes n JOIN t ON n.parent = t.id)"""
+
+_LINES = """msx AS (SELECT conv_id, turn AS ln, coalesce(text, '') AS text, (coalesce(length(text), 0) + turn)::INT AS z FROM conversations),
+    ms AS (SELECT conv_id, ln, text, CASE WHEN z % 7 = 0 THEN 'table' WHEN z % 11 = 0 THEN 'text' ELSE 'item' END AS kind, z % 4 + 1 AS lv FROM msx)"""
+
+_UNDER = f"""{_LINES},
+    items AS (SELECT * FROM ms WHERE kind = 'item'),
+    stop AS (SELECT x.conv_id, x.ln, x.lv, (SELECT min(y.ln) FROM items y WHERE y.conv_id = x.conv_id AND y.ln > x.ln AND y.lv <= x.lv) AS stop FROM items x),
+    kids AS (SELECT s.conv_id, s.ln, (SELECT count(*) FILTER (WHERE y.lv = f.lv) FROM items y,
+               (SELECT arg_min(z.lv, z.ln) AS lv FROM items z WHERE z.conv_id = s.conv_id AND z.ln > s.ln AND (s.stop IS NULL OR z.ln < s.stop)) f
+               WHERE y.conv_id = s.conv_id AND y.ln > s.ln AND (s.stop IS NULL OR y.ln < s.stop)) AS c, s.stop FROM stop s),
+    tab AS (SELECT k.conv_id, k.ln, k.c, (SELECT min(m.ln) FROM ms m WHERE m.conv_id = k.conv_id AND m.kind = 'table' AND m.ln > k.ln AND (k.stop IS NULL OR m.ln < k.stop)) AS t FROM kids k),
+    cu AS (SELECT conv_id, ln, CASE WHEN c > 0 THEN c WHEN t IS NOT NULL THEN nullif((SELECT count(*) - 1 FROM ms m WHERE m.conv_id = tab.conv_id AND m.kind = 'table' AND m.ln >= tab.t
+             AND NOT EXISTS (SELECT 1 FROM ms q WHERE q.conv_id = tab.conv_id AND q.ln > tab.t AND q.ln < m.ln AND q.kind <> 'table')), 0) END AS n
+           FROM tab)"""
+
+_CARDS = """n AS (SELECT n_nationkey::BIGINT AS id, n_nationkey AS ord, lpad(n_regionkey::VARCHAR, 2, '0') AS chapter, (n_nationkey - 7)::BIGINT AS mirrors, length(n_name) AS size FROM nation),
+    sc AS (SELECT t.id AS target, c.id, c.ord, c.size, CASE WHEN c.id = t.id THEN 0 ELSE 10 + CASE WHEN t.mirrors = c.id THEN 100 ELSE 0 END + CASE WHEN c.chapter = '01' THEN 60 ELSE 0 END
+             + CASE WHEN c.chapter = t.chapter THEN 40 ELSE 0 END + CASE WHEN c.ord = t.ord - 1 THEN 30 ELSE 0 END + greatest(0, 20 - (t.ord - c.ord)) END::INT AS score
+           FROM n t JOIN n c ON c.ord <= t.ord)"""
+
+ORACLES: dict[str, str] = {
+    "indicator_long": f"WITH {_VALUES} SELECT code, year, place, round(value, 4) AS value FROM vals",
+    "latest_year": f"WITH {_known('province')} SELECT code, g, year FROM latest",
+    "peer_groups": f"WITH {_VALUES} SELECT x.place, y.place AS peer FROM places x JOIN places y ON x.type = y.type",
+    "box_stats": f"WITH {_VALUES}, b AS (SELECT code, year, {_STATS} FROM vals GROUP BY ALL) SELECT code, year, n, round(avg, 4) AS avg, round(min, 4) AS min, round(q1, 4) AS q1, round(q3, 4) AS q3, round(max, 4) AS max FROM b",
+    "analyze_one": f"WITH {_analysis('province')} SELECT {_ROUNDED} FROM ana WHERE place = 7",
+    "analyze_all_provinces": f"WITH {_analysis('province')} SELECT {_ROUNDED} FROM ana",
+    "analyze_all_types": f"WITH {_analysis('type')} SELECT {_ROUNDED} FROM ana",
+    "analyze_all_nation": f"WITH {_analysis('nation')} SELECT {_ROUNDED} FROM ana",
+    "band_split": f"WITH {_analysis('province')} SELECT place, code, CASE WHEN mine < q1 THEN 'below' WHEN mine > q3 THEN 'above' ELSE 'inside' END AS band FROM ana",
+    "top_bottom": f"""WITH {_analysis('nation')}, r AS (SELECT place, code, rank::INT AS rank, n, (rank - 1) / (n - 1)::DOUBLE AS p FROM ana WHERE mine IS NOT NULL AND n >= 5),
+        l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY p, code) AS b, row_number() OVER (PARTITION BY place ORDER BY p DESC, code DESC) AS w FROM r)
+        SELECT place, code, CASE WHEN b <= 2 THEN 'top' ELSE 'bottom' END AS list, rank, n FROM l WHERE b <= 2 OR w <= 2""",
+    "trend_series": f"WITH {_TREND} SELECT place, code, year, round(mine, 4) AS mine, round(avg, 4) AS avg, n, round(q1, 4) AS q1, round(q3, 4) AS q3, round(nation_avg, 4) AS nation_avg FROM tr",
+    "trend_noteworthy": f"WITH {_TREND} SELECT place, code, years, round(score, 4) AS score FROM note",
+    "trend_pick": f"""WITH {_TREND}, k AS (SELECT place, code, score FROM note QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, code) <= 2)
+        SELECT place, code, round(score, 4) AS score, row_number() OVER (PARTITION BY place ORDER BY code)::INT AS ord FROM k""",
+    "trend_direction": f"""WITH {_TREND}, e AS (SELECT place, code, arg_min(mine, year) AS first, arg_max(mine, year) AS last FROM tr WHERE mine IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+        SELECT place, code, round(first, 4) AS first, round(last, 4) AS last,
+               CASE WHEN abs(last - first) < abs(coalesce(nullif(first, 0), 1)) * 0.02 THEN 'flat' WHEN last > first THEN 'up' ELSE 'down' END AS direction FROM e""",
+    "chunk_rows": """WITH x AS (SELECT p_brand, p_partkey, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part),
+        y AS (SELECT *, ceil(n / ceil(n / 12.0))::BIGINT AS s FROM x)
+        SELECT p_brand, p_partkey, (i // s)::INT AS chunk FROM y""",
+    "tree_trail": f"WITH RECURSIVE {_NODES} SELECT id, depth, trail FROM t",
+    "tree_preorder": f"WITH RECURSIVE {_NODES} SELECT id, row_number() OVER (ORDER BY path)::INT AS pos FROM t",
+    "nearest_example": """WITH b AS (SELECT * FROM part WHERE p_size <= 3), e AS (SELECT * FROM part WHERE p_size BETWEEN 4 AND 6)
+        SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
+    "title_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || ' (' || n || ')' ELSE c_mktsegment END AS title
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""",
+    "col_percent": """WITH c AS (SELECT n_regionkey, n_nationkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+        e AS (SELECT *, 100 * w / sum(w) OVER (PARTITION BY n_regionkey)::DOUBLE AS e FROM c), f AS (SELECT *, floor(e) AS f FROM e),
+        r AS (SELECT *, 100 - sum(f) OVER (PARTITION BY n_regionkey) AS l, row_number() OVER (PARTITION BY n_regionkey ORDER BY round(e - f, 9) DESC, w DESC, n_nationkey) AS r FROM f)
+        SELECT n_regionkey, n_nationkey, (f + CASE WHEN r <= l THEN 1 ELSE 0 END)::INT AS pct FROM r""",
+    "outline_lines": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r')) AS t, unnest(range(0, len(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'))))::INT AS ln FROM documents),
+        s AS (SELECT doc_id, ln, regexp_replace(regexp_replace(t, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM l),
+        k AS (SELECT doc_id, ln, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^[|]?[ :|-]*-{3,}[ :|-]*$') THEN 'sep' WHEN contains(t, ' | ') OR starts_with(t, '|') THEN 'table'
+              WHEN starts_with(t, '※') THEN 'note' WHEN regexp_matches(t, '^(#{1,4} |[○▪·] ?|- )') THEN 'item' ELSE 'text' END AS kind FROM s)
+        SELECT doc_id, kind, count(*) AS n, min(ln) AS first FROM k GROUP BY ALL""",
+    "table_islands": f"""WITH {_LINES}, g AS (SELECT conv_id, ln, row_number() OVER (PARTITION BY conv_id ORDER BY ln) - row_number() OVER (PARTITION BY conv_id, kind = 'item' ORDER BY ln) AS g, kind FROM ms)
+        SELECT conv_id, min(ln) AS first, max(ln) AS last, count(*) AS n FROM g WHERE kind = 'item' GROUP BY conv_id, g""",
+    "level_jump": f"""WITH {_LINES}, j AS (SELECT conv_id, ln, lv AS level, lag(lv) OVER (PARTITION BY conv_id ORDER BY ln) AS before FROM ms WHERE kind = 'item')
+        SELECT conv_id, ln, level, before FROM j WHERE level > before + 1""",
+    "count_under": f"WITH {_UNDER} SELECT conv_id, ln, n::INT AS n FROM cu",
+    "check_limits": f"""WITH {_UNDER}, lim(scope, op, n) AS (VALUES ('the', 'max', 2), ('and', 'min', 2), ('zzz', 'max', 1)),
+        c AS (SELECT ms.conv_id, regexp_replace(ms.text, '\\s+', '', 'g') AS t, cu.n FROM ms JOIN cu USING (conv_id, ln)),
+        b AS (SELECT conv_id, scope, max(c.n) AS best FROM c JOIN lim ON contains(t, scope) GROUP BY ALL)
+        SELECT k.conv_id, lim.scope, lim.op, lim.n, b.best::INT AS best, CASE WHEN b.conv_id IS NULL THEN 'missing' WHEN best IS NULL THEN 'empty' WHEN op = 'max' AND best > n THEN 'over' WHEN op = 'min' AND best < n THEN 'under' ELSE 'ok' END AS verdict
+        FROM (SELECT DISTINCT conv_id FROM ms) k CROSS JOIN lim LEFT JOIN b ON b.conv_id = k.conv_id AND b.scope = lim.scope""",
+    "find_limits": """SELECT o_orderkey, 0 AS i, CASE WHEN o_orderkey % 2 = 0 THEN 'within ' ELSE 'at least ' END || (o_orderkey % 9) || ' items' AS token, CASE WHEN o_orderkey % 2 = 0 THEN 'max' ELSE 'min' END AS op, (o_orderkey % 9)::INT AS n FROM orders
+        UNION ALL SELECT o_orderkey, 1, 'at most 3 rows', 'max', 3 FROM orders""",
+    "card_score": f"WITH {_CARDS} SELECT target, id, score FROM sc",
+    "card_pick": f"""WITH RECURSIVE {_CARDS}, o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS i FROM sc WHERE score > 0),
+        p AS (SELECT target, i, id, ord, CASE WHEN 5 + size + 1 > 60 THEN 5 ELSE 5 + size + 1 END AS used, 5 + size + 1 <= 60 AS got FROM o WHERE i = 1
+          UNION ALL SELECT o.target, o.i, o.id, o.ord, CASE WHEN p.used + o.size + 1 > 60 THEN p.used ELSE p.used + o.size + 1 END, p.used + o.size + 1 <= 60 FROM p JOIN o ON o.target = p.target AND o.i = p.i + 1)
+        SELECT target, ord, id FROM p WHERE got""",
+    "number_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[0-9][0-9,.]*[0-9]|[0-9])(?: ?%)?') AS a FROM documents),
+        u AS (SELECT doc_id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM t), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
+        SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE r <= 12), '') AS numbers FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""",
+    "clip_text": r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)
+        SELECT doc_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS clipped FROM s""",
+    "html_text": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""",
+    "csv_sniff": """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN ';' WHEN p_size % 3 = 1 THEN chr(9) ELSE ',' END AS delimiter FROM part""",
+    "cap_cells": """WITH RECURSIVE t AS (SELECT l_orderkey, l_linenumber, max(l_quantity::INT) AS rows, l_linenumber AS width FROM lineitem GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM t WHERE rows > 0),
+        p AS (SELECT l_orderkey, l_linenumber, i, least(rows, greatest(1, 100 // width)) AS kept, least(rows, greatest(1, 100 // width)) * width AS used FROM o WHERE i = 1
+          UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.i, CASE WHEN used >= 100 THEN 0 ELSE least(o.rows, greatest(1, (100 - used) // o.width)) END,
+            used + CASE WHEN used >= 100 THEN 0 ELSE least(o.rows, greatest(1, (100 - used) // o.width)) * o.width END FROM p JOIN o ON o.l_orderkey = p.l_orderkey AND o.i = p.i + 1)
+        SELECT l_orderkey, l_linenumber, kept::INT AS kept FROM p""",
+    "model_order": """WITH m AS (SELECT p_brand, p_size % 5 AS a, p_partkey % 4 AS b, p_partkey % 3 AS k FROM part)
+        SELECT p_brand, arg_min('m-' || a || '.' || b || '-' || CASE k WHEN 0 THEN 'flash' WHEN 1 THEN 'flash-lite' ELSE 'pro' END, (k * 1000000 - a * 100 - b)) AS name FROM m GROUP BY ALL""",
+}
+
+# The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.
+ORACLES |= {
+    "zone_day": "SELECT event_id, (ts - INTERVAL 8 HOUR)::DATE AS day, epoch(((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR)::BIGINT AS reset FROM events",
+    "usage_ledger": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS exhausted FROM events GROUP BY ALL",
+    "usable_models": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL HAVING NOT bool_or(event_type = 'error')",
+}

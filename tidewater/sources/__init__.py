@@ -1,0 +1,8 @@
+"""Readers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no installed copy: functions of the readers travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
