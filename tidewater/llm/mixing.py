@@ -124,6 +124,7 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
     weight = F.col("n_tokens") * F.col("copies")
     cells = found.groupBy(*at).agg(F.sum(weight).cast("double").alias("tokens"), *[F.sum(weight * F.col(f"p_{d}")).alias(f"t_{d}") for d in DOMAINS])
     cells = cut(cells.select(*[f"c_{d}" for d in DOMAINS[1:]], "tokens", *[F.coalesce(F.col(f"t_{d}") / F.nullif("tokens", F.lit(0.0)), F.lit(0.0)).alias(f"q_{d}") for d in DOMAINS]))
+    cells = cut(cells.coalesce(1))  # a small table of bounded size: each step is one short task
     now = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"q_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
     size = max(now[d] / shares[d] for d in DOMAINS[:-1]) if grow else sum(now)
     rates = solve(cells, {d: size * shares[d] for d in DOMAINS}).select(*[f"c_{d}" for d in DOMAINS[1:]], "rate")
