@@ -19,7 +19,7 @@ from .common import cut, stored, table
 
 DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.75, "poor": 0.23, "toxic": 0.02}
-SAMPLE, BUCKETS, SHARPNESS, GRID, RIDGE, STEPS = 20_000, 1 << 15, 40.0, 64, 1e-3, 60
+SAMPLE, BUCKETS, SHARPNESS, GRID, RIDGE, STEPS = 20_000, 1 << 15, 40.0, 64, 2e-4, 60
 CERTAIN = 0.9  # mixed() thins no document whose toxic posterior is below this
 
 
