@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions only.
 
-A naive Bayes classifier over hashed words, fitted on the labelled table, gives every document a posterior of
-each domain. Distributed projected-gradient least squares then finds document rates, none below zero, whose
+A classifier fitted on the labelled table (naive Bayes over hashed words; toxic by the strongest word) gives every
+document a posterior of each domain. Distributed projected-gradient least squares then finds document rates, none below zero, whose
 expected domain token totals match the targets: minimise |totals - targets|^2 / all^2 plus RIDGE * the token
 weighted squared distance of the rates from 1. Documents with nearly equal posteriors get equal rates, so each
 step sums over a table of posterior cells, at most (GRID + 1)^2 whatever the input; only the totals of each
@@ -19,7 +19,8 @@ from .common import cut, stored, table
 
 DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.75, "poor": 0.23, "toxic": 0.02}
-SAMPLE, BUCKETS, SHARPNESS, GRID, RIDGE, STEPS = 20_000, 1 << 15, 40.0, 64, 2e-4, 60
+SAMPLE, BUCKETS, SIGNS, SHARPNESS, GRID, RIDGE, STEPS = 20_000, 1 << 15, 1 << 14, 40.0, 64, 2e-4, 60
+LEAST = 0.01  # the smallest share of a domain that a step is divided by
 CERTAIN = 0.9  # mixed() thins no document whose toxic posterior is below this
 
 
@@ -32,58 +33,99 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _bucket(word: str) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float]]:
-    """Weights (bucket, w_<domain>) for each bucket seen, and the log priors with the weight of unseen buckets.
+def _sign(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """Log odds of a word in a of n_a toxic and b of n_b other documents."""
+    return F.log((a + 0.5) / (n_a + 1.0)) - F.log((b + 0.5) / (n_b + 1.0))
 
-    The classifier is fitted on the `sample` labelled documents with the smallest hashes of doc_id; of several
-    labels of one document the smallest counts.
+
+def _line(bad: tuple[int, float, float], rest: tuple[int, float, float]) -> tuple[float, float]:
+    """Slope and base of the toxic log odds over a document's strongest sign, from (count, mean, variance) of both classes.
+
+    The discriminant of two normal classes of one variance; without two documents of each the smoothed share alone.
+    """
+    (n1, m1, v1), (n0, m0, v0) = bad, rest
+    if min(n1, n0) < 2 or m1 <= m0:
+        return 0.0, math.log((n1 + 1) / (n0 + 2))
+    slope = (m1 - m0) / max((n1 * v1 + n0 * v0) / (n1 + n0), 0.01)
+    return slope, math.log(n1 / n0) - slope * (m1 + m0) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, signs: int = SIGNS) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """Weights (bucket, w_<domain>) for each bucket seen, signs (h, sign) of toxic documents, and the model's numbers.
+
+    Good and poor differ in what they are written in throughout, so all words count. A toxic document may be so
+    by a few words only, so its strongest word decides: the `signs` words with the largest log odds by documents.
+    The strongest signs of the labelled documents, each without its own part in the counts, give the line from
+    signs to toxic log odds. The classifier is fitted on the `sample` labelled documents with the smallest hashes
+    of doc_id; of several labels of one document the smallest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), domain().alias("domain")).filter("id is not null and domain is not null")
     known = known.groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    seen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).join(F.broadcast(known), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).join(F.broadcast(known), "id")
+    seen = stored(texts.select("domain", F.xxhash64("id", "t").alias("key"), "t"))
     count = lambda d: F.count(F.when(F.col("domain") == d, 1))
-    words = seen.select("domain", F.explode(_words("t")).alias("w")).select("domain", _bucket("w").alias("bucket"))
+    words = seen.select("domain", F.explode(_words("t")).alias("w")).select("domain", _bucket(F.xxhash64("w")).alias("bucket"))
     counts = cut(words.groupBy("bucket").agg(*[count(d).alias(d) for d in DOMAINS]))
     total = counts.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS]).first()
-    size = known.agg(*[count(d).alias(d) for d in DOMAINS]).first()
+    size = seen.agg(*[count(d).alias(d) for d in DOMAINS]).first()
     weights = counts.select("bucket", *[(F.log((F.col(d) + 1.0) / (total[d] + BUCKETS))).alias(f"w_{d}") for d in DOMAINS])
     fixed = {f"prior_{d}": math.log((size[d] + 1) / (sum(size) + len(DOMAINS))) for d in DOMAINS}
-    return weights, fixed | {f"unseen_{d}": -math.log(total[d] + BUCKETS) for d in DOMAINS}
-
-
-def posteriors(docs: DataFrame, model: tuple[DataFrame, dict[str, float]]) -> DataFrame:
+    fixed |= {f"unseen_{d}": -math.log(total[d] + BUCKETS) for d in DOMAINS}
+
+    n_a, n_b = size["toxic"], sum(size) - size["toxic"]
+    marks = seen.select("key", (F.col("domain") == "toxic").alias("bad"), F.explode(F.array_distinct(_words("t"))).alias("w")).select("key", "bad", F.xxhash64("w").alias("h"))
+    a, b = F.col("a"), F.col("b")
+    odds = marks.groupBy("h").agg(F.count(F.when(F.col("bad"), 1)).alias("a"), F.count(F.when(~F.col("bad"), 1)).alias("b")).filter("a > 0")
+    best = cut(odds.withColumn("sign", _sign(a, b, n_a, n_b)).orderBy(F.desc("sign"), "h").limit(signs))
+    without = F.when(~F.col("bad"), _sign(a, b - 1, n_a, n_b)).when(a > 1, _sign(a - 1, b, n_a, n_b))
+    drawn = marks.join(F.broadcast(best), "h", "left").groupBy("key", "bad").agg(F.greatest(F.max(without), F.lit(0.0)).alias("sign"))
+    shape = {r["bad"]: (r["n"], r["m"], r["v"]) for r in drawn.groupBy("bad").agg(F.count("*").alias("n"), F.avg("sign").alias("m"), F.var_pop("sign").alias("v")).collect()}
+    none = (0, 0.0, 0.0)
+    fixed["slope"], fixed["base"] = _line(shape.get(True, none), shape.get(False, none))
+    return weights, best.select("h", "sign"), fixed
+
+
+def posteriors(docs: DataFrame, model: tuple[DataFrame, DataFrame, dict[str, float]]) -> DataFrame:
     """(doc_id, key, n_tokens, copies, p_<domain>): a row for each distinct row (doc_id, text), with how often it occurs.
 
-    The log likelihood is averaged over the words and sharpened by a constant, so that long documents keep
-    soft memberships. Documents without words have the priors.
+    The toxic posterior comes from the document's strongest sign. What it leaves is divided between good and poor
+    by the log likelihood, averaged over the words and sharpened by a constant, so that long documents keep soft
+    memberships. Documents without words have the priors.
     """
-    weights, fixed = model
+    weights, signs, fixed = model
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), _words("text").alias("ws"))
-    rows = rows.select("doc_id", "key", F.size("ws").cast("long").alias("n_tokens"), F.explode_outer("ws").alias("w")).withColumn("bucket", _bucket("w"))
-    rows = rows.join(F.broadcast(weights), "bucket", "left")
-    like = lambda d: F.avg(F.coalesce(f"w_{d}", F.when(F.col("w").isNotNull(), F.lit(fixed[f"unseen_{d}"])))).alias(f"l_{d}")
-    found = rows.groupBy("doc_id", "key", "n_tokens").agg(F.count("*").alias("n"), *map(like, DOMAINS))
-    score = [F.coalesce(F.col(f"l_{d}"), F.lit(0.0)) * SHARPNESS + fixed[f"prior_{d}"] for d in DOMAINS]
-    found = found.withColumns({f"s_{d}": s for d, s in zip(DOMAINS, score)}).withColumn("top", F.greatest(*[f"s_{d}" for d in DOMAINS]))
-    found = found.withColumns({f"e_{d}": F.exp(F.col(f"s_{d}") - F.col("top")) for d in DOMAINS})
-    every = sum((F.col(f"e_{d}") for d in DOMAINS[1:]), F.col(f"e_{DOMAINS[0]}"))
+    rows = rows.select("doc_id", "key", F.size("ws").cast("long").alias("n_tokens"), F.explode_outer("ws").alias("w"))
+    rows = rows.select("doc_id", "key", "n_tokens", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("h")).withColumn("bucket", _bucket(F.col("h")))
+    rows = rows.join(F.broadcast(weights), "bucket", "left").join(F.broadcast(signs), "h", "left")
+    like = lambda d: F.avg(F.coalesce(f"w_{d}", F.when(F.col("h").isNotNull(), F.lit(fixed[f"unseen_{d}"])))).alias(f"l_{d}")
+    found = rows.groupBy("doc_id", "key", "n_tokens").agg(F.count("*").alias("n"), F.greatest(F.max("sign"), F.lit(0.0)).alias("sign"), *map(like, ("good", "poor")))
+    score = {d: F.coalesce(F.col(f"l_{d}"), F.lit(0.0)) * SHARPNESS + fixed[f"prior_{d}"] for d in ("good", "poor")}
+    prior = fixed["prior_toxic"] - math.log(1 - math.exp(fixed["prior_toxic"]))
+    bad = F.when(F.col("n_tokens") > 0, F.col("sign") * fixed["slope"] + fixed["base"]).otherwise(prior)
+    found = found.withColumns({"p_toxic": 1 / (1 + F.exp(-bad)), "good": 1 / (1 + F.exp(score["poor"] - score["good"]))})
     copies = F.when(F.col("n_tokens") > 0, (F.col("n") / F.col("n_tokens")).cast("long")).otherwise(F.col("n"))
-    return found.select("doc_id", "key", "n_tokens", copies.alias("copies"), *[(F.col(f"e_{d}") / every).alias(f"p_{d}") for d in DOMAINS])
+    rest = 1 - F.col("p_toxic")
+    return found.select("doc_id", "key", "n_tokens", copies.alias("copies"), (rest * F.col("good")).alias("p_good"), (rest * (1 - F.col("good"))).alias("p_poor"), "p_toxic")
 
 
-def _rate(history: list[list[float]]) -> Column:
+def _rate(history: list[list[float]], now: list[float]) -> Column:
     """A cell's rate after the steps of the history, from its mean posteriors q_<domain>.
 
+    A cell's step is divided by the share of the tokens that its domains have (now), so that small domains move
+    as fast as large ones; by Cauchy-Schwarz the curvature stays at most 1 in that metric, and clipping at zero
+    stays its projection.
+
     Each step has the residuals of the domains and the momentum of Nesterov's scheme; replaying them in the row
     keeps no state between the steps.
     """
     if not history:
         return F.lit(1.0)
-    eta = 1 / (1 + RIDGE)
+    size = sum((F.col(f"q_{d}") * x for d, x in zip(DOMAINS[1:], now[1:])), F.col(f"q_{DOMAINS[0]}") * now[0])
+    eta = F.when(size > 0, 1 / (1 + RIDGE / min(now)) / size).otherwise(0.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in history])
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
 
@@ -101,13 +143,15 @@ def solve(cells: DataFrame, targets: dict[str, float], steps: int = STEPS) -> Da
         return cells.withColumn("rate", F.lit(1.0))
     scale = sum(targets.values())
     history: list[list[float]] = []
+    now: list[float] = []
     for i in range(steps):
-        y = _rate(history)["y"] if history else F.lit(1.0)
+        y = _rate(history, now)["y"] if history else F.lit(1.0)
         got = cells.agg(*[F.coalesce(F.sum(y * F.col("tokens") * F.col(f"q_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
+        now = now or [max(got[d] / scale, LEAST) for d in DOMAINS]
         history.append([(got[d] - targets[d]) / scale for d in DOMAINS] + [i / (i + 3)])
-        if i > 10 and max(map(abs, history[-1][: len(DOMAINS)])) < 1e-5:
+        if i > 10 and max(abs(x - y) for x, y in zip(history[-1][:-1], history[-2])) < 1e-6:
             break
-    return cells.withColumn("rate", _rate(history)["r"])
+    return cells.withColumn("rate", _rate(history, now)["r"])
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, grow: bool = False) -> DataFrame:
