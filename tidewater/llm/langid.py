@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .words import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, MODEL_CHARS, LETTERS = 64, 2000, 20_000, 61
 BLOCK = 2048  # a phrase doesn't go beyond a block of so many symbols; blocks of a text are summed
+SLICE = 1_500_000  # bytes of text that are in Python at a time, and in a batch that goes back
 UNKNOWN = "und"
 
 
@@ -164,21 +166,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table})
     names, schema, model_of = docs.columns, docs.schema, Model
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of.__new__(model_of)
         m.__dict__.update(shipped.value)
         lookup = m.lookup()
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            langs, scores, at, size = [], [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= 1_500_000 or i + 1 == len(texts):
-                    l, s = m.predict([t or "" for t in texts[at : i + 1]], lookup)
-                    langs += l
-                    scores += s
-                    at, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *added])
+        for piece, texts in slices(batches, text_col, SLICE):
+            langs, scores = m.predict([t.decode("utf-8", "replace") for t in texts], lookup)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *added])
 
     return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]))
 

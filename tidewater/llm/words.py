@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -66,10 +67,11 @@ class Words:
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch in pieces of about `limit` bytes of text (one text at least), with the texts as UTF-8; null: empty."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.large_binary()).to_pylist()
+        column = batch.column(text)
         at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), [t or b"" for t in texts[at : i + 1]]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            size += n
+            if size >= limit or i + 1 == len(column):
+                texts = column.slice(at, i + 1 - at).cast(pa.large_binary()).to_pylist()
+                yield batch.slice(at, i + 1 - at), [t or b"" for t in texts]
                 at, size = i + 1, 0
