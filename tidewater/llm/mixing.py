@@ -3,9 +3,9 @@
 A classifier fitted on the labelled table (naive Bayes over hashed words; toxic by the strongest word) gives every
 document a posterior of each domain. Distributed projected-gradient least squares then finds document rates, none below zero, whose
 expected domain token totals match the targets: minimise |totals - targets|^2 / all^2 plus RIDGE * the token
-weighted squared distance of the rates from 1. Documents with nearly equal posteriors get equal rates, so each
-step sums over a table of posterior cells, at most (GRID + 1)^2 whatever the input; only the totals of each
-domain come to the driver.
+weighted squared distance of the rates from 1. Documents with nearly equal posteriors get equal rates, so the
+distributed sums over documents are taken once, by posterior cell, at most (GRID + 1)^2 whatever the input, and
+the steps go over that table; only the totals of each domain come to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .common import cut, stored, table
 
 DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.75, "poor": 0.23, "toxic": 0.02}
-SAMPLE, BUCKETS, SIGNS, SHARPNESS, GRID, RIDGE, STEPS = 20_000, 1 << 15, 1 << 14, 40.0, 64, 2e-4, 60
+SAMPLE, BUCKETS, SIGNS, SHARPNESS, GRID, RIDGE, STEPS, TOLERANCE = 20_000, 1 << 15, 1 << 14, 40.0, 64, 2e-4, 600, 1e-5
 LEAST = 0.01  # the smallest share of a domain that a step is divided by
 CERTAIN = 0.9  # mixed() thins no document whose toxic posterior is below this
 
@@ -112,46 +112,54 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, DataFrame, dict[str, flo
     return found.select("doc_id", "key", "n_tokens", copies.alias("copies"), (rest * F.col("good")).alias("p_good"), (rest * (1 - F.col("good"))).alias("p_poor"), "p_toxic")
 
 
-def _rate(history: list[list[float]], now: list[float]) -> Column:
-    """A cell's rate after the steps of the history, from its mean posteriors q_<domain>.
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once and not for each element that a lambda in it visits."""
+    return F.transform(F.array(value), use)[0]
 
-    A cell's step is divided by the share of the tokens that its domains have (now), so that small domains move
-    as fast as large ones; by Cauchy-Schwarz the curvature stays at most 1 in that metric, and clipping at zero
-    stays its projection.
 
-    Each step has the residuals of the domains and the momentum of Nesterov's scheme; replaying them in the row
-    keeps no state between the steps.
+def solve(cells: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The cells (q_<domain>, tokens) with their rate, after projected gradient steps from rates of 1.
+
+    The cells are few whatever the input, so they become one array in one row, and a fold over the steps moves all
+    their rates. A cell's step is divided by the share of the tokens that its domains have at first, so that small
+    domains move as fast as large ones; by Cauchy-Schwarz the curvature stays at most 1 in that metric, and
+    clipping at zero stays its projection. Momentum is Nesterov's and starts anew when a step goes uphill. It ends
+    when no rate moves by the tolerance.
     """
-    if not history:
-        return F.lit(1.0)
-    size = sum((F.col(f"q_{d}") * x for d, x in zip(DOMAINS[1:], now[1:])), F.col(f"q_{DOMAINS[0]}") * now[0])
-    eta = F.when(size > 0, 1 / (1 + RIDGE / min(now)) / size).otherwise(0.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in history])
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    if not any(targets.values()):
+        return cells.withColumn("rate", F.lit(1.0))
+    scale = sum(targets.values())
+    zero = F.struct(*[F.lit(0.0).alias(d) for d in DOMAINS])
+    held = cells.agg(F.sort_array(F.collect_list(F.struct(*cells.columns))).alias("cells"), *[F.greatest(F.sum(F.col("tokens") * F.col(f"q_{d}")) / scale, F.lit(LEAST)).alias(f"now_{d}") for d in DOMAINS])
 
-    def step(acc: Column, h: Column) -> Column:
-        pull = sum((F.col(f"q_{d}") * h[i] for i, d in enumerate(DOMAINS)), (acc["y"] - 1.0) * RIDGE)
-        r = F.greatest(F.lit(0.0), acc["y"] - pull * eta)
-        return F.struct(r.alias("r"), (r + (r - acc["r"]) * h[len(DOMAINS)]).alias("y"))
+    def size(c: Column) -> Column:
+        return sum(c[f"q_{d}"] * F.col(f"now_{d}") for d in DOMAINS)
 
-    return F.aggregate(steps, start, step)
+    least = F.least(*[F.col(f"now_{d}") for d in DOMAINS])
+    fixed = F.transform("cells", lambda c: F.struct(*[c[f"q_{d}"].alias(d) for d in DOMAINS], c["tokens"].alias("w"), F.coalesce(1 / (1 + RIDGE / least) / F.nullif(size(c), F.lit(0.0)), F.lit(0.0)).alias("eta"), (c["tokens"] * size(c)).alias("metric")))
+    held = held.withColumn("fixed", fixed)
 
+    def step(acc: Column, _: Column) -> Column:
+        both = F.zip_with("fixed", acc["s"], lambda c, s: F.struct(c.alias("c"), s["r"].alias("r"), s["y"].alias("y")))
+        total = F.aggregate(both, zero, lambda t, x: F.struct(*[(t[d] + x["c"]["w"] * x["y"] * x["c"][d]).alias(d) for d in DOMAINS]))
 
-def solve(cells: DataFrame, targets: dict[str, float], steps: int = STEPS) -> DataFrame:
-    """The cells (q_<domain>, tokens) with their rate."""
-    if not any(targets.values()):
-        return cells.withColumn("rate", F.lit(1.0))
-    scale = sum(targets.values())
-    history: list[list[float]] = []
-    now: list[float] = []
-    for i in range(steps):
-        y = _rate(history, now)["y"] if history else F.lit(1.0)
-        got = cells.agg(*[F.coalesce(F.sum(y * F.col("tokens") * F.col(f"q_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
-        now = now or [max(got[d] / scale, LEAST) for d in DOMAINS]
-        history.append([(got[d] - targets[d]) / scale for d in DOMAINS] + [i / (i + 3)])
-        if i > 10 and max(abs(x - y) for x, y in zip(history[-1][:-1], history[-2])) < 1e-6:
-            break
-    return cells.withColumn("rate", _rate(history, now)["r"])
+        def moved(x: Column, t: Column) -> Column:
+            pull = sum((x["c"][d] * (t[d] - targets[d]) / scale for d in DOMAINS), (x["y"] - 1.0) * RIDGE)
+            r = F.greatest(F.lit(0.0), x["y"] - pull * x["c"]["eta"])
+            return F.struct(r.alias("r"), (r - x["r"]).alias("by"), ((x["y"] - r) * (r - x["r"]) * x["c"]["metric"]).alias("uphill"))
+
+        moves = _bound(total, lambda t: F.transform(both, lambda x: moved(x, t)))
+
+        def after(m: Column) -> Column:
+            k = F.when(F.aggregate(m, F.lit(0.0), lambda a, x: a + x["uphill"]) > 0, 0).otherwise(acc["k"] + 1)
+            ahead = lambda z: F.transform(m, lambda x: F.struct(x["r"].alias("r"), (x["r"] + x["by"] * z / (z + 3)).alias("y")))
+            return F.struct(_bound(k, ahead).alias("s"), k.cast("int").alias("k"), F.aggregate(m, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x["by"]))).alias("by"))
+
+        return F.when(acc["by"] < tolerance, acc).otherwise(_bound(moves, after))
+
+    start = F.struct(F.transform("cells", lambda c: F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))).alias("s"), F.lit(0).alias("k"), F.lit(1.0).alias("by"))
+    found = held.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["s"].alias("s"))
+    return found.select(F.explode(F.zip_with("cells", "s", lambda c, s: F.struct(*[c[n].alias(n) for n in cells.columns], s["r"].alias("rate")))).alias("x")).select("x.*")
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, grow: bool = False) -> DataFrame:
@@ -168,10 +176,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
     weight = F.col("n_tokens") * F.col("copies")
     cells = found.groupBy(*at).agg(F.sum(weight).cast("double").alias("tokens"), *[F.sum(weight * F.col(f"p_{d}")).alias(f"t_{d}") for d in DOMAINS])
     cells = cut(cells.select(*[f"c_{d}" for d in DOMAINS[1:]], "tokens", *[F.coalesce(F.col(f"t_{d}") / F.nullif("tokens", F.lit(0.0)), F.lit(0.0)).alias(f"q_{d}") for d in DOMAINS]))
-    cells = cut(cells.coalesce(1))  # a small table of bounded size: each step is one short task
     now = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"q_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
     size = max(now[d] / shares[d] for d in DOMAINS[:-1]) if grow else sum(now)
-    rates = solve(cells, {d: size * shares[d] for d in DOMAINS}).select(*[f"c_{d}" for d in DOMAINS[1:]], "rate")
+    rates = cut(solve(cells, {d: size * shares[d] for d in DOMAINS}).select(*[f"c_{d}" for d in DOMAINS[1:]], "rate"))
     rows = found.withColumns({f"c_{d}": F.round(F.col(f"p_{d}") * GRID).cast("int") for d in DOMAINS[1:]})
     rows = rows.join(F.broadcast(rates), [f"c_{d}" for d in DOMAINS[1:]]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     u = F.pmod(F.xxhash64("doc_id", "key", "nth"), F.lit(1 << 30)) / float(1 << 30)
