@@ -172,6 +172,19 @@ def test_wrapper_finds_template_in_any_element():
     assert {t for _, t, n, of in found if n == of == 9} == {1, 7}
 
 
+def test_template_behind_varying_siblings_at_any_host_size(spark):
+    def page(host, i):
+        blocks = "".join(f"<div>own {host} {i} {k}</div>" for k in range(2 + i * 7 % 11))
+        return f'<body class="post-{i}">{blocks}<div>same on each page</div><article class="share-prices"><p>short {i}</article><article>' + "".join(f"<p>para {i} {k}" for k in range(1 + i % 5)) + "<p>the last words</article></body>"
+
+    for n in (20, 700):
+        rows = [(i, f"https://h{n}.example/{i}", page(n, i)) for i in range(n)]
+        got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        for i in range(n):
+            want = [f"own {n} {i} {k}" for k in range(2 + i * 7 % 11)] + [f"short {i}"] + [f"para {i} {k}" for k in range(1 + i % 5)]
+            assert got[i].split("\n") == want
+
+
 # --- 3
 
 

@@ -2,20 +2,20 @@
 
 Pages become trees of blocks. Pages of one host are aligned with a seed page by simple tree matching; a block
 whose text most of them repeat at the same aligned place is template, what varies is a slot. A page's text is
-its content region (the article, else the main element, else the body) without boilerplate elements and
-without the host's template texts.
+its body without elements that HTML sets apart (navigation, footer, forms, hidden ones) and without the host's
+template texts; neither class names nor sizes decide.
 
 Hosts are split into salted groups of about GROUP distinct pages, each aligned with its own seed; the groups'
-counts merge by the place's path, so that no task holds a large host.
+counts merge by text and the path of labels, which doesn't depend on a seed, so that no task holds a large host.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -33,8 +33,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe button select textarea menu dialog svg canvas object title xmp noembed noframes".split())
-WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup social share sharing comment comments disqus respond reply replies related recommended pagination pager widget toolbar login search skip masthead topbar copyright".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+FRAMES = frozenset("html body main article".split())  # never boilerplate; their classes often name the page
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -92,61 +92,20 @@ def parse(page: str) -> Node:
     return root
 
 
-def _names(node: Node) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
-
-
 def boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main") and not _names(node) & {"comment", "comments", "related", "ad", "advert", "sponsored", "promo"}:
+    if not node.attrs or node.tag in FRAMES:
         return False
     a = node.attrs
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    names = _names(node)
-    return bool(names & WORDS) or "header" in names and not in_article
-
-
-def _size(node: Node) -> int:
-    """Characters of text outside of boilerplate."""
-    total, todo = 0, [node]
-    while todo:
-        for x in todo.pop().items:
-            if isinstance(x, str):
-                total += len(x.strip())
-            elif not boilerplate(x, True):
-                todo.append(x)
-    return total
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
 
 
-def region(root: Node) -> tuple[Node, bool]:
-    """The content region and whether it is an article or main element."""
-    articles, mains, bodies, todo = [], [], [], [root]
-    while todo:
-        node = todo.pop()
-        for x in node.items:
-            if isinstance(x, str) or boilerplate(x, False):
-                continue
-            if x.tag == "article" or x.attrs.get("itemprop", "").lower() == "articlebody":
-                articles.append(x)
-                continue
-            if x.tag == "main" or x.attrs.get("role", "").lower() == "main":
-                mains.append(x)
-            elif x.tag == "body":
-                bodies.append(x)
-            todo.append(x)
-    for found in (articles, mains):
-        if found:
-            return max(found, key=_size), True
-    return (bodies[0] if bodies else root), False
-
-
-def block_tree(node: Node, in_article: bool) -> Node:
-    """The region's blocks as a tree: elements labelled by tag and class, leaves `#` whose items are the one text."""
+def block_tree(node: Node) -> Node:
+    """The page's blocks as a tree: elements labelled by tag and class, leaves `#` whose items are the one text."""
     out = Node("#region", {})
-    # (source, target, position); text runs gather until a block starts or ends
-    stack: list = [(iter(node.items), out, True)]
+    # (source, target, whether it is a block, whether in an article); text runs gather until a block starts or ends
+    stack: list = [(iter(node.items), out, True, False)]
     run: list[str] = []
 
     def flush(target: Node) -> None:
@@ -158,7 +117,7 @@ def block_tree(node: Node, in_article: bool) -> Node:
             target.items.append(leaf)
 
     while stack:
-        items, target, block = stack[-1]
+        items, target, block, in_article = stack[-1]
         x = next(items, None)
         if x is None:
             stack.pop()
@@ -171,17 +130,18 @@ def block_tree(node: Node, in_article: bool) -> Node:
                 flush(target)
         elif x.tag in BLOCKS:
             flush(target)
+            inside = in_article or x.tag in ("main", "article")
             if len(stack) < DEPTH:
                 new = Node(x.tag, {})
-                new.label = f"{x.tag}.{x.attrs.get('class', '')}"
+                new.label = f"{x.tag}." if x.tag in FRAMES else f"{x.tag}.{x.attrs.get('class', '')}"
                 target.items.append(new)
-                stack.append((iter(x.items), new, True))
+                stack.append((iter(x.items), new, True, inside))
             else:
-                stack.append((iter(x.items), target, True))
+                stack.append((iter(x.items), target, True, inside))
         else:
             if x.tag == "br":
                 run.append(" ")
-            stack.append((iter(x.items), target, False))
+            stack.append((iter(x.items), target, False, in_article))
     return out
 
 
@@ -196,8 +156,7 @@ def leaves(tree: Node) -> Iterator[str]:
 
 
 def page_tree(page: str) -> Node:
-    found, article = region(parse(page))
-    return block_tree(found, article)
+    return block_tree(parse(page))
 
 
 def _digest(text: str) -> int:
@@ -216,15 +175,24 @@ def serialise(node: Node) -> list | int:
 class Matcher:
     """Simple tree matching: the largest order-keeping matching of two trees whose matched nodes' parents match.
 
-    Subtrees of equal shape are matched whole; scores are kept by pairs of shapes.
+    Subtrees of equal shape are matched whole; scores are kept by pairs of shapes. Of the largest matchings,
+    texts() takes one with the most equal texts: a matched node counts TEXTS, and a leaf of equal text 1 more.
     """
 
+    TEXTS = 1 << 24
+
     def __init__(self) -> None:
         self.shapes: dict = {}
         self.sizes: list[int] = []
         self.scores: dict[tuple[int, int], int] = {}
         self.kids: list[tuple] = []
         self.labels: list = []
+        self.trees: dict = {}
+        self.shape_of: list[int] = []
+        self.held: list[frozenset[int]] = []  # digests of a tree's texts
+        self.full: list[int] = []  # score of a tree with itself
+        self.parts: list[tuple] = []
+        self.tree_scores: dict[tuple[int, int], int] = {}
 
     def shape(self, t) -> int:
         kids = () if isinstance(t, int) else tuple(map(self.shape, t[1:]))
@@ -275,36 +243,84 @@ class Matcher:
                     pairs.append((head + i, head + j))
         return total, pairs
 
-    def texts(self, seed, page, path: str = "") -> Iterator[tuple[str, int]]:
-        """(path in the seed, digest of the page's text) of matched leaves."""
-        names: Counter = Counter()
-        paths = []
-        for x in seed[1:]:
-            label = "#" if isinstance(x, int) else x[0]
-            paths.append(f"{path}/{label}[{names[label]}]")
-            names[label] += 1
-        xs, ys = (tuple(map(self.shape, t[1:])) for t in (seed, page))
-        for i, j in self.align(xs, ys)[1]:
-            if isinstance(seed[i + 1], int) and isinstance(page[j + 1], int):
-                yield paths[i], page[j + 1]
-            elif not isinstance(seed[i + 1], int) and not isinstance(page[j + 1], int) and seed[i + 1][0] == page[j + 1][0]:
-                yield from self.texts(seed[i + 1], page[j + 1], paths[i])
+    def tree(self, t) -> int:
+        """Number of a tree with its texts; equal trees have one."""
+        kids = () if isinstance(t, int) else tuple(map(self.tree, t[1:]))
+        key = (t if isinstance(t, int) else t[0], kids)
+        if key not in self.trees:
+            self.trees[key] = len(self.full)
+            self.shape_of.append(self.shape(t))
+            self.held.append(frozenset([t]) if isinstance(t, int) else frozenset().union(*(self.held[k] for k in kids)))
+            self.full.append(self.TEXTS + (isinstance(t, int) or sum(self.full[k] for k in kids)))
+            self.parts.append(kids)
+        return self.trees[key]
+
+    def tree_score(self, a: int, b: int) -> int:
+        if a == b:
+            return self.full[a]
+        x, y = self.shape_of[a], self.shape_of[b]
+        if self.labels[x] != self.labels[y] or self.held[a].isdisjoint(self.held[b]):
+            return self.TEXTS * self.score(x, y)
+        if (a, b) not in self.tree_scores:
+            self.tree_scores[a, b] = self.TEXTS + self.align_trees(self.parts[a], self.parts[b])[0]
+        return self.tree_scores[a, b]
+
+    def align_trees(self, xs: tuple, ys: tuple) -> tuple[int, list[tuple[int, int]]]:
+        """As align(), by tree_score(): only equal trees are matched at the ends, as they alone have no better partner."""
+        head, shorter = 0, min(len(xs), len(ys))
+        while head < shorter and xs[head] == ys[head]:
+            head += 1
+        tail = 0
+        while tail < shorter - head and xs[-1 - tail] == ys[-1 - tail]:
+            tail += 1
+        n, m = len(xs) - head - tail, len(ys) - head - tail
+        pairs = [(i, i) for i in range(head)] + [(len(xs) - i, len(ys) - i) for i in range(1, tail + 1)]
+        total = sum(self.full[xs[i]] for i, _ in pairs)
+        if n and m:
+            best = np.zeros((n + 1, m + 1), np.int64)
+            for i in range(n):
+                gain = np.array([self.tree_score(xs[head + i], y) for y in ys[head : head + m]], np.int64)
+                best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + gain))
+            total += int(best[n, m])
+            i, j = n, m
+            while i and j:
+                if best[i, j] == best[i - 1, j]:
+                    i -= 1
+                elif best[i, j] == best[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((head + i, head + j))
+        return total, pairs
+
+    def texts(self, seed, page, place: str = "", path: str = "") -> Iterator[tuple[str, str, int]]:
+        """(place in the seed, path of labels, digest of the page's text) of matched leaves."""
+        xs, ys = (tuple(map(self.tree, t[1:])) for t in (seed, page))
+        for i, j in self.align_trees(xs, ys)[1]:
+            x, y = seed[i + 1], page[j + 1]
+            if isinstance(x, int) and isinstance(y, int):
+                yield f"{place}/{i}", f"{path}/#", y
+            elif not isinstance(x, int) and not isinstance(y, int) and x[0] == y[0]:
+                yield from self.texts(x, y, f"{place}/{i}", f"{path}/{x[0]}")
 
 
 def wrap(trees: list) -> list[tuple[int, int, int, int]]:
     """(path, text, pages that repeat the text there, pages aligned there) of a group of serialised trees; path and text as digests.
 
-    The seed is the tree of median size. Texts that one page has are left out but count as aligned.
+    The seed is the tree of median size. A path has labels only, so that it is the same from any seed; aligned are
+    the pages that have something at a place of the seed where the text is. Texts that one page has are left out.
     """
     seed = sorted(trees, key=lambda t: (len(str(t)), str(t)))[len(trees) // 2]
     m = Matcher()
-    same: Counter = Counter()
-    aligned: Counter = Counter()
-    for t in trees:
-        for path, text in m.texts(seed, t):
-            same[path, text] += 1
-            aligned[path] += 1
-    return [(_digest(path), text, n, aligned[path]) for (path, text), n in same.items() if n > 1]
+    same: dict[tuple[str, int], set[int]] = {}
+    places: dict[tuple[str, int], set[str]] = {}
+    aligned: dict[str, set[int]] = {}
+    for k, t in enumerate(trees):
+        for place, path, text in m.texts(seed, t):
+            same.setdefault((path, text), set()).add(k)
+            places.setdefault((path, text), set()).add(place)
+            aligned.setdefault(place, set()).add(k)
+    return [(_digest(path), text, len(of), len(set().union(*(aligned[p] for p in places[path, text])))) for (path, text), of in same.items() if len(of) > 1]
 
 
 def hosts(pages: DataFrame) -> DataFrame:
