@@ -384,6 +384,21 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.predict(unlabelled.drop("lang_score"), langid.fit(unlabelled)).collect()} == {"und"}
 
 
+def test_language_with_many_letters_and_late_text(spark):
+    r = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
+    head = "same licence text " * 150
+    own = {"p": han[:300], "q": han[300:600], "r": han[600:], "s": "бгджзл", "t": "αβγδεζ"}
+    rows = [(i, head + say(own[l], 400), l) for i in range(150) for l in ["pqrst"[i % 5]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert {c for t in own.values() for c in t} <= set(model.known)
+    probes = spark.createDataFrame([(f"{l}{k}", say(own[l], 30), l) for l in own for k in range(6)], "doc_id string, text string, lang string")
+    assert all(x.lang_pred == x.lang for x in langid.predict(probes, model).collect())
+    assert langid.Model({"x": "\U00020001\U00020002" * 9, "y": "\U00020003\U00020004" * 9}).predict(["\U00020003\U00020004"], model.lookup())[0] == ["y"]
+
+
 # --- 8
 
 

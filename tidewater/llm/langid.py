@@ -1,14 +1,15 @@
 """Language identification by cross-parsing entropy.
 
 Labelled text of each language becomes a suffix automaton. A text is parsed into the longest matches that the
-automaton knows, and the language that needs the fewest phrases per letter wins. The automaton is a dense
-table (state, symbol) whose missing transitions restart at the root and count a phrase, so a step is one table
-look-up; numpy takes the steps of many texts and all languages side by side.
+automaton knows, and the language that needs the fewest phrases per letter wins. Each letter of the labelled texts
+has a symbol, so that the automata are sparse: the transitions of a state lie in one array at its base plus the
+symbol, each with the base of its owner. A transition that is missing restarts at the root and counts a phrase, so a
+step is two look-ups; numpy takes the steps of many texts and all languages side by side.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,14 @@ from pyspark.sql import types as T
 from .common import table
 from .words import slices
 
-SAMPLE_DOCS, SAMPLE_CHARS, MODEL_CHARS, LETTERS = 64, 2000, 20_000, 61
+SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 4000, 20  # longer texts give so many parts, spread from start to end
 BLOCK = 2048  # a phrase doesn't go beyond a block of so many symbols; blocks of a text are summed
 SLICE = 1_500_000  # bytes of text that are in Python at a time, and in a batch that goes back
 UNKNOWN = "und"
 
 
-def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Table [state, symbol] of 2 * next state + phrases ended, of the suffix automaton of the symbols."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions {symbol: next state} by state of the suffix automaton of the symbols; state 0 is the root."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -55,42 +56,73 @@ def automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    root = np.array([2 * step[0].get(c, 0) + 1 for c in range(n_symbols)], np.int32)
-    out = np.tile(root, (len(step), 1))
-    for s, moves in enumerate(step):
-        for c, t in moves.items():
-            out[s, c] = 2 * t
-    return out
+    return step
+
+
+def fold(c: str) -> str:
+    """A letter's lower case, as one character."""
+    return c.lower()[:1]
+
+
+def packed(step: list[dict[int, int]], n_symbols: int, offset: int) -> tuple[np.ndarray, int]:
+    """Cells of owner << 32 | next state, and the root; states are numbers from offset on.
+
+    A state's number is the base to which a symbol is added. Bases are drawn until all cells of the state are free, those
+    of many transitions first; half of the cells stay free. States without transitions share the base that owns nothing.
+    """
+    size = 2 * sum(map(len, step)) + 1
+    taken, used, draw = bytearray(size + n_symbols), bytearray(size), random.Random(0).random
+    base = [0] * len(step)
+    used[0] = 1
+    for state in sorted(range(len(step)), key=lambda i: -len(step[i])):
+        moves = step[state]
+        if not moves:
+            break
+        while True:
+            b = int(draw() * size)
+            if not used[b] and not any(taken[b + c] for c in moves):
+                break
+        used[b] = 1
+        base[state] = b
+        for c in moves:
+            taken[b + c] = 1
+    cells = np.full(size + n_symbols, -1, np.int64)
+    places = np.array([(base[i] + c, base[i], base[t]) for i, moves in enumerate(step) for c, t in moves.items()], np.int64).reshape(-1, 3)
+    cells[places[:, 0]] = (places[:, 1] + offset) << 32 | (places[:, 2] + offset)
+    return cells, base[0] + offset
 
 
 class Model:
-    """Languages in order, letters with a symbol of their own, and one table of all automata.
+    """Languages in order, the labelled texts' letters with a symbol each, and one array of all automata.
 
     Symbol 0 is a break (any run of non-letters), 1 a letter that no labelled text has.
     """
 
-    def __init__(self, samples: dict[str, str], model_chars: int = MODEL_CHARS, letters: int = LETTERS):
+    def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        self.known = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])}
+        seen = {fold(c) for t in samples.values() for c in set(t) if c.isalpha()}
+        self.known = {c: i + 2 for i, c in enumerate(sorted(seen))}
         self.n = len(self.known) + 2
-        tables, self.roots = [], []
+        tables, self.roots, at, lookup = [], [], 0, self.lookup()
         for lang in self.langs:
-            symbols, _ = self.symbols([samples[lang]])
-            t = automaton(symbols[:model_chars].tolist(), self.n)
-            self.roots.append(sum(map(len, tables)))
-            tables.append(t + 2 * self.roots[-1])
-        # the next state's row is premultiplied, so that a step adds the symbol and looks up once
-        self.table = (np.concatenate(tables) if tables else np.zeros((1, self.n), np.int32)).astype(np.int64)
-        self.table = ((self.table >> 1) * self.n * 2 + (self.table & 1)).astype(np.int32).ravel()
+            step = automaton(self.symbols([samples[lang]], lookup)[0].tolist())
+            cells, root = packed(step, self.n, at)
+            at += len(cells)
+            tables.append(cells)
+            self.roots.append(root)
+        self.table = np.concatenate(tables) if tables else np.full(self.n, -1, np.int64)
+        # where a symbol leads that no phrase goes on with: from the root, or to it
+        cells = self.table[np.array(self.roots, np.int64)[:, None] + np.arange(self.n)]
+        roots = np.array(self.roots, np.int64)[:, None]
+        self.restart = np.where(cells >> 32 == roots, cells & 0xFFFFFFFF, roots).astype(np.int64)
 
     def lookup(self) -> np.ndarray:
         """Symbol of each code point of the basic plane: letters by their lower case."""
-        out = np.zeros(1 << 16, np.uint8)
+        out = np.zeros(1 << 16, np.int32)
         for cp in range(1 << 16):
             c = chr(cp)
             if c.isalpha():
-                out[cp] = self.known.get(c.lower(), 1)
+                out[cp] = self.known.get(fold(c), 1)
         return out
 
     def symbols(self, texts: list[str], lookup: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +131,7 @@ class Model:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         s = lookup[np.minimum(points, 0xFFFF)]
         far = np.flatnonzero(points > 0xFFFF)
-        s[far] = [chr(p).isalpha() for p in points[far].tolist()]
+        s[far] = [self.known.get(fold(chr(p)), 1) if chr(p).isalpha() else 0 for p in points[far].tolist()]
         start = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         keep = s > 0
         keep[1:] |= s[:-1] > 0
@@ -120,13 +152,15 @@ class Model:
         order = np.argsort(-n, kind="stable")
         owner, at, n = owner[order], at[order], n[order]
         langs = len(self.langs)
-        rows = np.tile(np.array(self.roots, np.int64)[:, None] * self.n, (1, len(owner)))
+        rows = np.tile(np.array(self.roots, np.int64)[:, None], (1, len(owner)))
         count = np.ones((langs, len(owner)), np.int64)
         active = len(owner) - np.searchsorted(n[::-1], np.arange(1, n[0] + 1)) if len(n) else []
         for i, k in enumerate(active):
-            v = self.table[rows[:, :k] + s[at[:k] + i]]
-            count[:, :k] += v & 1
-            rows[:, :k] = v >> 1
+            c, now = s[at[:k] + i], rows[:, :k]
+            cells = self.table[now + c]
+            ends = cells >> 32 != now
+            count[:, :k] += ends
+            rows[:, :k] = np.where(ends, self.restart[:, c], cells & 0xFFFFFFFF)
         out = np.zeros((len(texts), langs), np.int64)
         for j in range(langs):
             out[:, j] = np.bincount(owner, count[j], len(texts))
@@ -144,10 +178,14 @@ class Model:
 
 
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text per language: the first characters of `sample_docs` rows with the smallest hashes of id and text."""
+    """Labelled text per language: `sample_docs` rows with the smallest hashes of id and text, whole or, of texts longer
+    than `sample_chars`, PARTS parts that are spread evenly from the start to the end."""
     h = F.xxhash64(F.col(id_col).cast("string"), text_col)
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("l"), h.alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
+    part = max(1, sample_chars // PARTS)
+    start = lambda i: (1 + i * (F.length("t") - part) / (PARTS - 1)).cast("int")
+    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("t", start(i), F.lit(part))))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), h.alias("h"), F.col(text_col).alias("t"))
+    rows = rows.withColumn("t", F.when(F.length("t") > sample_chars, spread).otherwise(F.col("t")))
     top = rows.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= sample_docs)
     out: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: (r["l"], r["r"])):
@@ -155,16 +193,16 @@ def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     return {k: " ".join(v) for k, v in out.items()}
 
 
-def fit(docs: DataFrame, model_chars: int = MODEL_CHARS, **names) -> Model:
-    """A model from at most sample_docs * sample_chars characters of each language; the bound doesn't grow with the input."""
-    return Model(sample(docs, **names), model_chars)
+def fit(docs: DataFrame, **names) -> Model:
+    """A model from all letters of the sample: the rows of each language are bounded, whatever the input."""
+    return Model(sample(docs, **names))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without letters is `und`, score 0."""
     if clash := set(added) & set(docs.columns):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
-    shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table})
+    shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table, "restart": model.restart})
     names, schema, model_of = docs.columns, docs.schema, Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
