@@ -16,7 +16,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go: those without a letter."""
+    """Documents in which no language is found go: those without a letter that labelled texts have."""
     return langid.keep_identified(docs)
 
 

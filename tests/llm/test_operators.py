@@ -399,6 +399,16 @@ def test_language_with_many_letters_and_late_text(spark):
     assert langid.Model({"x": "\U00020001\U00020002" * 9, "y": "\U00020003\U00020004" * 9}).predict(["\U00020003\U00020004"], model.lookup())[0] == ["y"]
 
 
+def test_pipeline_stages_follow_rates_and_keep_unlabelled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab cd", None), (2, "12 !", None), (3, "ef", None)], "doc_id long, text string, lang string")
+    assert {x.doc_id for x in langid.keep_identified(docs).collect()} == {1, 3}
+    known = spark.createDataFrame([(i, "abab cdcd", "x") for i in range(40)] + [(99, "жзжз", None)], docs.schema)
+    assert {x.doc_id for x in langid.keep_identified(known).collect()} == set(range(40))
+    plan = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.lit(0.6).alias("p_toxic"), (F.col("doc_id") - 1).cast("int").alias("copies"))
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: plan)
+    assert sorted(x.doc_id for x in mixing.mixed(docs, None).collect()) == [2, 3, 3]
+
+
 # --- 8
 
 

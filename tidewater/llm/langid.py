@@ -141,7 +141,7 @@ class Model:
         return s[keep], np.concatenate([[0], np.cumsum(keep)])[start]
 
     def phrases(self, texts: list[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [text, language] and whether the text has a letter."""
+        """Phrases [text, language] and whether the text has a letter that a labelled text has: else no automaton goes on with any."""
         s, start = self.symbols(texts, lookup)
         size = np.diff(start)
         blocks = -(-size // BLOCK)
@@ -164,7 +164,7 @@ class Model:
         out = np.zeros((len(texts), langs), np.int64)
         for j in range(langs):
             out[:, j] = np.bincount(owner, count[j], len(texts))
-        return out, size > 0
+        return out, np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
 
     def predict(self, texts: list[str], lookup: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text: the score is the winner's share of the inverse phrase counts."""
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, **names) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without letters is `und`, score 0."""
+    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter that labelled texts have is `und`, score 0."""
     if clash := set(added) & set(docs.columns):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table, "restart": model.restart})
@@ -226,8 +226,11 @@ def identify(docs: DataFrame, **names) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found, with their own columns."""
-    return identify(docs, added=("__lang", "__score")).filter(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents in which a language was found, with their own columns; those with a letter where no row teaches a language."""
+    model = fit(docs.filter(~held_out()))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, model, added=("__lang", "__score")).filter(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

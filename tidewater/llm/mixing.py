@@ -21,7 +21,6 @@ DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.75, "poor": 0.23, "toxic": 0.02}
 SAMPLE, BUCKETS, SIGNS, SHARPNESS, GRID, RIDGE, STEPS, TOLERANCE = 20_000, 1 << 15, 1 << 14, 40.0, 64, 2e-4, 600, 1e-5
 LEAST = 0.01  # the smallest share of a domain that a step is divided by
-CERTAIN = 0.9  # mixed() thins no document whose toxic posterior is below this
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -186,10 +185,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents in their own columns, each as often as its copies; one copy at least unless the toxic posterior reaches CERTAIN."""
+    """The documents in their own columns, each as often as its copies, which follow the rates alone."""
     found = mix(docs, labels, grow=True)
-    times = F.when(F.col("p_toxic") < CERTAIN, F.greatest(F.col("copies"), F.lit(1))).otherwise(F.col("copies"))
-    plan = found.groupBy("key").agg(F.max(times).alias("__times")).withColumnRenamed("key", "__key")
+    plan = found.groupBy("key").agg(F.max("copies").alias("__times")).withColumnRenamed("key", "__key")
     out = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(plan, F.col("__row") == F.col("__key"))
     again = F.explode(F.array_repeat(F.lit(0), F.col("__times")))
     return out.filter("__times > 0").withColumn("__nth", again).select(*[F.col(f"`{c}`") for c in docs.columns])
