@@ -61,6 +61,18 @@ def test_tree(spark):
     assert [r.pct for r in shares.orderBy("i").collect()] == [34, 33, 33]
 
 
+def test_nearest_example_of_a_hot_shape(spark):
+    rows = [(i, "s", i * 7919 % 3001, i % 9 > 0) for i in range(3000)] + [(5000, "t", 4, True), (5001, None, 4, True), (5002, "s", None, True), (5003, "s", 8, False), (5004, "s", 8, False)]
+    df = spark.createDataFrame(rows, "id long, shape string, ord int, blank boolean")
+    out = tree.nearest_example(df.filter("blank"), df.filter("not blank"), ["shape"])
+    assert "BroadcastNestedLoop" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "abs(" not in plan
+    examples = [(o, i) for i, s, o, blank in rows if not blank]
+    for i, e in out.collect():
+        o = next(o for k, _, o, _ in rows if k == i)
+        assert e == (None if i >= 5000 else min(examples, key=lambda x: (abs(x[0] - o), x))[1])
+    assert out.count() == sum(r[3] for r in rows)
+
+
 def test_outline_and_limits(spark):
     doc = "# Plan\n## Goals\n- a\n- b\n- c\n※ note\n## Table\n| h |\n|---|\n| 1 |\n| 2 |\n\ntext\n## None"
     m = outline.lines(spark.createDataFrame([(1, doc), (2, None)], "d int, t string"), "d", "t")

@@ -30,11 +30,33 @@ def preorder(nodes: DataFrame) -> DataFrame:
     return t.withColumn("i", pos).join(F.broadcast(ahead), "root").select("id", (F.col("before") + F.col("i")).cast("int").alias("pos"))
 
 
-def nearest_example(blanks: DataFrame, examples: DataFrame, shape: list[str], ord_col: str = "ord") -> DataFrame:
-    """For each blank the example of equal shape that is nearest in document order; the earlier one of a tie."""
-    e = examples.select(*shape, F.col("id").alias("example"), F.col(ord_col).alias("e_ord"))
-    best = F.row_number().over(W.partitionBy("id").orderBy(F.abs(F.col("e_ord") - F.col(ord_col)), "e_ord"))
-    return blanks.join(e, shape, "left").withColumn("r", best).filter("r = 1").select("id", "example")
+def nearest_example(blanks: DataFrame, examples: DataFrame, shape: list[str], ord_col: str = "ord", blocks: int = 64) -> DataFrame:
+    """For each blank the example of equal shape that is nearest in document order; the earlier one of a tie, then the smaller id.
+
+    Blanks with a null shape or order, or without an example of their shape, get null. The places of both, once each, are
+    ordered within shape and range of the order, so that a hot shape is split; ends of the ranges carry over.
+    """
+    at = F.col(ord_col).alias("_at")
+    e = examples.filter(F.col(ord_col).isNotNull()).select(*shape, at, F.col("id").alias("_e"))
+    b = blanks.filter(F.col(ord_col).isNotNull()).select(*shape, at, F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
+    places = e.unionByName(b).dropna(subset=shape).groupBy(*shape, "_at").agg(F.min("_e").alias("_e"))
+    ends = places.approxQuantile("_at", [i / blocks for i in range(1, blocks)], 0.001) if blocks > 1 else []
+    block = F.size(F.filter(F.lit(sorted(set(ends))), lambda x: x <= F.col("_at"))) if ends else F.lit(0)
+    x = F.when(F.col("_e").isNotNull(), F.struct(F.col("_at").alias("o"), F.col("_e").alias("id")))
+    places = places.withColumns({"_block": block, "_x": x})
+    w = W.partitionBy(*shape, "_block").orderBy("_at")
+    near = places.withColumns({
+        "_last": F.last("_x", True).over(w.rowsBetween(W.unboundedPreceding, 0)),
+        "_next": F.first("_x", True).over(w.rowsBetween(0, W.unboundedFollowing)),
+    })
+    over = W.partitionBy(*shape).orderBy("_block")
+    carried = places.groupBy(*shape, "_block").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    carried = carried.select(*shape, "_block", F.last("_hi", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    near = near.join(carried, [*shape, "_block"]).withColumns({"_last": F.coalesce("_last", "_before"), "_next": F.coalesce("_next", "_after")})
+    earlier = F.col("_next").isNull() | (F.col("_at") - F.col("_last.o") <= F.col("_next.o") - F.col("_at"))
+    found = near.select(*shape, "_at", F.when(earlier, F.col("_last.id")).otherwise(F.col("_next.id")).alias("example"))
+    # null where there is no last one: the comparison is null then, and the next one is taken
+    return blanks.withColumn("_at", F.col(ord_col)).join(found, [*shape, "_at"], "left").select("id", "example")
 
 
 def distinct_titles(rows: DataFrame, keys: list[str], title: str, order: list[str], name: str = "title") -> DataFrame:

@@ -47,6 +47,13 @@ def nearest_example(s: SparkSession, d: str) -> DataFrame:
     return tree.nearest_example(p.filter("p_size <= 3"), p.filter("p_size between 4 and 6"), ["p_brand", "p_type"])
 
 
+def nearest_example_all(s: SparkSession, d: str) -> DataFrame:
+    """All parts: of size up to 25 as blanks, the others as examples, of equal brand and type."""
+    p = a.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_partkey").alias("ord"), "p_size")
+    blank = F.coalesce(F.col("p_size") <= 25, F.lit(False))
+    return tree.nearest_example(p.filter(blank), p.filter(~blank), ["p_brand", "p_type"])
+
+
 def title_dedupe(s: SparkSession, d: str) -> DataFrame:
     p = a.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return tree.distinct_titles(p, ["c_nationkey"], "c_mktsegment", ["c_custkey"]).select("c_custkey", "title")
@@ -179,6 +186,7 @@ QUERIES = {
     "tree_trail": lambda s, d: tree.trails(a.nodes(s, d)).select("id", "depth", "trail"),
     "tree_preorder": lambda s, d: tree.preorder(a.nodes(s, d)),
     "nearest_example": nearest_example,
+    "nearest_example_all": nearest_example_all,
     "title_dedupe": title_dedupe,
     "col_percent": col_percent,
     "outline_lines": outline_lines,
@@ -301,6 +309,8 @@ ORACLES: dict[str, str] = {
     "tree_preorder": f"WITH RECURSIVE {_NODES} SELECT id, row_number() OVER (ORDER BY path)::INT AS pos FROM t",
     "nearest_example": """WITH b AS (SELECT * FROM part WHERE p_size <= 3), e AS (SELECT * FROM part WHERE p_size BETWEEN 4 AND 6)
         SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
+    "nearest_example_all": """WITH b AS (SELECT * FROM part WHERE coalesce(p_size <= 25, false)), e AS (SELECT * FROM part WHERE NOT coalesce(p_size <= 25, false))
+        SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
     "title_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || ' (' || n || ')' ELSE c_mktsegment END AS title
         FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""",
     "col_percent": """WITH c AS (SELECT n_regionkey, n_nationkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
