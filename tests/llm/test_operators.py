@@ -115,6 +115,15 @@ def test_ann_recall(spark):
     assert hits / (5 * 60) >= 0.9 and len(found) == 300
 
 
+def test_pivots_are_drawn_without_one_task(spark):
+    classes = spark.createDataFrame([(i, [float(i), 1.0], 2) for i in range(2000)] + [(5000, [1.0], 1)], "cid long, v array<double>, dim int")
+    out = ann.drawn(classes, 2, 1024)
+    want = [r.cid for r in classes.filter("dim = 2").orderBy(F.xxhash64("v"), "cid").collect()][:1024]
+    assert [r.cid for r in out.collect()] == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Window" not in plan
+
+
 def test_ann_few_and_none(spark):
     s = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], s), F.col("id") % 50 == 0).count() == 0

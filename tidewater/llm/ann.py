@@ -78,6 +78,11 @@ def vectors_of(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+def drawn(classes: DataFrame, dim: int, most: int) -> DataFrame:
+    """(cid, h) of the `most` vectors of a dimension with the smallest hashes, which each task cuts to that number."""
+    return classes.filter(F.col("dim") == dim).select("cid", F.xxhash64("v").alias("h")).orderBy("h", "cid").limit(most)
+
+
 def nearest(rows: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, visited: int = VISITED, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest by cosine for each row that `is_query` (a Column over id) picks.
 
@@ -94,9 +99,10 @@ def nearest(rows: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id", v
     queries = stored(have.filter(is_query).join(classes.select("cid", F.col("v").alias("cv")), F.col("v") == F.col("cv")).select("id", "cid"))
     asked = stored(queries.select("cid").distinct().join(classes, "cid").select("cid", "v", "dim"))
     chosen: dict[int, list] = {}
-    rank = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("v"), "cid"))
-    for r in classes.select("dim", "v", "cid").withColumn("r", rank).filter(F.col("r") <= DRAWN * pivots).orderBy("dim", "r").collect():
-        chosen.setdefault(r["dim"], []).append(r["v"])
+    for (dim,) in classes.select("dim").distinct().collect():
+        ids = [r["cid"] for r in drawn(classes, dim, DRAWN * pivots).collect()]
+        held = {r["cid"]: r["v"] for r in classes.filter(F.col("cid").isin(ids)).select("cid", "v").collect()}
+        chosen[dim] = [held[i] for i in ids]
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shipped = spark.sparkContext.broadcast({d: spread(_unit(pd.Series(v))[1], pivots) for d, v in chosen.items()})
