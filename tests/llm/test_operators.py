@@ -464,18 +464,53 @@ def test_substrings(spark, docs, empty):
     assert out.columns == docs.columns and all(r.text is None or len(r.text) == r.n_chars or r.n_chars is None for r in out.collect())
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_substrings_of_few_words(spark, seed):
-    """A tiny vocabulary, so that periods, overlaps and chance repeats abound."""
+@pytest.mark.parametrize("seed, limit", [(0, 1 << 19), (1, 1 << 19), (2, 60), (3, 60), (4, 0)])
+def test_substrings_of_few_words(spark, seed, limit):
+    """A tiny vocabulary, so that periods, overlaps and chance repeats abound; small limits lead to longer prefixes."""
     r = random.Random(seed)
     words = ["a", "b", "cc"][: 2 + seed % 2]
     texts = {i: " ".join(r.choice(words) for _ in range(r.randint(0, 60))) for i in range(60)}
     texts |= {100: "a " * 300, 101: "a b " * 200, 102: "b " + "a " * 120, 103: texts[3], 104: texts[3] + " " + texts[4]}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in substring.dedup_substrings(df, window=12, prefix=5).collect()}
+    got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in substring.dedup_substrings(df, window=12, prefix=5, limit=limit).collect()}
     assert got == substring.brute_force(texts, 12)
 
 
+def test_words_that_defeat_polynomial_hashes_stay_apart(spark):
+    """Two words of 1,024 bytes whose polynomials modulo 2**64 are equal for any odd base, and runs of words alike."""
+    s = [0]
+    while len(s) < 1024:
+        s += [1 - x for x in s]
+    one, two = ("".join("ab"[x ^ k] for x in s) for k in (0, 1))
+    rows = [(k, " ".join(["w"] * 25 + [x] + ["w"] * 24)) for k, x in ((1, one), (2, two))]
+    rows += [(k + 2, " ".join(x)) for k, x in ((1, one), (2, two))] + [(9, rows[1][1])]
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (n, gone) for d, (n, gone, _) in substring.brute_force(dict(rows)).items()}
+    assert (got[1], got[2], got[9]) == ((50, 0), (50, 0), (50, 50))
+
+
+def test_substrings_when_every_hash_collides(spark, monkeypatch):
+    """Only words decide: with labels that are all the same the result is too."""
+    texts = {1: prose(80), 2: prose(70)}
+    texts |= {3: texts[1], 4: texts[2] + " end", 5: prose(60), 6: None, 7: "short"}
+    rows = [(k, v) for k, v in texts.items()]
+    whole = substring.Edges.__init__
+
+    def same(self, w, window, k, open):
+        whole(self, w, window, k, open)
+        self.group, self.label = self.group * np.uint64(0), self.label * np.uint64(0) + self.count.astype(np.uint64)
+
+    monkeypatch.setattr(substring.Edges, "__init__", same)
+    got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == substring.brute_force(texts)
+
+
+def test_substrings_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, __marks string")
+    with pytest.raises(ValueError):
+        substring.dedup_substrings(df)
+
+
 # --- 10
 
 

@@ -38,9 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(*cols: str) -> Column:
-    """A key for a row's content, so that repeated ids with different texts stay apart."""
-    return F.xxhash64(*cols)
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """(id, k1, k2): the id and 128 bits of the text, so that repeated ids with different texts stay apart."""
+    text = F.col(text_col)
+    return F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("k2")
 
 
 def parts(spark: SparkSession) -> int:
