@@ -2,9 +2,11 @@
 
 Linking embeds a fingerprint as the bit counts of its 32 two-bit segments. The Manhattan distance of two
 such points never exceeds the Hamming distance, so links lie in the Manhattan ball of radius 3. The range
-join finds them on a grid: the segments form 6 blocks, a difference of at most 3 leaves some 3 blocks
-unmoved, so the points share the grid cell of one of the 20 block triples. Every pair in a cell is then
-verified exactly by xor and bit count.
+join finds them on a grid: the segments form 6 blocks, a distance of at most 3 leaves some 3 blocks
+unmoved, so the points share the grid cell of one of the 20 block triples. Of the pairs in a cell those within
+Manhattan distance 3 go on, each in the first of the triples that it shares, and are verified exactly by xor and bit count.
+
+Counts are written in unary (0: 00, 1: 01, 2: 11), so that the distance of two points is the number of bits in which they differ.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, stored, table
+from .words import slices
 
 BITS, SEGMENTS, BLOCKS = 3, 32, 6
 TILE = 512  # members of a cell that are compared at once; larger cells are split into pairs of tiles
@@ -46,41 +49,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the signed 64-bit fingerprint of the whole text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            fp = np.array([fingerprint(t.as_py() or b"", n) for t in texts], np.uint64).view(np.int64)
+        for b, texts in slices(batches, "t"):
+            fp = np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
 
-def _cells(points: DataFrame) -> DataFrame:
-    """(node, fp, triple, cell) for each of the 20 block triples."""
+def _masks() -> tuple[list[int], list[int]]:
+    """Bits of each block, and of each block triple."""
     edges = [round(i * SEGMENTS / BLOCKS) for i in range(BLOCKS + 1)]
     block = [((1 << 2 * edges[i + 1]) - 1) ^ ((1 << 2 * edges[i]) - 1) for i in range(BLOCKS)]
+    return block, [sum(block[i] for i in t) for t in combinations(range(BLOCKS), BLOCKS - BITS)]
+
+
+def embed(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of the two-bit segments, in unary."""
+    low, high = fp & np.uint64(0x5555555555555555), (fp >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return ((high & low) << np.uint64(1)) | high | low
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    """(node, fp, triple, cell) for each of the 20 block triples."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = [signed(sum(block[i] for i in t)) for t in combinations(range(BLOCKS), BLOCKS - BITS)]
-    # two-bit fields that hold the number of ones of their segment
     low = F.col("fp").bitwiseAND(F.lit(0x5555555555555555))
     high = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(0x5555555555555555))
-    counts = F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseXOR(low))
-    cells = F.array(*[F.struct(F.lit(i).alias("triple"), counts.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])
+    counts = F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high).bitwiseOR(low)
+    cells = F.array(*[F.struct(F.lit(i).alias("triple"), counts.bitwiseAND(F.lit(signed(m))).alias("cell")) for i, m in enumerate(_masks()[1])])
     return points.select("node", "fp", F.explode(cells).alias("c")).select("node", "fp", "c.triple", "c.cell")
 
 
 def _links(sorted_cells: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) that join what a cell's or tile pair's members join; at most one per member where they are many."""
-
-    def small(node, fp, start, size) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    block, triples = _masks()
+    owner = np.full(1 << BLOCKS, -1, np.int64)  # by the set of blocks that a pair shares: its first triple
+    for i, t in reversed(list(enumerate(combinations(range(BLOCKS), BLOCKS - BITS)))):
+        for shared in range(1 << BLOCKS):
+            if all(shared >> x & 1 for x in t):
+                owner[shared] = i
+
+    def small(triple, node, fp, point, start, size) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lag in range(1, int(size.max(initial=1))):
             s = start[size > lag]
             n = size[size > lag] - lag
             i = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            apart = point[i] ^ point[i + lag]
+            i, apart = (x[np.bitwise_count(apart) <= bits] for x in (i, apart))
+            shared = sum(((apart & np.uint64(m)) == 0).astype(np.int64) << x for x, m in enumerate(block))
+            i = i[owner[shared] == triple[i]]
             near = np.bitwise_count(fp[i] ^ fp[i + lag]) <= bits
             yield node[i[near]], node[i[near] + lag]
 
-    def large(node, fp) -> tuple[np.ndarray, np.ndarray]:
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits
+    def large(node, fp, point) -> tuple[np.ndarray, np.ndarray]:
+        near = np.bitwise_count(point[:, None] ^ point[None, :]) <= bits
+        a, b = np.nonzero(near)
+        near[a, b] = np.bitwise_count(fp[a] ^ fp[b]) <= bits
         label = np.arange(len(fp))
         while True:
             new = np.where(near, label[None, :], len(fp)).min(1)
@@ -94,9 +117,9 @@ def _links(sorted_cells: DataFrame, bits: int) -> DataFrame:
     def groups(keys, node, fp) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
         size = np.diff(np.append(start, len(node)))
-        few = size <= 24
-        found = list(small(node, fp, start[few], size[few]))
-        found += [large(node[s : s + n], fp[s : s + n]) for s, n in zip(start[~few], size[~few])]
+        few, point = size <= 24, embed(fp)
+        found = list(small(keys[:, 0], node, fp, point, start[few], size[few]))
+        found += [large(node[s : s + n], fp[s : s + n], point[s : s + n]) for s, n in zip(start[~few], size[~few])]
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -146,8 +169,8 @@ def near_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
-    Null and empty texts have fingerprint zero and link like any other; repeated rows share their class;
-    an empty table gives no rows; other columns are ignored.
+    Null and empty texts have fingerprint zero and link like any other; repeated rows share their class; a long text is
+    read by itself; an empty table gives no rows; other columns are ignored.
     """
     fps = stored(fingerprints(docs, id_col, text_col))
     return near_components(fps).select(
@@ -157,6 +180,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, of each component only the one with the smallest doc_id; rows without an id stay."""
+    if "__gone" in docs.columns:
+        raise ValueError("rename this column first: __gone")
     found = simhash_components(docs.filter("doc_id is not null"))
     gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
