@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-A sketch keeps every 5-word shingle hash below a fixed fraction of the hash range, and the FLOOR smallest ones
-in any case, so that short texts keep all they have. Sketches merge by union and compare by the hashes below
+A sketch keeps every 5-word shingle hash below a fixed fraction of the hash range. A text with fewer than FLOOR hashes
+below it has a higher threshold of its own, that of its FLOOR smallest hashes, so that short texts don't end with nothing. Sketches merge by union and compare by the hashes below
 the lower of both thresholds, whatever the texts' lengths.
 """
 
@@ -21,16 +21,20 @@ from .words import Words, slices
 SHINGLE, FRACTION, FLOOR = 5, 1 / 16, 32
 
 
+def _limit(fraction: float) -> np.uint64:
+    return np.uint64(min(int(fraction * 2**64), 2**64 - 1))
+
+
 def sketches(texts: list[bytes], n: int = SHINGLE, fraction: float = FRACTION, floor: int = FLOOR) -> list[np.ndarray]:
-    """Ascending 32-bit hashes per text; a text of fewer words has one shingle, a text without words none."""
+    """Ascending 64-bit hashes per text; a text of fewer words has one shingle, a text without words none."""
     w = Words(texts)
     size = np.diff(w.first)
     count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
     ends = np.cumsum(count)
     start = np.repeat(w.first[:-1] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
     stop = np.minimum(start + n, np.repeat(w.first[1:], count))
-    h = (w.span(start, stop) >> np.uint64(32)).astype(np.uint32)
-    limit = int(fraction * 2**32)
+    h = w.span(start, stop)
+    limit = _limit(fraction)
     out = []
     for a, b in zip((ends - count).tolist(), ends.tolist()):
         u = np.unique(h[a:b])
@@ -42,18 +46,22 @@ def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int =
     """The sketch of both texts' shingles together."""
     u = np.unique(np.concatenate([a, b]))
     top = min(threshold(a, fraction, floor), threshold(b, fraction, floor))
-    return u[u < top][: max(floor, int(np.searchsorted(u, int(fraction * 2**32))))]
+    return _below(u, top)[: max(floor, int(np.searchsorted(u, _limit(fraction))))]
 
 
 def threshold(a: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> int:
     """All of the text's hashes below this are in the sketch."""
-    return max(int(fraction * 2**32), int(a[-1]) + 1) if len(a) >= floor else 2**32
+    return max(int(_limit(fraction)), int(a[-1]) + 1) if len(a) >= floor else 2**64
+
+
+def _below(a: np.ndarray, top: int) -> np.ndarray:
+    return a if top >= 2**64 else a[: np.searchsorted(a, np.uint64(top))]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> float:
     """Estimate of the Jaccard likeness of the shingles, 0 to 1; 1 for two empty sketches."""
     top = min(threshold(a, fraction, floor), threshold(b, fraction, floor))
-    a, b = a[: np.searchsorted(a, top)], b[: np.searchsorted(b, top)]
+    a, b = _below(a, top), _below(b, top)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
@@ -61,17 +69,17 @@ def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: in
 def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> float:
     """Estimate of the share of a's shingles that b has too; 1 if a is empty."""
     top = min(threshold(a, fraction, floor), threshold(b, fraction, floor))
-    a, b = a[: np.searchsorted(a, top)], b[: np.searchsorted(b, top)]
+    a, b = _below(a, top), _below(b, top)
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
 def encode(a: np.ndarray) -> str:
-    """8 hex digits a hash, ascending."""
-    return a.astype(">u4").tobytes().hex()
+    """16 hex digits a hash, ascending."""
+    return a.astype(">u8").tobytes().hex()
 
 
 def decode(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
+    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
 
 
 def document_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
