@@ -76,7 +76,8 @@ def write(pages: DataFrame, folder: str | None = None, frame: int = FRAME, level
     """Writes the archives; returns their index (INDEX), stored beside them.
 
     Of pages with equal payloads of at least `least` bytes those with the smallest page_id are responses and the
-    others revisit it. A null html is an empty payload, a null page_id is never referred to; extra columns are
+    others revisit it, also those with a null page_id, which is never referred to: where all are null, all are
+    responses. A null html is an empty payload; one longer than `frame` has a frame of its own; extra columns are
     ignored. A bundle's name holds its task's attempt, so attempts that fail leave a file that no index names.
     """
     spark = pages.sparkSession
@@ -85,9 +86,10 @@ def write(pages: DataFrame, folder: str | None = None, frame: int = FRAME, level
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # pages without equals need no partner, so the joined side is small
     firsts = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    firsts = stored(firsts)  # only then can the join's hot digests be split
     # only identifiers go through the join; the texts stay where they are dealt by page
-    ids = rows.select("page_id", "digest").join(firsts, "digest").filter("first <> page_id").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
-    rows = rows.join(ids, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first")
+    ids = rows.select("page_id", "digest").join(firsts, "digest").filter("not first <=> page_id and first is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    rows = rows.join(ids, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
