@@ -4,7 +4,7 @@ Lengths are whole numbers up to the sequence length, so all that best fit needs
 each length has: at most `capacity` counts, whatever the input. Pieces of one length are placed together: a
 segment tree over the remaining capacities finds the tightest open bin in logarithmic time, and all bins with
 that capacity take theirs in one step, exactly as one by one. Every piece then finds its place from its rank
-among those of its length, which is counted per salted group.
+among those of its length, which is counted per salted group; a length has the more salts, the more pieces it has.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
+from .words import slices
 
-CAPACITY, END, SALTS = 1024, 2, 64
+CAPACITY, END = 1024, 2
+SALTED = 1 << 16  # pieces of a length that are ranked together, on average
 
 
 class CapacityTree:
@@ -136,10 +138,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*files, special)
-        for b in batches:
+        for b, texts in slices(batches, "t"):
             rows = []
-            for doc, text in zip(b.column(0), b.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+            for doc, text in zip(b.column("doc_id"), texts):
+                ids = np.array([*encode(text.decode()), END], "<u4")
                 start, stop = 0, (len(ids) - 1) % capacity + 1
                 for piece in range(-(-len(ids) // capacity)):
                     rows.append((doc.as_py(), piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
@@ -154,18 +156,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str, str
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset.
 
-    Ranks number the pieces of a length within 64 salts, by doc_id, piece, start and checksum; so a length that
-    all pieces share is still dealt over 64 groups. Only the counts by length and the places of
+    Ranks number the pieces of a length within salts of about SALTED pieces, by doc_id, piece, start and checksum, so
+    that a length that most pieces share is dealt over as many groups as it needs. Only the counts by length and the places of
     plan() pass the driver; both are bounded by the capacity.
     """
     spark = cuts.sparkSession
-    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    counts = {int(r[0]): int(r[1]) for r in cuts.groupBy("length").agg(F.count("*")).collect()}
+    # at most `capacity` rows
+    salts = spark.createDataFrame([(k, -(-n // SALTED)) for k, n in counts.items()], "length long, salts long")
+    cuts = cuts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     by_salt = cut(cuts.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {int(r[0]): int(r[1]) for r in by_salt.groupBy("length").agg(F.sum("n")).collect()}
     before = F.sum("n").over(_over("length").orderBy("salt").rowsBetween(-(1 << 31), -1))
     offsets = by_salt.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     ranked = cuts.withColumn("rank", F.row_number().over(_over("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     steps = plan(counts, capacity)
     by_length: dict[int, list] = {}
     for s in steps:
@@ -197,8 +201,8 @@ def _over(*cols: str):
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None) -> DataFrame:
-    """One row per piece. Null and empty texts are one piece, the end id alone; repeated rows are packed each;
-    an empty table gives no rows; other columns are ignored."""
+    """One row per piece. Null and empty texts are one piece, the end id alone; repeated rows are packed each; a long text
+    is encoded by itself; an empty table gives no rows; other columns are ignored."""
     return pack(stored(pieces(docs, capacity, files)), capacity)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SALTS = 64
+SALTED = 1 << 16  # rows of a shard that are numbered together, on average
 
 
 @dataclass(frozen=True)
@@ -67,14 +67,15 @@ def place(rows: DataFrame, key: list[str], shards: list[Shard], name: str = "sha
 
 
 def number_slots(rows: DataFrame, shard: str, order: list[str], name: str = "slot") -> DataFrame:
-    """The rows with `name`: 0, 1, 2 ... within each shard, by 64 salts and then `order`. A salt's counts pass on as offsets,
-    so that no task holds a whole shard."""
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    """The rows with `name`: 0, 1, 2 ... within each shard, by salts and then `order`. There are as many salts as the largest
+    shard needs; their counts pass on as offsets, so that no task holds a whole shard."""
+    most = rows.groupBy(shard).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(-(-most // SALTED))))
     counts = cut(rows.groupBy(shard, "__salt").agg(F.count("*").alias("__n")))
     before = F.sum("__n").over(W.partitionBy(shard).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(shard, "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
     rank = F.row_number().over(W.partitionBy(shard, "__salt").orderBy(*order)) - 1
-    return rows.withColumn("__rank", rank).join(F.broadcast(offsets), [shard, "__salt"]).withColumn(name, F.col("__rank") + F.col("__before")).drop("__salt", "__rank", "__before")
+    return rows.withColumn("__rank", rank).join(offsets, [shard, "__salt"]).withColumn(name, F.col("__rank") + F.col("__before")).drop("__salt", "__rank", "__before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
