@@ -178,7 +178,7 @@ def test_simple_tree_matching():
 def test_wrapper_finds_template_in_any_element():
     trees = [["#region", ["div.", ["p.", 1], ["p.", 100 + i]], ["p.", 7]] for i in range(9)]
     found = wrapper.wrap(trees)
-    assert {t for _, t, n, of in found if n == of == 9} == {1, 7}
+    assert {t for t, n, of in found if n == of == 9} == {wrapper.slot("/div./p./#", 1), wrapper.slot("/p./#", 7)}
 
 
 def test_template_behind_varying_siblings_at_any_host_size(spark):
@@ -194,6 +194,52 @@ def test_template_behind_varying_siblings_at_any_host_size(spark):
             assert got[i].split("\n") == want
 
 
+def test_induction_without_hints_over_many_hosts(spark):
+    """Tags, roles and classes are switched off: alignment finds what repeats, the region what varies around the content."""
+    r = random.Random(11)
+    blocks = {"n": 0, "gone": 0}
+
+    def page(host, i):
+        menu = "".join(f"<li><a href=x>{word()}</a>" for _ in range(3 + i % 4))
+        body = [prose(30 + 7 * (i % 5)) for _ in range(2 + i % 4)]
+        legal = f"All rights of {host} are reserved"
+        html = f"<body><div id=a><ul>{menu}</ul></div><div class=x1><p>{prose(6)}</p></div><div class=x2><h1>Title {host} {i}</h1>" + "".join(f"<p>{p}</p>" for p in body) + f"<p>Write to {host}</p></div><div class=x3>{legal}</div><div class=x4>{prose(4)}</div></body>"
+        blocks["n"] += 3 + i % 4 + 1 + len(body) + 2 + 2
+        blocks["gone"] += 3 + i % 4 + 1 + 1 + 2
+        return html, "\n".join([f"Title {host} {i}", *body])
+
+    rows, want = [], {}
+    for h in range(12):
+        for i in range((5, 30, 150)[h % 3]):
+            html, text = page(f"h{h}", i)
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://h{h}.example/{i}", html))
+    r.shuffle(rows)
+    got = {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), hints=False).collect()}
+    assert got == want and blocks["gone"] > blocks["n"] / 3
+
+
+def test_equal_text_at_another_path_stays(spark):
+    rows = [(i, f"http://h/{i}", f"<body><div class=bar>Follow us</div><article><h1>T {i}</h1><p>{prose(30)}</p><p>{'Follow us' if i == 3 else prose(5)}</p></article></body>") for i in range(20)]
+    got = {x.page_id: x.text for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].endswith("\nFollow us") and sum("Follow us" in t for t in got.values()) == 1
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a x='", "</p>", "<i></b>", "<b><div>", "<!", "<![CDATA[", "a<", "&amp", "<script>", "<li><p>"])
+def test_long_broken_pages_are_read_once(piece):
+    import time
+
+    began = time.perf_counter()
+    wrapper.page_tree("<p>start" + piece * 60_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_many_children_align_by_equal_subtrees(monkeypatch):
+    monkeypatch.setattr(wrapper, "LONG", 50)
+    trees = [["#region", ["div.", *range(1000 * i + 1000, 1000 * i + 1012), 7, *range(1000 * i + 1500, 1000 * i + 1510 + i)]] for i in range(6)]
+    assert {t for t, n, of in wrapper.wrap(trees) if n == 6} == {wrapper.slot("/div./#", 7)}
+
+
 # --- 3
 
 
@@ -340,14 +386,32 @@ def test_mixing(spark):
 def test_rates_match_least_squares(spark):
     q = np.array([[0.9, 0.05, 0.05], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6], [1 / 3] * 3])
     t = np.array([100.0, 50.0, 30.0, 20.0])
-    cells = spark.createDataFrame([(float(t[i]), *map(float, q[i])) for i in range(4)], "tokens double, q_good double, q_poor double, q_toxic double")
-    target = np.array([120.0, 60.0, 20.0])
-    got = {round(x.q_good, 3): x.rate for x in mixing.solve(cells, dict(zip(mixing.DOMAINS, target.tolist())), 300).collect()}
-    rate = np.ones(4)
-    for _ in range(40_000):
-        res = ((rate * t) @ q - target) / 200
-        rate = np.maximum(0, rate - 0.5 * (q @ res + mixing.RIDGE * (rate - 1)))
-    assert np.allclose([got[round(x, 3)] for x in q[:, 0]], rate, atol=0.02)
+    points = spark.createDataFrame([(float(t[i]), *map(float, q[i])) for i in range(4)], "tokens double, p_good double, p_poor double, p_toxic double")
+    for target in ([120.0, 60.0, 20.0], [20.0, 20.0, 160.0], [198.0, 1.0, 1.0]):
+        pull = mixing.solve(points, dict(zip(mixing.DOMAINS, target)))
+        got = {round(x.p_good, 3): x.rate for x in points.withColumn("rate", mixing.rate(pull)).collect()}
+        rate = np.ones(4)
+        for _ in range(200_000):
+            res = ((rate * t) @ q - target) / 200
+            rate = np.maximum(0, rate - 0.9 * (q @ res + mixing.RIDGE * (rate - 1)))
+        assert np.allclose([got[round(x, 3)] for x in q[:, 0]], rate, atol=1e-3)
+    assert set(mixing.solve(points, dict.fromkeys(mixing.DOMAINS, 0.0)).values()) == {0.0}
+
+
+def test_mixed_documents_meet_the_targets(spark):
+    r = random.Random(2)
+    topic = {d: [word() for _ in range(60)] for d in ("good", "poor", "toxic")}
+    kind = lambda i: ("good", "good", "poor", "toxic")[i % 4]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(topic[kind(i)]) for _ in range(40 + i % 30))) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(kind(i) == "good"), int(kind(i) == "toxic")) for i in range(0, 1200, 3)], "doc_id long, quality int, toxic int")
+    out = mixing.mixed(docs, labels).collect()
+    tokens: dict = {}
+    for x in out:
+        tokens[kind(x.doc_id)] = tokens.get(kind(x.doc_id), 0) + len(x.text.split())
+    for d, share in mixing.SHARES.items():
+        assert abs(tokens[d] / sum(tokens.values()) - share) < 0.02
+    with pytest.raises(ValueError):
+        mixing.mixed(docs.withColumn("__nth", F.lit(1)), labels)
 
 
 # --- 7
@@ -413,7 +477,7 @@ def test_pipeline_stages_follow_rates_and_keep_unlabelled(spark, monkeypatch):
     assert {x.doc_id for x in langid.keep_identified(docs).collect()} == {1, 3}
     known = spark.createDataFrame([(i, "abab cdcd", "x") for i in range(40)] + [(99, "жзжз", None)], docs.schema)
     assert {x.doc_id for x in langid.keep_identified(known).collect()} == set(range(40))
-    plan = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.lit(0.6).alias("p_toxic"), (F.col("doc_id") - 1).cast("int").alias("copies"))
+    plan = docs.select(*mixing._keys("doc_id", "text"), F.lit(0.6).alias("p_toxic"), (F.col("doc_id") - 1).cast("int").alias("copies"))
     monkeypatch.setattr(mixing, "mix", lambda *a, **k: plan)
     assert sorted(x.doc_id for x in mixing.mixed(docs, None).collect()) == [2, 3, 3]
 
@@ -424,7 +488,7 @@ def test_pipeline_stages_follow_rates_and_keep_unlabelled(spark, monkeypatch):
 def test_warc(spark):
     big = "<p>" + prose(200)
     pages = [(4, "http://a/1", big, "r"), (2, "http://a/2\r\nX: y", big, "r"), (9, None, big, "r"), (5, "", None, "r"), (6, "u", "", "r"), (7, "u", "é\r\n\r\nWARC/1.1", "r"), (8, "u", "é\r\n\r\nWARC/1.1", "r"), (None, "u", big, "r"), (2, "http://a/2", big, "r")]
-    pages += [(100 + i, "u", f"{i} " + prose(400), "r") for i in range(200)]
+    pages += [(100 + i, "u", f"{i} " + prose(400), "r") for i in range(200)] + [(500, "u", "long " * 300_000, "r")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, record_type string").repartition(3)
     index = warc.write(df, frame=1 << 14)
     rows = warc.read(index).collect()
@@ -434,6 +498,7 @@ def test_warc(spark):
     for page, _, text, _ in pages:
         assert (got[page].payload_bytes, got[page].payload_digest) == (len((text or "").encode()), sha(text))
         assert got[page].record_type == "revisit" or got[page].payload == (text or "")
+    assert (got[None].record_type, got[None].refers_to) == ("revisit", 2)
     assert (got[4].record_type, got[4].refers_to, got[9].refers_to, got[2].record_type, got[2].refers_to) == ("revisit", 2, 2, "response", None)
     assert got[7].record_type == got[8].record_type == got[5].record_type == got[6].record_type == "response"
     one = warc.fetch(index.filter("page_id = 150")).first()

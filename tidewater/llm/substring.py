@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, stored, table
+from .common import drop, row_key, stored, table
 from .words import U, Words, mix, slices
 
 WINDOW, PREFIX, STEPS = 50, 16, 4
-LIMIT = 1 << 19  # words of a group whose suffixes are sorted at once
+LIMIT = 1 << 17  # words of a group whose suffixes are sorted at once
 KEY = "id long, k1 long, k2 long"
 
 
@@ -231,9 +231,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col:
         large = F.lit(k < window) & (F.col("n") > 1) & (F.col("words") > limit)
         groups = stored(groups.select("group", large.alias("large")))
         hits = stored(edges.join(groups, "group").select(*key, "group", "label", "large"))
+        more_groups = k < window and not groups.filter("large").isEmpty()
+        drop(edges, groups)
         small = hits.filter("not large").drop("large")
         found = small if found is None else found.union(small)
-        if k == window or groups.filter("large").isEmpty():
+        if not more_groups:
             break
         more = hits.filter("large").select(*key, "label")
         opened = more if opened is None else opened.union(more)
@@ -248,6 +250,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col:
     slices_ = _leaves(with_opened(known.join(mine, key)), window, prefix)
     leaves = stored(slices_.groupBy("group", "label", "slice").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     runs = stored(_tree_runs(leaves.repartition("group").sortWithinPartitions("group"), window))
+    drop(leaves)
     marks = found.join(runs, ["group", "label"]).filter("first < id").groupBy(*key).agg(F.collect_list(F.struct("label", "same", "at", "n")).alias("marks"))
     return with_opened(marks)
 
