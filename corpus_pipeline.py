@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import langid, mixing, packing, simhash, substring
-from tidewater.llm.common import stored, table
+from tidewater.llm.common import drop, stored, table
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -50,9 +50,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs)
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
