@@ -115,6 +115,27 @@ def test_ann_recall(spark):
     assert hits / (5 * 60) >= 0.9 and len(found) == 300
 
 
+def test_ann_hot_file_and_repeated_ids(spark):
+    """A third of the vectors in one dense cluster, whose files are split into blocks; ids with two vectors give one, always the same."""
+    g = np.random.default_rng(6)
+    v = g.normal(size=(900, 16))
+    v[:300] = v[0] + g.normal(size=(300, 16)) * 0.05
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(7, v[500].tolist()), (9, v[600].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    runs = [sorted(map(tuple, ann.nearest(x, F.col("id") % 50 == 0, block=100).collect())) for x in (df.repartition(3), df.repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == 90
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 900, 50):
+        s = u @ u[q]
+        s[[q, 7, 9]] = -9
+        found = [r for r in runs[0] if r[0] == q]
+        assert len({r[2] for r in found}) == 5 and q not in {r[2] for r in found}
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r[2] for r in found})
+    assert hits >= 0.9 * 90
+
+
 def test_pivots_are_drawn_without_one_task(spark):
     classes = spark.createDataFrame([(i, [float(i), 1.0], 2) for i in range(2000)] + [(5000, [1.0], 1)], "cid long, v array<double>, dim int")
     out = ann.drawn(classes, 2, 1024)
