@@ -1,13 +1,9 @@
-"""Number formats: grouped numbers with few decimals, and ones of fixed decimals by the exact binary value."""
+"""Number formats: grouped numbers with few decimals, ones of fixed decimals by the exact binary value, ticks of an axis."""
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EOK, JO = 1e8, 1e12  # fixed values: units of large amounts
 
@@ -18,10 +14,33 @@ def grouped(v: Column, decimals: int) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "") if decimals else text
 
 
-@F.pandas_udf(T.StringType())
-def fixed(v: pd.Series, decimals: pd.Series) -> pd.Series:
-    """v with so many decimals, rounding its exact binary value half up."""
-    return pd.Series([None if pd.isna(x) else str(Decimal(x).quantize(Decimal(1).scaleb(-int(d)), ROUND_HALF_UP)) for x, d in zip(v, decimals)], dtype=object)
+def fixed(v: Column, decimals: int) -> Column:
+    """v (below 1,000 in size) with so many decimals, rounding its exact binary value half away from zero.
+
+    A cast to decimal takes the shortest digits that mean the double, not its binary value. So the number is compared with the
+    half between its neighbours, and where it equals the double next to that half, the rest of the division decides.
+    """
+    scale = float(10**decimals)
+    size = F.abs(v)
+    down = F.floor(size * scale)
+    half = (down + 0.5) / scale
+    slack = _remainder(half, scale, down + 0.5)
+    more = (size > half) | ((size == half) & (slack >= 0))
+    whole = F.when(more, down + 1).otherwise(down)
+    digits = F.lpad(whole.cast("string"), decimals + 1, "0") if decimals else whole.cast("string")
+    long = F.length(whole.cast("string")) > decimals
+    text = F.when(long, whole.cast("string")).otherwise(digits)
+    if decimals:
+        text = F.concat(F.substring(text, F.lit(1), F.length(text) - decimals), F.lit("."), F.substring(text, F.length(text) - decimals + 1, F.lit(decimals)))
+    return F.concat(F.when((v < 0) & (whole > 0), "-").otherwise(""), text)
+
+
+def _remainder(q: Column, scale: float, product: Column) -> Column:
+    """q * scale - product without rounding: q is split in two halves of 26 bits, whose products with a small number are exact."""
+    c = q * float((1 << 27) + 1)
+    high = c - (c - q)
+    low = q - high
+    return (high * scale - product) + low * scale
 
 
 def amount(v: Column, unit: str = "") -> Column:
@@ -34,7 +53,22 @@ def amount(v: Column, unit: str = "") -> Column:
     return F.when(v.isNull(), "—").otherwise(F.concat(text, F.lit(f" {unit}" if unit else "")))
 
 
-def reference(v: Column) -> Column:
-    """amount() from 1e8; grouped from 1,000; one decimal from 100; else two; null: –."""
+def plain(v: Column) -> Column:
+    """Grouped from 1,000; one decimal from 100; else two; null and NaN: –."""
     size = F.abs(v)
-    return F.when(v.isNull(), "–").when(size >= EOK, amount(v)).when(size >= 1000, grouped(v, 0)).when(size >= 100, fixed(v, F.lit(1))).otherwise(fixed(v, F.lit(2)))
+    return F.when(v.isNull() | F.isnan(v), "–").when(size >= 1000, grouped(v, 0)).when(size >= 100, fixed(v, 1)).otherwise(fixed(v, 2))
+
+
+def reference(v: Column) -> Column:
+    """plain(), but amount() from 1e8."""
+    return F.when(~F.isnan(v) & (F.abs(v) >= EOK), amount(v)).otherwise(plain(v))
+
+
+def ticks(low: Column, high: Column) -> Column:
+    """Values of an axis from low to high, 1, 2, 2.5 or 5 times a power of ten apart, so that there are about five."""
+    raw = (high - low) / 5
+    size = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    step = F.coalesce(*[F.when(size * m >= raw, size * m) for m in (1.0, 2.0, 2.5, 5.0, 10.0)], size * 10)
+    first, last = F.ceil(low / step), F.floor((high + step * 1e-9) / step)
+    some = F.transform(F.sequence(first, last), lambda k: F.round(k * step, 10))
+    return F.when(high > low, F.when(last >= first, some).otherwise(F.array(low, high))).otherwise(F.array(low))

@@ -1,9 +1,111 @@
-"""Context cards: scoring by place in the document and choosing under a budget."""
+"""Context cards: what a section fixed for later ones, shrunk to a bound, scored, chosen under a budget and written out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.functions.text import clip, numbers_with_units, pipe_cells, trim, units16
+
+MOST, BUDGET = 700, 6000  # characters of a card and of all cards of a section
+# Words of lines that name something, and the text above the cards.
+NAMES = "비전|목표|추진전략|전략|중점|세부사업|사업명|사업|과제|지표"
+HEADER = (
+    "[앞서 작성한 절의 결정 사항]",
+    "※ 이 계획서의 앞선 절에서 이미 확정한 내용이다. 비전·전략 이름·사업명·수치를 여기에",
+    "   맞춰 쓴다. 달리 써야 할 이유가 있으면 그 이유를 본문에 밝힌다. 아래 내용을 그대로",
+    "   옮겨 적지는 말고, 이 절이 맡은 몫만 쓴다.",
+    "",
+)
+HEADER_SIZE = len("\n".join(HEADER)) + 1
+# How many numbers, points, tables and names stay after each step of shrinking; None is all.
+STEPS = (
+    (12, 8, 4, 12), (6, 8, 4, 12), (6, 5, 4, 12), (3, 5, 4, 12), (3, 5, 2, 12), (3, 3, 2, 12), (3, 3, 2, 8), (3, 3, 1, 8), (3, 1, 1, 8), (0, 1, 1, 8), (0, 1, 1, 5), (0, 0, 1, 5),
+    (0, 0, 1, 4), (0, 0, 1, 3), (0, 0, 1, 2), (0, 0, 1, 1),
+)
+
+
+def chapter(section: Column) -> Column:
+    """Chapter of a section id: 03-a-1 is in 03."""
+    return F.substring_index(section, "-", 1)
+
+
+def _first(a: Column, n: int) -> Column:
+    """The first n distinct texts that aren't empty."""
+    return F.slice(F.array_distinct(F.filter(a, lambda x: x != "")), 1, n)
+
+
+def cards(texts: DataFrame, key: str, no: str, title: str, text: str) -> DataFrame:
+    """(key, no, title, heads, points, names, tables, numbers) of each marked-up text, shrunk to MOST characters.
+
+    Headings and lines with bullets ○ and ◆ are points; lines with a word of NAMES are names, and first cells of tables with
+    one too. Notes, widths of columns and places of figures are passed over. A blank line doesn't end a table.
+    """
+    lines = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("ln", "line")).withColumn("line", trim(F.col("line")))
+    passed = F.col("line").rlike(r"^\{cols=[\d,.\s]+\}$|^\[\[도식:[^\]]+\]\]$") | (F.col("line") == "")
+    row = F.col("line").rlike(r"^\|(.+)\|$")
+    lines = lines.filter(~passed).withColumn("_row", row)
+    lines = lines.withColumn("_tab", F.sum(F.when(F.col("_row"), 0).otherwise(1)).over(W.partitionBy(key).orderBy("ln")))
+
+    rows = lines.filter(F.col("_row") & ~F.col("line").rlike(r"(?U)^\|[\s|:-]+\|$")).select(key, "_tab", "ln", pipe_cells(F.col("line")).alias("cells"))
+    each = rows.groupBy(key, "_tab").agg(F.min_by("cells", "ln").alias("head"), F.sort_array(F.collect_list(F.struct("ln", F.col("cells")[0].alias("first")))).alias("body"))
+    first = F.transform(_first(F.transform(F.slice("body", 2, F.greatest(F.size("body"), F.lit(1))), lambda x: x["first"]), 6), lambda v: clip(v, 20))
+    table = F.struct("_tab", F.filter(F.transform("head", lambda h: clip(h, 24)), lambda h: h != "").alias("header"), F.size("head").alias("cols"), first.alias("first"))
+    tables = each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(table)), lambda t: t.dropFields("_tab")).alias("tables"))
+
+    plain = lines.filter(~F.col("_row"))
+    head, bullet = r"^#{1,4}\s+(.+)$", r"^([○▪◆◎▶·]|-)\s+(.+)$"
+    is_head, is_note = F.col("line").rlike(head), F.col("line").rlike(r"^※\s*(.+)$")
+    body = F.when(is_head, F.regexp_extract("line", head, 1)).when(F.col("line").rlike(bullet), F.regexp_extract("line", bullet, 2)).otherwise(F.col("line"))
+    kind = F.when(is_head, "head").when(is_note, "note").when(F.col("line").rlike(r"^[○◆]\s+(.+)$"), "point").otherwise("text")
+    plain = plain.select(key, "ln", kind.alias("kind"), body.alias("body")).filter("kind <> 'note'")
+    listed = lambda when, n: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("ln", clip(F.col("body"), n).alias("t"))))), lambda x: x["t"])
+    found = plain.groupBy(key).agg(listed(F.col("kind") == "head", 60).alias("heads"), listed(F.col("kind") == "point", 110).alias("points"), listed(F.col("body").rlike(NAMES), 60).alias("names"))
+
+    out = texts.select(key, no, title, numbers_with_units(F.coalesce(text, F.lit(""))).alias("numbers")).join(found, key, "left").join(tables, key, "left")
+    none, no_table = F.array().cast("array<string>"), F.array().cast("array<struct<header:array<string>,cols:int,first:array<string>>>")
+    out = out.withColumns({**{c: F.coalesce(c, none) for c in ("heads", "points", "names")}, "tables": F.coalesce("tables", no_table)})
+    in_cells = F.filter(F.flatten(F.transform("tables", lambda t: t["first"])), lambda v: v.rlike(NAMES))
+    out = out.select(key, no, title, _first(F.col("heads"), 10).alias("heads"), _first(F.col("points"), 8).alias("points"), _first(F.concat("names", in_cells), 12).alias("names"), F.slice("tables", 1, 4).alias("tables"), _first(F.col("numbers"), 12).alias("numbers"))
+    return trimmed(out, key, no, title)
+
+
+def card_text(key: Column, no: Column, title: Column, names: Column, points: Column, tables: Column, numbers: Column) -> Column:
+    """A card in lines: its section, fixed names, points, tables and numbers."""
+    label = F.array_join(F.filter(F.array(no, title), lambda x: x.isNotNull() & (x != "")), " ")
+    table = lambda t: F.concat(F.lit("  - 표 "), t["cols"].cast("string"), F.lit("열: "), F.array_join(t["header"], " | "), F.when(F.size(t["first"]) > 0, F.concat(F.lit(" (첫 칸: "), F.array_join(t["first"], ", "), F.lit(")"))).otherwise(""))
+    some = lambda a, text: F.when(F.size(a) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(
+        F.array(F.concat(F.lit("◆ "), label, F.lit(" ("), key.cast("string"), F.lit(")"))), some(names, F.concat(F.lit("  - 확정된 이름: "), F.array_join(names, " / "))),
+        F.transform(points, lambda p: F.concat(F.lit("  - "), p)), F.transform(tables, table), some(numbers, F.concat(F.lit("  - 수치: "), F.array_join(numbers, ", "))),
+    )
+    return F.array_join(lines, "\n")
+
+
+def trimmed(found: DataFrame, key: str, no: str, title: str, most: int = MOST) -> DataFrame:
+    """The cards after as many of STEPS as it takes to have `most` characters at most; the last step's where none is enough."""
+    steps = F.array(*[F.struct(*[F.lit(n).alias(k) for k, n in zip(("numbers", "points", "tables", "names"), s)]) for s in STEPS])
+    kept = lambda s: {c: F.slice(c, F.lit(1), s[c]) for c in ("numbers", "points", "tables", "names")}
+    size = lambda s: units16(card_text(F.col(key), F.col(no), F.col(title), *(kept(s)[c] for c in ("names", "points", "tables", "numbers"))))
+    out = found.withColumn("_s", F.coalesce(F.try_element_at(F.filter(steps, lambda s: size(s) <= most), F.lit(1)), F.element_at(steps, -1)))
+    return out.withColumns(kept(F.col("_s"))).drop("_s")
+
+
+def merged(cards: DataFrame, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """The cards with new ones in the place of those of equal key, and the others of them behind, in their own order; of several new cards of a key the last counts."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), order).alias("_new"), F.min(order).alias("_first"))
+    both = cards.join(last, key, "full")
+    old = F.col(order).isNotNull()
+    top = cards.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_top"))
+    behind = F.row_number().over(W.partitionBy(old).orderBy("_first", key))
+    both = both.crossJoin(F.broadcast(top)).withColumn("_at", F.when(old, F.col(order)).otherwise(F.col("_top") + behind))  # one row
+    values = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in cards.columns if c not in (key, order)]
+    return both.select(key, F.col("_at").alias(order), *values)
 
 
 def score(target: str = "t", card: str = "c") -> Column:
@@ -20,15 +122,28 @@ def score(target: str = "t", card: str = "c") -> Column:
 def pick(scored: DataFrame, key: str, budget: int, header: int = 0) -> DataFrame:
     """(key, ord, id) of the cards (key, id, ord, score, size) taken: best score first, then document order, each that still fits.
 
-    A card that doesn't fit is passed over and smaller ones go on; each takes its size and 1.
+    A card that doesn't fit is passed over and smaller ones go on; each takes its size and 1. The cards of a key come in
+    order and only what is used is carried from one to the next, so no task holds a key's cards.
     """
-    cards = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "id", "size")))
-    start = F.struct(F.lit(header).cast("long").alias("used"), F.array().cast("array<struct<ord:int,id:bigint>>").alias("taken"))
+    kinds = {f.name: f.dataType for f in scored.schema}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0
+        for b in batches:
+            taken = []
+            for at, (k, size) in enumerate(zip(b[key].tolist(), b["size"].tolist())):
+                if k != now:
+                    now, used = k, header
+                if used + size + 1 <= budget:
+                    used += int(size) + 1
+                    taken.append(at)
+            yield b.iloc[taken][[key, "ord", "id"]]
+
+    ordered = scored.filter("score > 0").select(key, "ord", "id", "score", "size").repartition(key).sortWithinPartitions(key, F.desc("score"), "ord", "id")
+    return ordered.mapInPandas(fold, T.StructType([T.StructField(c, kinds[c]) for c in (key, "ord", "id")]))
 
-    def step(acc, x):
-        used = acc["used"] + x["size"] + 1
-        one = F.array(F.struct(x["ord"].cast("int").alias("ord"), x["id"].cast("long").alias("id")))
-        return F.when(used > budget, acc).otherwise(F.struct(used.alias("used"), F.concat(acc["taken"], one).alias("taken")))
 
-    chosen = scored.filter("score > 0").groupBy(key).agg(F.aggregate(cards, start, step).alias("p"))
-    return chosen.select(key, F.explode("p.taken").alias("x")).select(key, "x.ord", "x.id")
+def context(found: DataFrame, target: str, order: str, text: str) -> DataFrame:
+    """(target, context): the header and the chosen cards' texts in document order; targets without cards have no row."""
+    each = found.groupBy(target).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("all"))
+    return each.select(target, F.array_join(F.concat(F.lit(list(HEADER)), F.transform("all", lambda x: x["t"])), "\n").alias("context"))

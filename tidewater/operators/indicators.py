@@ -27,9 +27,14 @@ def peers(places: DataFrame, basis: str) -> DataFrame:
     return keyed.select("g", "place").join(keyed.select("g", F.col("place").alias("peer")), "g").select("place", "peer")
 
 
+def finite(values: DataFrame) -> DataFrame:
+    """The values with null for what is no number."""
+    return values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 def latest_years(values: DataFrame, places: DataFrame, basis: str) -> DataFrame:
     """(code, g, year): the latest year in which any member has a value, else the last listed year."""
-    known = values.join(F.broadcast(places), "place").withColumn("g", group_of(basis)).filter("g is not null")
+    known = finite(values).join(places, "place").withColumn("g", group_of(basis)).filter("g is not null")
     with_value = F.max(F.when(F.col("value").isNotNull(), F.col("year")))
     return known.groupBy("code", "g").agg(F.coalesce(with_value, F.max("year")).alias("year"))
 
@@ -41,22 +46,75 @@ def box_stats(rows: DataFrame, *keys: str) -> DataFrame:
     return stats.select(*keys, "n", "avg", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "max")
 
 
-def analyze(values: DataFrame, places: DataFrame, basis: str, place=None) -> DataFrame:
-    """A row per code and place (or the one place): its value and rank in its group's latest year, with the group's
-    statistics and the averages of its type and of the nation. Places without a value stay, with a null rank."""
-    known = values.join(F.broadcast(places), "place").withColumn("g", group_of(basis))
-    years = F.broadcast(latest_years(values, places, basis))
-    groups = box_stats(known.join(years, ["code", "g", "year"]), "code", "g", "year")
-    used = years.select("code", "year").distinct()
-    at = values.join(F.broadcast(places), "place").join(F.broadcast(used), ["code", "year"])
-    nation = at.groupBy("code", "year").agg(F.avg("value").alias("nation_avg"), F.count("value").alias("nation_n"))
-    typed = at.filter("type is not null").groupBy("code", "year", "type").agg(F.avg("value").alias("peer_avg"), F.count("value").alias("peer_n"))
-    rank = F.rank().over(W.partitionBy("code", "g").orderBy(F.col("value").desc_nulls_last()))
-    mine = known.join(years, ["code", "g", "year"]).withColumn("rank", F.when(F.col("value").isNotNull(), rank))
+def analyze(values: DataFrame, places: DataFrame, basis: str, place=None, codes: list[str] | None = None, year: int | None = None) -> DataFrame:
+    """A row per code and place (or the one place): its value and rank in its group's latest year, or in `year`, with the group's
+    statistics and the averages of its type and of the nation. Places without a value stay, with a null rank; codes that
+    have no values have no row.
+
+    One window over code and group gives the year, the statistics and the rank; one aggregation by code, year and type gives both averages.
+    """
+    if codes is not None:
+        values = values.filter(F.col("code").isin(codes))
+    if year is not None:
+        values = values.filter(F.col("year") == int(year))
+    known = finite(values).join(places, "place").withColumn("g", group_of(basis))
+    w = W.partitionBy("code", "g")
+    latest = F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("year"))).over(w), F.max("year").over(w))
+    now = known.filter("g is not null").withColumn("_latest", latest).filter("year = _latest").drop("_latest")
+    stats = {"n": F.count("value"), "avg": F.avg("value"), "min": F.min("value"), "_q": F.expr("percentile(value, array(0.25, 0.75))"), "max": F.max("value")}
+    now = now.withColumns({k: v.over(w) for k, v in stats.items()}).withColumns({"q1": F.col("_q")[0], "q3": F.col("_q")[1]})
+    rank = F.rank().over(w.orderBy(F.col("value").desc_nulls_last()))
+    now = now.withColumn("rank", F.when(F.col("value").isNotNull(), rank))
     if place is not None:
-        mine = mine.filter(F.col("place") == place)
-    out = mine.join(F.broadcast(groups), ["code", "g", "year"]).join(F.broadcast(nation), ["code", "year"]).join(F.broadcast(typed), ["code", "year", "type"], "left")
-    return out.select("place", "code", "year", F.col("value").alias("mine"), "rank", "n", "avg", "min", "q1", "q3", "max", "peer_avg", "peer_n", "nation_avg", "nation_n")
+        now = now.filter(F.col("place") == place)
+    typed = known.groupBy("code", "year", "type").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    all_types = W.partitionBy("code", "year")
+    typed = typed.select("code", "year", "type", (F.col("_s") / F.nullif("_n", F.lit(0))).alias("peer_avg"), F.col("_n").alias("peer_n"), (F.sum("_s").over(all_types) / F.nullif(F.sum("_n").over(all_types), F.lit(0))).alias("nation_avg"), F.sum("_n").over(all_types).alias("nation_n"))
+    both = now.alias("a").join(typed.alias("b"), (F.col("a.code") == F.col("b.code")) & (F.col("a.year") == F.col("b.year")) & F.col("a.type").eqNullSafe(F.col("b.type")))
+    peer = lambda c: F.when(F.col("a.type").isNotNull(), F.col(f"b.{c}")).alias(c)
+    return both.select("place", "a.code", "a.year", F.col("value").alias("mine"), "rank", "n", "avg", "min", "q1", "q3", "max", peer("peer_avg"), peer("peer_n"), "nation_avg", "nation_n")
+
+
+def analyze_place(values: DataFrame, places: DataFrame, items: DataFrame, place, basis: str, codes: list[str], year=None) -> DataFrame:
+    """analyze() of one place for the requested codes in their order (ord), with name, unit and area of each.
+
+    values may have name and unit of their own, which come before those of items (code, name, unit, area, area_name); an
+    empty one counts as none, and the code stands in for a missing name. An unknown place, one that is no county (level), an
+    untyped place compared by type, and a year that is no number raise.
+    """
+    mine = places.filter(F.col("place") == place).select("type", *(["level"] if "level" in places.columns else [])).first()
+    if mine is None:
+        raise ValueError(f"unknown place {place!r}")
+    if "level" in places.columns and mine["level"] != "시군구":
+        raise ValueError(f"{place!r} is no county")
+    if basis == "type" and mine["type"] is None:
+        raise ValueError(f"{place!r} has no type to compare by")
+    if year is not None:
+        try:
+            year = int(year)
+        except (TypeError, ValueError):
+            raise ValueError(f"{year!r} is no year") from None
+    counties = places.filter("level = '시군구'") if "level" in places.columns else places
+    rows = analyze(values, counties, basis, place, codes, year)
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = values.groupBy("code").agg(*[F.first(c, True).alias(f"_{c}") for c in ("name", "unit") if c in values.columns])
+    own = own.withColumns({f"_{c}": F.lit(None).cast("string") for c in ("name", "unit") if f"_{c}" not in own.columns})
+    one = items.groupBy("code").agg(F.min(F.struct("name", "unit", "area", "area_name")).alias("i"))
+    asked = values.sparkSession.createDataFrame([(c, i) for i, c in enumerate(codes)], "code string, ord int")
+    out = asked.join(rows, "code").join(own, "code", "left").join(one, "code", "left")
+    return out.select("ord", *rows.columns, F.coalesce(said("_name"), said("i.name"), F.col("code")).alias("name"), F.coalesce(said("_unit"), said("i.unit"), F.lit("")).alias("unit"), F.col("i.area").alias("area"), F.col("i.area_name").alias("area_name"))
+
+
+def place_names(places: DataFrame, types: DataFrame) -> DataFrame:
+    """(place, name, type_label): a province by its name, a county with its province before it; the label of its type, null without one."""
+    name = F.when(F.col("level") == "시도", F.col("province")).otherwise(F.concat_ws(" ", "province", "county"))
+    return places.join(types.select(F.col("type").alias("_t"), "label"), F.col("type") == F.col("_t"), "left").select("place", name.alias("name"), F.col("label").alias("type_label"))
+
+
+def provinces(places: DataFrame, order: str) -> DataFrame:
+    """(province, ord): each province once, in the order in which they first come."""
+    first = places.groupBy("province").agg(F.min(order).alias("_o"))
+    return first.select("province", F.row_number().over(W.orderBy("_o")).alias("ord"))
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -64,14 +122,65 @@ def bands(rows: DataFrame) -> DataFrame:
     return rows.withColumn("band", F.when(F.col("mine") < F.col("q1"), "below").when(F.col("mine") > F.col("q3"), "above").otherwise("inside"))
 
 
+def positioned(rows: DataFrame) -> DataFrame:
+    """Rows that can be ranked (a value, a rank, RANKABLE members at least) with position, the middle of the rank in percent of the group."""
+    return rows.filter(F.col("mine").isNotNull() & F.col("rank").isNotNull() & (F.col("n") >= RANKABLE)).withColumn("position", (F.col("rank") - 0.5) / F.col("n") * 100)
+
+
+def listed(rows: DataFrame, k: int, order: str = "code") -> DataFrame:
+    """The rankable rows with list: high and low (the k first and last by position), outside or inside the quartiles for the rest, and nth within it.
+
+    With fewer than 2k rows of a place, high has half of them, rounded up, and low the others. Ties go by `order`. Rows
+    without quartiles are inside.
+    """
+    w = W.partitionBy("place")
+    at = F.row_number().over(w.orderBy("position", order))
+    numbered = positioned(rows).withColumns({"_at": at, "_all": F.count("*").over(w)})
+    high = F.when(F.col("_all") < 2 * k, F.ceil(F.col("_all") / 2)).otherwise(k)
+    low = F.when(F.col("_all") < 2 * k, F.col("_all") - F.ceil(F.col("_all") / 2)).otherwise(k)
+    beyond = F.coalesce((F.col("mine") < F.col("q1")) | (F.col("mine") > F.col("q3")), F.lit(False))
+    name = F.when(F.col("_at") <= high, "high").when(F.col("_at") > F.col("_all") - low, "low").when(beyond, "outside").otherwise("inside")
+    nth = F.when(F.col("list") == "high", F.col("_at")).when(F.col("list") == "low", F.col("_all") - F.col("_at") + 1).otherwise(F.row_number().over(W.partitionBy("place", "list").orderBy(order)))
+    return numbered.withColumn("list", name).withColumn("nth", nth.cast("int")).drop("_at", "_all")
+
+
 def top_bottom(rows: DataFrame, k: int) -> DataFrame:
-    """The k best and worst ranked codes of each place by position in the group; a code is in one list only."""
-    ranked = rows.filter(F.col("mine").isNotNull() & (F.col("n") >= RANKABLE)).withColumn("position", (F.col("rank") - 1) / (F.col("n") - 1))
-    best = F.row_number().over(W.partitionBy("place").orderBy("position", "code"))
-    worst = F.row_number().over(W.partitionBy("place").orderBy(F.desc("position"), F.desc("code")))
-    listed = ranked.withColumns({"b": best, "w": worst})
-    side = F.when(F.col("b") <= k, "top").when(F.col("w") <= k, "bottom")
-    return listed.withColumn("list", side).filter("list is not null").select("place", "code", "list", "rank", "n")
+    """The k highest and lowest codes of each place by position in the group; a code is in one list only."""
+    sides = F.when(F.col("list") == "high", "top").otherwise("bottom")
+    return listed(rows, k).filter("list in ('high', 'low')").select("place", "code", sides.alias("list"), "rank", "n")
+
+
+def report_facts(rows: DataFrame) -> DataFrame:
+    """(place, codes, n_min, n_max, year_min, year_max, missing, missing_names): what the head of a report says; names of three codes without a value at most."""
+    none = F.col("mine").isNull()
+    names = F.slice(F.transform(F.sort_array(F.collect_list(F.when(none, F.struct("code")))), lambda x: x["code"]), 1, 3)
+    return rows.groupBy("place").agg(F.count("*").alias("codes"), F.coalesce(F.min(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("n_min"), F.coalesce(F.max(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("n_max"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.count(F.when(none, 1)).alias("missing"), F.array_join(names, ", ").alias("missing_names"))
+
+
+def report_lines(rows: DataFrame, k: int, basis: str) -> DataFrame:
+    """(place, list, nth, line): a report's line for each rankable row of analyze_place() or of analyze() with name and unit.
+
+    High and low ones name rank, share of the group and averages, those outside the quartiles the quartiles and the side.
+    Those inside have their name only.
+    """
+    from tidewater.functions.numbers import reference
+
+    unit = F.when(F.col("unit") != "", F.concat(F.lit(" "), "unit")).otherwise("")
+    value = lambda c: F.concat(reference(F.col(c)), unit)
+    share = lambda v: F.greatest(F.lit(1), F.round(v)).cast("int").cast("string")
+    head = F.concat(F.lit("- "), "name", F.lit(" "), value("mine"), F.lit("("), F.col("year").cast("string"), F.lit("년) — 비교집단 "), F.col("n").cast("string"), F.lit("곳 중 "), F.col("rank").cast("string"), F.lit("위"))
+    side = F.when(F.col("list") == "high", F.concat(F.lit("(상위 "), share(F.col("position")), F.lit("%)"))).otherwise(F.concat(F.lit("(하위 "), share(100 - F.col("position")), F.lit("%)")))
+    average = lambda who, n, c: F.concat(F.lit(who), F.col(n).cast("string"), F.lit("곳 평균 "), value(c))
+    bits = []
+    if basis != "type":
+        bits.append(F.when(F.col("peer_n") > 0, average("같은 유형 ", "peer_n", "peer_avg")))
+    if basis != "nation":
+        bits.append(F.when(F.col("nation_n") > 0, average("전국 ", "nation_n", "nation_avg")))
+    more = F.array_join(F.filter(F.array(*bits), lambda x: x.isNotNull()), " / ") if bits else F.lit("")
+    long = F.concat(head, side, F.lit(", 비교평균 "), value("avg"), F.when(more != "", F.concat(F.lit("\n· "), more)).otherwise(""))
+    beyond = F.concat(head, F.lit(", Q1~Q3 "), reference(F.col("q1")), F.lit("~"), value("q3"), F.when(F.col("mine") > F.col("q3"), " 위").otherwise(" 아래"))
+    line = F.when(F.col("list").isin("high", "low"), long).when(F.col("list") == "outside", beyond).otherwise(F.col("name"))
+    return listed(rows, k, "ord" if "ord" in rows.columns else "code").select("place", "list", "nth", line.alias("line"))
 
 
 def trend(values: DataFrame, places: DataFrame, basis: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -80,10 +189,11 @@ def trend(values: DataFrame, places: DataFrame, basis: str, first: int | None =
         values = values.filter(F.col("year") >= first)
     if last is not None:
         values = values.filter(F.col("year") <= last)
-    known = values.join(F.broadcast(places), "place").withColumn("g", group_of(basis)).filter("g is not null")
+    values = finite(values)
+    known = values.join(places, "place").withColumn("g", group_of(basis)).filter("g is not null")
     groups = box_stats(known, "code", "year", "g").withColumns({q: F.when(F.col("n") >= QUARTILES_FROM, F.col(q)) for q in ("q1", "q3")})
     nation = values.groupBy("code", "year").agg(F.avg("value").alias("nation_avg"))
-    out = known.join(F.broadcast(groups), ["code", "year", "g"]).join(F.broadcast(nation), ["code", "year"])
+    out = known.join(groups, ["code", "year", "g"]).join(nation, ["code", "year"])
     return out.select("place", "code", "year", F.col("value").alias("mine"), "avg", "n", "q1", "q3", "nation_avg")
 
 
@@ -102,7 +212,7 @@ def noteworthy(rows: DataFrame) -> DataFrame:
 
 
 def pick(scores: DataFrame, k: int) -> DataFrame:
-    """The k most noteworthy codes of each place, then in order of code."""
+    """The k most noteworthy codes of each place, then in order of code (of request, if codes are numbered so)."""
     r = F.row_number().over(W.partitionBy("place").orderBy(F.desc("score"), "code"))
     kept = scores.withColumn("r", r).filter(F.col("r") <= k)
     return kept.withColumn("ord", F.row_number().over(W.partitionBy("place").orderBy("code"))).select("place", "code", "score", "ord")
@@ -115,6 +225,13 @@ def direction(rows: DataFrame) -> DataFrame:
     return ends.select("place", "code", "first", "last", F.when(F.abs(change) < band, "flat").when(change > 0, "up").otherwise("down").alias("direction"))
 
 
+def trend_facts(rows: DataFrame) -> DataFrame:
+    """direction() with, for the last year that has a value: the gap to the group's average and whether it lies within the quartiles (null without them)."""
+    last = rows.filter("mine is not null").groupBy("place", "code").agg(F.max_by(F.struct("year", "mine", "avg", "q1", "q3"), "year").alias("x"))
+    within = (F.col("x.mine") >= F.col("x.q1")) & (F.col("x.mine") <= F.col("x.q3"))
+    return direction(rows).join(last, ["place", "code"]).select("place", "code", "first", "last", "direction", F.col("x.year").alias("year"), (F.col("x.mine") - F.col("x.avg")).alias("gap"), within.alias("within"))
+
+
 def chunks(rows: DataFrame, order: list[str], most: int, *keys: str) -> DataFrame:
     """The rows with chunk, from 0: as few chunks of at most `most` as there must be, all of the same size but a smaller last one."""
     w = W.partitionBy(*keys)

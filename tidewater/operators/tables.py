@@ -2,48 +2,72 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DELIMITERS = (",", "\t", ";")
+DELIMITERS = ",\t;"
 
 
-def sniff(sample: Column) -> Column:
-    """The delimiter by which the first five lines split most evenly into at least two columns; ties go to the earlier one.
-    For samples without quoted fields."""
-    rows = F.filter(F.slice(F.filter(F.split(sample, r"\r\n|\n|\r"), lambda x: x != ""), 1, 5), lambda x: x.isNotNull())
+def delimiter(sample: str) -> str:
+    """The delimiter by which the first five lines split most evenly into at least two columns; ties go to the earlier one."""
+    def key(item: tuple[int, str]) -> tuple:
+        counts = [len(r) for r in list(csv.reader(io.StringIO(sample), delimiter=item[1]))[:5] if r] or [0]
+        mean = sum(counts) / len(counts)
+        return mean > 1, -sum((c - mean) ** 2 for c in counts) / len(counts), mean, -item[0]
 
-    def rank(i: int, d: str) -> Column:
-        n = F.transform(rows, lambda r: F.size(F.split(r, d)).cast("double"))
-        size = F.size(n)
-        mean = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / size
-        spread = F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size
-        return F.struct(F.when(mean > 1, 1).otherwise(0).alias("wide"), (-spread).alias("even"), mean.alias("mean"), F.lit(-i).alias("first"), F.lit(d).alias("d"))
+    return max(enumerate(DELIMITERS), key=key)[1]
 
-    return F.greatest(*[rank(i, d) for i, d in enumerate(DELIMITERS)])["d"]
 
+@F.pandas_udf(T.StringType())
+def sniff(samples: pd.Series) -> pd.Series:
+    """delimiter() of each sample; a null one has none."""
+    return pd.Series([None if x is None else delimiter(x) for x in samples], dtype=object)
 
-def square(rows: Column) -> Column:
+
+def squared(rows: list[list[str]]) -> list[list[str]]:
     """Rows of cells without all-empty rows, padded to the widest."""
+    rows = [r for r in rows if any(c != "" for c in r)]
+    width = max(map(len, rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
+def square(rows: Column) -> Column:
+    """squared() for a column of rows."""
     full = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
     width = F.aggregate(full, F.lit(0), lambda a, r: F.greatest(a, F.size(r)))
     return F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
 
 
+def room(used: int, rows: int, width: int, most: int) -> int:
+    """Rows of the next table that fit: it may start while there is room, is cut to what is left, but keeps one row at least."""
+    return 0 if used >= most else min(rows, max(1, (most - used) // max(1, width)))
+
+
 def cap_cells(tables: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """(key, order, rows, width, kept): the rows of each table that fit when a key has room for `most` cells.
 
-    In order, a table that starts within the room is cut to what is left, but keeps one row at least; cells that
-    a cut leaves free go to the next table, so this is a fold over a key's tables and no running sum.
+    Cells that a cut leaves free go to the next table, so this is a fold over a key's tables and no running sum. Tables come
+    in order and only the cells used are carried from one to the next.
     """
-    every = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("rows").cast("long").alias("rows"), F.col("width").cast("long").alias("width"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
+    kinds = {f.name: f.dataType for f in tables.schema}
 
-    def step(acc, x):
-        room = F.greatest(F.lit(1).cast("long"), F.floor((most - acc["used"]) / F.greatest(x["width"], F.lit(1))))
-        kept = F.when(acc["used"] >= most, F.lit(0).cast("long")).otherwise(F.least(x["rows"], room))
-        return F.struct((acc["used"] + kept * x["width"]).alias("used"), F.concat(acc["kept"], F.array(kept)).alias("kept"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0
+        for b in batches:
+            kept = []
+            for k, rows, width in zip(b[key].tolist(), b["rows"].tolist(), b["width"].tolist()):
+                if k != now:
+                    now, used = k, 0
+                kept.append(room(used, rows, width, most))
+                used += kept[-1] * width
+            yield b.assign(kept=kept)
 
-    one = tables.filter("rows > 0").groupBy(key).agg(every.alias("all")).withColumn("kept", F.aggregate("all", start, step)["kept"])
-    out = one.select(key, F.explode(F.arrays_zip("all", "kept")).alias("x"))
-    return out.select(key, F.col("x.all.o").alias(order), F.col("x.all.rows").alias("rows"), F.col("x.all.width").alias("width"), F.col("x.kept").alias("kept"))
+    some = tables.filter("rows > 0").select(key, order, F.col("rows").cast("long").alias("rows"), F.col("width").cast("long").alias("width"))
+    ordered = some.repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInPandas(fold, T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), *[T.StructField(c, T.LongType()) for c in ("rows", "width", "kept")]]))

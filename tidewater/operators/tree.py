@@ -1,33 +1,67 @@
-"""Section trees: trails, document order, nearest examples, distinct titles, column shares."""
+"""Section trees: trails, document order, nearest examples, distinct titles and ids, column shares, instructions and mirrors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.session import cut
+
+
+def climbed(nodes: DataFrame) -> DataFrame:
+    """(id, steps, top, state): steps is the path (ord, id, title) from the highest ancestor down to the node, top that
+    ancestor's parent; state is root, orphan (the parent isn't there) or cycle (none of its ancestors is a root; then steps is the node alone).
+
+    Pointer doubling: each round joins every path with that of its topmost ancestor, so a chain of n nodes takes log n rounds
+    of one join, whatever its depth; each round is checkpointed.
+    """
+    paths = cut(nodes.select("id", F.array(F.struct("ord", "id", "title")).alias("steps"), F.col("parent").alias("top")))
+    while True:
+        above = paths.select(F.col("id").alias("_id"), F.col("steps").alias("_steps"), F.col("top").alias("_top"))
+        joined = paths.join(above, F.col("top") == F.col("_id"), "left")
+        open = F.col("_id").isNotNull() & ~F.arrays_overlap(F.transform("steps", lambda x: x["id"]), F.transform("_steps", lambda x: x["id"]))
+        paths = cut(joined.select("id", F.when(open, F.concat("_steps", "steps")).otherwise(F.col("steps")).alias("steps"), F.when(open, F.col("_top")).otherwise(F.col("top")).alias("top"), open.alias("_open")))
+        if paths.filter("_open").isEmpty():
+            break
+        paths = paths.drop("_open")
+    known = nodes.select(F.col("id").alias("_id")).distinct()
+    state = F.when(F.col("top").isNull(), "root").when(F.col("_id").isNull(), "orphan").otherwise("cycle")
+    found = paths.join(known, F.col("top") == F.col("_id"), "left").withColumn("state", state)
+    return cut(found.select("id", F.when(F.col("state") == "cycle", F.slice("steps", -1, 1)).otherwise(F.col("steps")).alias("steps"), "top", "state"))
+
 
 def trails(nodes: DataFrame) -> DataFrame:
-    """Nodes (id, parent, title, ord) with depth from 0, trail of titles and path, a sort key of document order.
+    """(id, depth, trail): depth from 0 and the titles from the root on, for nodes (id, parent, title, ord).
 
-    Roots have a null parent. A recursive query walks down level by level; nodes on cycles are never reached.
+    Roots have a null parent. Nodes whose parent isn't there (orphans) count as roots of their own, and so does
+    every node that only a cycle leads to.
     """
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE t(id, depth, trail, path) AS (
-            SELECT id, 0, CAST(title AS STRING), lpad(CAST(ord AS STRING), 6, '0') FROM _tree_nodes WHERE parent IS NULL
-            UNION ALL
-            SELECT n.id, t.depth + 1, concat(t.trail, ' › ', n.title), concat(t.path, '/', lpad(CAST(n.ord AS STRING), 6, '0'))
-            FROM _tree_nodes n JOIN t ON n.parent = t.id)
-        SELECT id, depth, trail, path FROM t""")
+    return climbed(nodes).select("id", (F.size("steps") - 1).alias("depth"), F.array_join(F.transform("steps", lambda x: x["title"]), " › ").alias("trail"))
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
-    """(id, pos): place in document order from 1, by tree."""
-    t = trails(nodes).withColumn("root", F.split("path", "/")[0])
-    ahead = t.groupBy("root").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("root").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    pos = F.row_number().over(W.partitionBy("root").orderBy("path"))
-    return t.withColumn("i", pos).join(F.broadcast(ahead), "root").select("id", (F.col("before") + F.col("i")).cast("int").alias("pos"))
+    """(id, pos): place in document order from 1: roots with all below them in order of ord, then orphans' trees and nodes on cycles.
+
+    A node's place is the sum, over its ancestors and itself, of 1 and the sizes of the siblings before: joins and sums by
+    node, without a sort of the whole tree. Ties of ord go by id. Siblings are ordered in one task.
+    """
+    paths = climbed(nodes)
+    up = paths.select("id", F.posexplode(F.transform("steps", lambda x: x["id"])).alias("depth", "over"))
+    sizes = up.groupBy(F.col("over").alias("id")).agg(F.count("*").alias("size"))
+    heads = paths.select("id", F.when(F.col("state") == "root", 0).otherwise(1).alias("late"), F.when(F.size("steps") > 1, F.element_at("steps", -2)["id"]).alias("under"), F.element_at("steps", -1)["ord"].alias("ord"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("under", F.when(F.col("under").isNull(), F.col("late"))).orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = heads.join(sizes, "id").withColumn("own", before + 1)
+    rooted = placed.filter("under is null and late = 0").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rooted"))
+    own = placed.select(F.col("id").alias("over"), (F.col("own") + F.when(F.col("under").isNull() & (F.col("late") == 1), F.lit(1)).otherwise(0) * F.lit(rooted.first()[0])).alias("own"))
+    return up.join(own, "over").groupBy("id").agg(F.sum("own").cast("int").alias("pos"))
+
+
+def tree_stats(nodes: DataFrame) -> DataFrame:
+    """(root, nodes, leaves, depth) of each tree; depth counts levels."""
+    paths = climbed(nodes).select("id", F.element_at("steps", 1)["id"].alias("root"), F.size("steps").alias("depth"))
+    inner = nodes.select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    return paths.join(inner, "id", "left").groupBy("root").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("inner").isNull(), 1)).alias("leaves"), F.max("depth").alias("depth"))
 
 
 def nearest_example(blanks: DataFrame, examples: DataFrame, shape: list[str], ord_col: str = "ord", blocks: int = 64) -> DataFrame:
@@ -45,9 +79,10 @@ def nearest_example(blanks: DataFrame, examples: DataFrame, shape: list[str], or
     x = F.when(F.col("_e").isNotNull(), F.struct(F.col("_at").alias("o"), F.col("_e").alias("id")))
     places = places.withColumns({"_block": block, "_x": x})
     w = W.partitionBy(*shape, "_block").orderBy("_at")
+    back = W.partitionBy(*shape, "_block").orderBy(F.desc("_at"))
     near = places.withColumns({
         "_last": F.last("_x", True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-        "_next": F.first("_x", True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        "_next": F.last("_x", True).over(back.rowsBetween(W.unboundedPreceding, 0)),  # frames that end ahead are computed anew for each row
     })
     over = W.partitionBy(*shape).orderBy("_block")
     carried = places.groupBy(*shape, "_block").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
@@ -59,17 +94,117 @@ def nearest_example(blanks: DataFrame, examples: DataFrame, shape: list[str], or
     return blanks.withColumn("_at", F.col(ord_col)).join(found, [*shape, "_at"], "left").select("id", "example")
 
 
+def _nth(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str, mark: str) -> DataFrame:
+    n = F.row_number().over(W.partitionBy(*keys, value).orderBy(*order))
+    return rows.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(value), F.lit(mark), F.col("_n").cast("string"))).otherwise(F.col(value))).drop("_n")
+
+
 def distinct_titles(rows: DataFrame, keys: list[str], title: str, order: list[str], name: str = "title") -> DataFrame:
-    """The title, from its second use within keys on with its number behind."""
-    n = F.row_number().over(W.partitionBy(*keys, title).orderBy(*order))
-    return rows.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(title, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col(title))).drop("_n")
+    """The title, from its second use within keys on with ` #` and its number behind."""
+    return _nth(rows, keys, title, order, name, " #")
+
+
+def distinct_ids(rows: DataFrame, keys: list[str], base: str, order: list[str], name: str = "id") -> DataFrame:
+    """The id, from its second use within keys on with `_` and its number behind."""
+    return _nth(rows, keys, base, order, name, "_")
 
 
 def column_shares(rows: DataFrame, keys: list[str], width: str, index: str) -> DataFrame:
-    """The rows with pct: whole percentages that sum to 100 by keys, by largest remainder, then width, then index."""
+    """The rows with pct: whole percentages that sum to 100 by keys, by largest remainder, then width, then index.
+
+    Columns without a width (null or 0) count with the mean of the others, rounded down, or 1. Beyond 100 columns what is left goes to the widest.
+    """
     w = W.partitionBy(*keys)
-    exact = 100 * F.col(width) / F.sum(width).over(w)
-    shared = rows.withColumn("_e", exact).withColumn("_f", F.floor("_e"))
-    left = 100 - F.sum("_f").over(w)
-    r = F.row_number().over(w.orderBy(F.desc(F.round(F.col("_e") - F.col("_f"), 9)), F.desc(width), index))
-    return shared.withColumns({"_l": left, "_r": r}).withColumn("pct", (F.col("_f") + F.when(F.col("_r") <= F.col("_l"), 1).otherwise(0)).cast("int")).drop("_e", "_f", "_l", "_r")
+    known = F.floor(F.avg(F.when(F.col(width) > 0, F.col(width))).over(w))
+    raw = F.coalesce(F.when(F.col(width) > 0, F.col(width)), known, F.lit(1))
+    shared = rows.withColumn("_w", raw).withColumn("_e", 100 * F.col("_w") / F.sum("_w").over(w)).withColumn("_f", F.floor("_e"))
+    left, n = 100 - F.sum("_f").over(w), F.count("*").over(w)
+    r = F.row_number().over(w.orderBy(F.desc(F.round(F.col("_e") - F.col("_f"), 9)), F.desc("_w"), index))
+    widest = F.row_number().over(w.orderBy(F.desc("_w"), index))
+    shared = shared.withColumns({"_l": left, "_n": n, "_r": r, "_s": widest})
+    more = F.when(F.col("_r") <= F.col("_l"), 1).otherwise(0) + F.when(F.col("_s") == 1, F.greatest(F.col("_l") - F.col("_n"), F.lit(0))).otherwise(0)
+    return shared.withColumn("pct", (F.col("_f") + more).cast("int")).drop("_w", "_e", "_f", "_l", "_n", "_r", "_s")
+
+
+def instructions(nodes: DataFrame) -> DataFrame:
+    """(id, ref): the node whose instructions a node without any goes by, for nodes (id, parent, title, ord, has).
+
+    The nearest ancestor with some, else the first descendant in document order, else the node of the same chapter that is
+    nearest in order (the earlier one of a tie); null where there is none, and for nodes with their own.
+    """
+    paths = climbed(nodes).join(nodes.select("id", "has", F.col("ord").alias("here")), "id")
+    order = preorder(nodes)
+    paths = paths.join(order, "id").withColumn("chapter", F.element_at("steps", 1)["id"])
+    own = paths.filter("has").select(F.col("id").alias("ref"), F.col("pos").alias("rpos"), "chapter")
+    up = paths.select("id", F.posexplode(F.transform("steps", lambda x: x["id"])).alias("depth", "over"), "pos", "has")
+    above = up.filter("over <> id").join(own.select(F.col("ref").alias("over")), "over").groupBy("id").agg(F.max_by("over", "depth").alias("above"))
+    below = up.filter("has and over <> id").groupBy(F.col("over").alias("id")).agg(F.min_by("id", "pos").alias("below"))
+    near = nearest_example(paths.filter("not has").select("id", "chapter", F.col("pos").alias("ord")), own.select(F.col("ref").alias("id"), "chapter", F.col("rpos").alias("ord")), ["chapter"], blocks=1)
+    out = paths.select("id", "has").join(above, "id", "left").join(below, "id", "left").join(near, "id", "left")
+    return out.select("id", F.when(~F.col("has"), F.coalesce("above", "below", "example")).alias("ref"))
+
+
+def mirrors(nodes: DataFrame) -> DataFrame:
+    """(id, mirrors): the first node of its kind that a node repeats, for nodes (id, parent, title, ord, children, forms).
+
+    Titles like `[x 전략 n_...` have a kind and a number. The first of a kind under a parent is the one to repeat; others of it
+    without children and forms mirror it, but not those with the number 1.
+    """
+    p = r"^\[([^\]]*?전략)\s*(\d+)[_\s]"
+    kind = nodes.withColumns({"kind": F.trim(F.regexp_extract("title", p, 1)), "n": F.regexp_extract("title", p, 2)}).filter(F.col("title").rlike(p))
+    first = F.first("id").over(W.partitionBy("parent", "kind").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
+    repeats = (F.col("first") != F.col("id")) & (F.col("n") != "1") & (F.col("children") == 0) & (F.col("forms") == 0)
+    return nodes.select("id").join(kind.withColumn("first", first).filter(repeats).select("id", F.col("first").alias("mirrors")), "id", "left")
+
+
+def catalog_problems(nodes: DataFrame) -> DataFrame:
+    """(id, problem): ids that occur more than once, parents that aren't there, and nodes that no root leads to."""
+    twice = nodes.groupBy("id").count().filter("count > 1").select("id", F.lit("repeated id").alias("problem"))
+    orphans = nodes.filter("parent is not null").join(nodes.select(F.col("id").alias("parent")).distinct(), "parent", "left_anti").select("id", F.lit("unknown parent").alias("problem"))
+    one = nodes.groupBy("id").agg(F.min(F.struct("ord", "parent", "title")).alias("x")).select("id", "x.*")
+    circles = climbed(one).filter("state = 'cycle'").select("id", F.lit("cycle").alias("problem"))
+    return twice.union(orphans).union(circles)
+
+
+def table_kinds(tables: DataFrame, key: str, order: str, mark: str, example_mark: str) -> DataFrame:
+    """Tables with kind: howto, note, example, layout or blank, for tables (key, order, rows, cols, grid, opened).
+
+    opened says whether the text before holds `example_mark`; from there to the next howto all are examples. A table of
+    which 60 % is filled and whose shape is that of the table before it (howtos and notes aside) is an example too; a blank one
+    without a header is layout, and one with 55 % of its data filled an example.
+    """
+    flat = F.array_join(F.transform(F.flatten("grid"), lambda x: F.coalesce(x, F.lit(""))), "\n")
+    fill = lambda g: fill_ratio(g)
+    w = W.partitionBy(key).orderBy(order)
+    howto = F.col("_flat").contains(mark)
+    note = (F.col("rows") == 1) & (F.col("cols") == 1) & F.ltrim("_flat").startswith("※")
+    rows = tables.withColumn("_flat", flat).withColumn("_base", F.when(howto, "howto").when(note, "note"))
+    # the last of both events so far: an example section is open after its mark and closed after a howto; a mark comes before its table
+    event = F.when(F.col("_base") == "howto", F.lit(0)).when(F.col("opened"), F.lit(1))
+    rows = rows.withColumn("_open", F.coalesce(F.last(event, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) == 1)
+    shape = F.when(F.col("_base").isNull(), F.struct("rows", "cols"))
+    rows = rows.withColumn("_shape", F.last(shape, True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    same = F.coalesce(F.col("_shape") == F.struct("rows", "cols"), F.lit(False))
+    empty_head = ~F.exists(F.coalesce(F.try_element_at("grid", F.lit(1)), F.array()), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    blank = F.when(empty_head, "layout").when(fill(F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1)))) >= 0.55, "example").otherwise("blank")
+    kind = F.coalesce(F.col("_base"), F.when(F.col("_open") | ((fill(F.col("grid")) >= 0.6) & same), "example").otherwise(blank))
+    return rows.withColumn("kind", kind).drop("_flat", "_base", "_open", "_shape")
+
+
+def fill_ratio(grid: Column) -> Column:
+    """Share of the cells that aren't blank; 0 without cells."""
+    cells = F.flatten(grid)
+    return F.coalesce(F.size(F.filter(cells, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) / F.nullif(F.size(cells).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def howto(raw: Column, mark: str) -> Column:
+    """(purpose, method) of an instruction box: what follows the labels 작성 취지 and 작성 방법, in either order, after the box's own title."""
+    body = F.when(raw.contains(mark), F.substring(raw, F.instr(raw, F.lit(mark)) + len(mark), F.length(raw))).otherwise(raw)
+    at = {k: F.regexp_instr(body, F.lit(rf"작성\s*{k}")) for k in ("취지", "방법")}
+
+    def part(label: str, other: str) -> Column:
+        after = F.regexp_extract(body, rf"(?s)작성\s*{label}(.*)", 1)
+        cut_off = F.when(at[other] > at[label], F.regexp_replace(after, rf"(?s)작성\s*{other}.*", "")).otherwise(after)
+        return F.when(at[label] > 0, F.nullif(F.regexp_replace(cut_off, r"(?U)^\s+|\s+$", ""), F.lit("")))
+
+    return F.struct(part("취지", "방법").alias("purpose"), part("방법", "취지").alias("method"))

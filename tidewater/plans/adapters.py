@@ -33,12 +33,22 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and market segments as a tree of sections (id, parent, title, ord)."""
-    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"), F.col("r_regionkey").alias("ord"))
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("ord"))
-    s = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").cast("int").alias("ord"))
-    s = s.select(F.concat(F.lit("s"), "ord").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.col("c_mktsegment").alias("title"), "ord")
-    return r.union(n).union(s)
+    """A forest of sections (id, parent, title, ord): regions, nations, market segments and customers; a chain of 200 parts; and
+    every 97th customer's parent isn't there."""
+    text = lambda c: F.col(c).cast("string")
+    row = lambda df, i, parent, title, ord: df.select(i.alias("id"), parent.alias("parent"), title.alias("title"), ord.cast("long").alias("ord"))
+    customer = table(spark, sf_dir, "customer")
+    segments = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("ord"))
+    segment = lambda df: F.concat(F.lit("s"), text("c_nationkey"), F.lit("-"), "c_mktsegment")
+    r = row(table(spark, sf_dir, "region"), F.concat(F.lit("r"), text("r_regionkey")), F.lit(None).cast("string"), F.col("r_name"), F.col("r_regionkey"))
+    n = row(table(spark, sf_dir, "nation"), F.concat(F.lit("n"), text("n_nationkey")), F.concat(F.lit("r"), text("n_regionkey")), F.col("n_name"), F.col("n_nationkey"))
+    s = row(segments, segment(segments), F.concat(F.lit("n"), text("c_nationkey")), F.col("c_mktsegment"), F.col("ord"))
+    above = F.when(F.col("c_custkey") % 97 == 0, F.lit("gone")).otherwise(segment(customer))
+    c = row(customer, F.concat(F.lit("c"), text("c_custkey")), above, F.col("c_name"), F.col("c_custkey"))
+    part = table(spark, sf_dir, "part").filter("p_partkey between 1 and 200")
+    before = F.when(F.col("p_partkey") > 1, F.concat(F.lit("p"), (F.col("p_partkey") - 1).cast("string")))
+    p = row(part, F.concat(F.lit("p"), text("p_partkey")), before, F.concat(F.lit("t"), (F.col("p_partkey") % 10).cast("string")), F.col("p_partkey") + 100)
+    return r.union(n).union(s).union(c).union(p)
 
 
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import numbers, text
-from tidewater.operators import cards, indicators, ledger, outline, tables, tree
+from tidewater.operators import cards, forms, indicators, ledger, outline, tables, tree
 
 from . import adapters as a
+from . import documents
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -59,12 +60,27 @@ def title_dedupe(s: SparkSession, d: str) -> DataFrame:
     return tree.distinct_titles(p, ["c_nationkey"], "c_mktsegment", ["c_custkey"]).select("c_custkey", "title")
 
 
+def id_dedupe(s: SparkSession, d: str) -> DataFrame:
+    p = a.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return tree.distinct_ids(p, ["c_nationkey"], "c_mktsegment", ["c_custkey"]).select("c_custkey", "id")
+
+
+def tree_stats(s: SparkSession, d: str) -> DataFrame:
+    return tree.tree_stats(a.nodes(s, d))
+
+
 def col_percent(s: SparkSession, d: str) -> DataFrame:
     """Nations' customers as widths of a region's columns."""
-    c = a.table(s, d, "customer").groupBy("c_nationkey").count().join(F.broadcast(a.table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = a.table(s, d, "customer").groupBy("c_nationkey").count().join(a.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return tree.column_shares(c.select("n_regionkey", "n_nationkey", F.col("count").alias("width")), ["n_regionkey"], "width", "n_nationkey").select("n_regionkey", "n_nationkey", "pct")
 
 
+def col_percent_parts(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of a brand's parts as widths of more than 100 columns; those of size 1 count as unknown."""
+    p = a.table(s, d, "part").select("p_brand", "p_partkey", F.when(F.col("p_size") > 1, F.col("p_size")).alias("width"))
+    return tree.column_shares(p, ["p_brand"], "width", "p_partkey").select("p_brand", "p_partkey", "pct")
+
+
 def outline_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of documents by kind."""
     return outline.lines(a.table(s, d, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min("ln").alias("first"))
@@ -83,30 +99,54 @@ def count_under(s: SparkSession, d: str) -> DataFrame:
     return outline.count_under(a.manuscripts(s, d), "conv_id").withColumn("n", F.col("n").cast("int"))
 
 
-LIMITS = (("the", "max", 2), ("and", "min", 2), ("zzz", "max", 1))
+LIMITS = (("the", "max", 2), ("a n d", "min", 2), ("zzz", "max", 1), ("t", "max", 1), ("ing", "max", None))
 
 
 def check_limits(s: SparkSession, d: str) -> DataFrame:
-    limits = s.createDataFrame(list(LIMITS), "scope string, op string, n int")
-    return outline.check_limits(a.manuscripts(s, d), limits, "conv_id").withColumn("best", F.col("best").cast("int"))
+    m = a.manuscripts(s, d)
+    limits = m.select("conv_id").distinct().withColumn("l", F.explode(F.lit([x[0] for x in LIMITS]))).withColumnRenamed("l", "scope")
+    pick = lambda i, kind: F.element_at(F.create_map(*[F.lit(v) for x in LIMITS for v in (x[0], F.lit(x[i]).cast(kind))]), F.col("scope"))
+    limits = limits.withColumns({"op": pick(1, "string"), "n": pick(2, "int")})
+    return outline.check_limits(m, limits, "conv_id").withColumn("best", F.col("best").cast("int"))
 
 
 def find_limits(s: SparkSession, d: str) -> DataFrame:
-    t = a.table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("Within ")).otherwise(F.lit("at least  ")), F.col("o_orderkey") % 9, F.lit(" Items; at most 3 rows")).alias("t"))
-    return outline.find_limits(t, "o_orderkey", "t")
+    """Sentences with limits made from orders: two limits, a number of nothing that is counted, and one limit twice."""
+    k = F.col("o_orderkey")
+    n = lambda m: (k % m).cast("string")
+    said = (
+        F.when(k % 3 == 0, F.concat(F.lit("추진전략  "), n(9), F.lit("개  이내, 전략 3건 이상"))).when(k % 3 == 1, F.concat(F.lit("아무 말 5명 이하. 세부사업은 "), n(7), F.lit("명\n이하")))
+        .otherwise(F.lit("성과지표 4개 이상 성과지표 4개 이상, 그리고 아주 멀리 떨어져 있어서 그 무엇을 말하는지 더는 알 수가 없는 그런 수로 적은 2개 이내"))
+    )
+    return outline.find_limits(a.table(s, d, "orders").select("o_orderkey", said.alias("t")), "o_orderkey", "t")
+
+
+def outline_numbers(s: SparkSession, d: str) -> DataFrame:
+    return outline.numbered(a.manuscripts(s, d), "conv_id", "ln").select("conv_id", "ln", "level", "no")
+
+
+def few_children(s: SparkSession, d: str) -> DataFrame:
+    return outline.few_children(a.manuscripts(s, d), "conv_id", "ln", 2)
+
+
+def after_tables(s: SparkSession, d: str) -> DataFrame:
+    return forms.after_tables(a.manuscripts(s, d), "conv_id", "ln").select("conv_id", "ln", "kind")
 
 
-def _cards(s: SparkSession, d: str) -> DataFrame:
-    n = a.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").alias("ord"), F.format_string("%02d", F.col("n_regionkey")).alias("chapter"), (F.col("n_nationkey") - 7).cast("long").alias("mirrors"), F.length("n_name").alias("size"))
-    return n.alias("t").join(n.alias("c"), F.col("c.ord") <= F.col("t.ord")).select(F.col("t.id").alias("target"), F.col("c.id").alias("id"), F.col("c.ord").alias("ord"), cards.score().alias("score"), F.col("c.size").alias("size"))
+def _carded(s: SparkSession, d: str) -> DataFrame:
+    """Each order's lines as cards of a document, joined with each other within the order only."""
+    n = a.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("size"))
+    n = n.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_linenumber").alias("ord"), F.format_string("%02d", (F.col("l_linenumber") / 3).cast("int") + 1).alias("chapter"), (F.col("l_linenumber") - 2).cast("long").alias("mirrors"), "size")
+    return n.alias("t").join(n.alias("c"), (F.col("t.doc") == F.col("c.doc")) & (F.col("c.ord") <= F.col("t.ord"))).select(F.col("t.doc").alias("doc"), F.col("t.id").alias("target"), F.col("c.id").alias("id"), F.col("c.ord").alias("ord"), cards.score().alias("score"), F.col("c.size").alias("size"))
 
 
 def card_score(s: SparkSession, d: str) -> DataFrame:
-    return _cards(s, d).select("target", "id", "score")
+    return _carded(s, d).select("doc", "target", "id", "score")
 
 
 def card_pick(s: SparkSession, d: str) -> DataFrame:
-    return cards.pick(_cards(s, d), "target", 60, 5)
+    scored = _carded(s, d).withColumn("key", F.format_string("%d-%d", "doc", "target"))
+    return cards.pick(scored, "key", 90, 5)
 
 
 def number_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -151,15 +191,99 @@ def usable_models(s: SparkSession, d: str) -> DataFrame:
     return ledger.usable(used.select("day", "model", "n"), used)
 
 
+def usage_limits(s: SparkSession, d: str) -> DataFrame:
+    """A day's limit by model: the last one that an error named, else that of the model's family."""
+    e = a.table(s, d, "events")
+    family = F.element_at(F.array(*[F.lit(x) for x in ("x", "Flash-Lite", "flash", "pro")]), (F.col("user_id") % 4 + 1).cast("int"))
+    e = e.withColumn("model", F.concat(family, F.lit("-"), F.col("user_id").cast("string")))
+    named = F.when(F.col("event_type") == "error", F.floor("value").cast("long"))
+    return ledger.limits_of(ledger.usage(e, "model", "ts", F.col("event_type") == "error", limit=named)).select("day", "model", "rpd", "source", "label")
+
+
+def usage_days(s: SparkSession, d: str) -> DataFrame:
+    return ledger.daily(usage_ledger(s, d)).select("day", "total", "models", F.array_join(F.transform("exhausted", lambda x: x.cast("string")), ",").alias("exhausted"))
+
+
+def until_reset(s: SparkSession, d: str) -> DataFrame:
+    e = a.table(s, d, "events").select("event_id", ledger.until_reset(F.col("ts")).alias("u"), ledger.reset_text(F.col("ts"), "Asia/Seoul").alias("at"))
+    return e.select("event_id", "u.hours", "u.minutes", "at")
+
+
 def _models(s: SparkSession, d: str) -> DataFrame:
     p = a.table(s, d, "part")
     kind = F.element_at(F.array(F.lit("flash"), F.lit("flash-lite"), F.lit("pro")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return p.select("p_partkey", F.concat(F.lit("m-"), (F.col("p_size") % 5).cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("-"), kind).alias("name"), "p_brand")
+    odd = F.when(F.col("p_partkey") % 11 == 0, "-preview").when(F.col("p_partkey") % 13 == 0, "/x").when(F.col("p_partkey") % 17 == 0, "..1").otherwise("")
+    name = F.concat(F.when(F.col("p_partkey") % 7 == 0, "models/").otherwise(""), F.lit("m-"), (F.col("p_size") % 5).cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("-"), kind, odd)
+    return p.select("p_partkey", name.alias("name"), "p_brand")
 
 
 def model_order(s: SparkSession, d: str) -> DataFrame:
-    """The first model of each brand."""
-    return _models(s, d).groupBy("p_brand").agg(F.min(ledger.model_order(F.col("name"))).alias("m")).select("p_brand", F.col("m.name").alias("name"))
+    """Each brand's models in the order in which they are tried."""
+    return ledger.ordered_models(_models(s, d), ["p_brand"], "name", "p_partkey")
+
+
+def default_model(s: SparkSession, d: str) -> DataFrame:
+    return ledger.default_model(_models(s, d), ["p_brand"], "name", "p_partkey")
+
+
+def analyze_request(s: SparkSession, d: str) -> DataFrame:
+    """One place's requested codes in the year 1998, one of them unknown, with names from the items where the values have none."""
+    v = a.indicators(s, d).withColumns({"name": F.when(F.col("code") == "A1", "orders").otherwise(""), "unit": F.lit(None).cast("string")})
+    items = s.createDataFrame([("B2", "returned", "%", "b", "lines"), ("A2", "", "won", None, None)], "code string, name string, unit string, area string, area_name string")
+    places = a.places(s, d).withColumn("level", F.lit("시군구"))
+    return _rounded(indicators.analyze_place(v, places, items, 7, "province", ["B2", "zz", "A1", "A2"], "1998"))
+
+
+def report_facts(s: SparkSession, d: str) -> DataFrame:
+    rows = indicators.analyze(*_both(s, d), "province")
+    return indicators.report_facts(rows.withColumn("mine", F.when((F.col("place") + F.length("code")) % 5 != 0, F.col("mine"))))
+
+
+def report_lists(s: SparkSession, d: str) -> DataFrame:
+    return indicators.listed(indicators.analyze(*_both(s, d), "nation"), 1).select("place", "code", "list", "nth", F.round("position", 4).alias("position"))
+
+
+def report_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines of a report; their numbers' formats are tested by themselves."""
+    rows = indicators.analyze(*_both(s, d), "province").withColumns({"name": F.col("code"), "unit": F.lit("건")})
+    return indicators.report_lines(rows, 2, "province")
+
+
+def place_names(s: SparkSession, d: str) -> DataFrame:
+    nations = a.table(s, d, "nation").join(a.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counties = nations.select(F.col("n_nationkey").alias("place"), F.lit("시군구").alias("level"), F.col("r_name").alias("province"), F.col("n_name").alias("county"), (F.col("n_nationkey") % 7).alias("type"))
+    regions = a.table(s, d, "region").select((F.col("r_regionkey") + 100).alias("place"), F.lit("시도").alias("level"), F.col("r_name").alias("province"), F.lit(None).cast("string").alias("county"), F.lit(None).cast("int").alias("type"))
+    types = s.createDataFrame([(i, f"type {i}") for i in range(5)], "type int, label string")
+    return indicators.place_names(counties.union(regions), types)
+
+
+def provinces(s: SparkSession, d: str) -> DataFrame:
+    return indicators.provinces(a.places(s, d), "place")
+
+
+def commonest_priority(s: SparkSession, d: str) -> DataFrame:
+    o = a.table(s, d, "orders")
+    return forms.commonest(o, ["o_custkey"], "o_orderpriority", "o_orderkey")
+
+
+def majority_status(s: SparkSession, d: str) -> DataFrame:
+    return forms.majority(a.table(s, d, "orders"), ["o_custkey"], "o_orderstatus")
+
+
+def style_groups(s: SparkSession, d: str) -> DataFrame:
+    l = a.table(s, d, "lineitem").select(F.col("l_returnflag").alias("style"), F.col("l_linestatus").alias("para"), F.col("l_linenumber").alias("char"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("text"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    return forms.style_groups(l, "at").select("style", "para", "char", "n", F.array_join("samples", ",").alias("samples"))
+
+
+def match_ratio(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(forms.match_ratio(a.manuscripts(s, d), "conv_id", F.col("kind") == "item"))
+
+
+def dangling_parts(s: SparkSession, d: str) -> DataFrame:
+    """Parts ordered that aren't among those of size 3 and more, by return flag."""
+    used = a.table(s, d, "lineitem").select("l_returnflag", F.lit("part").alias("attr"), F.col("l_partkey").alias("ref"))
+    pool = a.table(s, d, "part").filter("p_size >= 3").select(F.explode(F.lit(["A", "N", "R"])).alias("l_returnflag"), F.lit("part").alias("attr"), F.col("p_partkey").alias("ref"))
+    return forms.dangling(used, pool, "l_returnflag", "attr", "ref").select("l_returnflag", F.size("missing").alias("n"), F.element_at("missing", 1).alias("first"), F.element_at("missing", -1).alias("last"))
 
 
 def fmt_ref(s: SparkSession, d: str) -> DataFrame:
@@ -188,6 +312,11 @@ QUERIES = {
     "nearest_example": nearest_example,
     "nearest_example_all": nearest_example_all,
     "title_dedupe": title_dedupe,
+    **{f.__name__: f for f in (
+        id_dedupe, tree_stats, col_percent_parts, outline_numbers, few_children, after_tables, usage_limits, usage_days, until_reset, default_model, analyze_request, report_facts, report_lists, report_lines, place_names,
+        provinces, commonest_priority, majority_status, style_groups, match_ratio, dangling_parts,
+    )},
+    "trend_facts": lambda s, d: _rounded(indicators.trend_facts(_trend(s, d))),
     "col_percent": col_percent,
     "outline_lines": outline_lines,
     "table_islands": table_islands,
@@ -207,6 +336,7 @@ QUERIES = {
     "usable_models": usable_models,
     "model_order": model_order,
     "fmt_ref": fmt_ref,
+    **documents.QUERIES,
 }
 
 _VALUES = """
@@ -257,11 +387,14 @@ _TREND = f"""{_known("province")},
     note AS (SELECT t.place, t.code, count(mine) AS years, coalesce((SELECT arg_max(s, year) FROM sc WHERE sc.place = t.place AND sc.code = t.code), -1) AS score
              FROM tr t GROUP BY ALL HAVING count(mine) >= 2)"""
 
-_NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, r_name AS title, r_regionkey AS ord FROM region
+_NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, r_name AS title, r_regionkey::BIGINT AS ord FROM region
       UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey FROM nation
-      UNION ALL SELECT 's' || min(c_custkey), 'n' || c_nationkey, c_mktsegment, min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment),
-    t AS (SELECT id, 0 AS depth, title AS trail, lpad(ord::VARCHAR, 6, '0') AS path FROM nodes WHERE parent IS NULL
-      UNION ALL SELECT n.id, t.depth + 1, t.trail || ' › ' || n.title, t.path || '/' || lpad(n.ord::VARCHAR, 6, '0') FROM nodes n JOIN t ON n.parent = t.id)"""
+      UNION ALL SELECT 's' || c_nationkey || '-' || c_mktsegment, 'n' || c_nationkey, c_mktsegment, min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment
+      UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'gone' ELSE 's' || c_nationkey || '-' || c_mktsegment END, c_name, c_custkey FROM customer
+      UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey > 1 THEN 'p' || (p_partkey - 1) END, 't' || (p_partkey % 10), p_partkey + 100 FROM part WHERE p_partkey BETWEEN 1 AND 200),
+    tops AS (SELECT *, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS late FROM nodes WHERE parent IS NULL OR parent NOT IN (SELECT id FROM nodes)),
+    t AS (SELECT id, id AS root, 0 AS depth, title AS trail, late || '/' || lpad(ord::VARCHAR, 20, '0') || id AS path FROM tops
+      UNION ALL SELECT n.id, t.root, t.depth + 1, t.trail || ' › ' || n.title, t.path || '/' || lpad(n.ord::VARCHAR, 20, '0') || n.id FROM nodes n JOIN t ON n.parent = t.id)"""
 
 _LINES = """msx AS (SELECT conv_id, turn AS ln, coalesce(text, '') AS text, (coalesce(length(text), 0) + turn)::INT AS z FROM conversations),
     ms AS (SELECT conv_id, ln, text, CASE WHEN z % 7 = 0 THEN 'table' WHEN z % 11 = 0 THEN 'text' ELSE 'item' END AS kind, z % 4 + 1 AS lv FROM msx)"""
@@ -277,10 +410,18 @@ _UNDER = f"""{_LINES},
              AND NOT EXISTS (SELECT 1 FROM ms q WHERE q.conv_id = tab.conv_id AND q.ln > tab.t AND q.ln < m.ln AND q.kind <> 'table')), 0) END AS n
            FROM tab)"""
 
-_CARDS = """n AS (SELECT n_nationkey::BIGINT AS id, n_nationkey AS ord, lpad(n_regionkey::VARCHAR, 2, '0') AS chapter, (n_nationkey - 7)::BIGINT AS mirrors, length(n_name) AS size FROM nation),
-    sc AS (SELECT t.id AS target, c.id, c.ord, c.size, CASE WHEN c.id = t.id THEN 0 ELSE 10 + CASE WHEN t.mirrors = c.id THEN 100 ELSE 0 END + CASE WHEN c.chapter = '01' THEN 60 ELSE 0 END
+_CARDS = """n AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS id, l_linenumber AS ord, lpad((l_linenumber // 3 + 1)::VARCHAR, 2, '0') AS chapter, (l_linenumber - 2)::BIGINT AS mirrors, max(l_quantity)::INT AS size FROM lineitem GROUP BY ALL),
+    sc AS (SELECT t.doc, t.id AS target, c.id, c.ord, c.size, CASE WHEN c.id = t.id THEN 0 ELSE 10 + CASE WHEN t.mirrors = c.id THEN 100 ELSE 0 END + CASE WHEN c.chapter = '01' THEN 60 ELSE 0 END
              + CASE WHEN c.chapter = t.chapter THEN 40 ELSE 0 END + CASE WHEN c.ord = t.ord - 1 THEN 30 ELSE 0 END + greatest(0, 20 - (t.ord - c.ord)) END::INT AS score
-           FROM n t JOIN n c ON c.ord <= t.ord)"""
+           FROM n t JOIN n c ON t.doc = c.doc AND c.ord <= t.ord)"""
+
+_NAMES = """m AS (SELECT p_brand, p_partkey, regexp_replace(CASE WHEN p_partkey % 7 = 0 THEN 'models/' ELSE '' END || 'm-' || (p_size % 5) || '.' || (p_partkey % 4) || '-' || CASE p_partkey % 3 WHEN 0 THEN 'flash' WHEN 1 THEN 'flash-lite' ELSE 'pro' END
+             || CASE WHEN p_partkey % 11 = 0 THEN '-preview' WHEN p_partkey % 13 = 0 THEN '/x' WHEN p_partkey % 17 = 0 THEN '..1' ELSE '' END, '^models/', '') AS name, p_size % 5 * 100 + p_partkey % 4 AS v FROM part),
+    w AS (SELECT *, contains(name, 'flash') AS fl, contains(name, 'lite') AS li FROM m WHERE NOT contains(name, 'preview') AND NOT contains(name, '/') AND NOT contains(name, '..')),
+    o AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY fl DESC, CASE WHEN fl THEN NOT li END, CASE WHEN fl THEN -v END, CASE WHEN fl THEN name END, CASE WHEN NOT fl THEN p_partkey END)::INT AS nth FROM w)"""
+
+#: White space as Spark's patterns have it with (?U).
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
 ORACLES: dict[str, str] = {
     "indicator_long": f"WITH {_VALUES} SELECT code, year, place, round(value, 4) AS value FROM vals",
@@ -292,9 +433,10 @@ ORACLES: dict[str, str] = {
     "analyze_all_types": f"WITH {_analysis('type')} SELECT {_ROUNDED} FROM ana",
     "analyze_all_nation": f"WITH {_analysis('nation')} SELECT {_ROUNDED} FROM ana",
     "band_split": f"WITH {_analysis('province')} SELECT place, code, CASE WHEN mine < q1 THEN 'below' WHEN mine > q3 THEN 'above' ELSE 'inside' END AS band FROM ana",
-    "top_bottom": f"""WITH {_analysis('nation')}, r AS (SELECT place, code, rank::INT AS rank, n, (rank - 1) / (n - 1)::DOUBLE AS p FROM ana WHERE mine IS NOT NULL AND n >= 5),
-        l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY p, code) AS b, row_number() OVER (PARTITION BY place ORDER BY p DESC, code DESC) AS w FROM r)
-        SELECT place, code, CASE WHEN b <= 2 THEN 'top' ELSE 'bottom' END AS list, rank, n FROM l WHERE b <= 2 OR w <= 2""",
+    "top_bottom": f"""WITH {_analysis('nation')}, r AS (SELECT place, code, rank::INT AS rank, n, (rank - 0.5) / n * 100 AS p FROM ana WHERE mine IS NOT NULL AND n >= 5),
+        l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY p, code) AS b, count(*) OVER (PARTITION BY place) AS m FROM r),
+        x AS (SELECT *, CASE WHEN m < 4 THEN ceil(m / 2.0) ELSE 2 END AS hi, CASE WHEN m < 4 THEN m - ceil(m / 2.0) ELSE 2 END AS lo FROM l)
+        SELECT place, code, CASE WHEN b <= hi THEN 'top' ELSE 'bottom' END AS list, rank, n FROM x WHERE b <= hi OR b > m - lo""",
     "trend_series": f"WITH {_TREND} SELECT place, code, year, round(mine, 4) AS mine, round(avg, 4) AS avg, n, round(q1, 4) AS q1, round(q3, 4) AS q3, round(nation_avg, 4) AS nation_avg FROM tr",
     "trend_noteworthy": f"WITH {_TREND} SELECT place, code, years, round(score, 4) AS score FROM note",
     "trend_pick": f"""WITH {_TREND}, k AS (SELECT place, code, score FROM note QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, code) <= 2)
@@ -311,35 +453,37 @@ ORACLES: dict[str, str] = {
         SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
     "nearest_example_all": """WITH b AS (SELECT * FROM part WHERE coalesce(p_size <= 25, false)), e AS (SELECT * FROM part WHERE NOT coalesce(p_size <= 25, false))
         SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
-    "title_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || ' (' || n || ')' ELSE c_mktsegment END AS title
+    "title_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || ' #' || n ELSE c_mktsegment END AS title
         FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""",
     "col_percent": """WITH c AS (SELECT n_regionkey, n_nationkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
         e AS (SELECT *, 100 * w / sum(w) OVER (PARTITION BY n_regionkey)::DOUBLE AS e FROM c), f AS (SELECT *, floor(e) AS f FROM e),
         r AS (SELECT *, 100 - sum(f) OVER (PARTITION BY n_regionkey) AS l, row_number() OVER (PARTITION BY n_regionkey ORDER BY round(e - f, 9) DESC, w DESC, n_nationkey) AS r FROM f)
         SELECT n_regionkey, n_nationkey, (f + CASE WHEN r <= l THEN 1 ELSE 0 END)::INT AS pct FROM r""",
     "outline_lines": r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r')) AS t, unnest(range(0, len(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'))))::INT AS ln FROM documents),
-        s AS (SELECT doc_id, ln, regexp_replace(regexp_replace(t, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM l),
-        k AS (SELECT doc_id, ln, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^[|]?[ :|-]*-{3,}[ :|-]*$') THEN 'sep' WHEN contains(t, ' | ') OR starts_with(t, '|') THEN 'table'
-              WHEN starts_with(t, '※') THEN 'note' WHEN regexp_matches(t, '^(#{1,4} |[○▪·] ?|- )') THEN 'item' ELSE 'text' END AS kind FROM s)
-        SELECT doc_id, kind, count(*) AS n, min(ln) AS first FROM k GROUP BY ALL""",
+        s AS (SELECT doc_id, ln, regexp_replace(t, '^@+|@+$', '', 'g') AS t FROM l),
+        k AS (SELECT doc_id, ln, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^\|[\s:|─-]+\|?$') THEN 'sep' WHEN starts_with(t, '|') THEN 'table'
+              WHEN starts_with(t, '※') OR starts_with(t, '주)') OR starts_with(t, '자료:') OR starts_with(t, '자료：') THEN 'note' WHEN regexp_matches(t, '^(#{1,4}@|[○▪·-](@|$))') THEN 'item' ELSE 'text' END AS kind FROM s)
+        SELECT doc_id, kind, count(*) AS n, min(ln) AS first FROM k GROUP BY ALL""".replace("@", _SPACE),
     "table_islands": f"""WITH {_LINES}, g AS (SELECT conv_id, ln, row_number() OVER (PARTITION BY conv_id ORDER BY ln) - row_number() OVER (PARTITION BY conv_id, kind = 'item' ORDER BY ln) AS g, kind FROM ms)
         SELECT conv_id, min(ln) AS first, max(ln) AS last, count(*) AS n FROM g WHERE kind = 'item' GROUP BY conv_id, g""",
     "level_jump": f"""WITH {_LINES}, j AS (SELECT conv_id, ln, lv AS level, lag(lv) OVER (PARTITION BY conv_id ORDER BY ln) AS before FROM ms WHERE kind = 'item')
         SELECT conv_id, ln, level, before FROM j WHERE level > before + 1""",
     "count_under": f"WITH {_UNDER} SELECT conv_id, ln, n::INT AS n FROM cu",
-    "check_limits": f"""WITH {_UNDER}, lim(scope, op, n) AS (VALUES ('the', 'max', 2), ('and', 'min', 2), ('zzz', 'max', 1)),
+    "check_limits": f"""WITH {_UNDER}, lim(scope, key, op, n) AS (VALUES ('the', 'the', 'max', 2), ('a n d', 'and', 'min', 2), ('zzz', 'zzz', 'max', 1), ('t', 't', 'max', 1), ('ing', 'ing', 'max', NULL)),
         c AS (SELECT ms.conv_id, regexp_replace(ms.text, '\\s+', '', 'g') AS t, cu.n FROM ms JOIN cu USING (conv_id, ln)),
-        b AS (SELECT conv_id, scope, max(c.n) AS best FROM c JOIN lim ON contains(t, scope) GROUP BY ALL)
-        SELECT k.conv_id, lim.scope, lim.op, lim.n, b.best::INT AS best, CASE WHEN b.conv_id IS NULL THEN 'missing' WHEN best IS NULL THEN 'empty' WHEN op = 'max' AND best > n THEN 'over' WHEN op = 'min' AND best < n THEN 'under' ELSE 'ok' END AS verdict
+        b AS (SELECT conv_id, scope, max(c.n) AS best FROM c JOIN lim ON contains(t, key) WHERE lim.n IS NOT NULL AND length(key) > 1 GROUP BY ALL)
+        SELECT k.conv_id, lim.scope, lim.op, lim.n::INT AS n, b.best::INT AS best, CASE WHEN lim.n IS NULL OR length(key) < 2 THEN 'unclear' WHEN b.conv_id IS NULL THEN 'missing' WHEN best IS NULL THEN 'empty' WHEN op = 'max' AND best > n THEN 'over' WHEN op = 'min' AND best < n THEN 'under' ELSE 'ok' END AS verdict
         FROM (SELECT DISTINCT conv_id FROM ms) k CROSS JOIN lim LEFT JOIN b ON b.conv_id = k.conv_id AND b.scope = lim.scope""",
-    "find_limits": """SELECT o_orderkey, 0 AS i, CASE WHEN o_orderkey % 2 = 0 THEN 'within ' ELSE 'at least ' END || (o_orderkey % 9) || ' items' AS token, CASE WHEN o_orderkey % 2 = 0 THEN 'max' ELSE 'min' END AS op, (o_orderkey % 9)::INT AS n FROM orders
-        UNION ALL SELECT o_orderkey, 1, 'at most 3 rows', 'max', 3 FROM orders""",
-    "card_score": f"WITH {_CARDS} SELECT target, id, score FROM sc",
-    "card_pick": f"""WITH RECURSIVE {_CARDS}, o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ord) AS i FROM sc WHERE score > 0),
-        p AS (SELECT target, i, id, ord, CASE WHEN 5 + size + 1 > 60 THEN 5 ELSE 5 + size + 1 END AS used, 5 + size + 1 <= 60 AS got FROM o WHERE i = 1
-          UNION ALL SELECT o.target, o.i, o.id, o.ord, CASE WHEN p.used + o.size + 1 > 60 THEN p.used ELSE p.used + o.size + 1 END, p.used + o.size + 1 <= 60 FROM p JOIN o ON o.target = p.target AND o.i = p.i + 1)
-        SELECT target, ord, id FROM p WHERE got""",
-    "number_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[0-9][0-9,.]*[0-9]|[0-9])(?: ?%)?') AS a FROM documents),
+    "find_limits": """SELECT o_orderkey, 0 AS i, '추진전략 ' || (o_orderkey % 9) || '개 이내' AS text, '추진전략' AS scope, 'max' AS op, (o_orderkey % 9)::INT AS n, '개' AS unit FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 1, '전략 3건 이상', '전략', 'min', 3, '건' FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 0, '세부사업은 ' || (o_orderkey % 7) || '명 이하', '세부사업', 'max', (o_orderkey % 7)::INT, '명' FROM orders WHERE o_orderkey % 3 = 1
+        UNION ALL SELECT o_orderkey, 0, '성과지표 4개 이상', '성과지표', 'min', 4, '개' FROM orders WHERE o_orderkey % 3 = 2""",
+    "card_score": f"WITH {_CARDS} SELECT doc, target, id, score FROM sc",
+    "card_pick": f"""WITH RECURSIVE {_CARDS}, o AS (SELECT doc || '-' || target AS key, id, ord, size, row_number() OVER (PARTITION BY doc, target ORDER BY score DESC, ord) AS i FROM sc WHERE score > 0),
+        p AS (SELECT key, i, id, ord, CASE WHEN 5 + size + 1 > 90 THEN 5 ELSE 5 + size + 1 END AS used, 5 + size + 1 <= 90 AS got FROM o WHERE i = 1
+          UNION ALL SELECT o.key, o.i, o.id, o.ord, CASE WHEN p.used + o.size + 1 > 90 THEN p.used ELSE p.used + o.size + 1 END, p.used + o.size + 1 <= 90 FROM p JOIN o ON o.key = p.key AND o.i = p.i + 1)
+        SELECT key, ord, id FROM p WHERE got""",
+    "number_tokens": r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(\d[\d,]*(?:\.\d+)?)\s*(?:%|퍼센트|명|가구|개소|개|건|곳|억원|백만원|천원|원|년|세|회)'), x -> regexp_replace(x, '\s+', '', 'g')) AS a FROM documents),
         u AS (SELECT doc_id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM t), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
         SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE r <= 12), '') AS numbers FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""",
@@ -353,8 +497,56 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.i, CASE WHEN used >= 100 THEN 0 ELSE least(o.rows, greatest(1, (100 - used) // o.width)) END,
             used + CASE WHEN used >= 100 THEN 0 ELSE least(o.rows, greatest(1, (100 - used) // o.width)) * o.width END FROM p JOIN o ON o.l_orderkey = p.l_orderkey AND o.i = p.i + 1)
         SELECT l_orderkey, l_linenumber, kept::INT AS kept FROM p""",
-    "model_order": """WITH m AS (SELECT p_brand, p_size % 5 AS a, p_partkey % 4 AS b, p_partkey % 3 AS k FROM part)
-        SELECT p_brand, arg_min('m-' || a || '.' || b || '-' || CASE k WHEN 0 THEN 'flash' WHEN 1 THEN 'flash-lite' ELSE 'pro' END, (k * 1000000 - a * 100 - b)) AS name FROM m GROUP BY ALL""",
+    "model_order": f"WITH {_NAMES} SELECT p_brand, name, nth FROM o",
+}
+
+ORACLES |= {
+    "default_model": f"WITH {_NAMES} SELECT p_brand, arg_min(name, nth) AS name FROM o WHERE contains(name, 'flash-lite') GROUP BY ALL",
+    "id_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || '_' || n ELSE c_mktsegment END AS id
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""",
+    "tree_stats": f"WITH RECURSIVE {_NODES} SELECT root, count(*) AS nodes, count(*) FILTER (WHERE id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)) AS leaves, max(depth) + 1 AS depth FROM t GROUP BY root",
+    "col_percent_parts": """WITH p AS (SELECT p_brand, p_partkey, CASE WHEN p_size > 1 THEN p_size END AS w0 FROM part), w AS (SELECT *, coalesce(w0, floor(avg(w0) OVER (PARTITION BY p_brand)), 1) AS w FROM p),
+        e AS (SELECT *, 100 * w / sum(w) OVER (PARTITION BY p_brand)::DOUBLE AS e FROM w), f AS (SELECT *, floor(e) AS f FROM e),
+        r AS (SELECT *, 100 - sum(f) OVER (PARTITION BY p_brand) AS l, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY round(e - f, 9) DESC, w DESC, p_partkey) AS r, row_number() OVER (PARTITION BY p_brand ORDER BY w DESC, p_partkey) AS s FROM f)
+        SELECT p_brand, p_partkey, (f + CASE WHEN r <= l THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN greatest(l - n, 0) ELSE 0 END)::INT AS pct FROM r""",
+    "outline_numbers": f"""WITH {_LINES}, i AS (SELECT conv_id, ln, lv FROM ms WHERE kind = 'item'),
+        a AS (SELECT *, coalesce((SELECT max(y.ln) FROM i y WHERE y.conv_id = x.conv_id AND y.ln < x.ln AND y.lv < x.lv), -1) AS above FROM i x)
+        SELECT conv_id, ln, lv AS level, row_number() OVER (PARTITION BY conv_id, lv, above ORDER BY ln)::INT AS no FROM a""",
+    "few_children": f"""WITH {_LINES}, i AS (SELECT conv_id, ln, lv FROM ms WHERE kind = 'item'),
+        s AS (SELECT *, (SELECT min(y.ln) FROM i y WHERE y.conv_id = x.conv_id AND y.ln > x.ln AND y.lv <= x.lv) AS stop FROM i x),
+        c AS (SELECT conv_id, ln, lv AS level, (SELECT count(*) FROM i y WHERE y.conv_id = s.conv_id AND y.ln > s.ln AND (stop IS NULL OR y.ln < stop) AND y.lv = s.lv + 1)::INT AS n FROM s)
+        SELECT * FROM c WHERE n < 2""",
+    "after_tables": f"""WITH {_LINES}, k AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY ln) AS b FROM ms WHERE kind = 'table' OR trim(text) <> '')
+        SELECT conv_id, ln, kind FROM k WHERE b = 'table' AND kind <> 'table'""",
+    "analyze_request": f"""WITH {_VALUES}, cur AS (SELECT v.*, p.province, p.type FROM vals v JOIN places p USING (place) WHERE year = 1998),
+        me AS (SELECT * FROM cur WHERE place = 7), asked(ord, code, name, unit, area, area_name) AS (VALUES (0, 'B2', 'returned', '%', 'b', 'lines'), (2, 'A1', 'orders', '', NULL, NULL), (3, 'A2', 'A2', 'won', NULL, NULL)),
+        g AS (SELECT code, {_STATS} FROM cur WHERE province = (SELECT DISTINCT province FROM me) GROUP BY code)
+        SELECT asked.ord, 7 AS place, code, 1998 AS year, round(me.value, 4) AS mine, (1 + (SELECT count(*) FROM cur x WHERE x.code = me.code AND x.province = me.province AND x.value > me.value))::INT AS rank, n, round(avg, 4) AS avg, round(min, 4) AS min, round(q1, 4) AS q1,
+          round(q3, 4) AS q3, round(max, 4) AS max, round((SELECT avg(value) FROM cur x WHERE x.code = me.code AND x.type = me.type), 4) AS peer_avg, (SELECT count(value) FROM cur x WHERE x.code = me.code AND x.type = me.type) AS peer_n,
+          round((SELECT avg(value) FROM cur x WHERE x.code = me.code), 4) AS nation_avg, (SELECT count(value) FROM cur x WHERE x.code = me.code) AS nation_n, name, unit, area, area_name
+        FROM asked JOIN me USING (code) JOIN g USING (code)""",
+    "report_facts": f"""WITH {_analysis('province')}, x AS (SELECT place, code, n, year, CASE WHEN (place + length(code)) % 5 <> 0 THEN mine END AS mine FROM ana)
+        SELECT place, count(*) AS codes, coalesce(min(n) FILTER (WHERE n > 0), 0) AS n_min, coalesce(max(n) FILTER (WHERE n > 0), 0) AS n_max, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (WHERE mine IS NULL) AS missing,
+               coalesce(array_to_string(list_sort(list(code) FILTER (WHERE mine IS NULL))[1:3], ', '), '') AS missing_names FROM x GROUP BY place""",
+    "report_lists": f"""WITH {_analysis('nation')}, r AS (SELECT place, code, mine, q1, q3, (rank - 0.5) / n * 100 AS p FROM ana WHERE mine IS NOT NULL AND n >= 5),
+        l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY p, code) AS b, count(*) OVER (PARTITION BY place) AS m FROM r),
+        x AS (SELECT *, CASE WHEN b <= CASE WHEN m < 2 THEN ceil(m / 2.0) ELSE 1 END THEN 'high' WHEN b > m - CASE WHEN m < 2 THEN m - ceil(m / 2.0) ELSE 1 END THEN 'low' WHEN mine < q1 OR mine > q3 THEN 'outside' ELSE 'inside' END AS list FROM l)
+        SELECT place, code, list, (CASE list WHEN 'high' THEN b WHEN 'low' THEN m - b + 1 ELSE row_number() OVER (PARTITION BY place, list ORDER BY code) END)::INT AS nth, round(p, 4) AS position FROM x""",
+    "trend_facts": f"""WITH {_TREND}, e AS (SELECT place, code, arg_min(mine, year) AS first, arg_max(mine, year) AS last, max(year) AS year, arg_max(mine - avg, year) AS gap FROM tr WHERE mine IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+        SELECT e.place, e.code, round(first, 4) AS first, round(last, 4) AS last, CASE WHEN abs(last - first) < abs(coalesce(nullif(first, 0), 1)) * 0.02 THEN 'flat' WHEN last > first THEN 'up' ELSE 'down' END AS direction,
+               e.year, round(gap, 4) AS gap, last >= q1 AND last <= q3 AS within FROM e JOIN tr ON tr.place = e.place AND tr.code = e.code AND tr.year = e.year""",
+    "place_names": """SELECT n_nationkey AS place, r_name || ' ' || n_name AS name, CASE WHEN n_nationkey % 7 < 5 THEN 'type ' || (n_nationkey % 7) END AS type_label FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region""",
+    "provinces": "SELECT r_name AS province, row_number() OVER (ORDER BY min(n_nationkey))::INT AS ord FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "commonest_priority": """WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS at FROM orders GROUP BY ALL)
+        SELECT o_custkey, o_orderpriority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, at) = 1""",
+    "majority_status": """WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_custkey) AS m FROM orders GROUP BY ALL)
+        SELECT o_custkey, o_orderstatus, n FROM c WHERE o_orderstatus IS NOT NULL AND n >= greatest(1, floor(m / 2))""",
+    "style_groups": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+        SELECT l_returnflag AS style, l_linestatus AS para, l_linenumber AS char, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY i) FILTER (WHERE i <= 3) AS samples FROM r GROUP BY ALL""",
+    "match_ratio": f"WITH {_LINES} SELECT conv_id, round(avg((kind = 'item')::INT), 4) AS ratio, avg((kind = 'item')::INT) < 0.35 AS guess FROM ms GROUP BY ALL",
+    "dangling_parts": "SELECT l_returnflag, count(DISTINCT l_partkey)::INT AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 3) GROUP BY l_returnflag",
+    **documents.ORACLES,
 }
 
 # The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.
@@ -362,4 +554,13 @@ ORACLES |= {
     "zone_day": "SELECT event_id, (ts - INTERVAL 8 HOUR)::DATE AS day, epoch(((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR)::BIGINT AS reset FROM events",
     "usage_ledger": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS exhausted FROM events GROUP BY ALL",
     "usable_models": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL HAVING NOT bool_or(event_type = 'error')",
+    "usage_limits": """WITH e AS (SELECT *, CASE user_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'Flash-Lite' WHEN 2 THEN 'flash' ELSE 'pro' END || '-' || user_id AS model, CASE WHEN event_type = 'error' THEN floor(value)::BIGINT END AS lim FROM events),
+        l AS (SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, model, user_id % 4 AS f, arg_max(lim, ts) FILTER (WHERE lim > 0) AS lim FROM e GROUP BY ALL)
+        SELECT day, model, CASE WHEN lim > 0 THEN lim ELSE CASE f WHEN 1 THEN 1000 WHEN 2 THEN 250 WHEN 3 THEN 100 ELSE 0 END END AS rpd, CASE WHEN lim > 0 THEN 'observed' WHEN f > 0 THEN 'reference' ELSE 'unknown' END AS source,
+               CASE f WHEN 1 THEN 'Flash-Lite' WHEN 2 THEN 'Flash' WHEN 3 THEN 'Pro' ELSE '' END AS label FROM l""",
+    "usage_days": """WITH l AS (SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS x FROM events GROUP BY ALL)
+        SELECT day, sum(n)::BIGINT AS total, count(*) AS models, coalesce(string_agg(model::VARCHAR, ',' ORDER BY model) FILTER (WHERE x), '') AS exhausted FROM l GROUP BY day""",
+    "until_reset": """WITH u AS (SELECT event_id, ((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR AS at, date_trunc('second', ts) AS ts FROM events), v AS (SELECT *, epoch(at)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM u)
+        SELECT event_id, (s // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, strftime(at + INTERVAL 9 HOUR, '%-m.%-d. %H:%M') AS at FROM v""",
+    "stream_usage": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -1,0 +1,246 @@
+"""Queries over manuscripts, sections, cards, forms, messages and files, most of them literal rows (fixtures)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import numbers, text
+from tidewater.operators import cards, forms, ledger, markers, outline, tree
+from tidewater.session import shared_dir
+from tidewater.sources import attachments, series
+from tidewater.streaming.usage import usage_stream
+
+from . import adapters as a
+from . import fixtures as x
+from .expected import EXPECTED
+
+
+def manuscripts(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(x.MANUSCRIPTS, "id string, no string, title string, text string")
+
+
+def sections(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(x.NODES, "id string, parent string, title string, ord int, has boolean, children int, forms int")
+
+
+def _flat(rows) -> F.Column:
+    """Rows of cells as one text: cells by |, rows by /."""
+    return F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "/")
+
+
+def marker_blocks(s: SparkSession, d: str) -> DataFrame:
+    b = markers.blocks(manuscripts(s), "id", "text")
+    return b.select("id", "line", "kind", "level", "text", _flat("rows").alias("rows"), "caption", F.array_join(F.transform("cols", lambda c: c.cast("int").cast("string")), ",").alias("cols"), "name")
+
+
+def marker_footnotes(s: SparkSession, d: str) -> DataFrame:
+    m = manuscripts(s)
+    n = markers.footnotes(markers.blocks(m, "id", "text"), markers.definitions(m, "id", "text"), "id")
+    return n.select("id", "line", "label", "note", "offset", "before", "after", "number", "use")
+
+
+def marker_issues(s: SparkSession, d: str) -> DataFrame:
+    return markers.issues(manuscripts(s), "id", "text")
+
+
+def issue_tally(s: SparkSession, d: str) -> DataFrame:
+    return markers.tally(markers.issues(manuscripts(s), "id", "text"), "id")
+
+
+def marker_chapters(s: SparkSession, d: str) -> DataFrame:
+    return markers.chapters(manuscripts(s), "id", "text")
+
+
+def bar_tables(s: SparkSession, d: str) -> DataFrame:
+    return outline.bar_tables(manuscripts(s), "id", "text").select("id", "ln", F.array_join("cells", "|").alias("cells"))
+
+
+def table_shapes(s: SparkSession, d: str) -> DataFrame:
+    return outline.table_shapes(manuscripts(s), "id", "text").select("id", "nth", F.array_join("header", "|").alias("header"), "cols", "n")
+
+
+def form_issues(s: SparkSession, d: str) -> DataFrame:
+    need = s.createDataFrame([("01-가", 1, ["전략 명", "과제"], 2), ("01-가", 2, ["x"], 1), ("02-가", 1, ["연도", "예산", None], 3)], "id string, nth int, header array<string>, cols int")
+    return outline.form_issues(need, outline.table_shapes(manuscripts(s), "id", "text"), "id")
+
+
+def _cards(s: SparkSession) -> DataFrame:
+    c = cards.cards(manuscripts(s), "id", "no", "title", "text")
+    parts = [F.col(n) for n in ("id", "no", "title", "names", "points", "tables", "numbers")]
+    return c.withColumn("card", cards.card_text(*parts))
+
+
+def card_texts(s: SparkSession, d: str) -> DataFrame:
+    return _cards(s).select("id", F.array_join("heads", "/").alias("heads"), "card")
+
+
+def card_of_documents(s: SparkSession, d: str) -> DataFrame:
+    """Cards of all documents: their sizes stay within the bound but for one very wide table."""
+    docs = a.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("no"), "source", "text")
+    c = cards.cards(docs, "id", "no", "source", "text")
+    card = cards.card_text(*[F.col(n) for n in ("id", "no", "source", "names", "points", "tables", "numbers")])
+    return c.select("id", F.size("numbers").alias("numbers"), F.size("tables").alias("tables"), (text.units16(card) <= cards.MOST).alias("fits"))
+
+
+def card_context(s: SparkSession, d: str) -> DataFrame:
+    """What each section is told of those before it."""
+    n = sections(s).join(tree.mirrors(sections(s)), "id").select("id", "ord", "mirrors", cards.chapter(F.col("id")).alias("chapter"))
+    have = _cards(s).select(F.col("id").alias("card_id"), "card").join(n.select(F.col("id").alias("card_id"), "ord", "chapter"), "card_id")
+    t, c = n.alias("t"), have.withColumnRenamed("card_id", "id").alias("c")
+    scored = t.join(c, F.col("c.ord") <= F.col("t.ord")).select(F.col("t.id").alias("target"), F.col("c.id"), F.col("c.ord"), cards.score().alias("score"), (text.units16(F.col("c.card")) + 0).alias("size"), F.col("c.card"))
+    taken = cards.pick(scored.drop("card"), "target", 700, cards.HEADER_SIZE)
+    return cards.context(taken.join(have.select(F.col("card_id").alias("id"), "card"), "id"), "target", "ord", "card")
+
+
+def merge_cards(s: SparkSession, d: str) -> DataFrame:
+    old = s.createDataFrame([("a", 0, "x"), ("b", 1, "y"), ("c", 2, "z")], "id string, ord int, card string")
+    new = s.createDataFrame([("b", 0, "Y"), ("e", 1, "n"), ("d", 2, "m"), ("d", 3, "M")], "id string, ord int, card string")
+    return cards.merged(old, new)
+
+
+def section_instructions(s: SparkSession, d: str) -> DataFrame:
+    return tree.instructions(sections(s))
+
+
+def section_mirrors(s: SparkSession, d: str) -> DataFrame:
+    return tree.mirrors(sections(s))
+
+
+def section_problems(s: SparkSession, d: str) -> DataFrame:
+    twice = sections(s).union(sections(s).filter("id = '03'"))
+    return tree.catalog_problems(twice)
+
+
+def section_order(s: SparkSession, d: str) -> DataFrame:
+    return tree.preorder(sections(s)).join(tree.trails(sections(s)), "id")
+
+
+def section_stats(s: SparkSession, d: str) -> DataFrame:
+    return forms.catalog_stats(sections(s))
+
+
+def table_kinds(s: SparkSession, d: str) -> DataFrame:
+    t = s.createDataFrame(x.TABLES, "id string, seq int, rows int, cols int, grid array<array<string>>, opened boolean")
+    k = tree.table_kinds(t, "id", "seq", "◆ 작성 취지 및 방법 ◆", "작성양식 및 예시")
+    h = F.when(F.col("kind") == "howto", tree.howto(F.array_join(F.flatten("grid"), "\n"), "◆ 작성 취지 및 방법 ◆"))
+    return k.select("id", "seq", "kind", F.round(tree.fill_ratio(F.col("grid")), 4).alias("filled"), h["purpose"].alias("purpose"), h["method"].alias("method"))
+
+
+def blank_forms(s: SparkSession, d: str) -> DataFrame:
+    f = s.createDataFrame([("a", [(2, "blank"), (0, "howto"), (1, "blank")]), ("b", []), ("c", [(None, "blank"), (3, "blank")])], "id string, forms array<struct<idx:int,kind:string>>")
+    return forms.blank_forms(f, "id")
+
+
+def headings(s: SparkSession, d: str) -> DataFrame:
+    h = s.createDataFrame([(1, "가. 목표"), (1, "[첨부 2] 자료"), (1, "1) 아님"), (2, " 3) 세부 "), (3, "(4) 더"), (3, "4) 아님")], "depth int, line string")
+    one = F.coalesce(*[F.when(F.col("depth") == k, text.heading(F.col("line"), k)) for k in (1, 2, 3)])
+    return h.select("depth", "line", one["no"].alias("no"), one["title"].alias("title"))
+
+
+def contents(s: SparkSession, d: str) -> DataFrame:
+    t = s.createDataFrame([("01제6기 방향  _ 76",), ("02재정_80",), ("머리말 _ 3",)], "line string").withColumn("t", text.toc_entry(F.col("line")))
+    return t.select("line", "t.chapter", "t.page")
+
+
+def message_faults(s: SparkSession, d: str) -> DataFrame:
+    m = s.createDataFrame(x.MESSAGES, "id int, message string")
+    return m.select("id", ledger.fault(F.col("message")).alias("fault"), ledger.limit_in(F.col("message")).alias("limit"), ledger.replacement_in(F.col("message")).alias("instead"))
+
+
+def number_formats(s: SparkSession, d: str) -> DataFrame:
+    v = s.createDataFrame([(i, v) for i, v in enumerate([0.123456, 12.5, 250.44, 1.005, 1234.56, 3.4e8, 5.1e12, -0.005, -1234.5, 999.95, float("nan"), None])], "i int, v double")
+    return v.select("i", numbers.amount(F.when(~F.isnan("v"), F.col("v")), "%").alias("amount"), numbers.reference(F.col("v")).alias("reference"), numbers.plain(F.col("v")).alias("plain"))
+
+
+def axis_ticks(s: SparkSession, d: str) -> DataFrame:
+    v = s.createDataFrame([(1, -3.2, 1.8), (2, 0.0, 0.0), (3, 0.0, 100.0), (4, 0.013, 0.019)], "i int, low double, high double")
+    return v.select("i", F.posexplode(numbers.ticks(F.col("low"), F.col("high"))).alias("nth", "tick"))
+
+
+def text_tools(s: SparkSession, d: str) -> DataFrame:
+    """Small text functions, one result a row."""
+    one = lambda name, c: F.struct(F.lit(name).alias("what"), c.cast("string").alias("result"))
+    t, v = F.lit, text
+    attrs = v.split_attrs(t('기획부 {fill=#dce, Link="점선"}'))
+    rows = [
+        one("bullet", v.marker_of(t("•"))), one("square", v.marker_of(t("■"))), one("no bullet", v.marker_of(t("x"))), one("fence", v.strip_fence(t("```md\nhi\n``` "))), one("cell", v.table_cell(t(" a|b\nc "))),
+        one("empty cell", v.table_cell(t("  "))), one("file name", v.safe_name(t("a/b: c"))), one("column", v.column_index(t("BC12"))), one("no column", v.column_index(t("12"))), one("after a final", v.particle(t("집"))),
+        one("after a vowel", v.particle(t("나"))), one("archive path", v.zip_path(t("xl"), t("../a/./b"))), one("root path", v.zip_path(t("xl"), t("/xl/c"))), one("extension", v.extension(t("a.B.Txt"))), one("no extension", v.extension(t("abc"))),
+        one("short", v.ellipsize(t("가나다라마"), 10.0, 35.0)), one("fits", v.ellipsize(t("가나"), 10.0, 35.0)), one("width", F.round(v.text_width(t("a i가–"), 10.0), 4)), one("lines", F.size(v.split_lines(t("a b\r\nc\n")))), one("no lines", F.size(v.split_lines(t("")))),
+        one("header", v.header_line(F.array(t("a\nb"), t(None)))), one("no header", v.header_line(F.array(t(" "), t(None)))), one("limit", v.limit_sentence(t("전략"), t("max"), t(5), t("개"), t("전략 5개 이내"))), one("least", v.limit_sentence(t(None), t("min"), t(None).cast("int"), t(""), t(None))),
+        one("attrs text", attrs["text"]), one("fill", v.color(attrs["attrs"]["fill"])), one("link", v.line_type(attrs["attrs"]["link"])), one("no color", v.color(t("red"))), one("round half even", F.bround(t(2.5), 0).cast("int")), one("crc32", F.crc32(t("123456789").cast("binary"))),
+        one("units", v.units16(t("a😀"))), one("clip", v.clip(t(" a　 bcdef"), 4)), one("chapter", cards.chapter(t("03-나-1"))),
+    ]
+    return s.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.what", "r.result")
+
+
+def indent_tree(s: SparkSession, d: str) -> DataFrame:
+    t = s.createDataFrame([("a", "본부 {fill=#123456}\n  - 기획과\n\t\t팀\n  재무과\n\n지부\n    먼 팀\n  가까운 팀"), ("b", "")], "id string, text string")
+    return markers.indent_tree(t, "id", "text").select("id", "ln", "parent", "depth", "text", F.array_join(F.map_values("attrs"), ",").alias("attrs"))
+
+
+def diagram_relations(s: SparkSession, d: str) -> DataFrame:
+    t = s.createDataFrame([("d", "a", 0), ("d", "b", 1), ("d", "c", 2)], "id string, name string, at int")
+    l = s.createDataFrame([("d", "a", "b"), ("d", "c", "b"), ("d", "a", "c"), ("d", "a", "q")], "id string, a string, b string")
+    return forms.relations(l, t, "id")
+
+
+def package_entries(s: SparkSession, d: str) -> DataFrame:
+    p = s.createDataFrame([(1, ["mimetype", "x"], ["k2", "k1"], ["k1", "k3"]), (2, ["META-INF/container.xml", "mimetype"], [], ["k"])], "id int, have array<string>, tokens array<string>, blocks array<string>")
+    b = forms.placed_blocks(F.col("tokens"), F.col("blocks"))
+    return p.select("id", F.array_join(forms.missing_entries(F.col("have"), ("mimetype", "META-INF/container.xml")), ",").alias("missing"), F.array_join(b["placed"], ",").alias("placed"), F.array_join(b["missing"], ",").alias("lost"))
+
+
+def attachment_files(s: SparkSession, d: str) -> DataFrame:
+    f = s.createDataFrame(x.files(), "name string, content binary")
+    return attachments.extract_files(f).select("name", "ext", "mode", "text", F.array_join(F.transform("tables", _flat), " # ").alias("tables"), "inline", F.col("error").isNotNull().alias("failed"))
+
+
+def series_files(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(s)}/series-{uuid.uuid4().hex}"
+    s.createDataFrame([(t,) for t in x.SERIES], "value string").repartition(2).write.text(path)
+    return series.read_series(s, path)
+
+
+def stream_usage(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, in one run to its end: uses of a day by model, from the last state of each hour."""
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    schema = a.table(s, d, "events").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
+
+    q = usage_stream(events, "user_id", "ts", late="400 days").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    last = s.read.parquet(f"{folder}/rows").groupBy("day", "hour", "model").agg(F.max_by("n", "batch").alias("n"))
+    return last.groupBy("day", "model").agg(F.sum("n").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
+        section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
+        series_files, stream_usage,
+    )
+}
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """SQL for literal rows; a column is a name and a type."""
+    def one(v) -> str:
+        if v is None:
+            return "NULL"
+        return str(v) if isinstance(v, bool | int | float) else "'" + v.replace("'", "''") + "'"
+
+    pairs = [c.split(" ") for c in columns.split(", ")]
+    cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in pairs)
+    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({', '.join(n for n, _ in pairs)})"
+
+
+#: What the fixtures must give, as literal rows.
+ORACLES = {name: _values(*what) for name, what in EXPECTED.items()}

@@ -1,9 +1,10 @@
-"""Attached files to text and tables: csv, html, xlsx, pptx, txt and md; images and pdf pass as base64."""
+"""Attached files to text and tables: csv, html, xlsx, pptx, hwpx, txt and md; images and pdf pass as base64."""
 
 from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.tables import delimiter, room, squared
+
 # Limits of a file and of its tables, and what is read how.
 MAX_BYTES, MAX_CELLS, MAX_COLUMNS = 20 * 1024 * 1024, 40_000, 4096
 TEXT, INLINE = ("txt", "md"), ("pdf", "png", "jpg", "jpeg")
@@ -29,33 +32,19 @@ def decode(data: bytes) -> str:
     return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def delimiter(sample: str) -> str:
-    def key(item: tuple[int, str]) -> tuple:
-        counts = [len(r) for r in list(csv.reader(io.StringIO(sample), delimiter=item[1]))[:5] if r] or [0]
-        mean = sum(counts) / len(counts)
-        return mean > 1, -sum((c - mean) ** 2 for c in counts) / len(counts), mean, -item[0]
-
-    return max(enumerate(",\t;"), key=key)[1]
-
-
-def square(rows: list[list[str]]) -> list[list[str]]:
-    rows = [r for r in rows if any(c != "" for c in r)]
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
-
-
 def cap(tables: list[list[list[str]]], most: int = MAX_CELLS) -> list[list[list[str]]]:
     used, out = 0, []
     for t in tables:
-        if t and used < most:
-            out.append(t[: max(1, (most - used) // max(1, len(t[0])))])
-            used += sum(map(len, out[-1]))
+        kept = t[: room(used, len(t), len(t[0]) if t else 0, most)]
+        if kept:
+            out.append(kept)
+            used += sum(map(len, kept))
     return out
 
 
 def from_csv(data: bytes) -> tuple[str, list]:
     text = decode(data)
-    return "", [square([[c.strip() for c in r] for r in csv.reader(io.StringIO(text), delimiter=delimiter(text[:65536]))])]
+    return "", [squared([[c.strip() for c in r] for r in csv.reader(io.StringIO(text), delimiter=delimiter(text[:65536]))])]
 
 
 class _Html(HTMLParser):
@@ -100,7 +89,7 @@ class _Html(HTMLParser):
             self.close_cell()
         elif tag == "table" and self.open:
             self.close_cell()
-            self.tables.append(square(self.open.pop()))
+            self.tables.append(squared(self.open.pop()))
 
     def handle_data(self, data):
         if not self.skip:
@@ -123,6 +112,11 @@ def _all(root, name: str) -> list:
     return [e for e in root.iter() if _local(e) == name]
 
 
+def _path(base: str, target: str) -> str:
+    """The archive's entry that `target` means from the folder `base`."""
+    return target[1:] if target.startswith("/") else posixpath.normpath(f"{base}/{target}")
+
+
 def _number(name: str) -> int:
     return int((re.findall(r"\d+", name) or ["0"])[-1])
 
@@ -138,7 +132,7 @@ def from_xlsx(data: bytes) -> tuple[str, list]:
     shared = [shown(e) for e in _all(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
     files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)
     if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
-        targets = {e.get("Id"): "xl/" + e.get("Target", "").removeprefix("/xl/").removeprefix("./") for e in _all(ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")), "Relationship")}
+        targets = {e.get("Id"): _path("xl", e.get("Target", "")) for e in _all(ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")), "Relationship")}
         ids = [next((v for k, v in e.attrib.items() if k.endswith("}id")), None) for e in _all(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet")]
         files = [targets[i] for i in ids if targets.get(i) in names] or files
     tables = []
@@ -162,7 +156,7 @@ def from_xlsx(data: bytes) -> tuple[str, list]:
                 if at < MAX_COLUMNS:
                     cells[at] = raw.strip()
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        tables.append(square(rows))
+        tables.append(squared(rows))
     return "", [t for t in tables if t]
 
 
@@ -175,11 +169,29 @@ def from_pptx(data: bytes) -> tuple[str, list]:
         said = lambda p: "".join("\n" if _local(e) == "br" else e.text or "" for e in p.iter() if _local(e) in ("t", "br"))
         in_tables = {id(p) for t in _all(root, "tbl") for p in _all(t, "p")}
         text += [said(p) for p in _all(root, "p") if id(p) not in in_tables and said(p).strip()]
-        tables += [square([["<br>".join(said(p) for p in _all(c, "p")) for c in _all(r, "tc")] for r in _all(t, "tr")]) for t in _all(root, "tbl")]
+        tables += [squared([["<br>".join(said(p) for p in _all(c, "p")) for c in _all(r, "tc")] for r in _all(t, "tr")]) for t in _all(root, "tbl")]
     return "\n".join(text), [t for t in tables if t]
 
 
-READERS = {"csv": from_csv, "html": from_html, "htm": from_html, "xlsx": from_xlsx, "xlsm": from_xlsx, "pptx": from_pptx}
+def from_hwpx(data: bytes) -> tuple[str, list]:
+    """Paragraphs of the body's sections, with their tables as bar tables where they stand, and the tables."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    text, tables = [], []
+    said = lambda p: "".join(t.text or "" for r in p if _local(r) == "run" for t in r if _local(t) == "t")
+    for name in sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=_number):
+        for p in (e for e in ElementTree.fromstring(z.read(name)) if _local(e) == "p"):
+            if said(p).strip():
+                text.append(said(p).strip())
+            for t in (t for r in p if _local(r) == "run" for t in r if _local(t) == "tbl"):
+                rows = squared([["\n".join(map(said, _all(c, "p"))).strip() for c in r if _local(c) == "tc"] for r in t if _local(r) == "tr"])
+                if rows:
+                    tables.append(rows)
+                    lines = ["| " + " | ".join(" ".join(c.replace("|", "∣").split()) or " " for c in r) + " |" for r in rows]
+                    text += [lines[0], "|" + "---|" * len(rows[0]), *lines[1:]]
+    return "\n".join(text), tables
+
+
+READERS = {"csv": from_csv, "html": from_html, "htm": from_html, "xlsx": from_xlsx, "xlsm": from_xlsx, "pptx": from_pptx, "hwpx": from_hwpx}
 
 
 def extract(name: str, data: bytes) -> dict:
@@ -214,7 +226,14 @@ def extract(name: str, data: bytes) -> dict:
 def read_attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """A row of SCHEMA for each file under path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return extract_files(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+    return extract_files(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").filter("name not like '.%'"))
+
+
+def listed(spark: SparkSession, path: str, extension: str = "") -> DataFrame:
+    """(name, bytes) of the files in a folder by name, without hidden ones, of one extension if it is given."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    return files.filter("name not like '.%'").filter(F.lower("name").endswith(extension.lower())).orderBy("name")
 
 
 def extract_files(files: DataFrame) -> DataFrame:
