@@ -1,32 +1,25 @@
-"""Shared pieces of the training-data operators: the shared folder, lineage cuts and components."""
+"""Shared pieces of the training-data operators: stored tables, bounded batches and components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own where it is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later steps read it from the shared folder, so lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """df, whose Arrow batches are to hold about `size` bytes: with the session's default of 64 MB, several buffers of that size
+    a task add up to more than what an executor leaves beside its heap. A session that sets another size keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) in ("67108864", "67108864b", "64m", "64MB"):
+        conf.set(BATCH, str(size))
+    return df
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded, table
 from .words import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 4000, 20  # longer texts give so many parts, spread from start to end
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[
             langs, scores = m.predict([t.decode("utf-8", "replace") for t in texts], lookup)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

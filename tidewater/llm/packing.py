@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import bounded, cut, stored, table
 from .words import slices
 
 CAPACITY, END = 1024, 2
-SALTED = 1 << 16  # pieces of a length that are ranked together, on average
+SALTED = 1 << 11  # pieces of a length that are ranked together, on average
 
 
 class CapacityTree:
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str, str
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

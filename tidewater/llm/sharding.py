@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SALTED = 1 << 16  # rows of a shard that are numbered together, on average
+SALTED = 1 << 14  # rows of a shard that are numbered together, on average
 
 
 @dataclass(frozen=True)

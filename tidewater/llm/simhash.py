@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, stored, table
+from .common import bounded, connected_components, cut, stored, table
 from .words import slices
 
 BITS, SEGMENTS, BLOCKS = 3, 32, 6
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return bounded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))).mapInArrow(run, "id long, fp long")
 
 
 def _masks() -> tuple[list[int], list[int]]:

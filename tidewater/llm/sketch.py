@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, stored, table
+from .common import bounded, parts, stored, table
 from .words import Words, slices
 
 SHINGLE, FRACTION, FLOOR = 5, 1 / 16, 32
@@ -89,7 +89,7 @@ def document_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b, texts in slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([encode(x) for x in sketches(texts)], pa.string())], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -155,7 +155,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield end("last", *held[0])
 
-    found = stored(rows.mapInArrow(run, f"{_OUT}, part int, kind string, text string"))
+    found = stored(bounded(rows).mapInArrow(run, f"{_OUT}, part int, kind string, text string"))
     ends = found.filter("kind is not null").select("doc_id", "part", "kind", "text")
     starts = ends.filter("kind = 'first'").select(F.col("part").alias("p"), F.col("text").alias("following"))
     # a row for each partition: the next one that has rows, after the last one the first

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, row_key, stored, table
+from .common import bounded, drop, row_key, stored, table
 from .words import U, Words, mix, slices
 
 WINDOW, PREFIX, STEPS = 50, 16, 4
@@ -123,7 +123,7 @@ def _edges(docs: DataFrame, window: int, prefix: int, k: int) -> DataFrame:
                     key = [b.column(c).take(pa.array(e.text[one])) for c in ("id", "k1", "k2")]
                     yield pa.RecordBatch.from_arrays([*key, _signed(e.group[one]), _signed(e.label[one]), pa.array(e.words[one])], names=["id", "k1", "k2", "group", "label", "words"])
 
-    return docs.mapInArrow(run, f"{KEY}, group long, label long, words long")
+    return bounded(docs).mapInArrow(run, f"{KEY}, group long, label long, words long")
 
 
 def _leaves(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _leaves(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 text = pa.array([data[s:t] for s, t in zip(at.tolist(), stop.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(e.text[i])), _signed(e.group[i]), _signed(e.label[i]), text], names=["id", "group", "label", "slice"])
 
-    return docs.mapInArrow(run, "id long, group long, label long, slice binary")
+    return bounded(docs).mapInArrow(run, "id long, group long, label long, slice binary")
 
 
 def deep_nodes(words: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
@@ -302,7 +302,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *added])
 
     fields = [T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType()))]
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__marks", "__open").mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return bounded(rows.select(*[F.col(f"`{c}`") for c in names], "__marks", "__open")).mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import bounded, shared_dir, stored, table
 
 # fixed values of the seekable format
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -134,7 +134,7 @@ def write(pages: DataFrame, folder: str | None = None, frame: int = FRAME, level
             out.write(seek_table(frames))
             out.close()
 
-    return stored(rows.mapInArrow(run, INDEX))
+    return stored(bounded(rows).mapInArrow(run, INDEX))
 
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bounded, stored, table
 from .words import slices
 
 GROUP, LEAST_PAGES, LEAST_PART = 64, 4, 0.5
@@ -435,7 +435,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             made = [pa.array(c, k) for c, k in zip(zip(*cols), (strings, strings, longs, ints, flags, strings, ints))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(trees, pa.string()), pa.array(hashes, pa.int64()), *made], names=["page_id", "url", "host", "tree", "h", *LEAVES.replace(",", "").split()[::2]])
 
-    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, tree string, h long, {LEAVES}")
+    return bounded(rows).mapInArrow(run, f"page_id {kind}, url string, host string, tree string, h long, {LEAVES}")
 
 
 def template(found: DataFrame) -> DataFrame:
