@@ -10,6 +10,7 @@ from tidewater.functions import numbers, text
 from tidewater.operators import cards, indicators, ledger, outline, tables, tree
 from tidewater.sources import attachments, series
 
+# Published sample quantiles and means.
 GOLD = {
     (1.0, 2.0, 3.0, 4.0): (1.75, 3.25, 2.5),
     (0.5, 1.25, 3.5, 7.0, 9.0, 11.5): (1.8125, 8.5, 5.458333333333333),
@@ -79,11 +80,123 @@ def test_outline_and_limits(spark):
     assert [r.kind for r in m.filter("d = 1").orderBy("ln").collect()] == ["item", "item", "item", "item", "item", "note", "item", "table", "sep", "table", "table", "blank", "text", "item"]
     n = {r.ln: r.n for r in outline.count_under(m, "d").collect()}
     assert (n[0], n[1], n[6], n[13]) == (3, 3, 2, None)
-    limits = spark.createDataFrame([("Goals", "max", 2), ("Table", "min", 1), ("None", "max", 9), ("zz", "max", 1)], "scope string, op string, n int")
+    limits = [("Goals", "max", 2), ("Table", "min", 1), ("None", "max", 9), ("zz", "max", 1)]
+    limits = spark.createDataFrame([(d, *x) for d in (1, 2) for x in limits], "d int, scope string, op string, n int")
     got = {(r.d, r.scope): r.verdict for r in outline.check_limits(m, limits, "d").collect()}
     assert [got[1, s] for s in ("Goals", "Table", "None", "zz")] == ["over", "ok", "empty", "missing"] and got[2, "Goals"] == "missing"
 
 
+def test_lines_by_kind(spark):
+    said = ["a | b", "---", "○x", "○ x", "○", "주) y", "자료: z", "| a", "|--|", "|:-─|", "##", "## t", "- ", "-x", "", " ※ n"]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    got = [r.k for r in df.select("i", text.line_kind(F.col("t")).alias("k")).orderBy("i").collect()]
+    assert got == ["text", "text", "text", "item", "item", "note", "note", "table", "sep", "sep", "text", "item", "item", "text", "blank", "note"]
+
+
+def test_model_order(spark):
+    names = ["x-pro", "m-2.0-flash", "m-1.5-flash-lite", "m-2.5-flash", "m-2.5-flash-lite", "a-pro", "m-3.0-flash-exp", "models/m-2.0-flash-lite", "b/../c"]
+    df = spark.createDataFrame([(1, n, i) for i, n in enumerate(names)], "k int, name string, i int")
+    got = [r.name for r in ledger.ordered_models(df, ["k"], "name", "i").orderBy("nth").collect()]
+    assert got == ["m-2.5-flash-lite", "m-2.0-flash-lite", "m-1.5-flash-lite", "m-2.5-flash", "m-2.0-flash", "x-pro", "a-pro"]
+    assert ledger.default_model(df, ["k"], "name", "i").first().name == "m-2.5-flash-lite"
+
+
+def test_few_rankable_codes_are_halved(spark):
+    ranks = {"a": (1, 5), "b": (2, 100), "c": (50, 100), "d": (5, 5), "e": (1, 4)}
+    rows = [(1, c, 1.0, r, n, None, None) for c, (r, n) in ranks.items()]
+    df = spark.createDataFrame(rows, "place int, code string, mine double, rank int, n int, q1 double, q3 double")
+    got = {(r.code, r.list) for r in indicators.top_bottom(df, 3).collect()}
+    assert got == {("b", "top"), ("a", "top"), ("c", "bottom"), ("d", "bottom")}  # 2 of 100 is before 1 of 5, and four members are too few
+    lists = {r.code: (r.list, r.nth) for r in indicators.listed(df, 1).collect()}
+    assert lists == {"b": ("high", 1), "d": ("low", 1), "a": ("inside", 1), "c": ("inside", 2)}
+
+
+def test_analyze_one_place(spark):
+    places = spark.createDataFrame([(1, "a", 1, "시군구"), (2, "a", None, "시군구"), (3, "a", 1, "시도")], "place int, province string, type int, level string")
+    values = spark.createDataFrame([("x", 2020, 1, 5.0), ("x", 2020, 2, float("nan")), ("x", 2021, 3, 7.0)], "code string, year int, place int, value double")
+    items = spark.createDataFrame([("x", "name", None, None, None)], "code string, name string, unit string, area string, area_name string")
+    r = indicators.analyze_place(values, places, items, 1, "province", ["y", "x"]).first()
+    assert (r.ord, r.year, r.mine, r["rank"], r.n, r.name, r.unit, r.nation_n) == (1, 2020, 5.0, 1, 1, "name", "", 1)
+    assert indicators.analyze_place(values, places, items, 1, "province", ["x"], "2021").count() == 0
+    for bad in ((9, "province", ["x"], None), (3, "province", ["x"], None), (2, "type", ["x"], None), (1, "province", ["x"], "soon")):
+        with pytest.raises(ValueError):
+            indicators.analyze_place(values, places, items, *bad)
+
+
+def test_limits_in_a_text(spark):
+    said = "전략 계획을 쓰되 추진전략은 3개\n이내, 전략 2건 이상으로 하고 4명 이하. 추진전략 3개 이내. 있는 5개 이내"
+    got = [(r.i, r.text, r.scope, r.op, r.n, r.unit) for r in outline.find_limits(spark.createDataFrame([(1, said), (2, None)], "k int, t string"), "k", "t").orderBy("i").collect()]
+    assert got == [(0, "추진전략은 3개 이내", "추진전략", "max", 3, "개"), (1, "전략 2건 이상", "전략", "min", 2, "건"), (2, "전략 2건 이상으로 하고 4명 이하", "전략", "max", 4, "명"), (3, "추진전략 3개 이내. 있는 5개 이내", "추진전략", "max", 5, "개")]
+
+
+def test_numbers_with_their_units(spark):
+    r = spark.range(1).select(text.number_tokens(F.lit("1,200 억원, 30%와 30 %, 2.5회 7 x 3개소")).alias("n")).first()
+    assert r.n == ["1,200억원", "30%", "2.5회", "3개소"]
+
+
+def test_deep_trees_orphans_and_circles(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, "t", i) for i in range(300)]
+    odd = [("o", "nobody", "t", -5), ("o1", "o", "t", 2_000_000), ("o2", "o", "t", 1_000_000), ("c1", "c2", "t", 3), ("c2", "c1", "t", 4), ("c3", "c3", "t", 5), ("below", "c1", "t", 6), ("first", None, "t", -1)]
+    df = spark.createDataFrame(chain + odd, "id string, parent string, title string, ord long")
+    pos = {r.id: r.pos for r in tree.preorder(df).collect()}
+    order = sorted(pos, key=pos.get)
+    assert sorted(pos.values()) == list(range(1, 309)) and order == ["first", *[f"n{i}" for i in range(300)], "o", "o2", "o1", "c1", "c2", "c3", "below"]
+    assert tree.trails(df).filter("id = 'n299'").first().depth == 299
+    assert {(r.id, r.problem) for r in tree.catalog_problems(df).collect()} == {("o", "unknown parent"), *((c, "cycle") for c in ("c1", "c2", "c3", "below"))}
+
+
+def test_count_under_is_linear_and_right(spark):
+    import random
+
+    r = random.Random(1)
+    kinds = ["item"] * 5 + ["table"] * 4 + ["sep", "blank", "text", "note"]
+    rows = [(k, i, kind, r.randint(1, 8) if kind == "item" else None, "x") for k in range(30) for i, kind in enumerate(r.choice(kinds) for _ in range(r.randint(1, 60)))]
+
+    def slow(lines, at):
+        level, child, n, table = lines[at][3], None, 0, None
+        for j in range(at + 1, len(lines)):
+            kind = lines[j][2]
+            if kind == "table" and child is None and table is None:
+                table = -1
+                for x in lines[j:]:
+                    if x[2] == "sep":
+                        continue
+                    if x[2] != "table":
+                        break
+                    table += 1
+            elif kind == "item":
+                if lines[j][3] <= level:
+                    break
+                child = child or lines[j][3]
+                n += lines[j][3] == child
+        return n or table or None
+
+    got = {(x.k, x.ln): x.n for x in outline.count_under(spark.createDataFrame(rows, "k int, ln int, kind string, level int, text string"), "k").collect()}
+    for k in range(30):
+        lines = [x for x in rows if x[0] == k]
+        assert {i: got[k, i] for i, x in enumerate(lines) if x[2] == "item"} == {i: slow(lines, i) for i, x in enumerate(lines) if x[2] == "item"}
+
+
+def test_cards_shrink_to_their_bound(spark):
+    long = "\n".join(["# 목표 " + "가" * 80] + [f"○ {i} " + "나" * 120 for i in range(24)] + [f"- 사업 {i} " + "다" * 70 for i in range(20)] + ["| a | b |", "| 1 | 2 |"] + [f"{i}명" for i in range(30)])
+    got = cards.cards(spark.createDataFrame([("01-x", "1", "t", long)], "id string, no string, title string, text string"), "id", "no", "title", "text").first()
+    names = ["id", "no", "title", "names", "points", "tables", "numbers"]
+    card = spark.createDataFrame([got]).select(cards.card_text(*[F.col(n) for n in names]).alias("c")).first().c
+    assert len(card) == 685 and len(got.numbers) == 3 and len(got.points) == 1 and len(got.names) == 8 and len(got.tables) == 1
+    assert len(got.heads) == 1 and got.heads[0].endswith("…") and len(got.heads[0]) == 60
+
+
+def test_blocks_of_odd_manuscripts(spark):
+    from tidewater.operators import markers
+
+    texts = [(1, "\n\n# a\n\n[^1]: note\n\n\n- b\nplain\nmore\n\nalone"), (2, "|--|\n# x"), (3, "[표: t]\n![p](q.png)\n| a | b |\n| c |\n"), (4, None)]
+    got = [(r.k, r.line, r.kind, r.text, r.caption) for r in markers.blocks(spark.createDataFrame(texts, "k int, t string"), "k", "t").orderBy("k", "line").collect()]
+    assert got == [
+        (1, 3, "para", "a", None), (1, 6, "blank", "", None), (1, 8, "para", "b plain more", None), (1, 11, "blank", "", None), (1, 12, "para", "alone", None),
+        (2, 2, "para", "x", None), (3, 2, "image", "", None), (3, 3, "table", "", "t"),
+    ]
+
+
 def test_cards_pass_over_what_does_not_fit(spark):
     rows = [("t", 1, 0, 50, 30), ("t", 2, 1, 40, 80), ("t", 3, 2, 30, 20), ("t", 4, 3, 0, 1)]
     got = cards.pick(spark.createDataFrame(rows, "k string, id long, ord int, score int, size int"), "k", 60, 5).orderBy("ord").collect()

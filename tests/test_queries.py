@@ -40,11 +40,18 @@ def test_query(spark, duck, name):
     cur = duck.execute(ORACLES[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == sorted(got.columns)
+    kinds = {d[0]: str(d[1]) for d in cur.description}
+    assert {c: kinds[c] for c, t in got.dtypes if t in ("int", "bigint", "double", "boolean")} == {c: {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}[t] for c, t in got.dtypes if t in ("int", "bigint", "double", "boolean")}
     assert rows(names, cur.fetchall()) == rows(got.columns, [tuple(r) for r in got.collect()])
 
 
-def test_every_query_has_sql_but_formats():
-    assert set(QUERIES) - set(ORACLES) == {"fmt_ref"}
+def test_every_query_has_sql_but_texts_of_formatted_numbers():
+    assert set(QUERIES) - set(ORACLES) == {"fmt_ref", "report_lines", "card_of_documents"}
+
+
+def test_cards_of_all_documents_fit(spark):
+    rows = QUERIES["card_of_documents"](spark, DIR).collect()
+    assert len(rows) == spark.read.parquet(f"{DIR}/documents.parquet").count() and all(r.fits or r.tables for r in rows)
 
 
 def test_entry(spark):

@@ -97,8 +97,8 @@ def analyze_place(values: DataFrame, places: DataFrame, items: DataFrame, place,
     counties = places.filter("level = '시군구'") if "level" in places.columns else places
     rows = analyze(values, counties, basis, place, codes, year)
     said = lambda c: F.nullif(F.col(c), F.lit(""))
-    own = values.groupBy("code").agg(*[F.first(c, True).alias(f"_{c}") for c in ("name", "unit") if c in values.columns])
-    own = own.withColumns({f"_{c}": F.lit(None).cast("string") for c in ("name", "unit") if f"_{c}" not in own.columns})
+    known = {c: F.col(c) if c in values.columns else F.lit(None).cast("string") for c in ("name", "unit")}
+    own = values.select("code", *[v.alias(c) for c, v in known.items()]).groupBy("code").agg(*[F.max(said(c)).alias(f"_{c}") for c in known])
     one = items.groupBy("code").agg(F.min(F.struct("name", "unit", "area", "area_name")).alias("i"))
     asked = values.sparkSession.createDataFrame([(c, i) for i, c in enumerate(codes)], "code string, ord int")
     out = asked.join(rows, "code").join(own, "code", "left").join(one, "code", "left")

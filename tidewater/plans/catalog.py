@@ -483,8 +483,8 @@ ORACLES: dict[str, str] = {
         p AS (SELECT key, i, id, ord, CASE WHEN 5 + size + 1 > 90 THEN 5 ELSE 5 + size + 1 END AS used, 5 + size + 1 <= 90 AS got FROM o WHERE i = 1
           UNION ALL SELECT o.key, o.i, o.id, o.ord, CASE WHEN p.used + o.size + 1 > 90 THEN p.used ELSE p.used + o.size + 1 END, p.used + o.size + 1 <= 90 FROM p JOIN o ON o.key = p.key AND o.i = p.i + 1)
         SELECT key, ord, id FROM p WHERE got""",
-    "number_tokens": r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(\d[\d,]*(?:\.\d+)?)\s*(?:%|퍼센트|명|가구|개소|개|건|곳|억원|백만원|천원|원|년|세|회)'), x -> regexp_replace(x, '\s+', '', 'g')) AS a FROM documents),
-        u AS (SELECT doc_id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM t), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY ALL),
+    "number_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:\d[\d,]*(?:\.\d+)?)\s*(?:%|퍼센트|명|가구|개소|개|건|곳|억원|백만원|천원|원|년|세|회)') AS a FROM documents),
+        u AS (SELECT doc_id, unnest(a) AS y, unnest(range(0, len(a))) AS i FROM t), f AS (SELECT doc_id, regexp_replace(y, '\s+', '', 'g') AS x, min(i) AS i FROM u GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
         SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE r <= 12), '') AS numbers FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""",
     "clip_text": r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)
@@ -538,9 +538,9 @@ ORACLES |= {
     "place_names": """SELECT n_nationkey AS place, r_name || ' ' || n_name AS name, CASE WHEN n_nationkey % 7 < 5 THEN 'type ' || (n_nationkey % 7) END AS type_label FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region""",
     "provinces": "SELECT r_name AS province, row_number() OVER (ORDER BY min(n_nationkey))::INT AS ord FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
-    "commonest_priority": """WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS at FROM orders GROUP BY ALL)
-        SELECT o_custkey, o_orderpriority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, at) = 1""",
-    "majority_status": """WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_custkey) AS m FROM orders GROUP BY ALL)
+    "commonest_priority": """WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY ALL)
+        SELECT o_custkey, o_orderpriority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, k) = 1""",
+    "majority_status": """WITH b AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS m FROM b)
         SELECT o_custkey, o_orderstatus, n FROM c WHERE o_orderstatus IS NOT NULL AND n >= greatest(1, floor(m / 2))""",
     "style_groups": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
         SELECT l_returnflag AS style, l_linestatus AS para, l_linenumber AS char, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY i) FILTER (WHERE i <= 3) AS samples FROM r GROUP BY ALL""",
@@ -560,7 +560,7 @@ ORACLES |= {
                CASE f WHEN 1 THEN 'Flash-Lite' WHEN 2 THEN 'Flash' WHEN 3 THEN 'Pro' ELSE '' END AS label FROM l""",
     "usage_days": """WITH l AS (SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS x FROM events GROUP BY ALL)
         SELECT day, sum(n)::BIGINT AS total, count(*) AS models, coalesce(string_agg(model::VARCHAR, ',' ORDER BY model) FILTER (WHERE x), '') AS exhausted FROM l GROUP BY day""",
-    "until_reset": """WITH u AS (SELECT event_id, ((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR AS at, date_trunc('second', ts) AS ts FROM events), v AS (SELECT *, epoch(at)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM u)
-        SELECT event_id, (s // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, strftime(at + INTERVAL 9 HOUR, '%-m.%-d. %H:%M') AS at FROM v""",
+    "until_reset": """WITH u AS (SELECT event_id, ((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR AS z, ts FROM events), v AS (SELECT *, epoch(z)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM u)
+        SELECT event_id, (s // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, strftime(z + INTERVAL 9 HOUR, '%-m.%-d. %H:%M') AS "at" FROM v""",
     "stream_usage": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -238,8 +238,9 @@ def _values(columns: str, rows: list[tuple]) -> str:
         return str(v) if isinstance(v, bool | int | float) else "'" + v.replace("'", "''") + "'"
 
     pairs = [c.split(" ") for c in columns.split(", ")]
-    cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in pairs)
-    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({', '.join(n for n, _ in pairs)})"
+    quoted = [f'"{n}"' for n, _ in pairs]
+    cast = ", ".join(f'CAST("{n}" AS {t}) AS "{n}"' for n, t in pairs)
+    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({', '.join(quoted)})"
 
 
 #: What the fixtures must give, as literal rows.
