@@ -438,7 +438,9 @@ def test_mixed_documents_meet_the_targets(spark):
 # --- 7
 
 
-def test_automaton_parses_as_brute_force():
+@pytest.mark.parametrize("block", [2048, 7, 1])
+def test_automaton_parses_as_brute_force(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
     r = random.Random(3)
     ref = "".join(r.choice("abc ") for _ in range(400))
     m = langid.Model({"x": ref, "y": "abcabc" * 10})
@@ -456,7 +458,7 @@ def test_automaton_parses_as_brute_force():
                 n, cur = n + 1, [c]
                 if ("," + str(c) + ",") not in "," + hay:
                     cur = []
-        assert m.phrases([t], m.lookup())[0][0, 0] == n
+        assert m.phrases(["b", "", t, "abcabcabcabd" * 9], m.lookup())[0][2, 0] == n
 
 
 def test_language(spark):

@@ -23,7 +23,7 @@ from .common import bounded, table
 from .words import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 4000, 20  # longer texts give so many parts, spread from start to end
-BLOCK = 2048  # a phrase doesn't go beyond a block of so many symbols; blocks of a text are summed
+BLOCK = 2048  # symbols of a text that are parsed side by side with those of others; phrases go on from block to block
 SLICE = 1_500_000  # bytes of text that are in Python at a time, and in a batch that goes back
 UNKNOWN = "und"
 
@@ -140,31 +140,54 @@ class Model:
         keep[heads] = s[heads] > 0
         return s[keep], np.concatenate([[0], np.cumsum(keep)])[start]
 
+    def step(self, now: np.ndarray, c: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the symbols c, and whether a phrase ended before them."""
+        cells = self.table[now + c]
+        ends = cells >> 32 != now
+        return np.where(ends, self.restart[lang, c], cells & 0xFFFFFFFF), ends
+
     def phrases(self, texts: list[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [text, language] and whether the text has a letter that a labelled text has: else no automaton goes on with any."""
+        """Phrases [text, language] and whether the text has a letter that a labelled text has: else no automaton goes on with any.
+
+        Blocks of all texts are parsed side by side, each from the root. Then the blocks that follow another are parsed again
+        from the state in which that one ended, until they meet the path that they took from the root, as they do after a few
+        letters; a block that never meets it changes the start of the next. The counts are those of one parse from start to end.
+        """
         s, start = self.symbols(texts, lookup)
-        size = np.diff(start)
+        size, langs = np.diff(start), len(self.langs)
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         at = start[owner] + nth * BLOCK
-        n = np.minimum(size[owner] - nth * BLOCK, BLOCK)
-        order = np.argsort(-n, kind="stable")
-        owner, at, n = owner[order], at[order], n[order]
-        langs = len(self.langs)
+        stop = np.minimum(at + BLOCK, start[owner + 1]) if len(owner) else at
+        order = np.argsort(at - stop, kind="stable")
+        n = (stop - at)[order]
         rows = np.tile(np.array(self.roots, np.int64)[:, None], (1, len(owner)))
-        count = np.ones((langs, len(owner)), np.int64)
+        states, ended = np.zeros((langs, len(s)), np.int32), np.zeros((langs, len(s)), bool)
+        every = np.arange(langs)[:, None]
         active = len(owner) - np.searchsorted(n[::-1], np.arange(1, n[0] + 1)) if len(n) else []
         for i, k in enumerate(active):
-            c, now = s[at[:k] + i], rows[:, :k]
-            cells = self.table[now + c]
-            ends = cells >> 32 != now
-            count[:, :k] += ends
-            rows[:, :k] = np.where(ends, self.restart[:, c], cells & 0xFFFFFFFF)
-        out = np.zeros((len(texts), langs), np.int64)
-        for j in range(langs):
-            out[:, j] = np.bincount(owner, count[j], len(texts))
-        return out, np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
+            here = at[order[:k]] + i
+            rows[:, :k], ended[:, here] = self.step(rows[:, :k], s[here], every)
+            states[:, here] = rows[:, :k]
+        block, lang = (x.ravel() for x in np.meshgrid(np.flatnonzero(nth > 0), np.arange(langs)))
+        while len(block):
+            now, here, whose = states[lang, at[block] - 1].astype(np.int64), at[block], np.arange(len(block))
+            through = np.zeros(0, np.int64)
+            while len(whose):
+                j = lang[whose]
+                now, ends = self.step(now, s[here], j)
+                met = states[j, here] == now
+                states[j, here], ended[j, here] = now, ends
+                over = ~met & (here + 1 == stop[block[whose]])
+                through = np.concatenate([through, whose[over]])
+                go = ~met & ~over
+                now, here, whose = now[go], here[go] + 1, whose[go]
+            after = block[through] + 1
+            more = (after < len(nth)) & (np.append(nth, 0)[after] > 0)
+            block, lang = after[more], lang[through][more]
+        count = np.stack([np.diff(np.concatenate([[0], np.cumsum(e)])[start]) + (size > 0) for e in ended], axis=1)
+        return count, np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
 
     def predict(self, texts: list[str], lookup: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text: the score is the winner's share of the inverse phrase counts."""
@@ -185,8 +208,8 @@ def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     start = lambda i: (1 + i * (F.length("t") - part) / (PARTS - 1)).cast("int")
     spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("t", start(i), F.lit(part))))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), h.alias("h"), F.col(text_col).alias("t"))
-    rows = rows.withColumn("t", F.when(F.length("t") > sample_chars, spread).otherwise(F.col("t")))
     top = rows.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= sample_docs)
+    top = top.withColumn("t", F.when(F.length("t") > sample_chars, spread).otherwise(F.col("t")))
     out: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: (r["l"], r["r"])):
         out.setdefault(r["l"], []).append(r["t"])
@@ -199,7 +222,8 @@ def fit(docs: DataFrame, **names) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter that labelled texts have is `und`, score 0."""
+    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter that labelled texts have is `und`, score 0.
+    Of languages that need equally few phrases the first in order wins. Long texts are parsed from start to end."""
     if clash := set(added) & set(docs.columns):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table, "restart": model.restart})
@@ -209,7 +233,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[
         m = model_of.__new__(model_of)
         m.__dict__.update(shipped.value)
         lookup = m.lookup()
-        for piece, texts in slices(batches, text_col, SLICE):
+        # what is held a letter grows with the languages
+        for piece, texts in slices(batches, text_col, SLICE * 4 // max(4, len(m.langs))):
             langs, scores = m.predict([t.decode("utf-8", "replace") for t in texts], lookup)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *added])
 
