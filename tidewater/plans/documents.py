@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import numbers, text
-from tidewater.operators import cards, forms, ledger, markers, outline, tree
+from tidewater.operators import cards, forms, indicators, ledger, markers, outline, tree
 from tidewater.session import shared_dir
-from tidewater.sources import attachments, series
+from tidewater.sources import attachments, hwpx, series
 from tidewater.streaming.usage import usage_stream
 
 from . import adapters as a
@@ -220,12 +220,78 @@ def stream_usage(s: SparkSession, d: str) -> DataFrame:
     return last.groupBy("day", "model").agg(F.sum("n").alias("n"))
 
 
+def _packages(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(x.packages(), "name string, content binary")
+
+
+def package_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    p = hwpx.paragraphs(_packages(s))
+    return p.select("name", "part", "ln", "style", "para", "char", "kind", "text", F.array_join("notes", "/").alias("notes"), _flat("grid").alias("cells"), F.array_join(F.transform("widths", lambda w: w.cast("string")), ",").alias("widths"), F.col("error").isNotNull().alias("failed"))
+
+
+def package_styles(s: SparkSession, d: str) -> DataFrame:
+    return hwpx.styles(_packages(s)).filter("error is null").drop("error")
+
+
+def package_verdict(s: SparkSession, d: str) -> DataFrame:
+    v = hwpx.verdict(hwpx.entries(_packages(s)))
+    return v.select("name", F.regexp_replace("problem", "^(can't be opened).*", "$1").alias("problem"))
+
+
+def package_text(s: SparkSession, d: str) -> DataFrame:
+    """Marked text of the body part, by the styles of a form."""
+    levels = s.createDataFrame([(1, "#"), (2, "○"), (17, "※")], "style int, marker string")
+    body = hwpx.body_part(hwpx.paragraphs(_packages(s)), "Contents/section1.xml")
+    return hwpx.marker_text(hwpx.marker_lines(body, levels, 17)).withColumn("ratio", F.round("ratio", 4))
+
+
+def package_levels(s: SparkSession, d: str) -> DataFrame:
+    return hwpx.guessed_levels(hwpx.paragraphs(_packages(s)).filter("error is null"), hwpx.styles(_packages(s)))
+
+
+def package_references(s: SparkSession, d: str) -> DataFrame:
+    r = hwpx.references(_packages(s)).filter("error is null")
+    gone = forms.dangling(r.filter("not defined"), r.filter("defined"), "name", "attr", "ref")
+    return gone.select("name", "attr", F.array_join(F.transform("missing", lambda m: m.cast("string")), ",").alias("missing"))
+
+
+def package_bullets(s: SparkSession, d: str) -> DataFrame:
+    return hwpx.double_bullets(hwpx.paragraphs(_packages(s)), s.createDataFrame([(3, "○")], "para int, bullet string"))
+
+
+def package_style_names(s: SparkSession, d: str) -> DataFrame:
+    """Styles that a form counts on and that have another name or are gone, and the style of table notes by its name."""
+    shapes = hwpx.styles(_packages(s)).filter("error is null")
+    changed = hwpx.changed_styles(shapes, s.createDataFrame([(1, "제목"), (2, "요약"), (3, "점")], "style int, name string"))
+    note = hwpx.style_named(shapes, ["표 주", "주, 자료"]).select("name", "style", F.lit("주, 자료").alias("want"), F.lit("주, 자료").alias("have"))
+    return changed.select("name", "style", "want", "have").union(note)
+
+
+def _written(s: SparkSession, *texts: str) -> list[str]:
+    folder = f"{shared_dir(s)}/json-{uuid.uuid4().hex}"
+    for i, t in enumerate(texts):
+        s.createDataFrame([(t,)], "value string").coalesce(1).write.text(f"{folder}/{i}")
+    return [f"{folder}/{i}" for i in range(len(texts))]
+
+
+def catalog_file(s: SparkSession, d: str) -> DataFrame:
+    n = series.read_catalog(s, _written(s, x.CATALOG)[0])
+    return n.select("ord", "id", "depth", "no", "title", "parent", F.array_join("children", ",").alias("children"), F.coalesce(F.size("forms"), F.lit(0)).alias("forms"), F.try_element_at("limits", F.lit(1))["scope"].alias("scope"))
+
+
+def index_files(s: SparkSession, d: str) -> DataFrame:
+    """Places with their names and types' labels, beside the items."""
+    items, types, places = series.read_index(s, *_written(s, *x.INDEX))
+    named = indicators.place_names(places, types)
+    return items.select("code", F.col("name").alias("item")).join(named)  # one item
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
         section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
-        series_files, stream_usage,
+        series_files, stream_usage, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
     )
 }
 

@@ -399,4 +399,98 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('B', '둘', '%', '11', 2020, None),
         ],
     ),
+    "package_paragraphs": (
+        "name VARCHAR, part VARCHAR, ln INTEGER, style INTEGER, para INTEGER, char INTEGER, kind VARCHAR, text VARCHAR, notes VARCHAR, cells VARCHAR, widths VARCHAR, failed BOOLEAN",
+        [
+            ('a.hwpx', 'Contents/section0.xml', 0, 1, 0, None, 'para', '표지', '', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 0, 1, 0, 1, 'para', '가. 목표 & 전략', '', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 1, 2, 3, 0, 'para', '돌봄 확충 끝', '근거', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 2, 2, 3, None, 'para', '', '', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 3, 0, 9, 0, 'table', '', '', '머리|/a|b', '75,25', False),
+            ('a.hwpx', 'Contents/section1.xml', 4, 17, 0, 0, 'para', '자료: 통계', '', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 5, 2, 3, 0, 'para', '○ 이중', '', None, None, False),
+            ('a.hwpx', 'Contents/section1.xml', 6, 5, 0, 4, 'para', '남', '', None, None, False),
+            ('b.hwpx', None, None, None, None, None, None, None, None, None, None, True),
+            ('c.hwp', None, None, None, None, None, None, None, None, None, None, True),
+            ('d.hwpx', None, None, None, None, None, None, None, None, None, None, True),
+        ],
+    ),
+    "package_styles": (
+        "name VARCHAR, style INTEGER, title VARCHAR, para INTEGER, char INTEGER, size DOUBLE, bold BOOLEAN, left DOUBLE",
+        [
+            ('a.hwpx', 1, '제목', 0, 1, 16.0, True, 0.0),
+            ('a.hwpx', 2, '요약_원', 3, 0, 10.0, False, 5.0),
+            ('a.hwpx', 17, '주, 자료', 0, 0, 10.0, False, 0.0),
+            ('b.hwpx', 1, '제목', 0, 1, 16.0, True, 0.0),
+            ('b.hwpx', 2, '요약_원', 3, 0, 10.0, False, 5.0),
+            ('b.hwpx', 17, '주, 자료', 0, 0, 10.0, False, 0.0),
+        ],
+    ),
+    "package_verdict": (
+        "name VARCHAR, problem VARCHAR",
+        [
+            ('b.hwpx', 'Contents/section0.xml: no well-formed XML'),
+            ('b.hwpx', "mimetype isn't the first entry"),
+            ('b.hwpx', 'missing: Contents/content.hpf'),
+            ('c.hwp', "can't be opened"),
+            ('d.hwpx', "can't be opened"),
+        ],
+    ),
+    "package_text": (
+        "name VARCHAR, text VARCHAR, ratio DOUBLE",
+        [
+            ('a.hwpx', '# 가. 목표 & 전략\n○ 돌봄 확충 끝\n\n{cols=75,25}\n| 머리 |   |\n|---|---|\n| a | b |\n※ 자료: 통계\n○ ○ 이중\n남\n', 0.8),
+        ],
+    ),
+    "package_levels": (
+        "name VARCHAR, style INTEGER, char INTEGER, prefix VARCHAR, depth INTEGER, n BIGINT",
+        [
+            ('a.hwpx', 1, None, '', 3, 1),
+            ('a.hwpx', 1, 1, '가.', 1, 1),
+            ('a.hwpx', 2, 0, '', 5, 1),
+            ('a.hwpx', 2, 0, '○', 2, 1),
+            ('a.hwpx', 5, 4, '', 6, 1),
+            ('a.hwpx', 17, 0, '', 4, 1),
+        ],
+    ),
+    "package_references": (
+        "name VARCHAR, attr VARCHAR, missing VARCHAR",
+        [
+            ('a.hwpx', 'borderFillIDRef', '7'),
+            ('a.hwpx', 'charPrIDRef', '4'),
+            ('a.hwpx', 'paraPrIDRef', '9'),
+            ('a.hwpx', 'styleIDRef', '0,5'),
+        ],
+    ),
+    "package_bullets": (
+        "name VARCHAR, ln INTEGER, bullet VARCHAR, text VARCHAR",
+        [
+            ('a.hwpx', 5, '○', '○ 이중'),
+        ],
+    ),
+    "package_style_names": (
+        "name VARCHAR, style INTEGER, want VARCHAR, have VARCHAR",
+        [
+            ('a.hwpx', 2, '요약', '요약_원'),
+            ('a.hwpx', 3, '점', None),
+            ('a.hwpx', 17, '주, 자료', '주, 자료'),
+            ('b.hwpx', 2, '요약', '요약_원'),
+            ('b.hwpx', 3, '점', None),
+            ('b.hwpx', 17, '주, 자료', '주, 자료'),
+        ],
+    ),
+    "catalog_file": (
+        "ord INTEGER, id VARCHAR, depth INTEGER, no VARCHAR, title VARCHAR, parent VARCHAR, children VARCHAR, forms INTEGER, scope VARCHAR",
+        [
+            (0, '01', 0, '01', '목표', None, '01-가', 1, '전략'),
+            (1, '01-가', 1, '가', '절', '01', '', 0, None),
+        ],
+    ),
+    "index_files": (
+        "code VARCHAR, item VARCHAR, place VARCHAR, name VARCHAR, type_label VARCHAR",
+        [
+            ('A', '하나', '11', '서울', None),
+            ('A', '하나', '11010', '서울 종로구', '대도시'),
+        ],
+    ),
 }

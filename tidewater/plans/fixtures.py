@@ -70,3 +70,31 @@ SERIES = [
     '{"code": "A", "name": "하나", "unit": "", "years": [2020, 2021, 2022], "values": {"11": [1, null, 2.5], "12": [2, 3, 4]}}',
     '{"code": "B", "name": "둘", "unit": "%", "years": [2020], "values": {"11": [null]}}',
 ]
+
+_HEADER = (
+    '<hh:head xmlns:hh="h" xmlns:hc="c"><hh:borderFill id="1"/><hh:charPr id="0" height="1000"/><hh:charPr id="1" height="1600"><hh:bold/></hh:charPr><hh:paraPr id="0"/>'
+    '<hh:paraPr id="3"><hh:margin><hc:left value="500"/></hh:margin></hh:paraPr><hh:style id="1" name="제목" paraPrIDRef="0" charPrIDRef="1"/><hh:style id="2" name="요약_원" paraPrIDRef="3" charPrIDRef="0"/>'
+    '<hh:style id="17" name="주, 자료" paraPrIDRef="0" charPrIDRef="0"/></hh:head>'
+)
+_BODY = (
+    '<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p styleIDRef="1" paraPrIDRef="0"><hp:run charPrIDRef="1"><hp:t>가. 목표 &amp; 전략</hp:t></hp:run></hp:p>'
+    '<hp:p styleIDRef="2" paraPrIDRef="3"><hp:run charPrIDRef="0"><hp:t>돌봄<hp:tab/>확충</hp:t><hp:footNote><hp:p><hp:run><hp:t>근거</hp:t></hp:run></hp:p></hp:footNote><hp:t> 끝</hp:t></hp:run></hp:p><hp:p styleIDRef="2" paraPrIDRef="3"><hp:run/></hp:p>'
+    '<hp:p styleIDRef="0" paraPrIDRef="9"><hp:run charPrIDRef="0"><hp:tbl rowCnt="2" colCnt="2" borderFillIDRef="7"><hp:tr><hp:tc><hp:subList><hp:p><hp:run><hp:t>머리</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="0" rowAddr="0"/>'
+    '<hp:cellSpan colSpan="2" rowSpan="1"/><hp:cellSz width="400"/></hp:tc></hp:tr><hp:tr><hp:tc><hp:subList><hp:p><hp:run><hp:t>a</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="0" rowAddr="1"/><hp:cellSpan colSpan="1" rowSpan="1"/>'
+    '<hp:cellSz width="300"/></hp:tc><hp:tc><hp:subList><hp:p><hp:run><hp:t>b</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="1" rowAddr="1"/><hp:cellSpan colSpan="1" rowSpan="1"/><hp:cellSz width="100"/></hp:tc></hp:tr></hp:tbl></hp:run></hp:p>'
+    '<hp:p styleIDRef="17" paraPrIDRef="0"><hp:run charPrIDRef="0"><hp:t>자료: 통계</hp:t></hp:run></hp:p><hp:p styleIDRef="2" paraPrIDRef="3"><hp:run charPrIDRef="0"><hp:t>○ 이중</hp:t></hp:run></hp:p><hp:p styleIDRef="5" paraPrIDRef="0"><hp:run charPrIDRef="4"><hp:t>남</hp:t></hp:run></hp:p></hs:sec>'
+)
+_COVER = '<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p styleIDRef="1" paraPrIDRef="0"><hp:run><hp:t>표지</hp:t></hp:run></hp:p></hs:sec>'
+
+
+def packages() -> list[tuple[str, bytes]]:
+    whole = {"mimetype": "application/hwp+zip", "Contents/header.xml": _HEADER, "Contents/section0.xml": _COVER, "Contents/section1.xml": _BODY, "Contents/content.hpf": "<a/>", "META-INF/container.xml": "<a/>"}
+    broken = {"Contents/header.xml": _HEADER, "mimetype": "x", "Contents/section0.xml": "<a><b></a>", "META-INF/container.xml": "<a/>"}
+    return [("a.hwpx", _zip(whole)), ("b.hwpx", _zip(broken)), ("c.hwp", bytes.fromhex("d0cf11e0a1b11ae1")), ("d.hwpx", b"none")]
+
+
+CATALOG = (
+    '{"nodes": [{"id": "01", "depth": 0, "no": "01", "title": "목표", "parent": null, "children": ["01-가"], "forms": [{"idx": 0, "seq": 3, "kind": "blank", "rows": 2, "cols": 1, "header": ["a"], "required": true}], '
+    '"limits": [{"text": "전략 5개 이내", "scope": "전략", "op": "max", "n": 5, "unit": "개"}]}, {"id": "01-가", "depth": 1, "no": "가", "title": "절", "parent": "01", "children": []}]}'
+)
+INDEX = ('{"items": [{"code": "A", "name": "하나", "unit": "%", "area": "a", "area_name": "영역"}], "type7_labels": {"1": "대도시"}}', '[{"code": "11", "level": "시도", "sido": "서울"}, {"code": "11010", "level": "시군구", "sido": "서울", "sigungu": "종로구", "type7": 1}]')
