@@ -73,6 +73,18 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stored_tables_are_deleted(spark):
+    import os
+
+    a, b = (common.stored(spark.range(3)) for _ in range(2))
+    paths = [x._stored_at.removeprefix("file://") for x in (a, b)]
+    assert a.count() == 3 and all(map(os.path.isdir, paths))
+    common.drop(a)
+    assert [os.path.isdir(p) for p in paths] == [False, True]
+    common.clean()
+    assert not os.path.isdir(paths[1])
+
+
 # --- 1
 
 
@@ -404,6 +416,13 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), lab).count() == 0 and mixing.mix(docs, lab.limit(0)).count() == len(rows)
 
 
+def test_mixing_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(i, prose(30)) for i in range(40)] + [(99, prose(60_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in mixing.mix(docs, labels).collect()}
+    assert len(got) == 41 and got[99].n_tokens == 60_000 and abs(got[99].p_good + got[99].p_poor + got[99].p_toxic - 1) < 1e-9
+
+
 def test_rates_match_least_squares(spark):
     q = np.array([[0.9, 0.05, 0.05], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6], [1 / 3] * 3])
     t = np.array([100.0, 50.0, 30.0, 20.0])
@@ -628,6 +647,14 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    rows = packing.pack_documents(spark.createDataFrame([(1, "x" * 300_000), (2, " " * 5000), (3, "\n".join(["a"] * 4000))], "doc_id long, text string")).collect()
+    enc = pytest.importorskip("tokenizers").Tokenizer.from_file(packing.default_files()[0])
+    for doc, text in ((1, "x" * 300_000), (2, " " * 5000), (3, "\n".join(["a"] * 4000))):
+        assert sum(r.length for r in rows if r.doc_id == doc) == len(enc.encode(text, add_special_tokens=False).ids) + 1
+    check_places(rows)
+
+
 def check_places(rows):
     sequences: dict = {}
     for r in rows:

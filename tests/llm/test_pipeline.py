@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidewater.llm import simhash, substring
+from tidewater.llm import mixing, simhash, substring
 from tidewater.llm.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -44,8 +44,25 @@ def test_pipeline(spark):
 
     mixed = stages["mixing"](spark, cut, DIR).cache()
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= set(got)
-    packed = stages["packing"](spark, mixed, DIR)
-    assert packed.filter("piece = 0").count() == mixed.count()
+    # the rates meet the targets in expectation, and the drawn copies come close
+    found = mixing.mix(cut, spark.read.parquet(f"{DIR}/labels.parquet"), grow=True).collect()
+    for times, near in ((lambda x: x.rate, 0.003), (lambda x: x.copies, 0.02)):
+        total = sum(times(x) * x.n_tokens for x in found)
+        for d, share in mixing.SHARES.items():
+            assert abs(sum(times(x) * x.n_tokens * x[f"p_{d}"] for x in found) / total - share) < near
+    copies = {x.doc_id: x.copies for x in found}
+    assert {k: n for k, n in copies.items() if n} == {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+
+    packed = stages["packing"](spark, mixed, DIR).collect()
+    assert sum(r.piece == 0 for r in packed) == mixed.count()
+    left: list[int] = []
+    for n in sorted((r.length for r in packed), reverse=True):
+        fit = min((x for x in left if x >= n), default=None)
+        if fit is None:
+            left.append(1024 - n)
+        else:
+            left[left.index(fit)] = fit - n
+    assert len({r.sequence_id for r in packed}) == len(left)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -28,14 +28,29 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out._stored_at = path
+    _stored.append((df.sparkSession, path))
     return out
 
 
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clean() -> None:
+    """Deletes all tables that stored() has made in this process and nobody has dropped: for when all results are written."""
+    while _stored:
+        _delete(*_stored.pop())
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of stored() from which nothing is read any more: all that was made of them is stored itself."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _stored[:] = [x for x in _stored if x[1] != t._stored_at]
+        _delete(t.sparkSession, t._stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
