@@ -266,3 +266,29 @@ def test_usage_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(str(r.day), r.n) for r in spark.table("usage").collect()} == {("2026-09-07", 1), ("2026-09-08", 2)}
+
+
+def test_usage_stream_drops_what_comes_too_late(spark, tmp_path):
+    from tidewater.streaming.usage import usage_stream
+
+    src = str(tmp_path / "src")
+    for hours in ((6, 12), (13,), (6, 20), (7,)):
+        spark.createDataFrame([(f"2026-09-08 {h:02}:30:00", "a") for h in hours], "ts string, m string").selectExpr("cast(ts as timestamp) as ts", "m").coalesce(1).write.mode("append").parquet(src)
+    rows = []
+    stream = spark.readStream.schema("ts timestamp, m string").option("maxFilesPerTrigger", 1).parquet(src)
+    q = usage_stream(stream, "m", "ts", late="1 hour").writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, n: rows.extend(b.collect())).start()
+    q.awaitTermination()
+    hours = {r.hour.hour: r.n for r in rows}
+    # the second 6:30 and 7:30 come after the watermark has passed them
+    assert hours.get(12) == 1 and hours.get(6) == 1 and 7 not in hours
+
+
+def test_reports_in_words(spark):
+    rows = [(1, c, c.upper(), "건", 2024, m, r, 10, 5.0, 4.0, 6.0, 5.5, 3, 5.25, 20) for c, m, r in (("a", 9.0, 1), ("b", 8.0, 2), ("c", 5.0, 5), ("d", 1.0, 10))]
+    df = spark.createDataFrame(rows, "place int, code string, name string, unit string, year int, mine double, rank int, n int, avg double, q1 double, q3 double, peer_avg double, peer_n int, nation_avg double, nation_n int")
+    got = {(r.list, r.nth): r.line for r in indicators.report_lines(df, 1, "province").collect()}
+    assert got == {
+        ("high", 1): "- A 9.00 건(2024년) — 비교집단 10곳 중 1위(상위 5%), 비교평균 5.00 건\n· 같은 유형 3곳 평균 5.50 건 / 전국 20곳 평균 5.25 건",
+        ("low", 1): "- D 1.00 건(2024년) — 비교집단 10곳 중 10위(하위 5%), 비교평균 5.00 건\n· 같은 유형 3곳 평균 5.50 건 / 전국 20곳 평균 5.25 건",
+        ("outside", 1): "- B 8.00 건(2024년) — 비교집단 10곳 중 2위, Q1~Q3 4.00~6.00 건 위", ("inside", 1): "C",
+    }

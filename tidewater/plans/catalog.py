@@ -420,6 +420,10 @@ _NAMES = """m AS (SELECT p_brand, p_partkey, regexp_replace(CASE WHEN p_partkey
     w AS (SELECT *, contains(name, 'flash') AS fl, contains(name, 'lite') AS li FROM m WHERE NOT contains(name, 'preview') AND NOT contains(name, '/') AND NOT contains(name, '..')),
     o AS (SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY fl DESC, CASE WHEN fl THEN NOT li END, CASE WHEN fl THEN -v END, CASE WHEN fl THEN name END, CASE WHEN NOT fl THEN p_partkey END)::INT AS nth FROM w)"""
 
+def _grouped(v: str, digits: int) -> str:
+    return rf"regexp_replace(regexp_replace(format('{{{{:,.{digits}f}}}}', round({v}, {digits})), '(\.\d*?)0+$', '\1'), '\.$', '')".replace("{{", "{").replace("}}", "}")
+
+
 #: White space as Spark's patterns have it with (?U).
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
@@ -563,4 +567,9 @@ ORACLES |= {
     "until_reset": """WITH u AS (SELECT event_id, ((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR AS z, ts FROM events), v AS (SELECT *, epoch(z)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM u)
         SELECT event_id, (s // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, strftime(z + INTERVAL 9 HOUR, '%-m.%-d. %H:%M') AS "at" FROM v""",
     "stream_usage": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL",
+    # %.1f and %.2f round the exact binary value; only values that are exactly half way differ, and there are none here
+    "fmt_ref": rf"""WITH {_VALUES}, g AS (SELECT code, year, place, value AS v, abs(value) AS s FROM vals),
+        a AS (SELECT *, CASE WHEN v IS NULL THEN '—' ELSE CASE WHEN s >= 1e12 THEN {_grouped('v / 1e12', 2)} || '조' WHEN s >= 1e8 THEN {_grouped('v / 1e8', 1)} || '억' WHEN s >= 1000 OR v = floor(v) THEN {_grouped('v', 3)} ELSE {_grouped('v', 2)} END END AS bare FROM g)
+        SELECT code, year, place, CASE WHEN v IS NULL THEN '–' WHEN s >= 1e8 THEN bare WHEN s >= 1000 THEN format('{{:,.0f}}', round(v)) WHEN s >= 100 THEN printf('%.1f', v) ELSE printf('%.2f', v) END AS reference,
+               CASE WHEN v IS NULL THEN bare ELSE bare || ' u' END AS amount FROM a""",
 }

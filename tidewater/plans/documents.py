@@ -11,6 +11,7 @@ from tidewater.functions import numbers, text
 from tidewater.operators import cards, forms, indicators, ledger, markers, outline, tree
 from tidewater.session import shared_dir
 from tidewater.sources import attachments, hwpx, series
+from tidewater.streaming import cards as card_stream
 from tidewater.streaming.usage import usage_stream
 
 from . import adapters as a
@@ -286,12 +287,23 @@ def index_files(s: SparkSession, d: str) -> DataFrame:
     return items.select("code", F.col("name").alias("item")).join(named)  # one item
 
 
+def stream_cards(s: SparkSession, d: str) -> DataFrame:
+    """Cards saved in three files, one a batch: the latest of each section in its first place."""
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    schema = "id string, ord int, card string"
+    for rows in ([("a", 0, "x"), ("b", 1, "y")], [("b", 0, "Y"), ("c", 1, "z")], [("a", 0, "X"), ("d", 1, "n")]):
+        s.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    card_stream.keep_latest(stream, folder).awaitTermination()
+    return card_stream.read(s, folder).select("id", "ord", "card")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
         section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
-        series_files, stream_usage, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
+        series_files, stream_usage, stream_cards, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
     )
 }
 

@@ -374,7 +374,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         "name VARCHAR, ext VARCHAR, mode VARCHAR, text VARCHAR, tables VARCHAR, inline VARCHAR, failed BOOLEAN",
         [
             ('a.csv', 'csv', 'text', '', 'x|y/p;q|l1\nl2/z|', None, False),
-            ('b.html', 'html', 'text', 'A & B A\nC', 'c||d/e||', None, False),
+            ('b.html', 'html', 'text', 'A & B A &#999999999; &nope;\nC', 'c||d/e||', None, False),
             ('c.xlsx', 'xlsx', 'text', '', '둘 # 머리||7/|TRUE|', None, False),
             ('d.pptx', 'pptx', 'text', 'two\nline\nten\nline', 'c1|c2 # c1|c2', None, False),
             ('e.txt', 'txt', 'text', '가나\n다', '', None, False),
@@ -493,4 +493,13 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('A', '하나', '11010', '서울 종로구', '대도시'),
         ],
     ),
+    "stream_cards": (
+        "id VARCHAR, ord INTEGER, card VARCHAR",
+        [
+            ("a", 0, "X"),
+            ("b", 1, "Y"),
+            ("c", 2, "z"),
+            ("d", 3, "n"),
+        ],
+    ),
 }

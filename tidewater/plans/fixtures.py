@@ -60,7 +60,7 @@ _SECTION = '<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:run><hp:t>본문 하나<
 
 def files() -> list[tuple[str, bytes]]:
     return [
-        ("a.csv", '﻿x;y\r\n"p;q";"l1\nl2"\n;\nz'.encode()), ("b.html", b"<p>A &amp; B &#x41;</p><script>x</script><p>C<table><tr><td colspan=2>c<td>d</tr><tr><td>e</table><noscript>n</noscript>"), ("c.xlsx", _zip(XLSX)),
+        ("a.csv", '﻿x;y\r\n"p;q";"l1\nl2"\n;\nz'.encode()), ("b.html", b"<p>A &amp; B &#x41; &#999999999; &nope;</p><script>x</script><p>C<table><tr><td colspan=2>c<td>d</tr><tr><td>e</table><noscript>n</noscript>"), ("c.xlsx", _zip(XLSX)),
         ("d.pptx", _zip({"ppt/slides/slide10.xml": _SLIDE.format("ten"), "ppt/slides/slide2.xml": _SLIDE.format("two")})), ("e.txt", "가나\r\n다".encode("euc-kr")), ("f.PNG", b"12"), ("g.exe", b"1"), ("h.csv", b""),
         ("i.xlsx", b"broken"), ("j.hwp", bytes.fromhex("d0cf11e0a1b11ae1")), ("k.hwpx", _zip({"Contents/section0.xml": _SECTION})), ("l", b"none"),
     ]

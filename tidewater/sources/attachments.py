@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -51,7 +52,7 @@ class _Html(HTMLParser):
     """Text outside of tables, and tables of cells; a colspan leaves blanks behind its cell."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.text: list[str] = []
         self.tables: list[list[list[str]]] = []
         self.open: list[list[list[str]]] = []
@@ -91,6 +92,14 @@ class _Html(HTMLParser):
             self.close_cell()
             self.tables.append(squared(self.open.pop()))
 
+    def handle_charref(self, name):
+        code = int(name[1:], 16) if name[:1] in "xX" else int(name)
+        # what is no character stays as it is written
+        self.handle_data(chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else f"&#{name};")
+
+    def handle_entityref(self, name):
+        self.handle_data(unescape(f"&{name};"))
+
     def handle_data(self, data):
         if not self.skip:
             (self.cell[-1][0] if self.cell else self.text).append(data)
