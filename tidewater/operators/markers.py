@@ -207,6 +207,42 @@ def issues(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LE
     return out
 
 
+def style_issues(parts: DataFrame, key: str, levels: tuple[Level, ...] = LEVELS, periods: str = "single", least: dict[str, int] | None = None) -> DataFrame:
+    """(key, line, issue) of the paragraphs of blocks() against a house style.
+
+    periods: single (one sentence has no full stop, several end with one), always, never or off; headings with automatic numbers are
+    free. least is how many paragraphs of the next level a level must have below it. A marker amid the text is stray.
+    """
+    paras = parts.filter("kind = 'para'").withColumn("t", trim(F.col("text")))
+    order = {v.key: i for i, v in enumerate(levels)}
+    auto = [v.key for v in levels if v.auto_number or v.auto_bullet]
+    found = []
+    marks = sorted({v.marker for v in levels if v.marker} - {"-", "#"})
+    stray = "|".join(f"\\Q{m}\\E" for m in marks)
+    found.append(paras.filter(F.col("text").rlike(rf"(^|\s)({stray})(?=\s)")).select(key, "line", F.lit("marker in the text").alias("issue")))
+    sentences, ends = F.size(F.filter(F.split("t", r"(?<=[.!?])\s+"), lambda x: x != "")), F.col("t").endswith(".")
+    rule = {
+        "single": F.when((sentences == 1) & ends, "full stop after one sentence").when((sentences > 1) & ~ends, "no full stop after several sentences"), "always": F.when(~ends, "no full stop"),
+        "never": F.when(ends, "full stop"), "off": F.lit(None).cast("string"),
+    }[periods]
+    found.append(paras.filter((F.col("t") != "") & ~F.col("level").isin(auto)).select(key, "line", rule.alias("issue")).filter("issue is not null"))
+    at = F.element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("level"))
+    # the next paragraph that isn't deeper ends what is below; counts of all levels are carried to it
+    deep = paras.withColumn("d", at).filter("d is not null")
+    back = W.partitionBy(key).orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = back.rowsBetween(W.unboundedPreceding, -1)
+    seen = deep.withColumn("_seen", F.array(*[F.count(F.when(F.col("d") == k, 1)).over(back) for k in range(len(levels) + 1)]))
+    ends_at = F.array(*[F.last(F.when(F.col("d") <= k, F.col("_seen")), True).over(after) for k in range(len(levels))])
+    seen = seen.withColumn("_end", F.element_at(ends_at, F.col("d") + 1))
+    below = F.element_at("_seen", F.col("d") + 2) - F.coalesce(F.element_at("_end", F.col("d") + 2), F.lit(0))
+    for name, n in (least or {}).items():
+        found.append(seen.filter((F.col("level") == name) & (below < n)).select(key, "line", F.lit("too little below").alias("issue")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def tally(found: DataFrame, key: str, by: str = "issue") -> DataFrame:
     """(key, by, n): how often each is found."""
     return found.groupBy(key, by).agg(F.count("*").alias("n"))

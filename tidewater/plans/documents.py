@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import numbers, text
 from tidewater.operators import cards, forms, indicators, ledger, markers, outline, tree
+from tidewater.operators import sections as guide
 from tidewater.session import shared_dir
 from tidewater.sources import attachments, hwpx, series
 from tidewater.streaming import cards as card_stream
@@ -298,12 +299,31 @@ def stream_cards(s: SparkSession, d: str) -> DataFrame:
     return card_stream.read(s, folder).select("id", "ord", "card")
 
 
+def style_issues(s: SparkSession, d: str) -> DataFrame:
+    more = s.createDataFrame([("x", "", "", "# 제목.\n○ 한 문장.\n- 두 문장. 또 하나\n- 둘. 셋.\n○ 글 ○ 속\n▪ 끝")], "id string, no string, title string, text string")
+    b = markers.blocks(manuscripts(s).union(more), "id", "text")
+    return markers.style_issues(b, "id", least={"h1": 1, "b1": 1, "b2": 2})
+
+
+def guide_catalog(s: SparkSession, d: str) -> DataFrame:
+    g = s.createDataFrame([("g", *r) for r in x.GUIDE], "doc string, ln int, style int, text string, grid array<array<string>>, banner struct<no:string,title:string>")
+    c = guide.catalog(g, "doc")
+    limits = F.array_join(F.transform("limits", lambda v: F.concat_ws(" ", v["scope"], v["op"], v["n"].cast("string"), v["unit"])), ";")
+    return c.select("ord", "id", "depth", "no", "title", "parent", "forms", "required", "has", "purpose", "method", "fixed", F.array_join("markers", "").alias("markers"), limits.alias("limits"))
+
+
+def guide_forms(s: SparkSession, d: str) -> DataFrame:
+    g = s.createDataFrame([("g", *r) for r in x.GUIDE], "doc string, ln int, style int, text string, grid array<array<string>>, banner struct<no:string,title:string>")
+    return guide.forms(guide.headed(g, "doc"), "doc").select("sec", "idx", "seq", "kind", "rows", "cols", F.array_join("header", "|").alias("header"), F.round("filled", 4).alias("filled"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
         section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
         series_files, stream_usage, stream_cards, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
+        style_issues, guide_catalog, guide_forms,
     )
 }
 

@@ -493,6 +493,45 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('A', '하나', '11010', '서울 종로구', '대도시'),
         ],
     ),
+    "style_issues": (
+        "id VARCHAR, line INTEGER, issue VARCHAR",
+        [
+            ('01-가', 2, 'too little below'),
+            ('01-가', 6, 'too little below'),
+            ('01-나', 3, 'too little below'),
+            ('01-나', 9, 'no full stop after several sentences'),
+            ('02-가', 1, 'too little below'),
+            ('x', 1, 'too little below'),
+            ('x', 2, 'full stop after one sentence'),
+            ('x', 2, 'too little below'),
+            ('x', 3, 'no full stop after several sentences'),
+            ('x', 5, 'marker in the text'),
+            ('x', 6, 'too little below'),
+        ],
+    ),
+    "guide_catalog": (
+        "ord INTEGER, id VARCHAR, depth INTEGER, no VARCHAR, title VARCHAR, parent VARCHAR, forms BIGINT, required BIGINT, has BOOLEAN, purpose VARCHAR, method VARCHAR, fixed BOOLEAN, markers VARCHAR, limits VARCHAR",
+        [
+            (0, '01', 0, '제1절', '목표', None, 0, 0, False, None, None, False, '', None),
+            (1, '01-가', 1, '가', '전략', '01', 1, 0, True, ': 왜', ': 추진전략 5개 이내', False, '', '추진전략 max 5 개'),
+            (2, '01-가-1', 2, '1', '세부', '01-가', 2, 1, False, None, None, True, '○-', None),
+            (3, '01-나', 1, '나', '전략 #2', '01', 0, 0, False, None, None, False, '', None),
+            (4, '01-나-1', 2, '1', '세부 #2', '01-나', 0, 0, False, None, None, False, '', None),
+            (5, '01-나_2', 1, '나', '다시', '01', 0, 0, False, None, None, False, '', None),
+            (6, '02', 0, '제2절', '목표 #2', None, 0, 0, False, None, None, False, '', None),
+            (7, '02-첨부1', 1, '첨부1', '표', '02', 0, 0, False, None, None, False, '', None),
+            (8, '(1)', 3, '(1)', '깊이', None, 1, 0, False, None, None, False, '', None),
+        ],
+    ),
+    "guide_forms": (
+        "sec INTEGER, idx INTEGER, seq BIGINT, kind VARCHAR, rows INTEGER, cols INTEGER, header VARCHAR, filled DOUBLE",
+        [
+            (2, 0, 1, 'howto', 3, 1, '◆ 작성 취지 및 방법 ◆', 1.0),
+            (4, 0, 2, 'blank', 2, 2, '이름|값', 0.5),
+            (4, 1, 3, 'example', 2, 2, '이름|값', 0.5),
+            (17, 0, 4, 'example', 2, 2, 'a|b', 1.0),
+        ],
+    ),
     "stream_cards": (
         "id VARCHAR, ord INTEGER, card VARCHAR",
         [

@@ -98,3 +98,10 @@ CATALOG = (
     '"limits": [{"text": "전략 5개 이내", "scope": "전략", "op": "max", "n": 5, "unit": "개"}]}, {"id": "01-가", "depth": 1, "no": "가", "title": "절", "parent": "01", "children": []}]}'
 )
 INDEX = ('{"items": [{"code": "A", "name": "하나", "unit": "%", "area": "a", "area_name": "영역"}], "type7_labels": {"1": "대도시"}}', '[{"code": "11", "level": "시도", "sido": "서울"}, {"code": "11010", "level": "시군구", "sido": "서울", "sigungu": "종로구", "type7": 1}]')
+
+GUIDE = [
+    # line, style, text, grid, a chapter's banner
+    (0, 0, "머리말", None, None), (1, 0, "", None, ("제1절", "목표")), (2, 1, "가. 전략", None, None), (3, 0, "", [["◆ 작성 취지 및 방법 ◆"], ["작성 취지: 왜"], ["작성방법: 추진전략 5개 이내"]], None), (4, 2, "1) 세부", None, None),
+    (5, 4, "쓴다", None, None), (6, 4, "또 쓴다", None, None), (7, 5, "수정 불가", None, None), (8, 0, "", [["이름", "값"], ["", ""]], None), (9, 0, "작성양식 및 예시", None, None), (10, 0, "", [["이름", "값"], ["", ""]], None),
+    (11, 1, "나. 전략", None, None), (12, 1, "그냥 글", None, None), (13, 2, "1) 세부", None, None), (14, 1, "나. 다시", None, None), (15, 0, "", None, ("제2절", "목표")), (16, 1, "[첨부 1] 표", None, None), (17, 10, "(1) 깊이", None, None), (18, 0, "", [["a", "b"], ["1", "2"]], None),
+]
