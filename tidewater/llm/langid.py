@@ -161,33 +161,42 @@ class Model:
         at = start[owner] + nth * BLOCK
         stop = np.minimum(at + BLOCK, start[owner + 1]) if len(owner) else at
         order = np.argsort(at - stop, kind="stable")
-        n = (stop - at)[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        n, first = (stop - at)[order], at[order]
         rows = np.tile(np.array(self.roots, np.int64)[:, None], (1, len(owner)))
-        states, ended = np.zeros((langs, len(s)), np.int32), np.zeros((langs, len(s)), bool)
+        count = np.zeros((langs, len(owner)), np.int64)
+        states, ended = [], []  # by place in a block: [language, block], the longest blocks first
         every = np.arange(langs)[:, None]
         active = len(owner) - np.searchsorted(n[::-1], np.arange(1, n[0] + 1)) if len(n) else []
         for i, k in enumerate(active):
-            here = at[order[:k]] + i
-            rows[:, :k], ended[:, here] = self.step(rows[:, :k], s[here], every)
-            states[:, here] = rows[:, :k]
+            rows[:, :k], ends = self.step(rows[:, :k], s[first[:k] + i], every)
+            count[:, :k] += ends
+            states.append(rows[:, :k].astype(np.int32))
+            ended.append(ends)
         block, lang = (x.ravel() for x in np.meshgrid(np.flatnonzero(nth > 0), np.arange(langs)))
         while len(block):
-            now, here, whose = states[lang, at[block] - 1].astype(np.int64), at[block], np.arange(len(block))
-            through = np.zeros(0, np.int64)
-            while len(whose):
-                j = lang[whose]
-                now, ends = self.step(now, s[here], j)
-                met = states[j, here] == now
-                states[j, here], ended[j, here] = now, ends
-                over = ~met & (here + 1 == stop[block[whose]])
-                through = np.concatenate([through, whose[over]])
+            now, b, j, i = rows[lang, rank[block - 1]], block, lang, 0
+            through = [np.zeros((2, 0), np.int64)]
+            while len(b):
+                r = rank[b]
+                now, ends = self.step(now, s[at[b] + i], j)
+                met = states[i][j, r] == now
+                count[j, r] += ends.astype(np.int64) - ended[i][j, r]
+                states[i][j, r], ended[i][j, r] = now, ends
+                i += 1
+                over = ~met & (n[r] == i)
+                rows[j[over], r[over]] = now[over]
+                through.append(np.stack([b[over], j[over]]))
                 go = ~met & ~over
-                now, here, whose = now[go], here[go] + 1, whose[go]
-            after = block[through] + 1
-            more = (after < len(nth)) & (np.append(nth, 0)[after] > 0)
-            block, lang = after[more], lang[through][more]
-        count = np.stack([np.diff(np.concatenate([[0], np.cumsum(e)])[start]) + (size > 0) for e in ended], axis=1)
-        return count, np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
+                now, b, j = now[go], b[go], j[go]
+            block, lang = np.concatenate(through, axis=1)
+            more = np.append(nth, 0)[block + 1] > 0
+            block, lang = block[more] + 1, lang[more]
+        out = np.zeros((len(texts), langs), np.int64)
+        for j in range(langs):
+            out[:, j] = np.bincount(owner, count[j, rank], len(texts))
+        return out + (size > 0)[:, None], np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
 
     def predict(self, texts: list[str], lookup: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text: the score is the winner's share of the inverse phrase counts."""
