@@ -226,3 +226,27 @@ def limit_sentence(scope: Column, op: Column, n: Column, unit: Column, source: C
     body = F.concat(what, F.lit(": "), count, F.coalesce(F.nullif(unit, F.lit("")), F.lit("개")), F.when(op == "min", " 이상 쓴다").otherwise(" 이내로 쓴다"))
     said = squash(F.coalesce(source, F.lit("")))
     return F.when(said != "", F.concat(body, F.lit(". 안내서 원문 — “"), said, F.lit("”"))).otherwise(body)
+
+
+def diagram_header(c: Column) -> Column:
+    """(type, title, options) of a diagram block's head such as `type=flow title="a b" line_style=dash`; an unknown type is org."""
+    tokens = F.filter(F.regexp_extract_all(c, F.lit(r"""(?:[^\s"']+|"[^"]*"|'[^']*')+"""), F.lit(0)), lambda x: x.rlike("^[^=]+="))
+    entries = F.transform(tokens, lambda x: F.struct(trim(F.substring_index(x, "=", 1)).alias("key"), F.regexp_replace(trim(F.regexp_replace(x, "^[^=]+=", "")), "^[\"']|[\"']$", "").alias("value")))
+    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["key"] == x["key"]))
+    known = F.map_from_entries(last)
+    kind = F.element_at(known, "type")
+    return F.struct(
+        F.when(kind.isin("org", "flow", "matrix", "strategy", "db"), kind).otherwise("org").alias("type"), F.coalesce(F.element_at(known, "title"), F.lit("")).alias("title"),
+        F.map_filter(known, lambda k, v: ~k.isin("type", "title")).alias("options"),
+    )
+
+
+def shown(c: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.left(c, F.lit(n))
+
+
+def bar_table(grid: Column, cols: Column, most: int = 12) -> Column:
+    """The first rows of a grid as lines of a bar table with `cols` cells each."""
+    cells = lambda r: F.transform(F.sequence(F.lit(1), cols), lambda i: table_cell(F.try_element_at(r, i)))
+    return F.array_join(F.transform(F.slice(F.coalesce(grid, F.array().cast("array<array<string>>")), 1, most), lambda r: F.concat(F.lit("| "), F.array_join(cells(r), " | "), F.lit(" |"))), "\n")

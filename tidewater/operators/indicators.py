@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BASES = ("province", "type", "nation")
+LABELS = {"nation": "전국", "province": "광역(시·도) 내", "type": "시·군·구 유형별"}  # fixed values: what a report calls a basis
 RANKABLE, QUARTILES_FROM = 5, 4  # fixed values: members that a ranking and a yearly quartile need
 
 
@@ -21,6 +22,11 @@ def group_of(basis: str) -> Column:
     return F.lit("all") if basis == "nation" else F.col(basis).cast("string")
 
 
+def basis_label(basis: Column) -> Column:
+    """A basis as a report calls it; an unknown one as it is."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p]), basis), basis)
+
+
 def peers(places: DataFrame, basis: str) -> DataFrame:
     """(place, peer) for every place and each member of its group, itself included."""
     keyed = places.withColumn("g", group_of(basis)).filter("g is not null")

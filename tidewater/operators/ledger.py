@@ -84,6 +84,14 @@ def default_model(models: DataFrame, keys: list[str], name: str, place: str) ->
     return ordered_models(models, keys, name, place).filter(F.lower(name).contains("flash-lite")).groupBy(*keys).agg(F.min_by(name, "nth").alias(name))
 
 
+def preferred_model(models: DataFrame, successes: DataFrame, keys: list[str], name: str, place: str, ts: str) -> DataFrame:
+    """(keys, name): the model that worked last, if it is still among the wanted ones; else the default."""
+    last = successes.groupBy(*keys).agg(F.max_by(name, ts).alias(name))
+    alive = last.join(ordered_models(models, keys, name, place).select(*keys, name).distinct(), [*keys, name], "left_semi")
+    other = default_model(models, keys, name, place).withColumnRenamed(name, "_d")
+    return alive.join(other, keys, "full").select(*keys, F.coalesce(name, "_d").alias(name))
+
+
 def limits_of(ledger: DataFrame) -> DataFrame:
     """The ledger with rpd, source and label: the limit seen on the day, else that of the first family in the name, else none."""
     family = None

@@ -175,6 +175,8 @@ def text_tools(s: SparkSession, d: str) -> DataFrame:
         one("header", v.header_line(F.array(t("a\nb"), t(None)))), one("no header", v.header_line(F.array(t(" "), t(None)))), one("limit", v.limit_sentence(t("전략"), t("max"), t(5), t("개"), t("전략 5개 이내"))), one("least", v.limit_sentence(t(None), t("min"), t(None).cast("int"), t(""), t(None))),
         one("attrs text", attrs["text"]), one("fill", v.color(attrs["attrs"]["fill"])), one("link", v.line_type(attrs["attrs"]["link"])), one("no color", v.color(t("red"))), one("round half even", F.bround(t(2.5), 0).cast("int")), one("crc32", F.crc32(t("123456789").cast("binary"))),
         one("units", v.units16(t("a😀"))), one("clip", v.clip(t(" a　 bcdef"), 4)), one("chapter", cards.chapter(t("03-나-1"))),
+        one("basis", indicators.basis_label(t("province"))), one("unknown basis", indicators.basis_label(t("planet"))), one("shown", v.shown(t("가나다"), 2)), one("bar table", v.bar_table(F.array(F.array(t("a|b"), t("c")), F.array(t("d")), F.array(t("e"))), t(2), 2)),
+        one("diagram", v.diagram_header(t('type=flow title="a b" line_style=dash'))["title"]), one("diagram type", v.diagram_header(t("type=pie"))["type"]), one("diagram option", v.diagram_header(t("x=1 x='2'"))["options"]["x"]),
     ]
     return s.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.what", "r.result")
 
@@ -317,13 +319,19 @@ def guide_forms(s: SparkSession, d: str) -> DataFrame:
     return guide.forms(guide.headed(g, "doc"), "doc").select("sec", "idx", "seq", "kind", "rows", "cols", F.array_join("header", "|").alias("header"), F.round("filled", 4).alias("filled"))
 
 
+def preferred_models(s: SparkSession, d: str) -> DataFrame:
+    m = s.createDataFrame([(k, n, i) for k in (1, 2, 3) for i, n in enumerate(["a-pro", "m-2.0-flash-lite", "m-2.5-flash"])], "k int, name string, at int")
+    worked = s.createDataFrame([(1, "m-2.5-flash", 1), (1, "a-pro", 2), (2, "gone", 1)], "k int, name string, ts int")
+    return ledger.preferred_model(m, worked, ["k"], "name", "at", "ts")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
         section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
         series_files, stream_usage, stream_cards, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
-        style_issues, guide_catalog, guide_forms,
+        style_issues, guide_catalog, guide_forms, preferred_models,
     )
 }
 

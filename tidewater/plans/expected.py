@@ -311,12 +311,17 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('after a vowel', '는'),
             ('archive path', 'a/b'),
             ('attrs text', '기획부'),
+            ('bar table', '| a∣b | c |\n| d |   |'),
+            ('basis', '광역(시·도) 내'),
             ('bullet', '·'),
             ('cell', 'a∣b c'),
             ('chapter', '03'),
             ('clip', 'a b…'),
             ('column', '54'),
             ('crc32', '3421780262'),
+            ('diagram', 'a b'),
+            ('diagram option', '2'),
+            ('diagram type', 'org'),
             ('empty cell', ' '),
             ('extension', 'txt'),
             ('fence', 'hi'),
@@ -337,8 +342,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('root path', 'xl/c'),
             ('round half even', '2'),
             ('short', '가나…'),
+            ('shown', '가나'),
             ('square', '□'),
             ('units', '3'),
+            ('unknown basis', 'planet'),
             ('width', '27.8'),
         ],
     ),
@@ -532,6 +539,14 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (17, 0, 4, 'example', 2, 2, 'a|b', 1.0),
         ],
     ),
+    "preferred_models": (
+        "k INTEGER, name VARCHAR",
+        [
+            (1, 'a-pro'),
+            (2, 'm-2.0-flash-lite'),
+            (3, 'm-2.0-flash-lite'),
+        ],
+    ),
     "stream_cards": (
         "id VARCHAR, ord INTEGER, card VARCHAR",
         [
