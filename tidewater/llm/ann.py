@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 PIVOTS, DRAWN, PER_PIVOT = 1024, 4, 8  # at most so many pivots, from DRAWN times as many drawn vectors; one for 8 vectors at most
-POSTED, VISITED, SHARE, LEAST = 16, 32, 0.8, 256
+POSTED, VISITED, SHARE, LEAST = 16, 32, 0.9, 256
 BLOCK, TOP, KEPT = 4096, 5, 64  # vectors or queries of a block; neighbours; candidates of a query that are scored exactly
 
 
