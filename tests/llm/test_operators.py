@@ -450,8 +450,6 @@ def test_mixed_documents_meet_the_targets(spark):
         tokens[kind(x.doc_id)] = tokens.get(kind(x.doc_id), 0) + len(x.text.split())
     for d, share in mixing.SHARES.items():
         assert abs(tokens[d] / sum(tokens.values()) - share) < 0.02
-    with pytest.raises(ValueError):
-        mixing.mixed(docs.withColumn("__nth", F.lit(1)), labels)
 
 
 # --- 7
@@ -612,10 +610,22 @@ def test_substrings_when_every_hash_collides(spark, monkeypatch):
     assert got == substring.brute_force(texts)
 
 
-def test_substrings_with_clashing_names(spark):
-    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, __marks string")
-    with pytest.raises(ValueError):
-        substring.dedup_substrings(df)
+def test_clashing_names(spark):
+    """Columns with the names that the operators use inside or add: inner ones stay as they are, added ones are replaced."""
+    own = ["__id", "__k1", "__k2", "__marks", "__open", "__gone", "__times", "__nth", "__lang", "__score", "__n_words", "__n_removed", "__kept"]
+    texts = [prose(60)] * 2 + [prose(70), "12 3", None]
+    rows = [(i, t, "en", *["mine"] * (len(own) + 3)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string, lang_pred string, copies string, " + ", ".join(f"{c} string" for c in own))
+    got = substring.dedup_substrings(df)
+    assert got.columns == [*(c for c in df.columns if c != "n_words"), "n_words", "n_removed", "kept"]
+    assert {(r.doc_id, r.n_removed, r["__marks"]) for r in got.collect()} == {(0, 0, "mine"), (1, 60, "mine"), (2, 0, "mine"), (3, 0, "mine"), (4, 0, "mine")}
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for stage, ids in ((langid.keep_identified, {0, 1, 2}), (simhash.keep_one, {0, 2, 3, 4}), (substring.without_repeats, {0, 2, 3, 4}), (lambda d: mixing.mixed(d, labels), None)):
+        out = stage(df)
+        kept = out.collect()
+        assert out.columns == df.columns and all(r[c] == "mine" for r in kept for c in [*own, "lang_pred", "copies"]) and ids in (None, {r.doc_id for r in kept})
+    assert langid.predict(df, langid.fit(df)).columns.count("lang_pred") == 1
+    assert simhash.simhash_components(df).count() == sketch.edit_report(df).count() == sharding.shard_documents(df).count() == 5
 
 
 # --- 10

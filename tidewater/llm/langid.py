@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, table
+from .common import bounded, fresh, table
 from .words import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 4000, 20  # longer texts give so many parts, spread from start to end
@@ -232,9 +232,9 @@ def fit(docs: DataFrame, **names) -> Model:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter that labelled texts have is `und`, score 0.
-    Of languages that need equally few phrases the first in order wins. Long texts are parsed from start to end."""
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    Of languages that need equally few phrases the first in order wins. Long texts are parsed from start to end. Columns of the names
+    that are added are replaced."""
+    docs = docs.drop(*added)
     shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table, "restart": model.restart})
     names, schema, model_of = docs.columns, docs.schema, Model
 
@@ -264,7 +264,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = fit(docs.filter(~held_out()))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, model, added=("__lang", "__score")).filter(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = fresh(docs.columns, "__lang", "__score")
+    return predict(docs, model, added=(lang, score)).filter(F.col(lang) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, fresh, stored, table
 
 DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.75, "poor": 0.23, "toxic": 0.02}
@@ -195,15 +195,13 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in their own columns, each as often as its copies, which follow the rates alone."""
-    if clash := {"__k1", "__k2", "__times", "__nth"} & set(docs.columns):
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
     found = mix(docs, labels, grow=True)
-    plan = found.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.max("copies").alias("__times"))
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    k1, k2 = _keys("__id", "text")
-    out = keyed.join(plan, (k1 == F.col("__k1")) & (k2 == F.col("__k2")))
-    again = F.explode(F.array_repeat(F.lit(0), F.col("__times")))
-    return out.filter("__times > 0").withColumn("__nth", again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    a, b, i, times, nth = fresh(docs.columns, "__k1", "__k2", "__id", "__times", "__nth")
+    plan = found.groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.max("copies").alias(times))
+    k1, k2 = _keys(i, "text")
+    out = docs.withColumn(i, F.col("doc_id").cast("long")).join(plan, (k1 == F.col(a)) & (k2 == F.col(b)))
+    again = F.explode(F.array_repeat(F.lit(0), F.col(times)))
+    return out.filter(F.col(times) > 0).withColumn(nth, again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, cut, stored, table
+from .common import bounded, connected_components, cut, fresh, stored, table
 from .words import slices
 
 BITS, SEGMENTS, BLOCKS = 3, 32, 6
@@ -180,11 +180,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, of each component only the one with the smallest doc_id; rows without an id stay."""
-    if "__gone" in docs.columns:
-        raise ValueError("rename this column first: __gone")
+    (name,) = fresh(docs.columns, "__gone")
     found = simhash_components(docs.filter("doc_id is not null"))
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, drop, row_key, stored, table
+from .common import bounded, drop, fresh, row_key, stored, table
 from .words import U, Words, mix, slices
 
 WINDOW, PREFIX, STEPS = 50, 16, 4
@@ -261,25 +261,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     Words are runs other than 0x20 and 0x09-0x0D, unchanged. A word goes if a window of `window` words of its
     document covers it and the same words also start in a document with a smaller id. Windows are judged on the
     input. Null texts have no words; rows without an id lose nothing and make no other row lose anything;
-    repeated rows (equal id) don't count against each other; an empty table gives no rows. Long texts are handled one at a time.
+    repeated rows (equal id) don't count against each other; an empty table gives no rows. Long texts are handled one at a time. Columns of the names that are added are replaced.
     """
-    names, own = docs.columns, ("__id", "__k1", "__k2", "__marks", "__open")
-    if clash := {*added, *own} & set(names):
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    own = fresh([*docs.columns, *added], "__id", "__k1", "__k2", "__marks", "__open")
+    docs_out = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
+    names, marked_as, open_as = [f.name for f in docs_out], *own[3:]
     marks = repeats(docs, window, prefix, id_col, text_col, limit).toDF(*own)
     key = row_key(id_col, text_col)
     rows = docs.join(marks, [k == F.col(n) for k, n in zip(key, own)], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in slices(batches, text_col):
-            marked = np.flatnonzero(b.column("__marks").is_valid().to_numpy(zero_copy_only=False))
+            marked = np.flatnonzero(b.column(marked_as).is_valid().to_numpy(zero_copy_only=False))
             sub = [b" ".join(texts[i].split()) for i in marked]
             w = Words(sub)
             data = w.buf.tobytes()
-            owner, lists = _lists(b.column("__marks").take(pa.array(marked)))
+            owner, lists = _lists(b.column(marked_as).take(pa.array(marked)))
             label, at, n = _hashes(lists.field("label")), *(lists.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
             same = lists.field("same").to_pylist() if lists.field("same").null_count < len(lists) else None
-            mine, opened = _lists(b.column("__open").take(pa.array(marked)))
+            mine, opened = _lists(b.column(open_as).take(pa.array(marked)))
             change = np.zeros(len(w.hash) + 1, np.int64)
             for e in edges_of(w, window, prefix, (mine, _hashes(opened))):
                 i, j = _places(e.text, e.label, owner, label)
@@ -302,16 +302,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *added])
 
     fields = [T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType()))]
-    return bounded(rows.select(*[F.col(f"`{c}`") for c in names], "__marks", "__open")).mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return bounded(rows.select(*[F.col(f"`{c}`") for c in names], marked_as, open_as)).mapInArrow(run, T.StructType([*docs_out, *fields]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents in their own columns with the repeated words gone, n_chars as it is now; documents of nothing else go."""
-    found = dedup_substrings(docs, added=("__n_words", "__n_removed", "__kept"))
-    changed = F.col("__n_removed") > 0
-    found = found.filter(~changed | (F.col("__kept") != ""))
-    text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(changed, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    words, removed, kept = fresh(docs.columns, "__n_words", "__n_removed", "__kept")
+    found = dedup_substrings(docs, added=(words, removed, kept))
+    changed = F.col(removed) > 0
+    found = found.filter(~changed | (F.col(kept) != ""))
+    text = F.when(changed, F.col(kept)).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.when(changed, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
