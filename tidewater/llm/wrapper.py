@@ -278,13 +278,15 @@ class Matcher:
         self.tree_scores: dict[tuple[int, int], int] = {}
 
     def shape(self, t) -> int:
-        kids = () if isinstance(t, int) else tuple(map(self.shape, t[1:]))
-        key = ("#" if isinstance(t, int) else t[0], kids)
+        return self.shape_from("#" if isinstance(t, int) else t[0], () if isinstance(t, int) else tuple(map(self.shape, t[1:])))
+
+    def shape_from(self, label: str, kids: tuple) -> int:
+        key = (label, kids)
         if key not in self.shapes:
             self.shapes[key] = len(self.sizes)
             self.sizes.append(1 + sum(self.sizes[k] for k in kids))
             self.kids.append(kids)
-            self.labels.append(key[0])
+            self.labels.append(label)
         return self.shapes[key]
 
     def score(self, a: int, b: int) -> int:
@@ -330,17 +332,19 @@ class Matcher:
                     pairs.append((head + i, head + j))
         return total, pairs
 
-    def tree(self, t) -> int:
-        """Number of a tree with its texts; equal trees have one."""
-        kids = () if isinstance(t, int) else tuple(map(self.tree, t[1:]))
-        key = (t if isinstance(t, int) else t[0], kids)
-        if key not in self.trees:
-            self.trees[key] = len(self.full)
-            self.shape_of.append(self.shape(t))
-            self.held.append(frozenset([t]) if isinstance(t, int) else frozenset().union(*(self.held[k] for k in kids)))
-            self.full.append(self.TEXTS + (isinstance(t, int) or sum(self.full[k] for k in kids)))
-            self.parts.append(kids)
-        return self.trees[key]
+    def numbered(self, t) -> tuple:
+        """(number, label or digest, children) of a tree with its texts; equal trees have one number."""
+        leaf = isinstance(t, int)
+        kids = () if leaf else tuple(map(self.numbered, t[1:]))
+        head, parts = t if leaf else t[0], tuple(k[0] for k in kids)
+        number = self.trees.get((head, parts))
+        if number is None:
+            number = self.trees[head, parts] = len(self.full)
+            self.shape_of.append(self.shape_from("#" if leaf else head, tuple(self.shape_of[k] for k in parts)))
+            self.held.append(frozenset([t]) if leaf else frozenset().union(*(self.held[k] for k in parts)))
+            self.full.append(self.TEXTS + (1 if leaf else sum(self.full[k] for k in parts)))
+            self.parts.append(parts)
+        return number, head, kids
 
     def tree_score(self, a: int, b: int) -> int:
         if a == b:
@@ -383,15 +387,14 @@ class Matcher:
                     pairs.append((head + i, head + j))
         return total, pairs
 
-    def texts(self, seed, page, place: str = "", path: str = "") -> Iterator[tuple[str, str, int]]:
-        """(place in the seed, path of labels, digest of the page's text) of matched leaves."""
-        xs, ys = (tuple(map(self.tree, t[1:])) for t in (seed, page))
-        for i, j in self.align_trees(xs, ys)[1]:
-            x, y = seed[i + 1], page[j + 1]
-            if isinstance(x, int) and isinstance(y, int):
-                yield f"{place}/{i}", f"{path}/#", y
-            elif not isinstance(x, int) and not isinstance(y, int) and x[0] == y[0]:
-                yield from self.texts(x, y, f"{place}/{i}", f"{path}/{x[0]}")
+    def texts(self, seed: tuple, page: tuple, place: str = "", path: str = "") -> Iterator[tuple[str, str, int]]:
+        """(place in the seed, path of labels, digest of the page's text) of matched leaves of numbered trees."""
+        for i, j in self.align_trees(self.parts[seed[0]], self.parts[page[0]])[1]:
+            x, y = seed[2][i], page[2][j]
+            if isinstance(x[1], int) and isinstance(y[1], int):
+                yield f"{place}/{i}", f"{path}/#", y[1]
+            elif x[1] == y[1]:
+                yield from self.texts(x, y, f"{place}/{i}", f"{path}/{x[1]}")
 
 
 def wrap(trees: list) -> list[tuple[int, int, int]]:
@@ -405,8 +408,9 @@ def wrap(trees: list) -> list[tuple[int, int, int]]:
     same: dict[tuple[str, int], set[int]] = {}
     places: dict[tuple[str, int], set[str]] = {}
     aligned: dict[str, set[int]] = {}
+    first = m.numbered(seed)
     for k, t in enumerate(trees):
-        for place, path, text in m.texts(seed, t):
+        for place, path, text in m.texts(first, m.numbered(t)):
             same.setdefault((path, text), set()).add(k)
             places.setdefault((path, text), set()).add(place)
             aligned.setdefault(place, set()).add(k)
