@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, divergence, langid, mixing, packing, repair, sharding, simhash, sketch, substring, warc, wrapper
+from . import ann, divergence, langid, mixing, packing, repair, sharding, simhash, sketch, substring, toxicity, warc, wrapper
 
 QUERIES = {
     "op1_permutation_index": ann.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit": packing.op10,
     "op11_dial_repair": repair.op11,
     "op12_term_blocks": divergence.op12,
+    "op13_noisy_channel": toxicity.op13,
 }
 
 ORACLES = {
