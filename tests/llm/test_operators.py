@@ -452,6 +452,23 @@ def test_mixed_documents_meet_the_targets(spark):
         assert abs(tokens[d] / sum(tokens.values()) - share) < 0.02
 
 
+def test_repeated_rows_come_as_often_as_their_copies_add_up_to(spark):
+    r = random.Random(3)
+    topic = {d: [word() for _ in range(60)] for d in ("good", "poor", "toxic")}
+    kind = lambda i: ("good", "good", "poor", "toxic")[i % 4]
+    rows = [(i, " ".join(r.choice(topic[kind(i)]) for _ in range(40)), "k") for i in range(400)]
+    docs = spark.createDataFrame([x for x in rows for _ in range(8)], "doc_id long, text string, __k1 string").repartition(7)
+    labels = spark.createDataFrame([(i, int(kind(i) == "good"), int(kind(i) == "toxic")) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    plan = mixing.mix(docs, labels, grow=True).collect()
+    want: dict = {}
+    for x in plan:
+        want[x.doc_id] = want.get(x.doc_id, 0) + x.copies
+    out = mixing.mixed(docs, labels)
+    got = {x.doc_id: x["count"] for x in out.groupBy("doc_id").count().collect()}
+    assert out.columns == docs.columns and got == {k: n for k, n in want.items() if n}
+    assert abs(sum(got.values()) / sum(x.rate for x in plan) - 1) < 0.02
+
+
 # --- 7
 
 
@@ -516,7 +533,7 @@ def test_pipeline_stages_follow_rates_and_keep_unlabelled(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "ab cd", None), (2, "12 !", None), (3, "ef", None)], "doc_id long, text string, lang string")
     assert {x.doc_id for x in langid.keep_identified(docs).collect()} == {1, 3}
     known = spark.createDataFrame([(i, "abab cdcd", "x") for i in range(40)] + [(99, "жзжз", None)], docs.schema)
-    assert {x.doc_id for x in langid.keep_identified(known).collect()} == set(range(40))
+    assert {x.doc_id for x in langid.keep_identified(known).collect()} == {*range(40), 99}
     plan = docs.select(*mixing._keys("doc_id", "text"), F.lit(0.6).alias("p_toxic"), (F.col("doc_id") - 1).cast("int").alias("copies"))
     monkeypatch.setattr(mixing, "mix", lambda *a, **k: plan)
     assert sorted(x.doc_id for x in mixing.mixed(docs, None).collect()) == [2, 3, 3]

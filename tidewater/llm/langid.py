@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from .common import bounded, fresh, table
 from .words import slices
 
-SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 4000, 20  # longer texts give so many parts, spread from start to end
+#: Labelled rows that a language is learned from: so many at most, whole, those of up to SAMPLE_CHARS characters before longer
+#: ones, and none after SAMPLE_DOCS * SAMPLE_CHARS characters.
+SAMPLE_DOCS, SAMPLE_CHARS = 64, 4000
 BLOCK = 2048  # symbols of a text that are parsed side by side with those of others; phrases go on from block to block
 SLICE = 1_500_000  # bytes of text that are in Python at a time, and in a batch that goes back
 UNKNOWN = "und"
@@ -147,7 +149,7 @@ class Model:
         return np.where(ends, self.restart[lang, c], cells & 0xFFFFFFFF), ends
 
     def phrases(self, texts: list[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases [text, language] and whether the text has a letter that a labelled text has: else no automaton goes on with any.
+        """Phrases [text, language] and whether the text has a letter.
 
         Blocks of all texts are parsed side by side, each from the root. Then the blocks that follow another are parsed again
         from the state in which that one ended, until they meet the path that they took from the root, as they do after a few
@@ -196,7 +198,7 @@ class Model:
         out = np.zeros((len(texts), langs), np.int64)
         for j in range(langs):
             out[:, j] = np.bincount(owner, count[j, rank], len(texts))
-        return out + (size > 0)[:, None], np.diff(np.concatenate([[0], np.cumsum(s > 1)])[start]) > 0
+        return out + (size > 0)[:, None], size > 0
 
     def predict(self, texts: list[str], lookup: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text: the score is the winner's share of the inverse phrase counts."""
@@ -210,15 +212,14 @@ class Model:
 
 
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text per language: `sample_docs` rows with the smallest hashes of id and text, whole or, of texts longer
-    than `sample_chars`, PARTS parts that are spread evenly from the start to the end."""
+    """Labelled text per language: whole texts of `sample_docs` rows at most, with the smallest hashes of id and text; rows of up to
+    `sample_chars` characters come first, and none follow once sample_docs * sample_chars characters are reached."""
     h = F.xxhash64(F.col(id_col).cast("string"), text_col)
-    part = max(1, sample_chars // PARTS)
-    start = lambda i: (1 + i * (F.length("t") - part) / (PARTS - 1)).cast("int")
-    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("t", start(i), F.lit(part))))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), h.alias("h"), F.col(text_col).alias("t"))
-    top = rows.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= sample_docs)
-    top = top.withColumn("t", F.when(F.length("t") > sample_chars, spread).otherwise(F.col("t")))
+    order = W.partitionBy("l").orderBy(F.length("t") > sample_chars, "h", "t")
+    top = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_docs)
+    before = F.coalesce(F.sum(F.length("t").cast("long")).over(W.partitionBy("l").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = top.withColumn("before", before).filter(F.col("before") < sample_docs * sample_chars)
     out: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: (r["l"], r["r"])):
         out.setdefault(r["l"], []).append(r["t"])
@@ -231,8 +232,9 @@ def fit(docs: DataFrame, **names) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter that labelled texts have is `und`, score 0.
-    Of languages that need equally few phrases the first in order wins. Long texts are parsed from start to end. Columns of the names
+    """All rows and columns, with lang_pred and lang_score, or other names. A null text or one without a letter is `und`, score 0;
+    so is every text where no language was learned. Of languages that need equally few phrases the first in order wins, as where a text has
+    no letter of any labelled one. Long texts are parsed from start to end. Columns of the names
     that are added are replaced."""
     docs = docs.drop(*added)
     shipped = docs.sparkSession.sparkContext.broadcast({"langs": model.langs, "known": model.known, "n": model.n, "roots": model.roots, "table": model.table, "restart": model.restart})
@@ -260,7 +262,7 @@ def identify(docs: DataFrame, **names) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found, with their own columns; those with a letter where no row teaches a language."""
+    """The documents in which a language was found, with their own columns: those with a letter, whatever its script, also where no row teaches a language."""
     model = fit(docs.filter(~held_out()))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

@@ -194,14 +194,15 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = No
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents in their own columns, each as often as its copies, which follow the rates alone."""
+    """The documents in their own columns, each as often as its copies, which follow the rates alone. Of rows with equal doc_id and
+    text one stands for all and comes as often as their copies add up to."""
     found = mix(docs, labels, grow=True)
-    a, b, i, times, nth = fresh(docs.columns, "__k1", "__k2", "__id", "__times", "__nth")
-    plan = found.groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.max("copies").alias(times))
+    a, b, c, d, i, row, times = fresh(docs.columns, "__k1", "__k2", "__k3", "__k4", "__id", "__row", "__times")
+    plan = found.groupBy(F.col("k1").alias(a), F.col("k2").alias(b)).agg(F.sum("copies").cast("int").alias(times))
     k1, k2 = _keys(i, "text")
-    out = docs.withColumn(i, F.col("doc_id").cast("long")).join(plan, (k1 == F.col(a)) & (k2 == F.col(b)))
-    again = F.explode(F.array_repeat(F.lit(0), F.col(times)))
-    return out.filter(F.col(times) > 0).withColumn(nth, again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = docs.withColumn(i, F.col("doc_id").cast("long")).groupBy(k1.alias(c), k2.alias(d)).agg(F.first(F.struct(*[F.col(f"`{x}`") for x in docs.columns])).alias(row))
+    out = each.join(plan, (F.col(c) == F.col(a)) & (F.col(d) == F.col(b))).filter(F.col(times) > 0)
+    return out.select(row, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(row)[x].alias(x) for x in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
