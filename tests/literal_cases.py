@@ -1,4 +1,4 @@
-"""Queries over manuscripts, sections, cards, forms, messages and files, most of them literal rows (fixtures)."""
+"""Cases over literal manuscripts, sections, cards, forms, messages and files; what they must give is in literal_expected.py."""
 
 from __future__ import annotations
 
@@ -12,12 +12,9 @@ from tidewater.operators import cards, forms, indicators, ledger, markers, outli
 from tidewater.operators import sections as guide
 from tidewater.session import shared_dir
 from tidewater.sources import attachments, hwpx, series
-from tidewater.streaming import cards as card_stream
-from tidewater.streaming.usage import usage_stream
 
-from . import adapters as a
-from . import fixtures as x
-from .expected import EXPECTED
+import literal_rows as x
+from literal_expected import EXPECTED
 
 
 def manuscripts(s: SparkSession) -> DataFrame:
@@ -79,14 +76,6 @@ def card_texts(s: SparkSession, d: str) -> DataFrame:
     return _cards(s).select("id", F.array_join("heads", "/").alias("heads"), "card")
 
 
-def card_of_documents(s: SparkSession, d: str) -> DataFrame:
-    """Cards of all documents: their sizes stay within the bound but for one very wide table."""
-    docs = a.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("no"), "source", "text")
-    c = cards.cards(docs, "id", "no", "source", "text")
-    card = cards.card_text(*[F.col(n) for n in ("id", "no", "source", "names", "points", "tables", "numbers")])
-    return c.select("id", F.size("numbers").alias("numbers"), F.size("tables").alias("tables"), (text.units16(card) <= cards.MOST).alias("fits"))
-
-
 def card_context(s: SparkSession, d: str) -> DataFrame:
     """What each section is told of those before it."""
     n = sections(s).join(tree.mirrors(sections(s)), "id").select("id", "ord", "mirrors", cards.chapter(F.col("id")).alias("chapter"))
@@ -97,12 +86,6 @@ def card_context(s: SparkSession, d: str) -> DataFrame:
     return cards.context(taken.join(have.select(F.col("card_id").alias("id"), "card"), "id"), "target", "ord", "card")
 
 
-def merge_cards(s: SparkSession, d: str) -> DataFrame:
-    old = s.createDataFrame([("a", 0, "x"), ("b", 1, "y"), ("c", 2, "z")], "id string, ord int, card string")
-    new = s.createDataFrame([("b", 0, "Y"), ("e", 1, "n"), ("d", 2, "m"), ("d", 3, "M")], "id string, ord int, card string")
-    return cards.merged(old, new)
-
-
 def section_instructions(s: SparkSession, d: str) -> DataFrame:
     return tree.instructions(sections(s))
 
@@ -209,21 +192,6 @@ def series_files(s: SparkSession, d: str) -> DataFrame:
     return series.read_series(s, path)
 
 
-def stream_usage(s: SparkSession, d: str) -> DataFrame:
-    """The events as a stream, in one run to its end: uses of a day by model, from the last state of each hour."""
-    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    schema = a.table(s, d, "events").schema
-    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
-
-    q = usage_stream(events, "user_id", "ts", late="400 days").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
-    last = s.read.parquet(f"{folder}/rows").groupBy("day", "hour", "model").agg(F.max_by("n", "batch").alias("n"))
-    return last.groupBy("day", "model").agg(F.sum("n").alias("n"))
-
-
 def _packages(s: SparkSession) -> DataFrame:
     return s.createDataFrame(x.packages(), "name string, content binary")
 
@@ -245,14 +213,10 @@ def package_verdict(s: SparkSession, d: str) -> DataFrame:
 def package_text(s: SparkSession, d: str) -> DataFrame:
     """Marked text of the body part, by the styles of a form."""
     levels = s.createDataFrame([(1, "#"), (2, "○"), (17, "※")], "style int, marker string")
-    body = hwpx.body_part(hwpx.paragraphs(_packages(s)), "Contents/section1.xml")
+    body = hwpx.body_part(hwpx.paragraphs(_packages(s)), "Contents/section1.xml", hwpx.entries(_packages(s)))
     return hwpx.marker_text(hwpx.marker_lines(body, levels, 17)).withColumn("ratio", F.round("ratio", 4))
 
 
-def package_levels(s: SparkSession, d: str) -> DataFrame:
-    return hwpx.guessed_levels(hwpx.paragraphs(_packages(s)).filter("error is null"), hwpx.styles(_packages(s)))
-
-
 def package_references(s: SparkSession, d: str) -> DataFrame:
     r = hwpx.references(_packages(s)).filter("error is null")
     gone = forms.dangling(r.filter("not defined"), r.filter("defined"), "name", "attr", "ref")
@@ -290,17 +254,6 @@ def index_files(s: SparkSession, d: str) -> DataFrame:
     return items.select("code", F.col("name").alias("item")).join(named)  # one item
 
 
-def stream_cards(s: SparkSession, d: str) -> DataFrame:
-    """Cards saved in three files, one a batch: the latest of each section in its first place."""
-    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    schema = "id string, ord int, card string"
-    for rows in ([("a", 0, "x"), ("b", 1, "y")], [("b", 0, "Y"), ("c", 1, "z")], [("a", 0, "X"), ("d", 1, "n")]):
-        s.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    card_stream.keep_latest(stream, folder).awaitTermination()
-    return card_stream.read(s, folder).select("id", "ord", "card")
-
-
 def style_issues(s: SparkSession, d: str) -> DataFrame:
     more = s.createDataFrame([("x", "", "", "# 제목.\n○ 한 문장.\n- 두 문장. 또 하나\n- 둘. 셋.\n○ 글 ○ 속\n▪ 끝")], "id string, no string, title string, text string")
     b = markers.blocks(manuscripts(s).union(more), "id", "text")
@@ -325,29 +278,12 @@ def preferred_models(s: SparkSession, d: str) -> DataFrame:
     return ledger.preferred_model(m, worked, ["k"], "name", "at", "ts")
 
 
-QUERIES = {
+CASES = {
     f.__name__: f
     for f in (
-        marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_of_documents, card_context, merge_cards, section_instructions, section_mirrors,
+        marker_blocks, marker_footnotes, marker_issues, issue_tally, marker_chapters, bar_tables, table_shapes, form_issues, card_texts, card_context, section_instructions, section_mirrors,
         section_problems, section_order, section_stats, table_kinds, blank_forms, headings, contents, message_faults, number_formats, axis_ticks, text_tools, indent_tree, diagram_relations, package_entries, attachment_files,
-        series_files, stream_usage, stream_cards, package_paragraphs, package_styles, package_verdict, package_text, package_levels, package_references, package_bullets, package_style_names, catalog_file, index_files,
+        series_files, package_paragraphs, package_styles, package_verdict, package_text, package_references, package_bullets, package_style_names, catalog_file, index_files,
         style_issues, guide_catalog, guide_forms, preferred_models,
     )
 }
-
-
-def _values(columns: str, rows: list[tuple]) -> str:
-    """SQL for literal rows; a column is a name and a type."""
-    def one(v) -> str:
-        if v is None:
-            return "NULL"
-        return str(v) if isinstance(v, bool | int | float) else "'" + v.replace("'", "''") + "'"
-
-    pairs = [c.split(" ") for c in columns.split(", ")]
-    quoted = [f'"{n}"' for n, _ in pairs]
-    cast = ", ".join(f'CAST("{n}" AS {t}) AS "{n}"' for n, t in pairs)
-    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({', '.join(quoted)})"
-
-
-#: What the fixtures must give, as literal rows.
-ORACLES = {name: _values(*what) for name, what in EXPECTED.items()}

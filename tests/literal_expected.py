@@ -142,16 +142,6 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('06', '[앞서 작성한 절의 결정 사항]\n※ 이 계획서의 앞선 절에서 이미 확정한 내용이다. 비전·전략 이름·사업명·수치를 여기에\n   맞춰 쓴다. 달리 써야 할 이유가 있으면 그 이유를 본문에 밝힌다. 아래 내용을 그대로\n   옮겨 적지는 말고, 이 절이 맡은 몫만 쓴다.\n\n◆ 가. 목표와 전략 (01-가)\n  - 확정된 이름: 비전과 목표 / 세부사업 3개 / 돌봄 사업\n  - 함께 사는 복지 도시[^1]\n  - 표 2열: 전략 | 과제 (첫 칸: 돌봄 사업, 자립 지원)\n  - 수치: 1,200명, 87.5%, 3개\n◆ 나. 추진 체계 (01-나)\n  - 확정된 이름: 추진전략\n  - 첫째 [^2]\n  - 표 2열: a | b (첫 칸: 1)\n◆ 가. 재정 (02-가)\n  - 표 2열: 연도 | 억원 (첫 칸: 2024)\n  - 수치: 30억원'),
         ],
     ),
-    "merge_cards": (
-        "id VARCHAR, ord INTEGER, card VARCHAR",
-        [
-            ('a', 0, 'x'),
-            ('b', 1, 'Y'),
-            ('c', 2, 'z'),
-            ('d', 4, 'M'),
-            ('e', 3, 'n'),
-        ],
-    ),
     "section_instructions": (
         "id VARCHAR, ref VARCHAR",
         [
@@ -449,17 +439,6 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('a.hwpx', '# 가. 목표 & 전략\n○ 돌봄 확충 끝\n\n{cols=75,25}\n| 머리 |   |\n|---|---|\n| a | b |\n※ 자료: 통계\n○ ○ 이중\n남\n', 0.8),
         ],
     ),
-    "package_levels": (
-        "name VARCHAR, style INTEGER, char INTEGER, prefix VARCHAR, depth INTEGER, n BIGINT",
-        [
-            ('a.hwpx', 1, None, '', 3, 1),
-            ('a.hwpx', 1, 1, '가.', 1, 1),
-            ('a.hwpx', 2, 0, '', 5, 1),
-            ('a.hwpx', 2, 0, '○', 2, 1),
-            ('a.hwpx', 5, 4, '', 6, 1),
-            ('a.hwpx', 17, 0, '', 4, 1),
-        ],
-    ),
     "package_references": (
         "name VARCHAR, attr VARCHAR, missing VARCHAR",
         [
@@ -547,13 +526,4 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             (3, 'm-2.0-flash-lite'),
         ],
     ),
-    "stream_cards": (
-        "id VARCHAR, ord INTEGER, card VARCHAR",
-        [
-            ("a", 0, "X"),
-            ("b", 1, "Y"),
-            ("c", 2, "z"),
-            ("d", 3, "n"),
-        ],
-    ),
 }

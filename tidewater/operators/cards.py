@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from tidewater.functions.text import clip, numbers_with_units, pipe_cells, trim, units16
 
+from .order import positions
+
 MOST, BUDGET = 700, 6000  # characters of a card and of all cards of a section
 # Words of lines that name something, and the text above the cards.
 NAMES = "비전|목표|추진전략|전략|중점|세부사업|사업명|사업|과제|지표"
@@ -99,13 +102,14 @@ def trimmed(found: DataFrame, key: str, no: str, title: str, most: int = MOST) -
 def merged(cards: DataFrame, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """The cards with new ones in the place of those of equal key, and the others of them behind, in their own order; of several new cards of a key the last counts."""
     last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), order).alias("_new"), F.min(order).alias("_first"))
-    both = cards.join(last, key, "full")
-    old = F.col(order).isNotNull()
+    added = positions(last.join(cards.select(key), key, "left_anti"), "_first", key, name="_behind").select(key, "_new", "_behind")
     top = cards.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_top"))
-    behind = F.row_number().over(W.partitionBy(old).orderBy("_first", key))
-    both = both.crossJoin(F.broadcast(top)).withColumn("_at", F.when(old, F.col(order)).otherwise(F.col("_top") + behind))  # one row
-    values = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in cards.columns if c not in (key, order)]
-    return both.select(key, F.col("_at").alias(order), *values)
+    values = [c for c in cards.columns if c not in (key, order)]
+    kept = cards.join(last.select(key, "_new"), key, "left")
+    kept = kept.select(key, order, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    behind = added.crossJoin(F.broadcast(top))  # one row
+    kind = dict(cards.dtypes)[order]
+    return kept.union(behind.select(key, (F.col("_top") + F.col("_behind") + 1).cast(kind).alias(order), *[F.col(f"_new.{c}").alias(c) for c in values]))
 
 
 def score(target: str = "t", card: str = "c") -> Column:
@@ -119,6 +123,69 @@ def score(target: str = "t", card: str = "c") -> Column:
     return F.when((c("id") == t("id")) | (c("ord") > t("ord")), 0).otherwise(points).cast("int")
 
 
+NEAR = 20  # a card so many places before its target gets nothing for nearness
+
+
+def _capped(cards: DataFrame, keys: list[str], budget: int, times: int = 1) -> DataFrame:
+    """Of the cards of equal size in a group the first that fit in the budget together, `times` over: no others of that size can."""
+    nth = F.row_number().over(W.partitionBy(*keys, "size").orderBy("ord", "id"))
+    return cards.withColumn("_r", nth).filter(F.col("_r") <= times * F.floor(F.lit(budget) / (F.col("size") + 1))).drop("_r")
+
+
+def _reachable(cards: DataFrame, keys: list[str], budget: int, but_one: bool = False) -> DataFrame:
+    """Of the cards of a group, in order, those that a greedy choice may reach: whoever takes a card has taken all before it that
+    are no larger, as there was more room then. but_one: one chapter may be left out, so the fullest one doesn't count.
+
+    Expects _capped() cards, so that a group is bounded by the budget, whatever the document.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums, chapters, fullest = None, np.zeros(budget + 2, np.int64), {}, 0
+        for b in batches:
+            kept = []
+            for at, (group, chapter, size) in enumerate(zip(zip(*[b[k].tolist() for k in keys]), b["chapter"].tolist(), b["size"].tolist())):
+                if group != now:
+                    now, chapters, fullest = group, {}, 0
+                    sums[:] = 0
+                before = int(sums[: size + 1].sum()) - (fullest if but_one else 0)
+                if before + size + 1 <= budget:
+                    kept.append(at)
+                sums[size] += size + 1
+                chapters[chapter] = chapters.get(chapter, 0) + size + 1
+                fullest = max(fullest, chapters[chapter])
+            yield b.iloc[kept]
+
+    return cards.repartition(*keys).sortWithinPartitions(*keys, "ord", "id").mapInPandas(fold, cards.schema)
+
+
+def candidates(targets: DataFrame, cards: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(doc, target, id, ord, score, size): for each target (doc, id, ord, chapter, mirrors) the cards (doc, id, ord, chapter, size) of its
+    document that pick() may take under the budget, and few others; it takes the same of them as of all pairs.
+
+    Cards that earn points of their own are joined by key: the mirror, and those less than NEAR places before. All others of a
+    chapter score the same and go in order from the front, where the budget bounds how many can ever be taken; these are found
+    once a chapter and once a document. ord is the place in the document, one card a place; sizes are integers. So a document
+    with n targets makes rows in proportion to n.
+    """
+    cards = cards.select("doc", "id", "ord", "chapter", "size").filter(F.col("size") < budget)
+    t = targets.select("doc", F.col("id").alias("target"), F.col("ord").alias("t_ord"), F.col("chapter").alias("t_chapter"), F.col("mirrors").alias("t_mirrors"))
+    shape = ["doc", "target", "t_ord", "t_chapter", "t_mirrors", "id", "ord", "chapter", "size"]
+    near = t.withColumn("_at", F.explode(F.sequence(F.lit(1), F.lit(NEAR - 1)))).withColumn("ord", F.col("t_ord") - F.col("_at")).join(cards, ["doc", "ord"])
+    mirror = t.filter("t_mirrors is not null").withColumn("id", F.col("t_mirrors")).join(cards, ["doc", "id"]).filter(F.col("ord") <= F.col("t_ord") - NEAR)
+    by_chapter = _capped(cards, ["doc", "chapter"], budget)
+    same = _reachable(by_chapter, ["doc", "chapter"], budget)
+    other = _reachable(_capped(by_chapter.filter("chapter <> '01'"), ["doc"], budget, 2), ["doc"], budget, but_one=True)
+    far = (F.col("ord") <= F.col("t_ord") - NEAR) & ~F.coalesce(F.col("id") == F.col("t_mirrors"), F.lit(False))
+    of_chapter = t.withColumn("chapter", F.col("t_chapter")).join(same, ["doc", "chapter"]).filter(far)
+    of_first = t.filter("t_chapter <> '01'").join(same.filter("chapter = '01'"), "doc").filter(far)
+    of_others = t.join(other, "doc").filter(far & (F.col("chapter") != F.col("t_chapter")))
+    found = None
+    for some in (near, mirror, of_chapter, of_first, of_others):
+        found = some.select(*shape) if found is None else found.union(some.select(*shape))
+    found = found.select("doc", "target", "id", "ord", "size", F.struct(F.col("target").alias("id"), F.col("t_ord").alias("ord"), F.col("t_chapter").alias("chapter"), F.col("t_mirrors").alias("mirrors")).alias("t"), F.struct("id", "ord", "chapter").alias("c"))
+    return found.select("doc", "target", "id", "ord", score().alias("score"), "size")
+
+
 def pick(scored: DataFrame, key: str, budget: int, header: int = 0) -> DataFrame:
     """(key, ord, id) of the cards (key, id, ord, score, size) taken: best score first, then document order, each that still fits.
 

@@ -58,3 +58,42 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(n % 7 == 0, "table").when(n % 11 == 0, "text").otherwise("item")
     level = F.when(kind == "item", n % 4 + 1)
     return t.select("conv_id", F.col("turn").alias("ln"), kind.alias("kind"), level.alias("level"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ln, style, para, char, text, in_table, after_table) of each line of a document: styles and what lines begin with
+    follow from their length and number."""
+    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    n = F.length("line")
+    line = line.withColumns({"style": (n % 5).cast("int"), "para": F.lit(0), "char": (F.col("ln") % 2).cast("int")})
+    begin = F.when(F.col("ln") % 5 == 4, "").when(F.col("style") == 0, "□ ").when(F.col("style") == 1, "- ").when(F.col("style") == 2, F.concat((F.col("ln") % 20 + 1).cast("string"), F.lit(". "))).when(F.col("style") == 3, "가) ").otherwise("")
+    after = ((F.col("style") == 4) & (F.col("char") == 0)) | (F.col("ln") % 7 == 1)
+    return line.select("doc_id", "ln", "style", "para", "char", F.concat(begin, F.trim("line")).alias("text"), (F.col("ln") % 13 == 12).alias("in_table"), after.alias("after_table"))
+
+
+def shapes(paras: DataFrame) -> DataFrame:
+    """(doc_id, style, para, char, name, size, left, bullet, number) of the shapes of paragraphs()."""
+    style, char = F.col("style"), F.col("char")
+    name = F.when(style == 0, "제목").when(style == 1, "본문").when(style == 2, "자료 출처").when(style == 3, "기타")
+    some = paras.select("doc_id", "style", "para", "char").distinct()
+    return some.select("doc_id", "style", "para", "char", name.alias("name"), (16.0 - 2 * (style % 3) + char).alias("size"), (F.floor(style / 2) * 5.0).alias("left"), F.when((style == 1) & (char == 1), "◦").alias("bullet"), F.when((style == 3) & (char == 1), "^1)").alias("number"))
+
+
+def read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ln, kind, text, size, notes, rows): lines of documents as paragraphs, tables of their words, and places of pictures."""
+    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    n, ln = F.length("line"), F.col("ln")
+    kind = F.when(ln % 9 == 5, "table").when(ln % 17 == 7, "picture").otherwise("para")
+    k = (n + ln) % 8
+    begin = F.when(k == 0, "Ⅱ. ").when(k == 1, F.concat((ln % 30 + 1).cast("string"), F.lit(".  "))).when(k == 2, "나. ").when(k == 3, "③").when(k == 4, "○ ").when(k == 5, "-　").otherwise("")
+    note = lambda at, said: F.struct(at.cast("int").alias("at"), said.alias("note"))
+    one, other = note(n / 3, F.concat(F.lit("n"), ln.cast("string"))), note(F.when(n % 2 == 0, n / 3).otherwise(n + 9), F.lit("second"))
+    notes = F.when(ln % 4 == 1, F.array(one)).when(ln % 6 == 2, F.array(one, other)).otherwise(F.array().cast("array<struct<at:int,note:string>>"))
+    rows = F.when(kind == "table", F.transform(F.split("line", "[.,]"), lambda r: F.slice(F.split(F.trim(r), " "), 1, 4)))
+    blank = F.array().cast("array<struct<at:int,note:string>>")
+    return line.select("doc_id", "ln", kind.alias("kind"), F.when(kind == "para", F.concat(begin, "line")).otherwise("").alias("text"), F.when(kind == "para", 10 + n % 3).cast("int").alias("size"), F.when(kind == "para", notes).otherwise(blank).alias("notes"), rows.alias("rows"))
+
+
+def moved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events 55 days later, so that the clocks of the ledger's zone change among them."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp") + F.expr("INTERVAL 55 DAYS"))

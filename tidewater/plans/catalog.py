@@ -9,7 +9,7 @@ from tidewater.functions import numbers, text
 from tidewater.operators import cards, forms, indicators, ledger, outline, tables, tree
 
 from . import adapters as a
-from . import documents
+from . import structures
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -336,7 +336,7 @@ QUERIES = {
     "usable_models": usable_models,
     "model_order": model_order,
     "fmt_ref": fmt_ref,
-    **documents.QUERIES,
+    **structures.QUERIES,
 }
 
 _VALUES = """
@@ -550,7 +550,7 @@ ORACLES |= {
         SELECT l_returnflag AS style, l_linestatus AS para, l_linenumber AS char, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY i) FILTER (WHERE i <= 3) AS samples FROM r GROUP BY ALL""",
     "match_ratio": f"WITH {_LINES} SELECT conv_id, round(avg((kind = 'item')::INT), 4) AS ratio, avg((kind = 'item')::INT) < 0.35 AS guess FROM ms GROUP BY ALL",
     "dangling_parts": "SELECT l_returnflag, count(DISTINCT l_partkey)::INT AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 3) GROUP BY l_returnflag",
-    **documents.ORACLES,
+    **structures.ORACLES,
 }
 
 # The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.

@@ -15,7 +15,6 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import trim
@@ -174,10 +173,10 @@ def verdict(found: DataFrame) -> DataFrame:
     return bad.union(gone).union(order)
 
 
-def body_part(paras: DataFrame, wanted: str) -> DataFrame:
-    """The paragraphs of the wanted part, or, in a package without it, of the part with the most text."""
-    size = paras.filter("error is null").groupBy("name", "part").agg(F.sum(F.length("text")).alias("n"))
-    best = size.groupBy("name").agg(F.max_by("part", F.struct(F.col("part") == wanted, "n")).alias("part"))
+def body_part(paras: DataFrame, wanted: str, found: DataFrame) -> DataFrame:
+    """The paragraphs of the wanted part, or, in a package without it, of the largest part by the bytes of its entry (entries())."""
+    parts = paras.filter("error is null").select("name", "part").distinct().join(found.select("name", F.col("entry").alias("part"), "bytes"), ["name", "part"], "left")
+    best = parts.groupBy("name").agg(F.max_by("part", F.struct(F.col("part") == wanted, "bytes")).alias("part"))
     return paras.join(best, ["name", "part"])
 
 
@@ -193,7 +192,8 @@ def marker_lines(paras: DataFrame, levels: DataFrame, note_style: int) -> DataFr
     row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
     head = F.concat(F.lit("|"), F.array_join(F.transform(F.col("grid")[0], lambda c: F.lit("---")), "|"), F.lit("|"))
     width = F.when(F.size("widths") > 0, F.array(F.concat(F.lit("{cols="), F.array_join(F.transform("widths", lambda w: w.cast("string")), ","), F.lit("}")))).otherwise(F.array().cast("array<string>"))
-    table = F.array_join(F.concat(width, F.array(row(F.col("grid")[0]), head), F.transform(F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1))), row)), "\n")
+    # an empty line before a table; those that were there already make no second one
+    table = F.array_join(F.concat(F.array(F.lit("")), width, F.array(row(F.col("grid")[0]), head), F.transform(F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1))), row)), "\n")
     matched = F.when((F.col("kind") == "para") & (text != ""), F.col("marker").isNotNull() | (F.col("style") == note_style))
     return known.select("name", "ln", F.when(F.col("kind") == "table", F.when(F.size("grid") > 0, table)).otherwise(line).alias("line"), matched.alias("matched"))
 
@@ -205,22 +205,6 @@ def marker_text(lines: DataFrame) -> DataFrame:
     return each.select("name", F.concat(trim(F.regexp_replace(F.array_join("all", "\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("text"), "ratio")
 
 
-def guessed_levels(paras: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(name, style, char, prefix, depth, n): levels of a form that isn't known, by what paragraphs start with and how large they are.
-
-    Depth numbers first the kinds of numbers (I., 1., 가., 1), (1)), then bullets, then sizes of text without either, each from the
-    largest size and smallest margin down.
-    """
-    kinds = (("number", r"^(?:[IVX]+\.|제\d+[장절]|\d+\.|[가-힣]\.|\d+\)|\(\d+\)|[가-힣]\))"), ("bullet", "^[" + SYMBOLS.replace("-", "") + "-]"))
-    prefix = F.when(F.col("text").rlike(kinds[0][1]), F.regexp_replace(F.regexp_replace(F.regexp_extract("text", kinds[0][1], 0), r"\d+", "1"), "[가-힣](?=[.)])", "가")).when(F.col("text").rlike(kinds[1][1]), F.substring("text", 1, 1)).otherwise("")
-    order = F.when(F.col("text").rlike(kinds[0][1]), 0).when(F.col("prefix") != "", 1).otherwise(2)
-    some = paras.filter("kind = 'para' and text <> ''").withColumn("prefix", prefix).withColumn("_o", order)
-    look = some.join(shapes.select("name", "style", "size", "left"), ["name", "style"], "left")
-    groups = look.groupBy("name", "style", "char", "prefix", "_o").agg(F.max("size").alias("size"), F.min("left").alias("left"), F.count("*").alias("n"), F.min("ln").alias("_f"))
-    depth = F.dense_rank().over(W.partitionBy("name").orderBy("_o", F.desc("size"), "left", "prefix"))
-    return groups.withColumn("depth", depth).select("name", "style", "char", "prefix", "depth", "n")
-
-
 def double_bullets(paras: DataFrame, auto: DataFrame) -> DataFrame:
     """(name, ln, bullet, text): paragraphs whose shape sets a bullet (auto: para, bullet) and whose text begins with one too."""
     return paras.join(auto, "para").filter((F.col("text") != "") & F.lit(SYMBOLS).contains(F.substring("text", 1, 1))).select("name", "ln", "bullet", F.substring("text", 1, 24).alias("text"))
