@@ -33,7 +33,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest of sections (id, parent, title, ord): regions, nations, market segments and customers; a chain of 200 parts; and
+    """A forest of sections (id, parent, title, ord): regions, nations, market segments and customers; parts in chains of 40; and
     every 97th customer's parent isn't there."""
     text = lambda c: F.col(c).cast("string")
     row = lambda df, i, parent, title, ord: df.select(i.alias("id"), parent.alias("parent"), title.alias("title"), ord.cast("long").alias("ord"))
@@ -45,8 +45,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = row(segments, segment(segments), F.concat(F.lit("n"), text("c_nationkey")), F.col("c_mktsegment"), F.col("ord"))
     above = F.when(F.col("c_custkey") % 97 == 0, F.lit("gone")).otherwise(segment(customer))
     c = row(customer, F.concat(F.lit("c"), text("c_custkey")), above, F.col("c_name"), F.col("c_custkey"))
-    part = table(spark, sf_dir, "part").filter("p_partkey between 1 and 200")
-    before = F.when(F.col("p_partkey") > 1, F.concat(F.lit("p"), (F.col("p_partkey") - 1).cast("string")))
+    part = table(spark, sf_dir, "part")
+    before = F.when((F.col("p_partkey") - 1) % 40 > 0, F.concat(F.lit("p"), (F.col("p_partkey") - 1).cast("string")))
     p = row(part, F.concat(F.lit("p"), text("p_partkey")), before, F.concat(F.lit("t"), (F.col("p_partkey") % 10).cast("string")), F.col("p_partkey") + 100)
     return r.union(n).union(s).union(c).union(p)
 

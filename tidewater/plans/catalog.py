@@ -9,7 +9,7 @@ from tidewater.functions import numbers, text
 from tidewater.operators import cards, forms, indicators, ledger, outline, tables, tree
 
 from . import adapters as a
-from . import structures
+from . import structures, texts
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -42,12 +42,6 @@ def chunk_rows(s: SparkSession, d: str) -> DataFrame:
     return indicators.chunks(parts, ["p_partkey"], 12, "p_brand")
 
 
-def nearest_example(s: SparkSession, d: str) -> DataFrame:
-    """Parts of size 1 to 3 as blanks, of 4 to 6 as examples, of equal brand and type."""
-    p = a.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_partkey").alias("ord"), "p_size")
-    return tree.nearest_example(p.filter("p_size <= 3"), p.filter("p_size between 4 and 6"), ["p_brand", "p_type"])
-
-
 def nearest_example_all(s: SparkSession, d: str) -> DataFrame:
     """All parts: of size up to 25 as blanks, the others as examples, of equal brand and type."""
     p = a.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.col("p_partkey").alias("ord"), "p_size")
@@ -309,7 +303,6 @@ QUERIES = {
     "chunk_rows": chunk_rows,
     "tree_trail": lambda s, d: tree.trails(a.nodes(s, d)).select("id", "depth", "trail"),
     "tree_preorder": lambda s, d: tree.preorder(a.nodes(s, d)),
-    "nearest_example": nearest_example,
     "nearest_example_all": nearest_example_all,
     "title_dedupe": title_dedupe,
     **{f.__name__: f for f in (
@@ -337,6 +330,7 @@ QUERIES = {
     "model_order": model_order,
     "fmt_ref": fmt_ref,
     **structures.QUERIES,
+    **texts.QUERIES,
 }
 
 _VALUES = """
@@ -391,7 +385,7 @@ _NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent,
       UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey FROM nation
       UNION ALL SELECT 's' || c_nationkey || '-' || c_mktsegment, 'n' || c_nationkey, c_mktsegment, min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment
       UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'gone' ELSE 's' || c_nationkey || '-' || c_mktsegment END, c_name, c_custkey FROM customer
-      UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey > 1 THEN 'p' || (p_partkey - 1) END, 't' || (p_partkey % 10), p_partkey + 100 FROM part WHERE p_partkey BETWEEN 1 AND 200),
+      UNION ALL SELECT 'p' || p_partkey, CASE WHEN (p_partkey - 1) % 40 > 0 THEN 'p' || (p_partkey - 1) END, 't' || (p_partkey % 10), p_partkey + 100 FROM part),
     tops AS (SELECT *, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS late FROM nodes WHERE parent IS NULL OR parent NOT IN (SELECT id FROM nodes)),
     t AS (SELECT id, id AS root, 0 AS depth, title AS trail, late || '/' || lpad(ord::VARCHAR, 20, '0') || id AS path FROM tops
       UNION ALL SELECT n.id, t.root, t.depth + 1, t.trail || ' › ' || n.title, t.path || '/' || lpad(n.ord::VARCHAR, 20, '0') || n.id FROM nodes n JOIN t ON n.parent = t.id)"""
@@ -453,8 +447,6 @@ ORACLES: dict[str, str] = {
         SELECT p_brand, p_partkey, (i // s)::INT AS chunk FROM y""",
     "tree_trail": f"WITH RECURSIVE {_NODES} SELECT id, depth, trail FROM t",
     "tree_preorder": f"WITH RECURSIVE {_NODES} SELECT id, row_number() OVER (ORDER BY path)::INT AS pos FROM t",
-    "nearest_example": """WITH b AS (SELECT * FROM part WHERE p_size <= 3), e AS (SELECT * FROM part WHERE p_size BETWEEN 4 AND 6)
-        SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
     "nearest_example_all": """WITH b AS (SELECT * FROM part WHERE coalesce(p_size <= 25, false)), e AS (SELECT * FROM part WHERE NOT coalesce(p_size <= 25, false))
         SELECT b.p_partkey AS id, (SELECT e.p_partkey FROM e WHERE e.p_brand = b.p_brand AND e.p_type = b.p_type ORDER BY abs(e.p_partkey - b.p_partkey), e.p_partkey LIMIT 1) AS example FROM b""",
     "title_dedupe": """SELECT c_custkey, CASE WHEN n > 1 THEN c_mktsegment || ' #' || n ELSE c_mktsegment END AS title
@@ -551,6 +543,7 @@ ORACLES |= {
     "match_ratio": f"WITH {_LINES} SELECT conv_id, round(avg((kind = 'item')::INT), 4) AS ratio, avg((kind = 'item')::INT) < 0.35 AS guess FROM ms GROUP BY ALL",
     "dangling_parts": "SELECT l_returnflag, count(DISTINCT l_partkey)::INT AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 3) GROUP BY l_returnflag",
     **structures.ORACLES,
+    **texts.oracles(_NODES),
 }
 
 # The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.
