@@ -72,3 +72,18 @@ def ticks(low: Column, high: Column) -> Column:
     first, last = F.ceil(low / step), F.floor((high + step * 1e-9) / step)
     some = F.transform(F.sequence(first, last), lambda k: F.round(k * step, 10))
     return F.when(high > low, F.when(last >= first, some).otherwise(F.array(low, high))).otherwise(F.array(low))
+
+
+# Signs of counters, in order.
+ROMANS, CIRCLED, SYLLABLES = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ", "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮", "가나다라마바사아자차카타파하"
+
+
+def counter(n: Column, kind: Column) -> Column:
+    """A counter as it is written before a line, by its kind; signs begin anew when they run out. Empty for no kind."""
+    sign = lambda signs: F.substring(F.lit(signs), (F.pmod(n - 1, F.lit(len(signs))) + 1).cast("int"), F.lit(1))
+    plain_number = n.cast("string")
+    return (
+        F.when(kind == "AUTO_ROMAN", F.concat(sign(ROMANS), F.lit(". "))).when(kind == "AUTO_NUM", F.concat(plain_number, F.lit(". "))).when(kind == "AUTO_PAREN", F.concat(plain_number, F.lit(") ")))
+        .when(kind == "AUTO_ALPHA", F.concat(sign("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(". "))).when(kind == "AUTO_CIRCLED", F.concat(sign(CIRCLED), F.lit(" "))).when(kind == "AUTO_HANGUL", F.concat(sign(SYLLABLES), F.lit(". ")))
+        .otherwise("")
+    )

@@ -173,3 +173,26 @@ def find_limits(texts: DataFrame, key: str, text: str, scopes: tuple[str, ...] =
     first = out.groupBy(key, "scope", "op", "n", "unit").agg(F.min(F.struct("i", "text")).alias("x"))
     nth = F.row_number().over(W.partitionBy(key).orderBy("x.i")) - 1
     return first.select(key, nth.alias("i"), "x.text", "scope", "op", "n", "unit")
+
+
+def counters(numbered_lines: DataFrame, key: str, order: str, levels: int) -> DataFrame:
+    """numbered() lines with path, the counters of all levels down to their own: 0 for a level that hasn't begun below the last higher one."""
+    w = W.partitionBy(key).orderBy(order)
+    out = numbered_lines
+    for k in range(1, levels + 1):
+        # a level counts while no higher one has come since
+        seen = F.last(F.when(F.col("level") == k, F.struct(order, "no")), True).over(w)
+        higher = F.max(F.when(F.col("level") < k, F.col(order))).over(w)
+        out = out.withColumn(f"_{k}", F.when(seen[order] > F.coalesce(higher, F.lit(-1)), seen["no"]).otherwise(0))
+    return out.withColumn("path", F.slice(F.array(*[F.col(f"_{k}") for k in range(1, levels + 1)]), F.lit(1), F.col("level"))).drop(*[f"_{k}" for k in range(1, levels + 1)])
+
+
+def fitted(parts: DataFrame, key: str, order: str, text: str, budget: int, gap: int = 2) -> DataFrame:
+    """(key, order, start, shown, state) of texts that are joined in order with `gap` characters between them and end at the budget:
+    whole, cut where it is crossed, or dropped behind."""
+    w = W.partitionBy(key).orderBy(order)
+    start = F.coalesce(F.sum(F.length(text) + gap).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = parts.withColumn("start", start).withColumn("_room", F.greatest(F.lit(budget) - F.col("start"), F.lit(0)))
+    state = F.when(F.length(text) <= F.col("_room"), "whole").when(F.col("_room") > 0, "cut").otherwise("dropped")
+    return out.select(key, order, "start", F.substring(text, F.lit(1), F.col("_room").cast("int")).alias("shown"), state.alias("state"))
+

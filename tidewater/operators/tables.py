@@ -71,3 +71,19 @@ def cap_cells(tables: DataFrame, key: str, order: str, most: int) -> DataFrame:
     some = tables.filter("rows > 0").select(key, order, F.col("rows").cast("long").alias("rows"), F.col("width").cast("long").alias("width"))
     ordered = some.repartition(key).sortWithinPartitions(key, order)
     return ordered.mapInPandas(fold, T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), *[T.StructField(c, T.LongType()) for c in ("rows", "width", "kept")]]))
+
+
+def csv_rows(text: Column, delimiter: Column) -> Column:
+    """Rows of fields of a text with quoted fields: what stands between an odd and an even quote is inside, where delimiters and
+    line breaks are text and two quotes are one. A last row without text is none.
+
+    A text is split at its quotes; every other piece is outside, and an empty one between two inner pieces is a quote.
+    """
+    field, row = "\x01", "\x02"
+    pieces = F.split(F.translate(text, field + row, ""), '"', -1)
+    outside = lambda p: F.replace(F.regexp_replace(p, r"\r\n?|\n", row), delimiter, F.lit(field))
+    last = F.size(pieces) - 1
+    kept = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < last), '"').otherwise(outside(p)))
+    rows = F.split(F.array_join(kept, ""), row, -1)
+    rows = F.when(F.element_at(rows, -1) == "", F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
+    return F.transform(rows, lambda r: F.split(r, field, -1))

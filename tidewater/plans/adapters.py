@@ -97,3 +97,15 @@ def read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events 55 days later, so that the clocks of the ledger's zone change among them."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp") + F.expr("INTERVAL 55 DAYS"))
+
+
+def diagram_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents whose lines are fenced diagrams of ten lines each, in turn trees and bands of two kinds."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    ln, word = F.col("ln"), F.substring_index("line", " ", 1)
+    kind = F.floor(ln / 12) % 3
+    named = F.when(kind == 0, "org").when(kind == 1, "matrix").otherwise("strategy")
+    item = F.concat(F.repeat(F.lit(" "), (F.length("line") % 3 * 2).cast("int")), F.lit("- "), "line")
+    band = F.when(ln % 4 == 0, F.concat(word, F.lit(" {fill=#abc} | "), F.substring("line", 1, 10), F.lit(" |  | "), word, F.lit(" | |"))).when(ln % 4 == 1, F.concat(F.lit(" | "), "line")).when(ln % 4 == 2, "|---|:--|").otherwise(F.col("line"))
+    said = F.when(ln % 12 == 0, F.concat(F.lit(":::diagram type="), named, F.lit(' title="'), F.length("line").cast("string"), F.lit(' x" layout=side'))).when(ln % 12 == 11, ":::  ").otherwise(F.when(kind == 0, item).otherwise(band))
+    return x.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", said.alias("t")))), lambda v: v["t"]), "\n").alias("text"))

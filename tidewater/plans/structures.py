@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.functions import text
-from tidewater.operators import cards, levels, readback, tags
+from tidewater.functions import numbers, text
+from tidewater.operators import cards, diagrams, levels, outline, readback, tables, tags
 from tidewater.session import shared_dir
 from tidewater.streaming import cards as card_stream
 from tidewater.streaming import ledger
@@ -162,9 +162,51 @@ def stream_ledger(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{folder}/rows").groupBy("model", "day").agg(page).select("model", F.to_date("day").cast("string").alias("day"), "p.n", "p.exhausted", F.col("p.limit").alias("limit"))
 
 
+def diagram_blocks(s: SparkSession, d: str) -> DataFrame:
+    """The fenced blocks of documents with their heads."""
+    x = diagrams.blocks(a.diagram_texts(s, d), "doc_id", "text")
+    return x.select("doc_id", "block", "line", "type", "title", F.element_at("options", "layout").alias("layout"), F.sha2(F.array_join("body", "/"), 256).alias("body"))
+
+
+def diagram_trees(s: SparkSession, d: str) -> DataFrame:
+    """The nodes of trees in blocks, with the leaves that each spans."""
+    x = diagrams.blocks(a.diagram_texts(s, d), "doc_id", "text").filter("type = 'org'")
+    return diagrams.trees(x, "doc_id").select("doc_id", "block", "ln", "parent", "depth", F.sha2("text", 256).alias("text"), "first", "last")
+
+
+def diagram_bands(s: SparkSession, d: str) -> DataFrame:
+    """The cells of bands in blocks."""
+    x = diagrams.blocks(a.diagram_texts(s, d), "doc_id", "text").filter("type <> 'org'")
+    return diagrams.bands(x, "doc_id").select("doc_id", "block", "band", "label", "row", "cell", F.sha2("text", 256).alias("text"))
+
+
+KINDS = (("AUTO_ROMAN", "AUTO_NUM", "AUTO_PAREN", "AUTO_CIRCLED"), ("AUTO_HANGUL", "AUTO_ALPHA", "", "AUTO_NUM"))
+
+
+def numbered_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines of conversations with their number as it is written, and the counters of all levels above."""
+    x = outline.numbered(a.manuscripts(s, d), "conv_id", "ln")
+    kind = F.element_at(F.when(F.col("conv_id") % 2 == 0, F.lit(list(KINDS[0]))).otherwise(F.lit(list(KINDS[1]))), F.col("level"))
+    x = outline.counters(x, "conv_id", "ln", 4)
+    return x.select("conv_id", "ln", numbers.counter(F.col("no"), kind).alias("number"), F.array_join(F.transform("path", lambda v: v.cast("string")), ".").alias("path"))
+
+
+def fitted_turns(s: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations joined up to 1500 characters."""
+    x = outline.fitted(a.table(s, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 1500)
+    return x.select("conv_id", "turn", "start", F.length("shown").alias("n"), "state", F.sha2("shown", 256).alias("shown"))
+
+
+def csv_fields(s: SparkSession, d: str) -> DataFrame:
+    """Documents as tables of comma-separated fields, with a quote wherever a text has `re`."""
+    x = a.table(s, d, "documents").select("doc_id", tables.csv_rows(F.replace("text", F.lit("re"), F.lit('"')), F.lit(",")).alias("rows"))
+    x = x.select("doc_id", F.posexplode("rows").alias("row", "fields"))
+    return x.select("doc_id", "row", F.posexplode("fields").alias("field", "v")).select("doc_id", "row", "field", F.sha2("v", 256).alias("value"))
+
+
 QUERIES = {f.__name__: f for f in (
     page_spans, page_verdicts, page_links, form_levels, form_table_note, guessed_depths, guessed_text, guessed_evidence, merge_cards, stream_cards, card_window, stream_ledger, card_of_documents,
-    stream_usage,
+    stream_usage, diagram_blocks, diagram_trees, diagram_bands, numbered_lines, fitted_turns, csv_fields,
 )}
 
 _TAG = r"""'<(/?)([\w:]+)((?:[^>"'']+|"[^"]*"|''[^'']*'')*)>'"""
@@ -226,6 +268,13 @@ _DEPTHS = rf"""
                  list_reverse_sort(list(DISTINCT pt)) AS zs FROM c WHERE kind = 'para' GROUP BY doc_id),
     d AS (SELECT c.*, CASE WHEN kind = 'para' THEN CASE WHEN number IS NOT NULL THEN list_position(ns, number) - 1 WHEN symbol IS NOT NULL THEN len(ns) + list_position(ss, symbol) - 1 ELSE len(ns) + len(ss) + list_position(zs, pt) - 1 END END::INTEGER AS depth
           FROM c LEFT JOIN s USING (doc_id))"""
+_S = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FENCED = """
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, ln, line, ln // 12 * 12 AS head, (ln // 12)::INTEGER AS block, (ln // 12 * 12 + 1)::INTEGER AS line_no, CASE ln // 12 % 3 WHEN 0 THEN 'org' WHEN 1 THEN 'matrix' ELSE 'strategy' END AS type,
+                 first(length(line) || ' x') OVER (PARTITION BY doc_id, ln // 12 ORDER BY ln) AS title,
+                 CASE WHEN ln // 12 % 3 = 0 THEN repeat(' ', length(line) % 3 * 2) || '- ' || line WHEN ln % 4 = 0 THEN string_split(line, ' ')[1] || ' {fill=#abc} | ' || substring(line, 1, 10) || ' |  | ' || string_split(line, ' ')[1] || ' | |'
+                      WHEN ln % 4 = 1 THEN ' | ' || line WHEN ln % 4 = 2 THEN '|---|:--|' ELSE line END AS t FROM l WHERE ln % 12 < 11)"""
 _SAVED = "c AS (SELECT conv_id || '-' || role AS id, conv_id * 1000 + turn AS ord, text, turn % 3 AS round FROM conversations)"
 _MARK = "['#', '##', '○', '-'][least(4, {})]"
 
@@ -291,4 +340,37 @@ ORACLES = {
     "stream_ledger": """WITH e AS (SELECT user_id::VARCHAR AS model, ts + INTERVAL 55 DAY AS t, event_type = 'error' AS bad, CASE WHEN event_type = 'error' THEN floor(value)::BIGINT END AS lim FROM events),
         z AS (SELECT *, (t - CASE WHEN t >= TIMESTAMP '2024-03-10 10:00:00' THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END)::DATE AS day FROM e)
         SELECT model, day::VARCHAR AS day, count(*) AS n, bool_or(bad) AS exhausted, coalesce(arg_max(lim, t) FILTER (WHERE lim > 0), 0) AS "limit" FROM z GROUP BY model, day""",
+    "diagram_blocks": rf"""WITH {_FENCED} SELECT doc_id, block, line_no AS line, type, title, 'side' AS layout, sha256(coalesce(string_agg(rtrim(t, ' '), '/' ORDER BY ln) FILTER (ln BETWEEN lo AND hi), '')) AS body
+        FROM (SELECT *, min(CASE WHEN trim(t) <> '' AND ln > head THEN ln END) OVER (PARTITION BY doc_id, block) AS lo, max(CASE WHEN trim(t) <> '' AND ln > head THEN ln END) OVER (PARTITION BY doc_id, block) AS hi FROM b) GROUP BY doc_id, block, line_no, type, title""",
+    "diagram_trees": rf"""WITH RECURSIVE {_FENCED}, k AS (SELECT doc_id, block, (ln - head - 1)::INTEGER AS ln, length(line) % 3 * 2 AS ind, regexp_replace(regexp_replace('- ' || line, '[ \t]+$', ''), '^[-*•]\s+', '') AS t FROM b WHERE type = 'org' AND ln > head),
+        u AS (SELECT *, (SELECT max(y.ln) FROM k y WHERE y.doc_id = k.doc_id AND y.block = k.block AND y.ln < k.ln AND y.ind < k.ind) AS parent FROM k),
+        w AS (SELECT *, 0 AS depth FROM u WHERE parent IS NULL UNION ALL SELECT u.*, depth + 1 FROM u JOIN w ON w.doc_id = u.doc_id AND w.block = u.block AND w.ln = u.parent),
+        f AS (SELECT *, NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = w.doc_id AND u.block = w.block AND u.parent = w.ln) AS leaf FROM w),
+        g AS (SELECT *, coalesce((SELECT min(y.ln) FROM f y WHERE y.doc_id = f.doc_id AND y.block = f.block AND y.ln > f.ln AND y.depth <= f.depth), 999) AS stop FROM f)
+        SELECT doc_id, block, ln, parent, depth, sha256(regexp_replace(regexp_replace(t, '\s*\{{[^{{}}]*\}}\s*$', ''), '^{_S}+|{_S}+$', '', 'g')) AS text, (SELECT count(*) FROM f y WHERE y.doc_id = g.doc_id AND y.block = g.block AND y.leaf AND y.ln < g.ln)::INTEGER AS first,
+               (SELECT count(*) - 1 FROM f y WHERE y.doc_id = g.doc_id AND y.block = g.block AND y.leaf AND y.ln < g.stop)::INTEGER AS last FROM g""",
+    "diagram_bands": rf"""WITH {_FENCED}, k AS (SELECT doc_id, block, ln, trim(t) AS t FROM b WHERE type <> 'org' AND ln > head AND trim(t) <> '' AND ln % 4 <> 2 AND NOT regexp_matches(trim(t), '^\|[\s:|-]+\|?$')),
+        p AS (SELECT *, list_transform(string_split(t, '|'), lambda x: trim(x)) AS a FROM k), q AS (SELECT *, list_max(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] <> '' THEN i ELSE 1 END)) AS n FROM p),
+        h AS (SELECT doc_id, block, ln, CASE WHEN n = 1 THEN '' ELSE a[1] END AS head, list_filter(list_transform(CASE WHEN n = 1 THEN a[1:1] ELSE a[2:n] END, lambda x: trim(regexp_replace(x, '\s*\{{[^{{}}]*\}}\s*$', ''))), lambda x: x <> '') AS cells FROM q),
+        g AS (SELECT *, sum(CASE WHEN head <> '' OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY ln)::INTEGER - 1 AS band FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY ln) AS i FROM h WHERE len(cells) > 0)),
+        r AS (SELECT *, trim(regexp_replace(first(head) OVER (PARTITION BY doc_id, block, band ORDER BY ln), '\s*\{{[^{{}}]*\}}\s*$', '')) AS label, (row_number() OVER (PARTITION BY doc_id, block, band ORDER BY ln) - 1)::INTEGER AS row FROM g)
+        SELECT doc_id, block, band, label, row, unnest(range(len(cells)))::INTEGER AS cell, sha256(unnest(cells)) AS text FROM r""",
+    "numbered_lines": """WITH m AS (SELECT conv_id, turn AS ln, (coalesce(length(text), 0) + turn)::INT AS z FROM conversations), i AS (SELECT conv_id, ln, z % 4 + 1 AS lv FROM m WHERE z % 7 > 0 AND z % 11 > 0),
+        -- for each line and each level down to its own: how many of that level since the last line of a higher one
+        c AS (SELECT x.conv_id, x.ln, x.lv, k, (SELECT count(*) FROM i y WHERE y.conv_id = x.conv_id AND y.ln <= x.ln AND y.lv = k AND y.ln > coalesce((SELECT max(h.ln) FROM i h WHERE h.conv_id = x.conv_id AND h.ln <= x.ln AND h.lv < k), -1)) AS n FROM i x, range(1, 5) t(k) WHERE k <= x.lv),
+        p AS (SELECT conv_id, ln, lv, string_agg(n::VARCHAR, '.' ORDER BY k) AS path, arg_max(n, k) AS n FROM c GROUP BY ALL),
+        q AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN ['R', 'N', 'P', 'C'] ELSE ['H', 'A', '', 'N'] END[lv] AS kind FROM p)
+        SELECT conv_id, ln, CASE kind WHEN 'R' THEN 'ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ'[(n - 1) % 12 + 1] || '. ' WHEN 'N' THEN n || '. ' WHEN 'P' THEN n || ') ' WHEN 'C' THEN '①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮'[(n - 1) % 15 + 1] || ' ' WHEN 'H' THEN '가나다라마바사아자차카타파하'[(n - 1) % 14 + 1] || '. '
+               WHEN 'A' THEN chr((65 + (n - 1) % 26)::INTEGER) || '. ' ELSE '' END AS number, path FROM q""",
+    "fitted_turns": """WITH w AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM conversations)
+        SELECT conv_id, turn, s AS "start", least(length(text), greatest(0, 1500 - s))::INTEGER AS n, CASE WHEN s + length(text) <= 1500 THEN 'whole' WHEN s < 1500 THEN 'cut' ELSE 'dropped' END AS state, sha256(substring(text, 1, greatest(0, 1500 - s)::BIGINT)) AS shown FROM w""",
+    # character by character: inside after an odd number of quotes; a quote right behind one that closed is text
+    "csv_fields": """WITH t AS (SELECT doc_id, replace(text, 're', '"') AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM t),
+        q AS (SELECT *, sum((c = '"')::INTEGER) OVER x AS n, lag(c) OVER x AS b FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+        k AS (SELECT *, CASE WHEN c = '"' THEN b = '"' AND n % 2 = 1 WHEN n % 2 = 1 THEN true ELSE c NOT IN (',', chr(10), chr(13)) END AS kept, n % 2 = 0 AND c = chr(10) OR n % 2 = 0 AND c = chr(13) AS nl, n % 2 = 0 AND c = ',' AS comma FROM q),
+        f AS (SELECT *, coalesce(sum(nl::INTEGER) OVER y, 0) AS row, coalesce(sum((nl OR comma)::INTEGER) OVER y, 0) AS cell FROM k WINDOW y AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        e AS (SELECT doc_id, row, cell, c, i, kept FROM f UNION ALL SELECT doc_id, sum(nl::INTEGER), sum((nl OR comma)::INTEGER), '', max(i) + 1, false FROM k GROUP BY doc_id),
+        g AS (SELECT doc_id, row, cell, coalesce(string_agg(c, '' ORDER BY i) FILTER (kept), '') AS v FROM e GROUP BY ALL),
+        h AS (SELECT *, count(*) OVER (PARTITION BY doc_id, row) AS m, row = max(row) OVER (PARTITION BY doc_id) AS final FROM g)
+        SELECT doc_id, row::INTEGER AS row, (row_number() OVER (PARTITION BY doc_id, row ORDER BY cell) - 1)::INTEGER AS field, sha256(v) AS value FROM h WHERE NOT (final AND m = 1 AND v = '')""",
 }
