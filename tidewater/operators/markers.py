@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import split_attrs, split_lines, trim
+from tidewater.session import cut
 
 
 @dataclass(frozen=True)
@@ -161,8 +162,9 @@ def footnotes(parts: DataFrame, defined: DataFrame, key: str) -> DataFrame:
 
 def issues(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LEVELS) -> DataFrame:
     """(key, line, issue): everything that reading and checking a manuscript finds, one row each."""
-    x, parts, defined = lines(texts, key, text, levels), blocks(texts, key, text, levels), definitions(texts, key, text)
-    notes = footnotes(parts, defined, key)
+    # many rules look at the same lines, blocks and notes: each is made once
+    x, parts, defined = cut(lines(texts, key, text, levels)), cut(blocks(texts, key, text, levels)), cut(definitions(texts, key, text))
+    notes = cut(footnotes(parts, defined, key))
     w = W.partitionBy(key).orderBy("ln")
     say = lambda df, what, line="line": df.select(key, F.col(line).alias("line"), F.lit(what).alias("issue"))
     nth = lambda c: F.row_number().over(W.partitionBy(key, c).orderBy("ln"))

@@ -109,3 +109,19 @@ def diagram_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.when(ln % 4 == 0, F.concat(word, F.lit(" {fill=#abc} | "), F.substring("line", 1, 10), F.lit(" |  | "), word, F.lit(" | |"))).when(ln % 4 == 1, F.concat(F.lit(" | "), "line")).when(ln % 4 == 2, "|---|:--|").otherwise(F.col("line"))
     said = F.when(ln % 12 == 0, F.concat(F.lit(":::diagram type="), named, F.lit(' title="'), F.length("line").cast("string"), F.lit(' x" layout=side'))).when(ln % 12 == 11, ":::  ").otherwise(F.when(kind == 0, item).otherwise(band))
     return x.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", said.alias("t")))), lambda v: v["t"]), "\n").alias("text"))
+
+
+def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents as manuscripts: what each line is marked as follows from its number."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    ln, n, line = F.col("ln"), F.length("line"), F.col("line")
+    word = lambda i: F.coalesce(F.try_element_at(F.split("line", " "), F.lit(i)), F.lit(""))
+    k = (ln + F.floor(n / 64)) % 15
+    label = F.concat(F.lit("[^"), ln.cast("string"), F.lit("]"))
+    said = (
+        F.when(k == 0, F.concat(F.lit("# "), line)).when(k == 1, F.concat(F.lit("○ "), line, label, F.lit(" tail"))).when(k == 2, F.concat(F.lit("[^"), (ln - 1).cast("string"), F.lit("]: "), word(1))).when(k == 3, F.concat(F.lit("[표: "), word(1), F.lit("]")))
+        .when(k == 4, F.concat(F.lit("| "), word(1), F.lit(" | "), word(2), F.lit(" |"))).when(k == 5, "|---|:--|").when(k == 6, F.concat(F.lit("| "), word(3), F.lit(" |"))).when(k == 7, F.concat(F.lit("※ "), line)).when(k == 8, "")
+        .when(k == 9, F.concat(F.lit("  - "), label, line, F.lit("[^gone]"))).when(k == 10, line).when(k == 11, F.concat(F.lit("{cols=1,"), (n % 3).cast("string"), F.lit("}"))).when(k == 12, F.concat(F.lit("[장: "), word(1), F.lit("]")))
+        .when(k == 13, F.concat(F.lit("#### "), word(2), F.lit("[^"), (ln - n % 20).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("![x]("), word(1), F.lit(".png)")))
+    )
+    return x.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", said.alias("t")))), lambda v: v["t"]), "\n").alias("text"))

@@ -9,7 +9,7 @@ from tidewater.functions import numbers, text
 from tidewater.operators import cards, forms, indicators, ledger, outline, tables, tree
 
 from . import adapters as a
-from . import structures, texts
+from . import manuscripts, structures, texts
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -331,6 +331,7 @@ QUERIES = {
     "fmt_ref": fmt_ref,
     **structures.QUERIES,
     **texts.QUERIES,
+    **manuscripts.QUERIES,
 }
 
 _VALUES = """
@@ -544,6 +545,7 @@ ORACLES |= {
     "dangling_parts": "SELECT l_returnflag, count(DISTINCT l_partkey)::INT AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 3) GROUP BY l_returnflag",
     **structures.ORACLES,
     **texts.oracles(_NODES),
+    **manuscripts.ORACLES,
 }
 
 # The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.
