@@ -81,22 +81,51 @@ def cards(texts: DataFrame, key: str, no: str, title: str, text: str) -> DataFra
 def card_text(key: Column, no: Column, title: Column, names: Column, points: Column, tables: Column, numbers: Column) -> Column:
     """A card in lines: its section, fixed names, points, tables and numbers."""
     label = F.array_join(F.filter(F.array(no, title), lambda x: x.isNotNull() & (x != "")), " ")
-    table = lambda t: F.concat(F.lit("  - 표 "), t["cols"].cast("string"), F.lit("열: "), F.array_join(t["header"], " | "), F.when(F.size(t["first"]) > 0, F.concat(F.lit(" (첫 칸: "), F.array_join(t["first"], ", "), F.lit(")"))).otherwise(""))
     some = lambda a, text: F.when(F.size(a) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
         F.array(F.concat(F.lit("◆ "), label, F.lit(" ("), key.cast("string"), F.lit(")"))), some(names, F.concat(F.lit("  - 확정된 이름: "), F.array_join(names, " / "))),
-        F.transform(points, lambda p: F.concat(F.lit("  - "), p)), F.transform(tables, table), some(numbers, F.concat(F.lit("  - 수치: "), F.array_join(numbers, ", "))),
+        F.transform(points, lambda p: F.concat(F.lit("  - "), p)), F.transform(tables, table_line), some(numbers, F.concat(F.lit("  - 수치: "), F.array_join(numbers, ", "))),
     )
     return F.array_join(lines, "\n")
 
 
+def table_line(t: Column) -> Column:
+    first = F.when(F.size(t["first"]) > 0, F.concat(F.lit(" (첫 칸: "), F.array_join(t["first"], ", "), F.lit(")"))).otherwise("")
+    return F.concat(F.lit("  - 표 "), t["cols"].cast("string"), F.lit("열: "), F.array_join(t["header"], " | "), first)
+
+
 def trimmed(found: DataFrame, key: str, no: str, title: str, most: int = MOST) -> DataFrame:
-    """The cards after as many of STEPS as it takes to have `most` characters at most; the last step's where none is enough."""
-    steps = F.array(*[F.struct(*[F.lit(n).alias(k) for k, n in zip(("numbers", "points", "tables", "names"), s)]) for s in STEPS])
-    kept = lambda s: {c: F.slice(c, F.lit(1), s[c]) for c in ("numbers", "points", "tables", "names")}
-    size = lambda s: units16(card_text(F.col(key), F.col(no), F.col(title), *(kept(s)[c] for c in ("names", "points", "tables", "numbers"))))
-    out = found.withColumn("_s", F.coalesce(F.try_element_at(F.filter(steps, lambda s: size(s) <= most), F.lit(1)), F.element_at(steps, -1)))
-    return out.withColumns(kept(F.col("_s"))).drop("_s")
+    """The cards after as many of STEPS as it takes to have `most` characters at most; the last step's where none is enough.
+
+    A card's size is that of its head and of the items that each list keeps, so sizes are added up from the items' and no
+    card is written to be measured.
+    """
+    names = ("numbers", "points", "tables", "names")
+    none = F.array().cast("array<string>")
+    head = units16(card_text(F.col(key), F.col(no), F.col(title), none, none, F.slice("tables", 1, 0), none))
+    sizes = found.withColumns({f"_{c}": F.transform(c, (lambda x: units16(table_line(x))) if c == "tables" else units16) for c in names} | {"_head": head})
+    # a list in one line has what stands before it and between its items; others have a line each
+    one_line = {"names": ("  - 확정된 이름: ", " / "), "numbers": ("  - 수치: ", ", ")}
+
+    def size(c: str, n: int) -> Column:
+        k = F.least(F.size(f"_{c}"), F.lit(n))
+        total = F.aggregate(F.slice(f"_{c}", 1, n), F.lit(0), lambda x, y: x + y)
+        if c in one_line:
+            before, between = one_line[c]
+            return F.when(k > 0, total + 1 + len(before) + len(between) * (k - 1)).otherwise(0)
+        return total + k * (1 if c == "tables" else 1 + len("  - "))
+
+    cuts = {(c, s[i]) for s in STEPS for i, c in enumerate(names)}
+    sizes = sizes.withColumns({f"_{c}_{n}": size(c, n) for c, n in sorted(cuts)})
+    chosen = None
+    for s in STEPS[:-1]:
+        fits = F.col("_head") + sum((F.col(f"_{c}_{n}") for c, n in zip(names, s)), F.lit(0)) <= most
+        kept = F.struct(*[F.lit(n).alias(c) for c, n in zip(names, s)])
+        chosen = F.when(fits, kept) if chosen is None else chosen.when(fits, kept)
+    last = F.struct(*[F.lit(n).alias(c) for c, n in zip(names, STEPS[-1])])
+    out = sizes.withColumn("_s", chosen.otherwise(last))
+    # one after the other: a new column beside a lambda could be taken for the old one
+    return out.select(*[F.slice(c, F.lit(1), F.col("_s")[c]).alias(c) if c in names else F.col(c) for c in found.columns])
 
 
 def merged(cards: DataFrame, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:

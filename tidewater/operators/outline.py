@@ -151,23 +151,18 @@ def find_limits(texts: DataFrame, key: str, text: str, scopes: tuple[str, ...] =
     it is no limit. 이상 is a minimum, the others are maxima.
     """
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
-    some = texts.select(key, flat.alias("_flat")).withColumns({"_found": F.regexp_extract_all("_flat", F.lit(LIMIT), F.lit(0)), "_gaps": F.split("_flat", LIMIT)})
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<said:string,before:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(LOOK_BACK))
-        return F.struct(F.right(F.concat(before, x["said"]), F.lit(LOOK_BACK)).alias("tail"), F.concat(acc["out"], F.array(F.struct(x["said"].alias("said"), before.alias("before")))).alias("out"))
-
-    pairs = F.zip_with("_found", F.slice("_gaps", 1, F.size("_found")), lambda f, g: F.struct(f.alias("said"), g.alias("gap")))
-    each = some.withColumn("_all", F.aggregate(pairs, start, step)["out"]).select(key, F.posexplode("_all").alias("i", "x")).select(key, "i", "x.*")
-
-    def place(term: str) -> Column:
-        end = F.length("before") - F.length(F.substring_index("before", term, -1))
-        return F.when(F.col("before").contains(term), F.struct(end.alias("end"), F.lit(len(term)).alias("size"), F.lit(term).alias("term")))
-
-    best = each.withColumn("_best", F.greatest(*[place(t) for t in scopes]) if len(scopes) > 1 else place(scopes[0])).filter("_best is not null")
-    out = best.select(
-        key, "i", trim(F.concat(F.expr("substring(before, _best.end - _best.size + 1)"), "said")).alias("text"), F.col("_best.term").alias("scope"),
+    some = texts.select(key, flat.alias("_flat")).select(key, F.regexp_extract_all("_flat", F.lit(LIMIT), F.lit(0)).alias("_found"), F.split("_flat", LIMIT).alias("_gaps")).filter(F.size("_found") > 0)
+    each = some.select(key, F.posexplode(F.arrays_zip(F.col("_found").alias("said"), F.slice("_gaps", 1, F.size("_found")).alias("gap"))).alias("i", "x"))
+    each = each.select(key, "i", "x.said", F.right("x.gap", F.lit(LOOK_BACK)).alias("gap"))
+    # as many limits before as may lie within reach
+    w = W.partitionBy(key).orderBy("i").rowsBetween(-LOOK_BACK, -1)
+    before = F.right(F.concat(F.array_join(F.collect_list(F.concat("gap", "said")).over(w), ""), "gap"), F.lit(LOOK_BACK))
+    # read backwards, what ends last comes first, and of two that end together the longer one is tried first
+    words = "|".join(f"\\Q{t[::-1]}\\E" for t in sorted(scopes, key=lambda t: -len(t)))
+    each = each.withColumn("_back", F.reverse(before)).filter(F.col("_back").rlike(words))
+    part = lambda i: F.reverse(F.regexp_extract("_back", f"(?s)^(.*?)({words})", i))
+    out = each.select(
+        key, "i", trim(F.concat(part(2), part(1), "said")).alias("text"), part(2).alias("scope"),
         F.when(F.regexp_extract("said", LIMIT, 3) == "이상", "min").otherwise("max").alias("op"), F.regexp_extract("said", LIMIT, 1).cast("int").alias("n"), F.regexp_extract("said", LIMIT, 2).alias("unit"),
     )
     first = out.groupBy(key, "scope", "op", "n", "unit").agg(F.min(F.struct("i", "text")).alias("x"))
