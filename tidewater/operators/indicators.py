@@ -217,11 +217,14 @@ def noteworthy(rows: DataFrame) -> DataFrame:
     return out.select("place", "code", "years", F.coalesce("s.score", F.lit(-1.0)).alias("score"))
 
 
-def pick(scores: DataFrame, k: int) -> DataFrame:
-    """The k most noteworthy codes of each place, then in order of code (of request, if codes are numbered so)."""
-    r = F.row_number().over(W.partitionBy("place").orderBy(F.desc("score"), "code"))
-    kept = scores.withColumn("r", r).filter(F.col("r") <= k)
-    return kept.withColumn("ord", F.row_number().over(W.partitionBy("place").orderBy("code"))).select("place", "code", "score", "ord")
+def pick(scores: DataFrame, k: int, wanted: list[str] | None = None) -> DataFrame:
+    """The k most noteworthy codes of each place, then in the order of the request (wanted), else of code; so are ties.
+    Codes that weren't requested go."""
+    place = F.array_position(F.lit(wanted), F.col("code")) if wanted else F.lit(0)
+    asked = scores.withColumn("_p", place).filter(F.lit(not wanted) | (F.col("_p") > 0))
+    r = F.row_number().over(W.partitionBy("place").orderBy(F.desc("score"), "_p", "code"))
+    kept = asked.withColumn("r", r).filter(F.col("r") <= k)
+    return kept.withColumn("ord", F.row_number().over(W.partitionBy("place").orderBy("_p", "code"))).select("place", "code", "score", "ord")
 
 
 def direction(rows: DataFrame) -> DataFrame:

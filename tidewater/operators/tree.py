@@ -208,3 +208,9 @@ def howto(raw: Column, mark: str) -> Column:
         return F.when(at[label] > 0, F.nullif(F.regexp_replace(cut_off, r"(?U)^\s+|\s+$", ""), F.lit("")))
 
     return F.struct(part("취지", "방법").alias("purpose"), part("방법", "취지").alias("method"))
+
+
+def sections(nodes: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Each wanted id (key) with the node that has it, the first in order of several; nulls where there is none."""
+    first = nodes.groupBy("id").agg(F.min_by(F.struct(*[c for c in nodes.columns if c != "id"]), "ord").alias("_n"))
+    return wanted.join(first, F.col(key) == F.col("id"), "left").select(*wanted.columns, "_n.*")

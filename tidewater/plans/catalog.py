@@ -299,6 +299,7 @@ QUERIES = {
     "trend_series": lambda s, d: _rounded(_trend(s, d)),
     "trend_noteworthy": lambda s, d: _rounded(indicators.noteworthy(_trend(s, d))),
     "trend_pick": lambda s, d: _rounded(indicators.pick(indicators.noteworthy(_trend(s, d)), 2)),
+    "trend_request": lambda s, d: _rounded(indicators.pick(indicators.noteworthy(_trend(s, d)), 2, ["B2", "A3", "A1", "B1"])),
     "trend_direction": lambda s, d: _rounded(indicators.direction(_trend(s, d))),
     "chunk_rows": chunk_rows,
     "tree_trail": lambda s, d: tree.trails(a.nodes(s, d)).select("id", "depth", "trail"),
@@ -440,6 +441,8 @@ ORACLES: dict[str, str] = {
     "trend_noteworthy": f"WITH {_TREND} SELECT place, code, years, round(score, 4) AS score FROM note",
     "trend_pick": f"""WITH {_TREND}, k AS (SELECT place, code, score FROM note QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, code) <= 2)
         SELECT place, code, round(score, 4) AS score, row_number() OVER (PARTITION BY place ORDER BY code)::INT AS ord FROM k""",
+    "trend_request": f"""WITH {_TREND}, q AS (SELECT *, list_position(['B2', 'A3', 'A1', 'B1'], code) AS p FROM note WHERE code <> 'A2'), k AS (SELECT place, code, score, p FROM q QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, p) <= 2)
+        SELECT place, code, round(score, 4) AS score, row_number() OVER (PARTITION BY place ORDER BY p)::INT AS ord FROM k""",
     "trend_direction": f"""WITH {_TREND}, e AS (SELECT place, code, arg_min(mine, year) AS first, arg_max(mine, year) AS last FROM tr WHERE mine IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
         SELECT place, code, round(first, 4) AS first, round(last, 4) AS last,
                CASE WHEN abs(last - first) < abs(coalesce(nullif(first, 0), 1)) * 0.02 THEN 'flat' WHEN last > first THEN 'up' ELSE 'down' END AS direction FROM e""",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions import numbers, text
-from tidewater.operators import cards, forms, indicators, ledger, markers, outline, tree
+from tidewater.operators import cards, forms, indicators, ledger, markers, outline, profiles, tree
 
 from . import adapters as a
 
@@ -196,9 +196,31 @@ def form_issues(s: SparkSession, d: str) -> DataFrame:
     return outline.form_issues(need.select("doc_id", "nth", "header", "cols"), found, "doc_id")
 
 
+def sections_found(s: SparkSession, d: str) -> DataFrame:
+    """The sections of suppliers' and orders' customers by their number; some aren't there."""
+    wanted = a.table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 5 > 0, "c").otherwise("x"), F.col("o_custkey").cast("string")).alias("wanted"))
+    return tree.sections(a.nodes(s, d), wanted, "wanted").select("o_orderkey", "parent", "title")
+
+
+def _layers(s: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, layer, text): three layers of settings of each part; some are missing or no objects."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    json = lambda **c: F.to_json(F.struct(*[v.alias(x) for x, v in c.items()]))
+    base = F.to_json(F.struct(F.struct(n.alias("b"), F.col("p_type").alias("c")).alias("a"), F.col("p_brand").alias("d"), F.struct(F.struct(L(1).alias("g"), F.array(n, k).alias("l")).alias("f")).alias("e")))
+    user = F.when(n % 4 == 0, "not JSON").when(n % 4 == 1, F.to_json(F.struct(F.struct(F.col("p_name").alias("b")).alias("a"), F.struct(L(2).alias("f")).alias("e")))).when(n % 4 == 2, json(a=L(5), z=n)).otherwise('{"d": null, "a": {}, "y": {}}')
+    last = F.when(n % 3 == 0, F.to_json(F.struct(F.struct(F.struct(n.alias("h")).alias("f")).alias("e"), F.struct(L(True).alias("q")).alias("a")))).when(n % 3 == 1, '{"e": {}, "y": {"x": "{}"}}')
+    p = a.table(s, d, "part")
+    return p.select("p_partkey", F.explode(F.array(*[F.struct(L(i).alias("layer"), t.alias("text")) for i, t in enumerate((base, user, last))])).alias("x")).select("p_partkey", "x.layer", "x.text")
+
+
+def merged_profiles(s: SparkSession, d: str) -> DataFrame:
+    x = profiles.merged(_layers(s, d), "p_partkey", "layer", "text")
+    return x.select("p_partkey", F.array_join("path", ".").alias("path"), "value")
+
+
 QUERIES = {f.__name__: f for f in (
     file_names, line_cells, line_counts, particles, sheet_columns, limit_sentences, text_widths, inline_styles, basis_labels, message_faults, headings, contents, axis_ticks, section_mirrors, section_instructions, section_stats,
-    section_problems, blank_forms, diagram_relations, package_entries, indent_tree, bar_tables, table_shapes, form_issues,
+    section_problems, blank_forms, diagram_relations, package_entries, indent_tree, bar_tables, table_shapes, form_issues, sections_found, merged_profiles,
 )}
 
 _S = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -290,4 +312,13 @@ def oracles(nodes: str) -> dict[str, str]:
             m AS (SELECT *, list_filter(list_filter(list_transform(want, lambda x: regexp_replace(x, '\\s+', '', 'g')), lambda x: x <> ''), lambda x: len(list_filter(have, lambda y: contains(regexp_replace(y, '\\s+', '', 'g'), x) OR contains(x, regexp_replace(y, '\\s+', '', 'g')))) = 0) AS gone FROM j WHERE hc IS NOT NULL)
             SELECT doc_id, 0 AS nth, 'err' AS level, count(hc) || ' of ' || count(*) || ' tables' AS issue FROM j GROUP BY doc_id HAVING count(hc) < count(*) UNION ALL SELECT doc_id, nth, 'err', hc || ' columns instead of ' || wc FROM j WHERE hc <> wc
             UNION ALL SELECT doc_id, nth, 'warn', 'missing: ' || array_to_string(gone, ', ') FROM m WHERE len(gone) > 0""",
+        "sections_found": f"""WITH RECURSIVE {nodes}, w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN 'c' ELSE 'x' END || o_custkey AS wanted FROM orders)
+            SELECT o_orderkey, parent, title FROM w LEFT JOIN nodes ON id = wanted""",
+        # what each mixture of layers leaves
+        "merged_profiles": """WITH p AS (SELECT *, p_size % 4 AS u, p_size % 3 AS l FROM part), scalar AS (SELECT *, u = 2 AS five, u = 1 AS two FROM p)
+            SELECT p_partkey, 'a.b' AS path, CASE WHEN u = 1 THEN '"' || p_name || '"' ELSE p_size::VARCHAR END AS value FROM scalar WHERE NOT five UNION ALL SELECT p_partkey, 'a.c', '"' || p_type || '"' FROM scalar WHERE NOT five
+            UNION ALL SELECT p_partkey, 'a', '5' FROM scalar WHERE five AND l <> 0 UNION ALL SELECT p_partkey, 'a.q', 'true' FROM p WHERE l = 0 UNION ALL SELECT p_partkey, 'd', CASE WHEN u = 3 THEN 'null' ELSE '"' || p_brand || '"' END FROM p
+            UNION ALL SELECT p_partkey, 'z', p_size::VARCHAR FROM p WHERE u = 2 UNION ALL SELECT p_partkey, 'y', '{}' FROM p WHERE u = 3 AND l <> 1 UNION ALL SELECT p_partkey, 'y.x', '"{}"' FROM p WHERE l = 1
+            UNION ALL SELECT p_partkey, 'e.f', '2' FROM scalar WHERE two AND l <> 0 UNION ALL SELECT p_partkey, 'e.f.h', p_size::VARCHAR FROM p WHERE l = 0
+            UNION ALL SELECT p_partkey, 'e.f.g', '1' FROM scalar WHERE NOT two UNION ALL SELECT p_partkey, 'e.f.l', '[' || p_size || ',' || p_partkey || ']' FROM scalar WHERE NOT two""",
     }
