@@ -218,9 +218,27 @@ def merged_profiles(s: SparkSession, d: str) -> DataFrame:
     return x.select("p_partkey", F.array_join("path", ".").alias("path"), "value")
 
 
+MARK, OPENS = "◆ 작성 취지 및 방법 ◆", "작성양식 및 예시"
+
+
+def table_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Lines with a part as tables of a section, in order: boxes of instructions, notes, and grids that are filled more or less."""
+    w = W.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    n, k = F.col("l_quantity").cast("int"), F.col("l_orderkey")
+    cell = lambda i, j: F.when((n * (i + 1) + j * 3 + k) % 5 < 2, F.when(j == 0, " ")).otherwise("v")
+    grid = F.transform(F.sequence(L(0), 1 + n % 2), lambda i: F.transform(F.sequence(L(0), n % 3), lambda j: cell(i, j)))
+    said = F.concat(L(MARK + "\n작성 취지: "), "l_returnflag", F.when(n % 2 == 0, F.concat(L("\n작성  방법: "), "l_linestatus", L(" "))).otherwise(""))
+    box = F.array(F.array(F.when(k % 3 > 0, said).otherwise(F.concat(L(MARK + "작성방법 먼저 작성 취지 "), "l_linestatus"))), F.array(L("")))
+    t = a.table(s, d, "lineitem").withColumn("seq", F.row_number().over(w))
+    t = t.select("l_partkey", "seq", F.when(n % 9 == 0, box).when(n % 9 == 1, F.array(F.array(L(" ※ note")))).otherwise(grid).alias("grid"), (F.col("l_linenumber") == 2).alias("opened"))
+    x = tree.table_kinds(t.withColumns({"rows": F.size("grid"), "cols": F.size(F.col("grid")[0])}), "l_partkey", "seq", MARK, OPENS)
+    h = F.when(F.col("kind") == "howto", tree.howto(F.array_join(F.flatten("grid"), "\n"), MARK))
+    return x.select("l_partkey", "seq", "kind", F.round(tree.fill_ratio(F.col("grid")), 4).alias("filled"), h["purpose"].alias("purpose"), h["method"].alias("method"))
+
+
 QUERIES = {f.__name__: f for f in (
     file_names, line_cells, line_counts, particles, sheet_columns, limit_sentences, text_widths, inline_styles, basis_labels, message_faults, headings, contents, axis_ticks, section_mirrors, section_instructions, section_stats,
-    section_problems, blank_forms, diagram_relations, package_entries, indent_tree, bar_tables, table_shapes, form_issues, sections_found, merged_profiles,
+    section_problems, blank_forms, diagram_relations, package_entries, indent_tree, bar_tables, table_shapes, form_issues, sections_found, merged_profiles, table_kinds,
 )}
 
 _S = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -321,4 +339,13 @@ def oracles(nodes: str) -> dict[str, str]:
             UNION ALL SELECT p_partkey, 'z', p_size::VARCHAR FROM p WHERE u = 2 UNION ALL SELECT p_partkey, 'y', '{}' FROM p WHERE u = 3 AND l <> 1 UNION ALL SELECT p_partkey, 'y.x', '"{}"' FROM p WHERE l = 1
             UNION ALL SELECT p_partkey, 'e.f', '2' FROM scalar WHERE two AND l <> 0 UNION ALL SELECT p_partkey, 'e.f.h', p_size::VARCHAR FROM p WHERE l = 0
             UNION ALL SELECT p_partkey, 'e.f.g', '1' FROM scalar WHERE NOT two UNION ALL SELECT p_partkey, 'e.f.l', '[' || p_size || ',' || p_partkey || ']' FROM scalar WHERE NOT two""",
+        "table_kinds": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS seq, l_quantity::INTEGER AS n FROM lineitem),
+            g AS (SELECT l_partkey, seq, n, l_orderkey AS k, l_returnflag AS rf, l_linestatus AS ls, l_linenumber = 2 AS opened, CASE WHEN n % 9 = 0 THEN 'howto' WHEN n % 9 = 1 THEN 'note' END AS base, CASE WHEN n % 9 > 1 THEN 2 + n % 2 END AS rows, CASE WHEN n % 9 > 1 THEN 1 + n % 3 END AS cols FROM t),
+            c AS (SELECT *, list_transform(range(rows * cols), lambda x: ((n * (x // cols + 1) + x % cols * 3 + k) % 5 >= 2)::INTEGER) AS said FROM g),
+            f AS (SELECT *, list_sum(said) / (rows * cols)::DOUBLE AS fill, coalesce(list_sum(said[1:cols]), 0) = 0 AS bare, list_sum(said[cols + 1:]) / ((rows - 1) * cols)::DOUBLE AS data,
+                         last_value(CASE WHEN base = 'howto' THEN 0 WHEN opened THEN 1 END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY seq) AS open,
+                         last_value(CASE WHEN base IS NULL THEN rows * 10 + cols END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shape FROM c)
+            SELECT l_partkey, seq::INTEGER AS seq, CASE WHEN base IS NOT NULL THEN base WHEN open = 1 OR fill >= 0.6 AND shape = rows * 10 + cols THEN 'example' WHEN bare THEN 'layout' WHEN data >= 0.55 THEN 'example' ELSE 'blank' END AS kind,
+                   round(CASE base WHEN 'howto' THEN 0.5 WHEN 'note' THEN 1.0 ELSE fill END, 4) AS filled,
+                   CASE WHEN base = 'howto' THEN CASE WHEN k % 3 > 0 THEN ': ' || rf ELSE ls END END AS purpose, CASE WHEN base = 'howto' THEN CASE WHEN k % 3 = 0 THEN '먼저' WHEN n % 2 = 0 THEN ': ' || ls END END AS method FROM f""",
     }
