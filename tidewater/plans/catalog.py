@@ -171,7 +171,7 @@ def cap_cells(s: SparkSession, d: str) -> DataFrame:
 
 
 def zone_day(s: SparkSession, d: str) -> DataFrame:
-    e = a.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = a.moved_events(s, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.select("event_id", ledger.zone_day(F.col("ts")).alias("day"), F.unix_timestamp(ledger.next_reset(F.col("ts"))).alias("reset"))
 
 
@@ -199,7 +199,7 @@ def usage_days(s: SparkSession, d: str) -> DataFrame:
 
 
 def until_reset(s: SparkSession, d: str) -> DataFrame:
-    e = a.table(s, d, "events").select("event_id", ledger.until_reset(F.col("ts")).alias("u"), ledger.reset_text(F.col("ts"), "Asia/Seoul").alias("at"))
+    e = a.moved_events(s, d).select("event_id", ledger.until_reset(F.col("ts")).alias("u"), ledger.reset_text(F.col("ts"), "Asia/Seoul").alias("at"))
     return e.select("event_id", "u.hours", "u.minutes", "at")
 
 
@@ -551,9 +551,13 @@ ORACLES |= {
     **manuscripts.ORACLES,
 }
 
+# Events 55 days later: the zone's clocks go from UTC-8 to UTC-7 at 10 in the morning UTC of the second Sunday of March, and a midnight after it is at 7.
+_MOVED = """e AS (SELECT event_id, ts + INTERVAL 55 DAY AS t FROM events),
+    dd AS (SELECT *, (t - CASE WHEN t >= TIMESTAMP '2024-03-10 10:00:00' THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END)::DATE AS day FROM e),
+    mv AS (SELECT *, day + INTERVAL 1 DAY + CASE WHEN day >= DATE '2024-03-10' THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS z FROM dd)"""
 # The zones of DuckDB come with an extension that may be missing; January, when events happen, is UTC-8 throughout.
 ORACLES |= {
-    "zone_day": "SELECT event_id, (ts - INTERVAL 8 HOUR)::DATE AS day, epoch(((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR)::BIGINT AS reset FROM events",
+    "zone_day": f"WITH {_MOVED} SELECT event_id, day, epoch(z)::BIGINT AS reset FROM mv",
     "usage_ledger": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS exhausted FROM events GROUP BY ALL",
     "usable_models": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL HAVING NOT bool_or(event_type = 'error')",
     "usage_limits": """WITH e AS (SELECT *, CASE user_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'Flash-Lite' WHEN 2 THEN 'flash' ELSE 'pro' END || '-' || user_id AS model, CASE WHEN event_type = 'error' THEN floor(value)::BIGINT END AS lim FROM events),
@@ -562,7 +566,7 @@ ORACLES |= {
                CASE f WHEN 1 THEN 'Flash-Lite' WHEN 2 THEN 'Flash' WHEN 3 THEN 'Pro' ELSE '' END AS label FROM l""",
     "usage_days": """WITH l AS (SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n, bool_or(event_type = 'error') AS x FROM events GROUP BY ALL)
         SELECT day, sum(n)::BIGINT AS total, count(*) AS models, coalesce(string_agg(model::VARCHAR, ',' ORDER BY model) FILTER (WHERE x), '') AS exhausted FROM l GROUP BY day""",
-    "until_reset": """WITH u AS (SELECT event_id, ((ts - INTERVAL 8 HOUR)::DATE + INTERVAL 1 DAY) + INTERVAL 8 HOUR AS z, ts FROM events), v AS (SELECT *, epoch(z)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM u)
+    "until_reset": f"""WITH {_MOVED}, v AS (SELECT *, epoch(z)::BIGINT - floor(epoch(t))::BIGINT AS s FROM mv)
         SELECT event_id, (s // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, strftime(z + INTERVAL 9 HOUR, '%-m.%-d. %H:%M') AS "at" FROM v""",
     "stream_usage": "SELECT (ts - INTERVAL 8 HOUR)::DATE AS day, user_id AS model, count(*) AS n FROM events GROUP BY ALL",
     # %.1f and %.2f round the exact binary value; only values that are exactly half way differ, and there are none here
