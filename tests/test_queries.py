@@ -46,7 +46,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_but_texts_of_formatted_numbers():
-    assert set(QUERIES) - set(ORACLES) == {"report_lines", "card_of_documents"}
+    assert set(QUERIES) - set(ORACLES) == {"report_lines", "report_texts", "card_of_documents"}
 
 
 def test_cards_of_all_documents_fit(spark):
@@ -54,6 +54,27 @@ def test_cards_of_all_documents_fit(spark):
     assert len(rows) == spark.read.parquet(f"{DIR}/documents.parquet").count() and all(r.fits or r.tables for r in rows)
 
 
+def test_whole_reports(spark):
+    from tidewater.plans import catalog
+
+    heads, lines = {}, {}
+    for r in QUERIES["report_heads"](spark, DIR).orderBy("place", "nth").collect():
+        heads.setdefault(r.place, []).append(r.line)
+    rows, _ = catalog._reported(spark, DIR)
+    for r in catalog.indicators.report_lines(rows, 1, "province").orderBy("place", "nth").collect():
+        lines.setdefault(r.place, {}).setdefault(r.list, []).append(r.line)
+    got = {r.place: r.text for r in QUERIES["report_texts"](spark, DIR).collect()}
+    assert set(got) == set(heads) and lines
+    for place, text in got.items():
+        own = lines.get(place, {})
+        at = text.index("\n".join(heads[place]))
+        for name in ("high", "low", "outside"):
+            for line in own.get(name, []):
+                at = text.index(line, at)
+        assert not own.get("inside") or "- " + ", ".join(own["inside"]) in text
+        assert ("판단을 미룬다" in text) == (not own.get("high") or not own.get("low")) and text.count("○ 종합 진단") == text.count("※ 자료") == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import particle
+
 BASES = ("province", "type", "nation")
 LABELS = {"nation": "전국", "province": "광역(시·도) 내", "type": "시·군·구 유형별"}  # fixed values: what a report calls a basis
 RANKABLE, QUARTILES_FROM = 5, 4  # fixed values: members that a ranking and a yearly quartile need
@@ -189,6 +191,53 @@ def report_lines(rows: DataFrame, k: int, basis: str) -> DataFrame:
     return listed(rows, k, "ord" if "ord" in rows.columns else "code").select("place", "list", "nth", line.alias("line"))
 
 
+# Sentences of a report.
+TITLE, COMPARED, GROUP_SIZE = "#### 지표로 본 지역 여건", "○ 비교 기준 — %s, %s 비교, 대상 지표 %d개", "- 비교집단 규모는 지표별로 %s개 시·군·구이며, 결측 지역은 평균 계산에서 뺐다"
+LATEST, MIXED = "- 각 지표는 자료가 나와 있는 최신연도 값을 썼다", " (%d~%d년 혼재)"
+NO_TYPE, TYPE_IS, OF_TYPE, WITH_TYPE = "- %s%s 시·군·구 7유형 구분에 들어가 있지 않아 유형별 비교는 넣지 않았다", "- %s의 시·군·구 유형은 %s이고, ", "비교집단이 곧 같은 유형 시·군·구다", "같은 유형 평균을 함께 적었다"
+NO_VALUE, TOO_FEW = "- 값이 비어 있는 지표 %d개(%s%s)는 해석에서 뺐다", "- 순위를 매길 수 있는 지표가 모자라 판단을 미룬다"
+HIGH, LOW = "○ 비교집단에서 값이 큰 쪽 지표", "○ 비교집단에서 값이 작은 쪽 지표"
+OUTSIDE, INSIDE = "○ 그 밖에 비교집단과 뚜렷이 다른 지표 %d개 (Q1~Q3 구간 밖)", "○ 비교집단과 비슷한 수준인 지표 %d개 (Q1~Q3 구간 안) — 개별 서술 생략"
+DIAGNOSIS = ("○ 종합 진단과 정책 방향 — 담당자 작성", "- 위 차이들을 묶어 볼 때 우리 지역의 상태를 한 문장으로 → ○○○○", "- 그래서 어떤 영역에 무엇을 먼저 해야 하는지 → ○○○○", "- 이 진단이 제1절 추진전략과 어떻게 이어지는지 → ○○○○", "")
+CAUTION = ("○ 해석 시 유의점", "- 값이 높다고 곧 여건이 좋은 것은 아니다. 지표마다 방향이 달라 개별 지표의 의미를 확인하고 읽는다")
+DENOMINATOR, WITHOUT_TYPE = "- 순위는 비교집단 안에서 값이 큰 순서이며, 분모가 되는 지역 수(%s곳)를 함께 본다", "- 유형별 평균이 빠져 있으므로 광역·전국 평균으로만 견준다"
+SOURCE = "※ 자료：보건복지부·한국보건사회연구원, 「지역사회보장지표」. 값은 지표별 최신연도 기준이며, 평균은 시·군·구 단순평균임."
+
+
+def _sizes() -> Column:
+    return F.when(F.col("n_min") == F.col("n_max"), F.col("n_max").cast("string")).otherwise(F.concat(F.col("n_min").cast("string"), F.lit("~"), F.col("n_max").cast("string")))
+
+
+def report_head(rows: DataFrame, named: DataFrame, basis: str) -> DataFrame:
+    """(place, head, typed): the lines above a report's lists, for the rows of report_lines() and places named (place, title, typed, type_label).
+
+    A place without a type is told so; a missing value's code is named, three at most.
+    """
+    x = report_facts(rows).join(named.select("place", "title", "typed", "type_label"), "place")
+    years = F.when(F.col("year_min").isNull(), "").when(F.col("year_min") == F.col("year_max"), F.format_string(" (%d년)", "year_max")).otherwise(F.format_string(MIXED, "year_min", "year_max"))
+    kind = F.when(~F.col("typed"), F.format_string(NO_TYPE, F.col("title"), particle(F.col("title")))).when(F.col("type_label").isNotNull(), F.concat(F.format_string(TYPE_IS, "title", "type_label"), F.lit(OF_TYPE if basis == "type" else WITH_TYPE)))
+    none = F.when(F.col("missing") > 0, F.format_string(NO_VALUE, F.col("missing"), F.col("missing_names"), F.when(F.col("missing") > 3, " 등").otherwise("")))
+    lines = F.array(F.lit(TITLE), F.lit(""), F.format_string(COMPARED, F.col("title"), F.lit(LABELS[basis]), F.col("codes")), F.format_string(GROUP_SIZE, _sizes()), F.concat(F.lit(LATEST), years), kind, none, F.lit(""))
+    return x.select("place", F.filter(lines, lambda v: v.isNotNull()).alias("head"), "typed", _sizes().alias("sizes"))
+
+
+def report_text(rows: DataFrame, named: DataFrame, k: int, basis: str) -> DataFrame:
+    """(place, text): a place's whole report, head, lists and cautions in order."""
+    each = report_lines(rows, k, basis).groupBy("place")
+    lists = each.agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == n, F.struct("nth", "line")))), lambda v: v["line"]).alias(n) for n in ("high", "low", "outside", "inside")])
+    empty = F.array().cast("array<string>")
+    x = report_head(rows, named, basis).join(lists, "place", "left").withColumns({n: F.coalesce(n, empty) for n in ("high", "low", "outside", "inside")})
+
+    def side(name: str, title: str) -> Column:
+        some = F.size(name) > 0
+        return F.concat(F.array(F.concat(F.lit(title), F.when(some, F.format_string(" %d개", F.size(name))).otherwise(""))), F.when(some, F.col(name)).otherwise(F.array(F.lit(TOO_FEW))), F.array(F.lit("")))
+
+    outside = F.when(F.size("outside") > 0, F.concat(F.array(F.format_string(OUTSIDE, F.size("outside"))), F.col("outside"), F.array(F.lit("")))).otherwise(empty)
+    inside = F.when(F.size("inside") > 0, F.array(F.format_string(INSIDE, F.size("inside")), F.concat(F.lit("- "), F.array_join("inside", ", ")), F.lit(""))).otherwise(empty)
+    end = F.concat(F.lit(list(DIAGNOSIS + CAUTION)), F.array(F.format_string(DENOMINATOR, "sizes")), F.when(~F.col("typed"), F.array(F.lit(WITHOUT_TYPE))).otherwise(empty), F.array(F.lit(""), F.lit(SOURCE)))
+    return x.select("place", F.array_join(F.concat("head", side("high", HIGH), side("low", LOW), outside, inside, end), "\n").alias("text"))
+
+
 def trend(values: DataFrame, places: DataFrame, basis: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Per place, code and year: its value, its group's average, count and quartiles (from four members on), the nation's average."""
     if first is not None:

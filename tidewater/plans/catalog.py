@@ -243,6 +243,23 @@ def report_lines(s: SparkSession, d: str) -> DataFrame:
     return indicators.report_lines(rows, 2, "province")
 
 
+def _reported(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a report, some without a value, and the places with names and types."""
+    rows = indicators.analyze(*_both(s, d), "province").withColumns({"name": F.col("code"), "unit": F.lit("건")})
+    rows = rows.withColumn("mine", F.when((F.col("place") + F.length("code")) % 5 != 0, F.col("mine")))
+    title = F.concat("province", F.lit(" "), F.when(F.col("place") % 2 == 0, "가").otherwise("각"))
+    return rows, a.places(s, d).select("place", title.alias("title"), F.col("type").isNotNull().alias("typed"), F.when(F.col("type") != 2, F.concat(F.lit("유형 "), F.col("type").cast("string"))).alias("type_label"))
+
+
+def report_heads(s: SparkSession, d: str) -> DataFrame:
+    return indicators.report_head(*_reported(s, d), "province").select("place", F.posexplode("head").alias("nth", "line"))
+
+
+def report_texts(s: SparkSession, d: str) -> DataFrame:
+    """Whole reports; their numbers' formats are tested by themselves."""
+    return indicators.report_text(*_reported(s, d), 1, "province")
+
+
 def place_names(s: SparkSession, d: str) -> DataFrame:
     nations = a.table(s, d, "nation").join(a.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     counties = nations.select(F.col("n_nationkey").alias("place"), F.lit("시군구").alias("level"), F.col("r_name").alias("province"), F.col("n_name").alias("county"), (F.col("n_nationkey") % 7).alias("type"))
@@ -307,7 +324,7 @@ QUERIES = {
     "nearest_example_all": nearest_example_all,
     "title_dedupe": title_dedupe,
     **{f.__name__: f for f in (
-        id_dedupe, tree_stats, col_percent_parts, outline_numbers, few_children, after_tables, usage_limits, usage_days, until_reset, default_model, analyze_request, report_facts, report_lists, report_lines, place_names,
+        id_dedupe, tree_stats, col_percent_parts, outline_numbers, few_children, after_tables, usage_limits, usage_days, until_reset, default_model, analyze_request, report_facts, report_lists, report_lines, report_heads, report_texts, place_names,
         provinces, commonest_priority, majority_status, style_groups, match_ratio, dangling_parts,
     )},
     "trend_facts": lambda s, d: _rounded(indicators.trend_facts(_trend(s, d))),
@@ -528,6 +545,14 @@ ORACLES |= {
     "report_facts": f"""WITH {_analysis('province')}, x AS (SELECT place, code, n, year, CASE WHEN (place + length(code)) % 5 <> 0 THEN mine END AS mine FROM ana)
         SELECT place, count(*) AS codes, coalesce(min(n) FILTER (WHERE n > 0), 0) AS n_min, coalesce(max(n) FILTER (WHERE n > 0), 0) AS n_max, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (WHERE mine IS NULL) AS missing,
                coalesce(array_to_string(list_sort(list(code) FILTER (WHERE mine IS NULL))[1:3], ', '), '') AS missing_names FROM x GROUP BY place""",
+    "report_heads": f"""WITH {_analysis('province')}, x AS (SELECT place, code, n, year, CASE WHEN (place + length(code)) % 5 <> 0 THEN mine END AS mine FROM ana),
+        f AS (SELECT place, count(*) AS codes, min(n) FILTER (n > 0) AS a, max(n) FILTER (n > 0) AS b, min(year) AS y, max(year) AS z, count(*) FILTER (mine IS NULL) AS m, array_to_string(list_sort(list(code) FILTER (WHERE mine IS NULL))[1:3], ', ') AS names FROM x GROUP BY place),
+        t AS (SELECT f.*, p.province || CASE WHEN place % 2 = 0 THEN ' 가' ELSE ' 각' END AS title, type, CASE WHEN place % 2 = 0 THEN '는' ELSE '은' END AS eun FROM f JOIN places p USING (place)),
+        l AS (SELECT place, list_filter(['#### 지표로 본 지역 여건', '', '○ 비교 기준 — ' || title || ', 광역(시·도) 내 비교, 대상 지표 ' || codes || '개',
+            '- 비교집단 규모는 지표별로 ' || CASE WHEN a = b THEN b::VARCHAR ELSE a || '~' || b END || '개 시·군·구이며, 결측 지역은 평균 계산에서 뺐다', '- 각 지표는 자료가 나와 있는 최신연도 값을 썼다' || CASE WHEN y = z THEN ' (' || y || '년)' ELSE ' (' || y || '~' || z || '년 혼재)' END,
+            CASE WHEN type IS NULL THEN '- ' || title || eun || ' 시·군·구 7유형 구분에 들어가 있지 않아 유형별 비교는 넣지 않았다' WHEN type <> 2 THEN '- ' || title || '의 시·군·구 유형은 유형 ' || type || '이고, 같은 유형 평균을 함께 적었다' END,
+            CASE WHEN m > 0 THEN '- 값이 비어 있는 지표 ' || m || '개(' || names || CASE WHEN m > 3 THEN ' 등' ELSE '' END || ')는 해석에서 뺐다' END, ''], lambda v: v IS NOT NULL) AS ls FROM t)
+        SELECT place, unnest(range(len(ls)))::INTEGER AS nth, unnest(ls) AS line FROM l""",
     "report_lists": f"""WITH {_analysis('nation')}, r AS (SELECT place, code, mine, q1, q3, (rank - 0.5) / n * 100 AS p FROM ana WHERE mine IS NOT NULL AND n >= 5),
         l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY p, code) AS b, count(*) OVER (PARTITION BY place) AS m FROM r),
         x AS (SELECT *, CASE WHEN b <= CASE WHEN m < 2 THEN ceil(m / 2.0) ELSE 1 END THEN 'high' WHEN b > m - CASE WHEN m < 2 THEN m - ceil(m / 2.0) ELSE 1 END THEN 'low' WHEN mine < q1 OR mine > q3 THEN 'outside' ELSE 'inside' END AS list FROM l)
