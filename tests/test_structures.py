@@ -118,6 +118,31 @@ def test_cards_of_a_hot_document(spark):
     assert large < 5 * small  # all pairs would be nine times as many
 
 
+def test_chosen_cards_of_documents_of_all_sizes(spark, monkeypatch):
+    r, few = random.Random(4), 60
+    monkeypatch.setattr(cards, "FEW", few)
+
+    def document(name, n):
+        return [(name, i * 3, i * 2, r.choice(["01", "02", "03", None]), r.choice([None, 3 * r.randrange(max(1, i))]), r.choice([3, 20, 40, 41, 90, 200, None])) for i in range(n)]
+
+    rows = [x for k in range(60) for x in document(f"d{k}", r.randint(1, few))]
+    kinds = "doc string, id int, ord int, chapter string, mirrors int, size int"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for some in (rows, [x for x in rows if x[3] and x[5]] + [x for x in document("large", 150) if x[3] and x[5]]):
+            df = spark.createDataFrame(some, kinds)
+            every = df.alias("t").join(df.alias("c"), (F.col("t.doc") == F.col("c.doc")) & (F.col("c.ord") <= F.col("t.ord"))).filter("c.size is not null")
+            every = every.select(F.concat_ws("-", "t.doc", "t.id").alias("key"), F.col("c.id").alias("id"), F.col("c.ord").alias("ord"), cards.score().alias("score"), F.col("c.size").alias("size"))
+            want = sorted(map(tuple, cards.pick(every, "key", 120, 5).collect()))
+            chosen = cards.chosen(df, 120, 5)
+            assert sorted(map(tuple, chosen.select(F.concat_ws("-", "doc", "target"), "ord", "id").collect())) == want
+            if some is rows:  # no pair is a row of its own
+                plan = chosen._jdf.queryExecution().executedPlan().toString()
+                assert "Join" not in plan and "Generate" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_places(spark):
     rows = [(i * 7919 % 1000, "x") for i in range(1000)]
     got = order.positions(spark.createDataFrame(rows, "k int, v string").repartition(7), "k").collect()

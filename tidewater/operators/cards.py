@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.text import clip, numbers_with_units, pipe_cells, trim, units16
+from tidewater.session import cut
 
 from .order import positions
 
@@ -239,6 +242,85 @@ def pick(scored: DataFrame, key: str, budget: int, header: int = 0) -> DataFrame
     return ordered.mapInPandas(fold, T.StructType([T.StructField(c, kinds[c]) for c in (key, "ord", "id")]))
 
 
+FEW = 256  # cards of a document that are ranked against each other as they are
+
+
+def chosen(cards: DataFrame, budget: int, header: int = 0) -> DataFrame:
+    """(doc, target, ord, id): what pick() takes for each card (doc, id, ord, chapter, mirrors, size) of its document, without a row a pair.
+
+    Documents of up to FEW cards meet as a whole in a task, many at once: scores, order and the greedy choice are arrays over
+    targets and cards. Larger ones go through candidates() and pick(), which hold no document.
+    """
+    cards = cards.select("doc", "id", "ord", "chapter", "mirrors", "size").filter("doc is not null")
+    kind = {f.name: f.dataType for f in cards.schema}
+    out = T.StructType([T.StructField(c, kind[k]) for c, k in (("doc", "doc"), ("target", "id"), ("ord", "ord"), ("id", "id"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            if not t.num_rows:
+                continue
+            # the last document may go on
+            last = pc.equal(t["doc"], t["doc"][-1]).to_numpy().argmax()
+            rest = t.slice(last)
+            yield from _chosen(t.slice(0, last), budget, header)
+        if rest is not None:
+            yield from _chosen(rest, budget, header)
+
+    counted = cards.withColumn("_n", F.count("*").over(W.partitionBy("doc")))
+    few = counted.filter(F.col("_n") <= FEW).drop("_n").sortWithinPartitions("doc").mapInArrow(fold, out)
+    large = cut(cards.groupBy("doc").count().filter(F.col("count") > FEW).select("doc"))
+    if large.isEmpty():
+        return few
+    some = cards.join(large, "doc", "left_semi")
+    found = candidates(some, some, budget).withColumn("key", F.struct("doc", "target"))
+    return few.union(pick(found, "key", budget, header).select("key.doc", "key.target", "ord", "id"))
+
+
+def _chosen(t: pa.Table, budget: int, header: int, cells: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """What each card of whole documents, one behind the other, takes."""
+    if not t.num_rows:
+        return
+    codes = lambda c: pc.fill_null(c.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    doc = codes(t["doc"])
+    t = t.take(np.lexsort((codes(t["id"]) if not pa.types.is_integer(t["id"].type) else t["id"].to_numpy(), t["ord"].to_numpy(), doc)))
+    doc, place, n = codes(t["doc"]), t["ord"].to_numpy().astype(np.int64), t.num_rows
+    both = codes(pa.chunked_array([t["id"].combine_chunks(), t["mirrors"].cast(t["id"].type).combine_chunks()]))
+    ids, mirror = both[:n], both[n:]
+    chapter, first = codes(t["chapter"]), pc.fill_null(pc.equal(t["chapter"], "01"), False).to_numpy()
+    size = pc.fill_null(t["size"], budget).to_numpy().astype(np.int64)
+    start = np.searchsorted(doc, doc)
+    ends = np.flatnonzero(np.r_[(doc[1:] != doc[:-1]) | (place[1:] != place[:-1]), True]) + 1
+    reach = ends[np.searchsorted(ends, np.arange(n), "right")] - start  # cards of the document up to the target's place
+    order, at = np.argsort(reach, kind="stable"), 0
+    while at < n:
+        # targets that may reach about as many cards
+        wide = int(reach[order[at]]) // 8 * 8 + 8
+        rows = order[at : min(np.searchsorted(reach[order], wide, "right"), at + max(1, cells // wide))]
+        at += len(rows)
+        # a line a card and a column a target, so that all steps go along the targets
+        k = np.arange(wide)[:, None]
+        c = np.minimum(start[rows] + k, n - 1)
+        away = place[rows] - place[c]
+        score = 10 + 100 * ((mirror[rows] == ids[c]) & (mirror[rows] >= 0)) + 60 * first[c] + 40 * ((chapter[rows] == chapter[c]) & (chapter[rows] >= 0)) + 30 * (away == 1) + np.maximum(0, NEAR - away)
+        none = (k >= reach[rows]) | (ids[c] == ids[rows])
+        ranked = np.sort(np.where(none, 1 << 30, (1 << 10) - score << 16 | k).astype(np.int32), axis=0)
+        c = np.minimum(start[rows] + (ranked & 0xFFFF), n - 1)
+        need = np.where(ranked == 1 << 30, budget + 1, size[c] + 1)
+        used, taken = np.full(len(rows), header, np.int64), np.zeros(c.shape, bool)
+        for i in range(wide):
+            fits = used + need[i] <= budget
+            used += need[i] * fits
+            taken[i] = fits
+        col, line = np.nonzero(taken.T)
+        if len(col):
+            cards = t.take(c[line, col])
+            targets = t.take(rows[col])
+            yield pa.RecordBatch.from_arrays([x.combine_chunks() for x in (targets["doc"], targets["id"], cards["ord"], cards["id"])], ["doc", "target", "ord", "id"])
+
+
 def context(found: DataFrame, target: str, order: str, text: str) -> DataFrame:
     """(target, context): the header and the chosen cards' texts in document order; targets without cards have no row."""
     each = found.groupBy(target).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("all"))

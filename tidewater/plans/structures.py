@@ -112,8 +112,7 @@ def _documents_of_cards(s: SparkSession, d: str) -> DataFrame:
 def card_window(s: SparkSession, d: str) -> DataFrame:
     """The cards that each line's card takes of its document, of the few that it may reach."""
     n = _documents_of_cards(s, d)
-    found = cards.candidates(n, n, 150).withColumn("key", F.format_string("%d-%d", "doc", "target"))
-    return cards.pick(found, "key", 150, 5)
+    return cards.chosen(n, 150, 5).select(F.concat_ws("-", "doc", "target").alias("key"), "ord", "id")
 
 
 def card_of_documents(s: SparkSession, d: str) -> DataFrame:
