@@ -15,6 +15,8 @@ def paths(layers: DataFrame, key: str, layer: str, text: str) -> DataFrame:
     """(key, layer, path array, value): every value of each layer's JSON, arrays whole; an object is a row without a value.
     A null or malformed text has no rows, and neither has one that isn't an object."""
     spark = layers.sparkSession
+    # a small file is read by one task, and each level of nesting stays where its texts are
+    layers = layers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, layer)
     now = layers.select(key, layer, F.array().cast("array<string>").alias("path"), F.try_parse_json(text).alias("v")).filter("v is not null")
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     now, out = now.filter(is_object), None
