@@ -4,9 +4,10 @@ import glob
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewater.operators import cards, order, readback, tables, tags
+from tidewater.operators import cards, order, profiles, readback, tables, tags
 from tidewater.streaming import cards as card_stream
 from tidewater.streaming import ledger
 
@@ -197,3 +198,44 @@ def test_notes_go_back_where_they_were(spark):
     assert readback.marked(x, "d", ["#", "-", "·"]).first().text == (
         "# \n- [^1]\n· [^2]some [^4][^3]text[^5]\n\n" + readback.PICTURE + "\n· big\n\n[^1]: n\n[^2]: d\n[^3]: a\n[^4]: b\n[^5]: c\n"
     ).replace("# \n", "#\n")
+
+
+def test_settings_of_one_file_are_dealt_out(spark):
+    layers = spark.range(64).selectExpr("id as k", "0 as layer", "'{\"a\": {\"b\": 1}}' as text").coalesce(1)
+    found = profiles.paths(layers, "k", "layer", "text")
+    filled = found.select(F.spark_partition_id().alias("part")).distinct().count()
+    assert found.count() == 128 and filled > 4  # two levels; one task each before
+
+
+def test_the_ledger_keeps_models_together():
+    calls = []
+
+    class Pages:
+        def __init__(self):
+            self.kept = {}
+
+        def containsKey(self, key):
+            calls.append("containsKey")
+            return key in self.kept
+
+        def getValue(self, key):
+            calls.append("getValue")
+            return self.kept[key]
+
+        def updateValue(self, key, value):
+            calls.append("updateValue")
+            self.kept[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Pages()
+
+        def registerTimer(self, ends):
+            calls.append("registerTimer")
+
+    keeper = ledger.Ledger()
+    keeper.init(Handle())
+    b = pd.DataFrame([(f"m{i % 50}", "d", 10, i == 3, i % 7, i) for i in range(200)], columns=["model", "day", "ends", "out", "limit", "at"])
+    (told,) = keeper.handleInputRows((0,), iter([b[:90], b[90:]]), None)
+    assert len(calls) == 3 and len(told) == 50 and told["n"].tolist() == [4] * 50  # one page, one call; before, a model's page each
+    assert told.set_index("model").loc["m3"].tolist() == ["d", 4, True, 6, False]
