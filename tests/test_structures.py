@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewater.operators import cards, order, profiles, readback, tables, tags
+from tidewater.operators import cards, markers, order, profiles, readback, tables, tags
 from tidewater.streaming import cards as card_stream
 from tidewater.streaming import ledger
 
@@ -239,3 +239,10 @@ def test_the_ledger_keeps_models_together():
     (told,) = keeper.handleInputRows((0,), iter([b[:90], b[90:]]), None)
     assert len(calls) == 3 and len(told) == 50 and told["n"].tolist() == [4] * 50  # one page, one call; before, a model's page each
     assert told.set_index("model").loc["m3"].tolist() == ["d", 4, True, 6, False]
+
+
+def test_manuscripts_are_read_once_for_all_issues(spark, monkeypatch):
+    read, lines = [], markers.lines
+    monkeypatch.setattr(markers, "lines", lambda *a: read.append(1) or lines(*a))
+    markers.issues(spark.createDataFrame([(1, "# a\n\nb[^1]\n[^1]: c")], "k int, t string"), "k", "t")
+    assert len(read) == 1

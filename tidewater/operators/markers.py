@@ -52,6 +52,11 @@ def _marked(levels: tuple[Level, ...]) -> Column:
     return out
 
 
+def _body(levels: tuple[Level, ...]) -> Column:
+    """What a line (s, kind) says behind its marker."""
+    return F.when(F.col("kind") == "note", trim(F.expr(f"substring(s, {len(NOTE) + 2})"))).when(F.col("kind") == "para", F.coalesce(_marked(levels)["body"], "s")).otherwise(F.col("s"))
+
+
 def lines(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LEVELS) -> DataFrame:
     """(key, ln, s, kind, level, body, tab) of each line from 1: kind is blank, definition, chapter, caption, columns, image, table
     (tab numbers the runs of such lines), note, para, or plain for a line without a marker."""
@@ -63,8 +68,7 @@ def lines(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LEV
     )
     out = out.withColumn("kind", kind).withColumn("_m", F.when(F.col("kind").isNull(), _marked(levels)))
     out = out.withColumn("kind", F.coalesce("kind", F.when(F.col("_m").isNotNull() | F.lit(plain is not None), "para").otherwise("plain")))
-    body = F.when(F.col("kind") == "note", trim(F.expr(f"substring(s, {len(NOTE) + 2})"))).otherwise(F.coalesce("_m.body", "s"))
-    out = out.withColumns({"level": F.when(F.col("kind") == "para", F.coalesce("_m.level", F.lit(plain))), "body": body}).drop("_m")
+    out = out.withColumns({"level": F.when(F.col("kind") == "para", F.coalesce("_m.level", F.lit(plain))), "body": _body(levels)}).drop("_m")
     w = W.partitionBy(key).orderBy("ln")
     starts = (F.col("kind") == "table") & ~F.coalesce(F.lag("kind").over(w) == "table", F.lit(False))
     return out.withColumn("tab", F.sum(starts.cast("int")).over(w)).withColumn("sep", (F.col("kind") == "table") & F.col("s").rlike(r"(?U)^\|[\s:|\-]+\|$"))
@@ -78,11 +82,16 @@ def blocks(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LE
     one of the last level. A caption goes to the next table if nothing but blank lines and figures lies between, widths of
     columns to the next table. Rows are as wide as the first. Footnotes stay in the texts; see footnotes().
     """
+    return _blocks(lines(texts, key, text, levels), key, levels)
+
+
+def _blocks(x: DataFrame, key: str, levels: tuple[Level, ...]) -> DataFrame:
+    """blocks() of lines()."""
     w = W.partitionBy(key).orderBy("ln")
     back = W.partitionBy(key).orderBy(F.desc("ln")).rowsBetween(W.unboundedPreceding, -1)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("ln"))
-    x = lines(texts, key, text, levels)
+    x = x.drop("body")  # it repeats the line, and every window would carry both
     full = F.max(F.when((F.col("kind") == "table") & ~F.col("sep"), F.col("ln"))).over(W.partitionBy(key, "tab", F.col("kind") == "table"))
     first = F.min("ln").over(W.partitionBy(key, "tab", F.col("kind") == "table"))
     x = x.withColumns({"_first": first, "_full": full})
@@ -101,7 +110,7 @@ def blocks(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LE
     joins = (F.col("kind") == "plain") & F.coalesce(F.lag("kind").over(w).isin("para", "plain"), F.lit(False))
     kept = kept.withColumn("_start", (~joins).cast("int")).withColumn("_block", F.sum("_start").over(w))
     own = lambda c, since: F.when(F.col(f"{c}.ln") > F.coalesce(F.col(since), F.lit(0)), F.col(c))
-    kept = kept.withColumns({"_caption": own("_caption", "_cleared"), "_cols": own("_cols", "_table")})
+    kept = kept.withColumn("body", _body(levels)).withColumns({"_caption": own("_caption", "_cleared"), "_cols": own("_cols", "_table")})
     fields = F.struct("ln", "kind", "level", "body", F.col("tab"), F.col("_caption.t").alias("caption"), F.col("_cols.w").alias("cols"), "s")
     made = kept.groupBy(key, "_block").agg(F.sort_array(F.collect_list(fields)).alias("all")).withColumn("h", F.col("all")[0])
     kind = F.when(F.col("h.kind") == "plain", "para").when(F.col("h.kind") == "note", "table_note").otherwise(F.col("h.kind"))
@@ -134,7 +143,12 @@ def chapters(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def definitions(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, label, note, line, times): the last definition of each footnote."""
-    found = lines(texts, key, text).filter("kind = 'definition'").select(key, "ln", F.regexp_extract("s", DEFINITION, 1).alias("label"), trim(F.regexp_extract("s", DEFINITION, 2)).alias("note"))
+    return _definitions(lines(texts, key, text), key)
+
+
+def _definitions(x: DataFrame, key: str) -> DataFrame:
+    """definitions() of lines()."""
+    found = x.filter("kind = 'definition'").select(key, "ln", F.regexp_extract("s", DEFINITION, 1).alias("label"), trim(F.regexp_extract("s", DEFINITION, 2)).alias("note"))
     return found.groupBy(key, "label").agg(F.max_by("note", "ln").alias("note"), F.max("ln").alias("line"), F.count("*").alias("times"))
 
 
@@ -163,7 +177,8 @@ def footnotes(parts: DataFrame, defined: DataFrame, key: str) -> DataFrame:
 def issues(texts: DataFrame, key: str, text: str, levels: tuple[Level, ...] = LEVELS) -> DataFrame:
     """(key, line, issue): everything that reading and checking a manuscript finds, one row each."""
     # many rules look at the same lines, blocks and notes: each is made once
-    x, parts, defined = cut(lines(texts, key, text, levels)), cut(blocks(texts, key, text, levels)), cut(definitions(texts, key, text))
+    x = cut(lines(texts, key, text, levels).drop("body"))
+    parts, defined = cut(_blocks(x, key, levels)), cut(_definitions(x, key))
     notes = cut(footnotes(parts, defined, key))
     w = W.partitionBy(key).orderBy("ln")
     say = lambda df, what, line="line": df.select(key, F.col(line).alias("line"), F.lit(what).alias("issue"))
