@@ -309,3 +309,23 @@ def test_reports_in_words(spark):
         ("low", 1): "- D 1.00 건(2024년) — 비교집단 10곳 중 10위(하위 5%), 비교평균 5.00 건\n· 같은 유형 3곳 평균 5.50 건 / 전국 20곳 평균 5.25 건",
         ("outside", 1): "- B 8.00 건(2024년) — 비교집단 10곳 중 2위, Q1~Q3 4.00~6.00 건 위", ("inside", 1): "C",
     }
+
+
+def test_kinds_of_tables_sort_facts_once_and_no_grids(spark, tmp_path):
+    from tidewater.plans import adapters, texts
+
+    lines = [(o, p, 1, k, float(o * 7 % 50 + 1), float(o), "A", "F") for p in range(3) for o in range(20) for k in (1, 2)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = texts.table_kinds(spark, str(tmp_path))
+    assert sorted((r.l_partkey, r.seq) for r in got.collect()) == [(p, i + 1) for p in range(3) for i in range(40)]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") == plan.toString().count("Window [") == 1
+    while plan.nodeName() != "Window":
+        plan = plan.children().head()
+    carried = plan.children().head().schema()
+    assert "array" not in carried.simpleString() and "struct<" not in carried.simpleString()[7:]
+    # tasks grow in number with their input
+    small = spark.range(10)
+    assert adapters.dealt(small, "id", 10, 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert adapters.dealt(small, "id", 10_001, 100).rdd.getNumPartitions() == 101

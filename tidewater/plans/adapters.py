@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, size: int, most: int) -> DataFrame:
+    """The rows by their key, in so many tasks that each has about `most` of a size; no fewer tasks than cores."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // most)), key)
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as places, regions as provinces; a synthetic type, which one nation lacks."""
     kind = F.when(F.col("n_nationkey") != 3, F.col("n_nationkey") % 7)

@@ -223,17 +223,23 @@ MARK, OPENS = "◆ 작성 취지 및 방법 ◆", "작성양식 및 예시"
 
 def table_kinds(s: SparkSession, d: str) -> DataFrame:
     """Lines with a part as tables of a section, in order: boxes of instructions, notes, and grids that are filled more or less."""
-    w = W.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
     n, k = F.col("l_quantity").cast("int"), F.col("l_orderkey")
     cell = lambda i, j: F.when((n * (i + 1) + j * 3 + k) % 5 < 2, F.when(j == 0, " ")).otherwise("v")
     grid = F.transform(F.sequence(L(0), 1 + n % 2), lambda i: F.transform(F.sequence(L(0), n % 3), lambda j: cell(i, j)))
     said = F.concat(L(MARK + "\n작성 취지: "), "l_returnflag", F.when(n % 2 == 0, F.concat(L("\n작성  방법: "), "l_linestatus", L(" "))).otherwise(""))
     box = F.array(F.array(F.when(k % 3 > 0, said).otherwise(F.concat(L(MARK + "작성방법 먼저 작성 취지 "), "l_linestatus"))), F.array(L("")))
-    t = a.table(s, d, "lineitem").withColumn("seq", F.row_number().over(w))
-    t = t.select("l_partkey", "seq", F.when(n % 9 == 0, box).when(n % 9 == 1, F.array(F.array(L(" ※ note")))).otherwise(grid).alias("grid"), (F.col("l_linenumber") == 2).alias("opened"))
-    x = tree.table_kinds(t.withColumns({"rows": F.size("grid"), "cols": F.size(F.col("grid")[0])}), "l_partkey", "seq", MARK, OPENS)
-    h = F.when(F.col("kind") == "howto", tree.howto(F.array_join(F.flatten("grid"), "\n"), MARK))
-    return x.select("l_partkey", "seq", "kind", F.round(tree.fill_ratio(F.col("grid")), 4).alias("filled"), h["purpose"].alias("purpose"), h["method"].alias("method"))
+    lines = a.table(s, d, "lineitem")
+    # the parts of a task are sorted in its memory, so tasks grow in number and not in size
+    lines = a.dealt(lines, "l_partkey", lines.count(), 250_000)
+    t = lines.select("l_partkey", *order, F.when(n % 9 == 0, box).when(n % 9 == 1, F.array(F.array(L(" ※ note")))).otherwise(grid).alias("grid"), (F.col("l_linenumber") == 2).alias("opened"))
+    # what is shown of a grid is taken here, so that no grid is sorted
+    t = t.withColumns({"rows": F.size("grid"), "cols": F.size(F.col("grid")[0]), "filled": F.round(tree.fill_ratio(F.col("grid")), 4), "raw": F.array_join(F.flatten("grid"), "\n")})
+    h = F.when(F.col("raw").contains(MARK), tree.howto(F.col("raw"), MARK))
+    t = t.withColumns({"purpose": h["purpose"], "method": h["method"]})
+    x = tree.table_kinds(t, "l_partkey", order, MARK, OPENS)
+    seq = F.row_number().over(W.partitionBy("l_partkey").orderBy(*order))
+    return x.select("l_partkey", seq.alias("seq"), "kind", "filled", "purpose", "method")
 
 
 QUERIES = {f.__name__: f for f in (
