@@ -66,6 +66,32 @@ def test_tags_of_random_texts(spark):
             assert spans.get((k, tag), []) == outermost(x, tag), (k, tag)
 
 
+def test_verdicts_of_insides_are_found_in_the_tags_of_whole_texts(spark, tmp_path):
+    r = random.Random(2)
+    parts = ["<a>", "</a>", "<b x=\"1>2\">", "</b>", "<a/>", "<h:p c='/'>", "</h:p>", "text 가", "<", ">", "<br />", '<a t="x', "<c>", "</c>", "<c/>"]
+    texts = [None, "", "plain", "<a", "</a>", "<a>" * 3000 + "</a>" * 3000, "<a><b></a></b>", "<a></a></a><b>", "<a></b><a></a></a>", "<a><b/><c></c></a>", '<a><b x="</a>">', "<a><b x='</a>'</a>"]
+    texts += ["".join(r.choices(parts[: r.choice((6, 15))], k=r.randint(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([*enumerate(texts), (None, "<a></a>"), (None, None)], "page_id long, html string")
+    edges = tags.edged(tags.tokens(df, "page_id", "html"), df, "page_id")
+    want = [(None, "", 0, "roots", None, None, 0)]
+    for k, x in enumerate(texts):
+        want.append((k, "", 0, *verdict(x)))
+        for tag in {m[2] for m in TAG.finditer(x or "")}:
+            want += [(k, tag, i, *verdict(x[a:b])) for i, (_, a, b, _) in enumerate(outermost(x, tag))]
+    got = [tuple(x) for x in tags.part_verdicts(edges, "page_id").collect()]
+    order = lambda x: (x[0] is None, x)
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert {x[3] for x in want if x[1]} == {None, "roots", "not closed", "crossed", "left over"}
+    # texts of insides are neither cut out nor joined, and tasks sort steps and names only
+    from tidewater.plans import structures
+
+    df.filter("page_id is not null").withColumn("url", F.lit("")).write.parquet(f"{tmp_path}/pages.parquet")
+    q = structures.page_verdicts(spark, str(tmp_path))
+    plan = q._jdf.queryExecution()
+    assert "Join" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("Sort [") == 4
+    assert q.count() == len(want) - 1
+
+
 def fields(text):
     rows, row, field, quoted, i = [], [], "", False, 0
     while i < len(text):

@@ -31,10 +31,11 @@ def page_spans(s: SparkSession, d: str) -> DataFrame:
 def page_verdicts(s: SparkSession, d: str) -> DataFrame:
     """What is wrong with the tags of every page and of the inside of each of its outermost spans."""
     p = a.table(s, d, "pages")
-    parts = tags.inner(tags.spans(tags.tokens(p, "page_id", "html", VOID), "page_id"), p, "page_id", "html")
-    parts = parts.select(F.concat_ws("/", F.col("page_id").cast("string"), "raw", F.col("span").cast("string")).alias("part"), "inner")
-    every = p.select(F.col("page_id").cast("string").alias("part"), F.col("html").alias("inner")).union(parts)
-    return tags.verdicts(tags.tokens(every, "part", "inner", VOID), every, "part")
+    size = p.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    # the tags of a task's pages are sorted in its memory, so tasks grow in number and not in size
+    edges = a.dealt(tags.edged(tags.tokens(p, "page_id", "html", VOID), p, "page_id"), "page_id", size, 16 << 20)
+    part = F.when(F.col("raw") == "", F.col("page_id").cast("string")).otherwise(F.concat_ws("/", F.col("page_id").cast("string"), "raw", F.col("span").cast("string")))
+    return tags.part_verdicts(edges, "page_id").select(part.alias("part"), "problem", "tag", "opened", "roots")
 
 
 def page_links(s: SparkSession, d: str) -> DataFrame:
