@@ -21,9 +21,18 @@ VOID = ("br", "meta")
 MARKERS = ["#", "##", "○", "-"]
 
 
+#: Bytes of html of the pages of a task: what is sorted of them is held in its memory, so tasks grow in number and not in size.
+HTML = 16 << 20
+
+
+def _html_size(pages: DataFrame) -> int:
+    return pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+
+
 def page_spans(s: SparkSession, d: str) -> DataFrame:
     """The outermost spans of every tag of every page."""
     p = a.table(s, d, "pages")
+    p = a.dealt(p, "page_id", _html_size(p), HTML)
     found = tags.inner(tags.spans(tags.tokens(p, "page_id", "html", VOID), "page_id"), p, "page_id", "html")
     return found.select("page_id", "raw", "span", "attrs", "start", "inner_start", "inner_end", "end", F.sha2("inner", 256).alias("inside"))
 
@@ -31,9 +40,7 @@ def page_spans(s: SparkSession, d: str) -> DataFrame:
 def page_verdicts(s: SparkSession, d: str) -> DataFrame:
     """What is wrong with the tags of every page and of the inside of each of its outermost spans."""
     p = a.table(s, d, "pages")
-    size = p.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    # the tags of a task's pages are sorted in its memory, so tasks grow in number and not in size
-    edges = a.dealt(tags.edged(tags.tokens(p, "page_id", "html", VOID), p, "page_id"), "page_id", size, 16 << 20)
+    edges = a.dealt(tags.edged(tags.tokens(p, "page_id", "html", VOID), p, "page_id"), "page_id", _html_size(p), HTML)
     part = F.when(F.col("raw") == "", F.col("page_id").cast("string")).otherwise(F.concat_ws("/", F.col("page_id").cast("string"), "raw", F.col("span").cast("string")))
     return tags.part_verdicts(edges, "page_id").select(part.alias("part"), "problem", "tag", "opened", "roots")
 
